@@ -8,6 +8,7 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf, udtf
 
 WORD = r"[\p{L}\p{N}]+"
@@ -51,7 +52,7 @@ def segment(distinct: DataFrame, dictionary: DataFrame) -> DataFrame:
     return kept.select("_token", _without_overlap("_token", "_found").alias("_words"))
 
 
-@pandas_udf("array<string>")
+@pandas_udf(T.ArrayType(T.StringType()))
 def _without_overlap(token: pd.Series, found: pd.Series) -> pd.Series:
     """Walk each token once, taking the word found at every place reached."""
 
@@ -67,7 +68,7 @@ def _without_overlap(token: pd.Series, found: pd.Series) -> pd.Series:
     return pd.Series([walk(t, f) for t, f in zip(token, found)])
 
 
-@udtf(returnType="word string")
+@udtf(returnType=T.StructType().add("word", T.StringType()), useArrow=True)
 class KeywordTable:
     """``LATERAL ik_analyze(text)`` in SQL: the letter and digit runs of a text."""
 

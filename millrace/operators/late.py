@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import ordered
 from millrace.operators.ordered import HOT_ROWS
+from millrace.operators.windows import time_window
 
 ON_TIME, REFIRE, TOO_LATE = "on_time", "refire", "too_late"
 
@@ -54,3 +55,22 @@ def classify_late(
         .otherwise(TOO_LATE)
     )
     return traced.withColumn(name, status).drop("_watermark", "_last")
+
+
+def window_fires(classified: DataFrame, ts: str, width: str, keys: Sequence[str], status: str = "status") -> DataFrame:
+    """Rows per window at its first fire, at its last one, and rows that went to the late output."""
+
+    def rows(condition):
+        return F.count(F.when(condition, 1))
+
+    return time_window(
+        classified,
+        ts,
+        width,
+        keys,
+        {
+            "first_fire": rows(F.col(status) == ON_TIME),
+            "last_fire": rows(F.col(status) != TOO_LATE),
+            "side_output": rows(F.col(status) == TOO_LATE),
+        },
+    )

@@ -24,21 +24,21 @@ def repair_new_visitors(log: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     return fixed.withColumn("common", F.col("common").withField("is_new", F.col("_is_new"))).drop("_mid", "_is_new")
 
 
-def _has_start() -> Column:
+def has_start() -> Column:
     return F.col("start").isNotNull() & (F.size("start") > 0)
 
 
 def start_log(log: DataFrame) -> DataFrame:
-    return log.filter(_has_start()).drop("page", "displays")
+    return log.filter(has_start()).drop("page", "displays")
 
 
 def page_log(log: DataFrame) -> DataFrame:
-    return log.filter(~_has_start()).drop("start")
+    return log.filter(~has_start()).drop("start")
 
 
 def display_log(log: DataFrame) -> DataFrame:
     """One row per display of a page: its own fields and the page it was on."""
-    pages = log.filter(~_has_start())
+    pages = log.filter(~has_start())
     return pages.select(
         *[c for c in ("seq",) if c in log.columns],
         F.explode("displays").alias("display"),

@@ -96,8 +96,11 @@ def enrich_order(wide: DataFrame, users: DataFrame, provinces: DataFrame, produc
     """Age and gender of the buyer, province names, product attributes; rows without a match stay."""
     out = joins.lookup(wide, users, {"user_id": "id"}, {"birthday": "_birthday", "gender": "user_gender"})
     out = out.withColumn("user_age", times.whole_years(F.to_date("_birthday"), as_of)).drop("_birthday")
-    out = joins.lookup(out, provinces, {"province_id": "id"}, PROVINCE_COLUMNS)
-    return joins.lookup(out, products, {"sku_id": "id"}, PRODUCT_COLUMNS)
+    return joins.lookup(with_province(out, provinces), products, {"sku_id": "id"}, PRODUCT_COLUMNS)
+
+
+def with_province(wide: DataFrame, provinces: DataFrame) -> DataFrame:
+    return joins.lookup(wide, provinces, {"province_id": "id"}, PROVINCE_COLUMNS)
 
 
 def order_wide(

@@ -10,10 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import keywords, times
-from millrace.operators import joins, windows
+from millrace.operators import joins, ordered, patterns, windows
+from millrace.operators.ordered import HOT_ROWS
 from millrace.operators.rows import union_all
+from millrace.plans import dwd
+from millrace.plans.dwm import is_entry
 from millrace.schemas import (
     APPRAISE_GOOD,
+    BOUNCE_TIMEOUT_MS,
     KEYWORD_SOURCE,
     MART_WINDOW,
     MONEY,
@@ -47,8 +51,6 @@ def _visitor_defaults() -> dict[str, Column]:
 
 def visitor_facts(pages: DataFrame, unique_visits: DataFrame, jumps: DataFrame) -> DataFrame:
     """One record per page (a page view, and a session when it is an entry), unique visit and bounce."""
-    from millrace.plans.dwm import is_entry
-
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
     page = _record(
         pages,
@@ -62,6 +64,56 @@ def visitor_facts(pages: DataFrame, unique_visits: DataFrame, jumps: DataFrame)
     return union_all([page, visits, bounced])
 
 
+def visitor_facts_from_log(
+    log: DataFrame, timeout_ms: int = BOUNCE_TIMEOUT_MS, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """The same facts straight from the parsed log, for batch runs: one sort per device serves all of them.
+
+    Repairing the new flag, finding the first entry of a day and the next page all look along the rows of a device,
+    so they share one shuffle; the layered form writes each of them to a topic of its own.
+    """
+    entry, page = is_entry(), F.col("page").isNotNull() & ~dwd.has_start()
+    time = times.millis_to_time(F.col("ts"))
+    shown = page & ~patterns.is_blank(F.col("page.page_id"))
+    rows = log.select(
+        F.col("common.mid").alias("_mid"),
+        "ts",
+        "seq",
+        time.alias(TIME),
+        *[F.col(f"common.{k}").alias(k) for k in VISITOR_KEYS],
+        page.alias("_page"),
+        (page & entry).alias("_entry"),
+        F.when(page & entry, F.to_date(time)).alias("_entry_day"),
+        F.when(shown, F.col("ts")).alias("_shown_at"),
+        F.coalesce(F.col("page.during_time"), F.lit(0)).alias("during_time"),
+    )
+    seen = ordered.scan(
+        rows,
+        ["_mid"],
+        ["ts", "seq"],
+        {
+            "_news": ordered.total(F.when(F.col("is_new") == "1", 1).otherwise(0)),
+            "_last_day": ordered.largest(F.col("_entry_day"), before=True),
+            "_next_at": ordered.following_known("_shown_at"),
+        },
+        hot_rows=hot_rows,
+    ).filter("_page")
+    entry = F.col("_entry")
+    unseen = F.col("_last_day").isNull() | (F.col("_last_day") < F.col("_entry_day"))
+    bounced = F.col("_next_at").isNull() | (F.col("_next_at") >= F.col("ts") + timeout_ms)
+    keys = {k: F.col(k) for k in VISITOR_KEYS}
+    keys["is_new"] = F.when((F.col("is_new") == "1") & (F.col("_news") > 1), "0").otherwise(F.col("is_new"))
+    return _record(
+        seen,
+        {TIME: F.col(TIME)} | keys,
+        uv_ct=(entry & unseen).cast("long"),
+        pv_ct=F.lit(1).cast("long"),
+        sv_ct=entry.cast("long"),
+        uj_ct=(entry & bounced).cast("long"),
+        dur_sum=F.col("during_time"),
+    )
+
+
 def visitor_stats(facts: DataFrame, window: str = MART_WINDOW, version: Column | None = None) -> DataFrame:
     """Unique visitors, views, sessions, bounces and duration per window and visitor group (also streaming)."""
     sums = {m: F.sum(m) for m in VISITOR_MEASURES}

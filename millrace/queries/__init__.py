@@ -26,4 +26,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from millrace.queries import per_row  # noqa: F401
+    from millrace.queries import aggregates, joined, marts, ordered_rows, per_row, windowed  # noqa: F401
