@@ -47,14 +47,18 @@ def classify_late(
     A window fires when the watermark reaches its last millisecond, and is dropped ``lateness`` after that.
     """
     traced = watermark_trace(df, ts, arrival, delay, "_watermark", hot_rows)
+    return judge(traced, ts, width, lateness, name)
+
+
+def judge(df: DataFrame, ts: str, width: str, lateness: timedelta, name: str) -> DataFrame:
+    """Status of rows by the watermark before them, in ``_watermark``."""
     last = F.window(ts, width)["end"] - F.lit(timedelta(milliseconds=1))
-    traced = traced.withColumn("_last", last)
     status = (
         F.when(F.col("_watermark").isNull() | (F.col("_last") > F.col("_watermark")), ON_TIME)
         .when(F.col("_last") + F.lit(lateness) > F.col("_watermark"), REFIRE)
         .otherwise(TOO_LATE)
     )
-    return traced.withColumn(name, status).drop("_watermark", "_last")
+    return df.withColumn("_last", last).withColumn(name, status).drop("_watermark", "_last")
 
 
 def window_fires(classified: DataFrame, ts: str, width: str, keys: Sequence[str], status: str = "status") -> DataFrame:

@@ -75,9 +75,14 @@ PROVINCE_COLUMNS = {
 }
 
 
-def order_details(orders: DataFrame, details: DataFrame) -> DataFrame:
-    """Orders with their lines: equal order, line within some seconds of the order."""
-    left = with_create_parts(orders).withColumnRenamed("id", "order_key")
+def _on_time(df: DataFrame, ts: str, delay: str) -> DataFrame:
+    """A watermark on streams; it lets a join forget rows that can no longer match."""
+    return df.withWatermark(ts, delay) if df.isStreaming else df
+
+
+def order_details(orders: DataFrame, details: DataFrame, delay: str = "10 seconds") -> DataFrame:
+    """Orders with their lines: equal order, line within some seconds of the order (also streaming)."""
+    left = _on_time(with_create_parts(orders), "create_ts", delay).withColumnRenamed("id", "order_key")
     lines = details.select(
         F.col("id").alias("detail_id"),
         "order_id",
@@ -88,6 +93,7 @@ def order_details(orders: DataFrame, details: DataFrame) -> DataFrame:
         times.text_to_time(F.col("create_time")).alias("detail_ts"),
     )
     bound = timedelta(seconds=ORDER_DETAIL_SECONDS)
+    lines = _on_time(lines, "detail_ts", delay)
     joined = joins.interval_join(left, lines, {"order_key": "order_id"}, "create_ts", "detail_ts", -bound, bound)
     return joined.drop("order_key", "detail_ts")
 
@@ -109,8 +115,8 @@ def order_wide(
     return enrich_order(order_details(orders, details), users, provinces, products, as_of)
 
 
-def payment_wide(payments: DataFrame, wide: DataFrame) -> DataFrame:
-    """Payments with the lines of their order, placed at most some minutes before.
+def payment_wide(payments: DataFrame, wide: DataFrame, delay: str = "10 seconds") -> DataFrame:
+    """Payments with the lines of their order, placed at most some minutes before (also streaming).
 
     Names both sides share take the payment's value: total_amount and user_id.
     """
@@ -127,6 +133,7 @@ def payment_wide(payments: DataFrame, wide: DataFrame) -> DataFrame:
     )
     lines = wide.drop("user_id", "total_amount").withColumnRenamed("create_time", "order_create_time")
     lines = lines.withColumnRenamed("create_ts", "order_ts")
+    paid, lines = _on_time(paid, "payment_ts", delay), _on_time(lines, "order_ts", delay)
     joined = joins.interval_join(
         paid, lines, {"paid_order_id": "order_id"}, "payment_ts", "order_ts", -timedelta(minutes=PAYMENT_MINUTES), timedelta(0)
     )

@@ -212,14 +212,18 @@ def product_measures(facts: DataFrame, window: str = MART_WINDOW) -> DataFrame:
     return grouped.agg(*[c.alias(name) for name, c in (_product_sums() | orders).items()])
 
 
+def named_products(measures: DataFrame, products: DataFrame, version: Column | None = None) -> DataFrame:
+    """Aggregated measures with window bounds as text, product attributes and a version."""
+    columns = {c: c for c in ("sku_name", "spu_id", "spu_name", "tm_id", "tm_name", "category3_id", "category3_name")}
+    bounded = windows.with_bounds(measures)
+    return _versioned(joins.lookup(bounded, products, {"sku_id": "id"}, {"price": "sku_price"} | columns), version)
+
+
 def product_stats(
     facts: DataFrame, products: DataFrame, window: str = MART_WINDOW, version: Column | None = None
 ) -> DataFrame:
-    """The product mart: aggregated first, enriched afterwards (also streaming)."""
-    measured = windows.with_bounds(product_measures(facts, window))
-    columns = {c: c for c in ("sku_name", "spu_id", "spu_name", "tm_id", "tm_name", "category3_id", "category3_name")}
-    named = joins.lookup(measured, products, {"sku_id": "id"}, {"price": "sku_price"} | columns)
-    return _versioned(named, version)
+    """The product mart: aggregated first, enriched afterwards."""
+    return named_products(product_measures(facts, window), products, version)
 
 
 # -- provinces and keywords (SQL) -----------------------------------------------------------------------------

@@ -1,17 +1,21 @@
-"""Keyed upserts and replacing marts over Parquet tables in a shared folder.
+"""Keyed tables whose newest version of a key wins, over Parquet in a shared folder.
 
-A table is a folder of complete versions and a small pointer file naming the current one. A new version is written
-beside the old one and the pointer is replaced last, so readers and restarted jobs always see a whole table. Applying
-a micro-batch twice gives the same version.
+A micro-batch is reduced to its newest row per key and stored as a delta of its own, so storing a batch costs no more
+than the batch, and storing it again replaces it. Reading merges the deltas: the row with the newest version wins. From
+time to time ``compact`` folds the deltas into a base. A base appears as a whole, in one rename, and old files are
+never changed, so a job that dies leaves a readable table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+BASE, DELTA = "base", "delta"
+
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], version: Sequence[str]) -> DataFrame:
     """The newest row of every key; each map task keeps one row per key before the shuffle."""
@@ -22,3 +26,56 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], version: Sequence[str]) -
 def as_documents(df: DataFrame, key: str) -> DataFrame:
     """Rows as documents: ``_id`` and the whole row as JSON."""
     return df.select(F.col(key).cast("string").alias("_id"), F.to_json(F.struct("*")).alias("document"))
+
+
+@dataclass(frozen=True)
+class KeyedTable:
+    """A table of ``schema`` with unique ``keys``; of two rows the one higher in ``version`` stays.
+
+    ``partitions`` names columns the files are laid out by (a day, say), which readers can prune on. They must be
+    part of the key or depend on it. Rows of a later batch win when versions are equal.
+    """
+
+    spark: SparkSession
+    path: str
+    schema: str
+    keys: tuple[str, ...]
+    version: tuple[str, ...]
+    partitions: tuple[str, ...] = ()
+
+    def create(self) -> None:
+        """Make the folder if it is missing."""
+        self.spark.createDataFrame([], self.schema).write.mode("append").parquet(self.path)
+
+    def apply(self, df: DataFrame, batch_id: int) -> None:
+        """Store a micro-batch."""
+        columns = self.spark.createDataFrame([], self.schema).columns
+        self._store(latest_per_key(df.select(columns), self.keys, self.version), DELTA, batch_id)
+
+    def read(self) -> DataFrame:
+        """The newest row of every key."""
+        return self._newest().drop("kind", "batch")
+
+    def compact(self) -> None:
+        """Fold all deltas stored so far into a new base."""
+        newest = self._files().agg(F.max("batch")).first()[0]
+        if newest is not None:
+            self._store(self._newest().drop("kind", "batch"), BASE, newest)
+
+    def _files(self) -> DataFrame:
+        return self.spark.read.schema(f"{self.schema}, kind string, batch long").parquet(self.path)
+
+    def _newest(self) -> DataFrame:
+        files = self._files()
+        base = files.filter(F.col("kind") == BASE).agg(F.max("batch")).first()[0]
+        if base is None:
+            current = files
+        else:
+            folded = (F.col("kind") == BASE) & (F.col("batch") == base)
+            current = files.filter(folded | ((F.col("kind") == DELTA) & (F.col("batch") > base)))
+        return latest_per_key(current, self.keys, (*self.version, "batch"))
+
+    def _store(self, df: DataFrame, kind: str, batch_id: int) -> None:
+        stamped = df.withColumn("kind", F.lit(kind)).withColumn("batch", F.lit(batch_id).cast("long"))
+        writer = stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("kind", "batch", *self.partitions).parquet(self.path)
