@@ -17,11 +17,12 @@ def seconds_to_time(seconds: Column) -> Column:
 
 
 def text_to_time(text: Column, fmt: str = TIME_FORMAT) -> Column:
-    return F.to_timestamp(text, fmt)
+    """Text as a time, null when it is none. The usual format has a fast path."""
+    return text.try_cast("timestamp") if fmt == TIME_FORMAT else F.try_to_timestamp(text, F.lit(fmt))
 
 
 def text_to_millis(text: Column, fmt: str = TIME_FORMAT) -> Column:
-    return F.unix_millis(F.to_timestamp(text, fmt))
+    return F.unix_millis(text_to_time(text, fmt))
 
 
 def time_to_text(time: Column, fmt: str = TIME_FORMAT) -> Column:

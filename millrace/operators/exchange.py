@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.ordered import estimated_bytes
+
+# Up to half the usual split of a file.
+SMALL_BYTES = 64 * 1024 * 1024
+
 
 def by_key(df: DataFrame, *keys: str, partitions: int | None = None) -> DataFrame:
     """Rows of one key in one partition."""
@@ -21,6 +26,17 @@ def round_robin(df: DataFrame, partitions: int) -> DataFrame:
     return df.repartition(partitions)
 
 
+def spread_small(df: DataFrame, most_bytes: int = SMALL_BYTES) -> DataFrame:
+    """Spread an input of a few files over all cores before costly row work; large inputs have splits enough.
+
+    The size is the optimizer's estimate; beyond ``most_bytes`` the frame is returned as it is, without a shuffle.
+    Rows go by the hash of all their columns: a round robin would sort them first, to be repeatable.
+    """
+    if df.isStreaming or estimated_bytes(df) > most_bytes:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *df.columns)
+
+
 def rescale(df: DataFrame, partitions: int) -> DataFrame:
     """Fewer partitions without a shuffle."""
     return df.coalesce(partitions)

@@ -35,26 +35,37 @@ def interval_join(
     row lies in one slot and a left row reaches for every slot its interval touches, hence no pair appears twice.
     """
     slot = SLOT_FACTOR * max(_micros(upper - lower), 1)
-    reach = F.sequence(
-        _slot(F.unix_micros(F.col(left_ts).cast("timestamp")) + _micros(lower), slot),
-        _slot(F.unix_micros(F.col(left_ts).cast("timestamp")) + _micros(upper), slot),
-    )
-    near = left.withColumn("_left_slot", F.explode(reach))
-    placed = right.withColumn("_right_slot", _slot(F.unix_micros(F.col(right_ts).cast("timestamp")), slot))
-    match = (
-        (F.col("_left_slot") == F.col("_right_slot"))
-        & (F.col(right_ts) >= F.col(left_ts) + F.lit(lower))
-        & (F.col(right_ts) <= F.col(left_ts) + F.lit(upper))
-    )
+    since, at = F.col("_since"), F.col("_at")
+    reach = F.sequence(_slot(since + _micros(lower), slot), _slot(since + _micros(upper), slot))
+    near = left.withColumn("_since", _place(left_ts, NO_LEFT_TIME)).withColumn("_left_slot", F.explode(reach))
+    placed = right.withColumn("_at", _place(right_ts, NO_RIGHT_TIME))
+    placed = placed.withColumn("_right_slot", F.coalesce(_slot(at, slot), F.lit(NO_RIGHT_TIME)))
+    match = F.col("_left_slot") == F.col("_right_slot")
     for left_key, right_key in on.items():
         match = match & (F.col(left_key) == F.col(right_key))
-    return near.join(placed, match).drop("_left_slot", "_right_slot")
+    if left.isStreaming or right.isStreaming:
+        # Bounds on the watermarked columns tell the state store which rows can go.
+        match = match & (F.col(right_ts) >= F.col(left_ts) + F.lit(lower))
+        match = match & (F.col(right_ts) <= F.col(left_ts) + F.lit(upper))
+        near, placed = near.drop("_since"), placed.drop("_at")
+    else:
+        match = match & (at - since).between(_micros(lower), _micros(upper))
+    return near.join(placed, match).drop("_left_slot", "_right_slot", "_since", "_at")
+
+
+# Places of rows without a time: far from all times and from each other. A place is never null, so that the optimizer
+# has no reason to filter on it below, where it would work out the time a second time.
+NO_LEFT_TIME, NO_RIGHT_TIME = -(10**18), -2 * 10**18
 
 
 def _micros(interval: timedelta) -> int:
     return interval // timedelta(microseconds=1)
 
 
+def _place(ts: str, missing: int) -> Column:
+    return F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")), F.lit(missing))
+
+
 def _slot(micros: Column, width: int) -> Column:
     return F.floor(micros / width).cast("long")
 

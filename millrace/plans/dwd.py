@@ -5,16 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators import patterns
+from millrace.operators import exchange, patterns
 from millrace.operators.ordered import HOT_ROWS
 from millrace.schemas import APP_LOG, BOOTSTRAP_INSERT, CHANGE, INSERT, SINK_DIMENSION, SINK_FACT
 
+# Routing tables up to this many rows are broadcast.
+MOST_ROUTES = 10_000
+
 # -- behaviour log --------------------------------------------------------------------------------------------
 
 
 def parse_log(raw: DataFrame, keep: tuple[str, ...] = ("seq",)) -> DataFrame:
     """JSON lines in ``value`` as nested columns; ``keep`` names columns to carry along."""
-    return raw.select(*keep, F.from_json("value", APP_LOG).alias("log")).select(*keep, "log.*")
+    return raw.select(*keep, parsed_once(F.from_json("value", APP_LOG)))
+
+
+def parsed_once(record: Column) -> Column:
+    """The fields of a parsed record as columns.
+
+    Behind a generator the text is parsed once per row; filters on plain fields would each parse it again.
+    """
+    return F.inline(F.array(record))
 
 
 def repair_new_visitors(log: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -51,7 +62,7 @@ def display_log(log: DataFrame) -> DataFrame:
 
 def parse_changes(raw: DataFrame, keep: tuple[str, ...] = ("seq",)) -> DataFrame:
     """JSON envelopes in ``value``; changes without a table or without data are dropped."""
-    parsed = raw.select(*keep, F.from_json("value", CHANGE).alias("change")).select(*keep, "change.*")
+    parsed = raw.select(*keep, parsed_once(F.from_json("value", CHANGE)))
     usable = F.col("table").isNotNull() & F.col("data").isNotNull() & (F.length("data") > 3)
     return parsed.filter(usable).withColumn("data", F.from_json("data", "map<string,string>"))
 
@@ -71,7 +82,7 @@ def route(changes: DataFrame, config: DataFrame) -> DataFrame:
     operation = F.when(F.col("type") == BOOTSTRAP_INSERT, INSERT).otherwise(F.col("type"))
     normal = changes.withColumn("type", operation)
     rules = config.withColumnRenamed("source_table", "table").withColumnRenamed("operate_type", "type")
-    routed = normal.join(rules, ["table", "type"])
+    routed = normal.join(exchange.to_all(rules, MOST_ROUTES), ["table", "type"])
     return routed.withColumn("data", keep_columns(F.col("data"), F.col("sink_columns")))
 
 

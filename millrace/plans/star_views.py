@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.operators import exchange
 from millrace.schemas import MONEY, ROUTE, TIME_FORMAT
 from millrace.session import configure
 
@@ -22,8 +23,30 @@ ORDER_EPOCH = "2024-01-01 00:00:00"
 PRODUCTS = 200
 
 
+# Columns of the tables, so that opening one reads no file.
+SCHEMAS = {
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, "
+    "o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return configure(spark).read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """The named columns of a table that costly row work follows."""
+    return exchange.spread_small(table(spark, sf_dir, name).select(*columns))
 
 
 # -- behaviour ------------------------------------------------------------------------------------------------
@@ -66,7 +89,8 @@ def app_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kind == "error", displays).alias("displays"),
         F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"),
     )
-    return table(spark, sf_dir, "events").select(number.alias("seq"), F.to_json(log).alias("value"))
+    events = spread(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value", "props")
+    return events.select(number.alias("seq"), F.to_json(log).alias("value"))
 
 
 def product_marks(spark: SparkSession, sf_dir: str, event_type: str) -> DataFrame:
@@ -86,7 +110,8 @@ def _order_time(key: Column, seconds: Column) -> Column:
 
 
 def order_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select(
+    orders = spread(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    return orders.select(
         F.col("o_orderkey").alias("id"),
         (F.col("o_custkey") % 25).alias("province_id"),
         F.col("o_custkey").alias("user_id"),
@@ -97,7 +122,10 @@ def order_info(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select(
+    lines = spread(
+        spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"
+    )
+    return lines.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
         F.col("l_orderkey").alias("order_id"),
         F.col("l_partkey").alias("sku_id"),
@@ -110,7 +138,8 @@ def order_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def payment_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     time = _order_time(F.col("o_orderkey"), (F.col("o_orderkey") % 20 - 1) * 60)
-    return table(spark, sf_dir, "orders").select(
+    orders = spread(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
+    return orders.select(
         F.col("o_orderkey").alias("id"),
         F.col("o_orderkey").alias("order_id"),
         F.col("o_custkey").alias("user_id"),
@@ -123,7 +152,8 @@ def payment_info(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def refund_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'")
+    lines = spread(spark, sf_dir, "lineitem", "l_partkey", "l_orderkey", "l_extendedprice", "l_returnflag")
+    lines = lines.filter("l_returnflag = 'R'")
     return lines.select(
         F.col("l_partkey").alias("sku_id"),
         F.col("l_orderkey").alias("order_id"),
@@ -133,7 +163,8 @@ def refund_info(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def comment_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'N'")
+    lines = spread(spark, sf_dir, "lineitem", "l_partkey", "l_orderkey", "l_quantity", "l_returnflag")
+    lines = lines.filter("l_returnflag = 'N'")
     return lines.select(
         F.col("l_partkey").alias("sku_id"),
         F.when(F.col("l_quantity") >= 25, "1203").otherwise("1201").alias("appraise"),
@@ -206,7 +237,7 @@ def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     updated. Large parts name no table, the largest have no data, and small ones an empty record.
     """
     order_type = F.when(F.col("o_orderstatus") == "O", "insert").when(F.col("o_orderstatus") == "F", "update")
-    orders = table(spark, sf_dir, "orders").select(
+    orders = spread(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority").select(
         *_change(
             F.col("o_orderkey"),
             F.lit("order_info"),
@@ -218,7 +249,7 @@ def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
             ),
         )
     )
-    customer = table(spark, sf_dir, "customer")
+    customer = spread(spark, sf_dir, "customer", "c_custkey", "c_name", "c_mktsegment", "c_nationkey")
 
     def user(segment: Column) -> Column:
         return F.struct(

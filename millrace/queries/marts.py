@@ -199,7 +199,7 @@ def search_keyword_stats(spark: SparkSession, sf: str) -> DataFrame:
     """
 )
 def keyword_stats(spark: SparkSession, sf: str) -> DataFrame:
-    documents = table(spark, sf, "documents").select("source", "text")
+    documents = star_views.spread(spark, sf, "documents", "source", "text")
     words = keywords.keywords(documents, "text")
     return words.groupBy("keyword", "source").agg(F.count("*").alias("ct"))
 

@@ -18,6 +18,9 @@ RUNTIME_SETTINGS = {
     "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
+# Can only be set while a session is built. Building a plan then skips recording the Python line of every expression.
+BUILD_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -48,12 +51,13 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 def build_local(cores: int = 8, shuffle_partitions: int | None = None, memory: str = "8g") -> SparkSession:
     """A local session for tests and benchmarks."""
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("millrace")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cores))
-        .getOrCreate()
     )
-    return configure(spark)
+    for name, value in BUILD_SETTINGS.items():
+        builder = builder.config(name, value)
+    return configure(builder.getOrCreate())
