@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators import ordered
-from millrace.operators.ordered import HOT_ROWS
 
 # Slots this many times as long as the interval: one row in four or five falls into two slots.
 SLOT_FACTOR = 4
@@ -130,7 +129,7 @@ def switch(
     order: Sequence[str],
     value: str,
     name: str,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Every data row with the newest control value at or before its time; null before the first one.
 

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators import ordered
-from millrace.operators.ordered import HOT_ROWS
 from millrace.operators.windows import time_window
 
 ON_TIME, REFIRE, TOO_LATE = "on_time", "refire", "too_late"
@@ -25,7 +24,7 @@ def watermark_trace(
     arrival: Sequence[str],
     delay: timedelta,
     name: str = "watermark",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Add the watermark before each row: newest earlier time less the delay, less a millisecond; null at first."""
     seen = ordered.scan(df, [], arrival, {"_newest": ordered.largest(F.col(ts), before=True)}, hot_rows=hot_rows)
@@ -40,7 +39,7 @@ def classify_late(
     delay: timedelta,
     lateness: timedelta,
     name: str = "status",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Tell rows of open windows from rows that make a window fire again and rows for the late output.
 

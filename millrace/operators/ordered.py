@@ -21,8 +21,9 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Rows of one key that one task may sort.
+# Rows of one key that one task may sort, unless the session says otherwise.
 HOT_ROWS = 2_000_000
+HOT_ROWS_SETTING = "spark.millrace.hotRows"
 # Assumed width of a row when only the size of the input is known.
 ROW_BYTES = 32
 # Cuts are equally wide, rows are not equally dense: cut finer than the average asks for.
@@ -235,13 +236,14 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def find_cuts(df: DataFrame, keys: Sequence[str], axis: str, hot_rows: int = HOT_ROWS) -> Cuts | None:
+def find_cuts(df: DataFrame, keys: Sequence[str], axis: str, hot_rows: int | None = None) -> Cuts | None:
     """Look for keys with more than ``hot_rows`` rows; None when every key fits one task.
 
     Inputs small enough for one task are not looked at. Otherwise one pass over the key columns feeds a
     frequent-items sketch (no shuffle but that of the sketch), and a second one measures the keys it named.
-    Without keys all rows are one group, which is always cut.
+    Without keys all rows are one group, which is always cut. ``hot_rows`` defaults to the session's setting.
     """
+    hot_rows = hot_rows or int(df.sparkSession.conf.get(HOT_ROWS_SETTING, str(HOT_ROWS)))
     position = axis_number(df, axis).alias("p")
     if not keys:
         row = df.agg(F.count(F.lit(1)).alias("n"), F.min(position).alias("lo"), F.max(position).alias("hi")).first()
@@ -284,7 +286,7 @@ def scan(
     values: Mapping[str, Running],
     *,
     axis: str | None = None,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
     cuts: Cuts | None | str = SEARCH,
 ) -> DataFrame:
     """Add running values over the rows of each key, ordered ascending by ``order``.

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators import ordered
-from millrace.operators.ordered import HOT_ROWS
 
 
 def is_blank(column: Column) -> Column:
@@ -25,7 +24,7 @@ def level_jumps(
     level: str,
     jump: float = 10,
     literal: bool = False,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Rows whose level differs from the row before by ``jump`` or more; the level before the first row is 0.
 
@@ -44,7 +43,7 @@ def rising_alerts(
     order: Sequence[str],
     level: str,
     hold: timedelta,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Keys whose level kept rising for ``hold``: one row per alert with the time of the first rise.
 
@@ -79,7 +78,7 @@ def bounces(
     follow: Column,
     timeout: timedelta,
     close_open: bool = True,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Entry rows that no later row of the key follows before ``timeout`` has passed.
 
@@ -100,7 +99,7 @@ def bounces(
 
 
 def repair_new_flag(
-    df: DataFrame, key: str, order: Sequence[str], flag: Column, name: str, hot_rows: int = HOT_ROWS
+    df: DataFrame, key: str, order: Sequence[str], flag: Column, name: str, hot_rows: int | None = None
 ) -> DataFrame:
     """Only the first row a key flags as new ('1') stays new, later ones become '0'; other rows pass unchanged."""
     marked = df.withColumn("_flag", flag)

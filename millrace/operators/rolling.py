@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators import ordered
-from millrace.operators.ordered import HOT_ROWS
 
 
 def rolling_sum(
@@ -18,7 +17,7 @@ def rolling_sum(
     value: Column,
     name: str,
     keep_first: Sequence[str] = (),
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Running sum; ``keep_first`` columns show the first row of the key, as ``first_<column>``."""
     values = {name: ordered.total(value)}
@@ -27,14 +26,14 @@ def rolling_sum(
 
 
 def rolling_min_max(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, low: str, high: str, hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, low: str, high: str, hot_rows: int | None = None
 ) -> DataFrame:
     values = {low: ordered.smallest(value), high: ordered.largest(value)}
     return ordered.scan(df, keys, order, values, hot_rows=hot_rows)
 
 
 def rolling_average(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str, hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str, hot_rows: int | None = None
 ) -> DataFrame:
     """Running mean as sum over count; ``value`` should be a decimal or whole number, so that the sum is exact."""
     values = {"_sum": ordered.total(value), "_count": ordered.total(F.when(value.isNotNull(), 1).otherwise(0))}
@@ -52,7 +51,7 @@ def rolling_extreme(
     highest: bool = True,
     last_on_ties: bool = True,
     prefix: str = "best_",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """The whole row with the highest (lowest) value so far; on ties the first or the last such row.
 
@@ -100,7 +99,7 @@ def rolling_distinct(
     order: Sequence[str],
     name: str,
     axis: str | None = None,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Exact number of distinct values seen so far over all rows.
 
@@ -121,7 +120,7 @@ def rolling_distinct(
 
 
 def running_row_count(
-    df: DataFrame, order: Sequence[str], name: str, axis: str | None = None, hot_rows: int = HOT_ROWS
+    df: DataFrame, order: Sequence[str], name: str, axis: str | None = None, hot_rows: int | None = None
 ) -> DataFrame:
     """Number of rows seen so far over all rows."""
     return ordered.scan(df, [], order, {name: ordered.row_count()}, axis=axis, hot_rows=hot_rows)

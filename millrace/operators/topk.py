@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators import ordered
-from millrace.operators.ordered import CHUNK, HOT_ROWS
+from millrace.operators.ordered import CHUNK
 
 
 def top_rows(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], k: int = 3) -> DataFrame:
@@ -27,7 +27,7 @@ def rolling_top3(
     value: str,
     name: str,
     axis: str | None = None,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """After every row the three highest values of the key so far, as an array in descending order.
 

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators import ordered
-from millrace.operators.ordered import HOT_ROWS
 
 # Format of window bounds in the marts (fixed value).
 BOUND_FORMAT = "yyyy-MM-dd HH:mm:ss"
@@ -75,7 +74,7 @@ def session_window(
     keys: Sequence[str],
     aggregates: Aggregates,
     order: Sequence[str] | None = None,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Sessions per key. ``gap`` is an interval string, or a string column for a gap of each row's own.
 
@@ -118,7 +117,7 @@ def global_window(
     order: Sequence[str],
     values: Mapping[str, ordered.Running],
     every: int | None = None,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """One endless window per key: fires after each ``every`` rows over all rows so far; never without a trigger."""
     fired = ordered.scan(df, keys, order, {"row_no": ordered.row_count(), **values}, hot_rows=hot_rows)
@@ -131,7 +130,7 @@ def count_tumbling(
     order: Sequence[str],
     size: int,
     aggregates: Aggregates,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Windows of ``size`` rows per key; an unfinished last window is not emitted."""
     numbered = ordered.scan(df, keys, order, {"_row_no": ordered.row_count()}, hot_rows=hot_rows)
@@ -147,7 +146,7 @@ def count_sliding(
     size: int,
     slide: int,
     aggregates: Aggregates,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Every ``slide`` rows of a key, the aggregates over its last ``size`` rows (fewer at the start)."""
     cuts = ordered.find_cuts(df, keys, order[0], hot_rows)

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators import exchange, patterns
-from millrace.operators.ordered import HOT_ROWS
 from millrace.schemas import APP_LOG, BOOTSTRAP_INSERT, CHANGE, INSERT, SINK_DIMENSION, SINK_FACT
 
 # Routing tables up to this many rows are broadcast.
@@ -28,7 +27,7 @@ def parsed_once(record: Column) -> Column:
     return F.inline(F.array(record))
 
 
-def repair_new_visitors(log: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def repair_new_visitors(log: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """A visitor is new once: later rows of a device that still say so are corrected."""
     flat = log.withColumn("_mid", F.col("common.mid"))
     fixed = patterns.repair_new_flag(flat, "_mid", ["ts", "seq"], F.col("common.is_new"), "_is_new", hot_rows)

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from millrace.functions import times
 from millrace.operators import joins, patterns
-from millrace.operators.ordered import HOT_ROWS
 from millrace.schemas import BOUNCE_TIMEOUT_MS, HOUR_FORMAT, ORDER_DETAIL_SECONDS, PAYMENT_MINUTES
 
 
@@ -26,7 +25,7 @@ def unique_visits(pages: DataFrame) -> DataFrame:
 
 
 def user_jumps(
-    pages: DataFrame, timeout_ms: int = BOUNCE_TIMEOUT_MS, close_open: bool = True, hot_rows: int = HOT_ROWS
+    pages: DataFrame, timeout_ms: int = BOUNCE_TIMEOUT_MS, close_open: bool = True, hot_rows: int | None = None
 ) -> DataFrame:
     """Entry pages after which a device opens no other page in time."""
     flat = pages.withColumn("_mid", F.col("common.mid")).withColumn("_time", times.millis_to_time(F.col("ts")))

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from millrace.functions import keywords, times
 from millrace.operators import joins, ordered, patterns, windows
-from millrace.operators.ordered import HOT_ROWS
 from millrace.operators.rows import union_all
 from millrace.plans import dwd
 from millrace.plans.dwm import is_entry
@@ -65,7 +64,7 @@ def visitor_facts(pages: DataFrame, unique_visits: DataFrame, jumps: DataFrame)
 
 
 def visitor_facts_from_log(
-    log: DataFrame, timeout_ms: int = BOUNCE_TIMEOUT_MS, hot_rows: int = HOT_ROWS
+    log: DataFrame, timeout_ms: int = BOUNCE_TIMEOUT_MS, hot_rows: int | None = None
 ) -> DataFrame:
     """The same facts straight from the parsed log, for batch runs: one sort per device serves all of them.
 
