@@ -58,6 +58,11 @@ def _text(column: Column) -> Column:
 
 def app_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as JSON lines with their sequence number."""
+    return as_app_log(spread(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value", "props"))
+
+
+def as_app_log(events: DataFrame) -> DataFrame:
+    """The same for a frame of events, which may be a stream."""
     kind, user, number = F.col("event_type"), F.col("user_id"), F.col("event_id")
     none = F.lit(None).cast("string")
     common = F.struct(
@@ -89,7 +94,6 @@ def app_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kind == "error", displays).alias("displays"),
         F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"),
     )
-    events = spread(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value", "props")
     return events.select(number.alias("seq"), F.to_json(log).alias("value"))
 
 

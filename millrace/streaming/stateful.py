@@ -82,7 +82,7 @@ class RollingAggregates(Ordered):
 
 
 class TopThree(Ordered):
-    """After every row the three highest values so far, descending, as text."""
+    """After every row the three highest values so far, descending, as text with two decimals."""
 
     SCHEMA = "key string, seq long, best string"
 
@@ -97,7 +97,7 @@ class TopThree(Ordered):
         held = [v[0] for v in self.best.get()] if self.best.exists() else []
         best = sorted([*held, float(getattr(row, self.value))], reverse=True)[:3]
         self.best.put([(v,) for v in best])
-        return [(str(key[0]), int(getattr(row, self.seq)), ",".join(f"{v:g}" for v in best))]
+        return [(str(key[0]), int(getattr(row, self.seq)), ",".join(f"{v:.2f}" for v in best))]
 
 
 class DistinctValues(Ordered):

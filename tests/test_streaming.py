@@ -264,7 +264,10 @@ def test_top_three_distinct_jumps_and_count_windows(spark, tmp_path):
     rows = [("s", T0 + i, v) for i, v in enumerate([10, 40, 20, 30, 5, 40, 41])]
     stream = keyed_stream(spark, tmp_path, rows, "many", files=3)
     top = drain(stateful.run_keyed(stream, "key", stateful.TopThree(), stateful.TopThree.SCHEMA), tmp_path, "top")
-    assert [r[2] for r in top] == ["10", "40,10", "40,20,10", "40,30,20", "40,30,20", "40,40,30", "41,40,40"]
+    assert [r[2] for r in top] == [
+        ",".join(f"{v}.00" for v in best)
+        for best in ([10], [40, 10], [40, 20, 10], [40, 30, 20], [40, 30, 20], [40, 40, 30], [41, 40, 40])
+    ]
     unlike = drain(
         stateful.run_keyed(stream, "key", stateful.DistinctValues(), stateful.DistinctValues.SCHEMA), tmp_path, "unlike"
     )
