@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from datetime import timedelta
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,9 +41,7 @@ def interval_join(
     near = left.withColumn("_since", _place(left_ts, NO_LEFT_TIME)).withColumn("_left_slot", F.explode(reach))
     placed = right.withColumn("_at", _place(right_ts, NO_RIGHT_TIME))
     placed = placed.withColumn("_right_slot", F.coalesce(_slot(at, slot), F.lit(NO_RIGHT_TIME)))
-    match = F.col("_left_slot") == F.col("_right_slot")
-    for left_key, right_key in on.items():
-        match = match & (F.col(left_key) == F.col(right_key))
+    match = (F.col("_left_slot") == F.col("_right_slot")) & _equal(on)
     if left.isStreaming or right.isStreaming:
         # Bounds on the watermarked columns tell the state store which rows can go.
         match = match & (F.col(right_ts) >= F.col(left_ts) + F.lit(lower))
@@ -98,9 +98,25 @@ def reconcile(left: DataFrame, right: DataFrame, on: Mapping[str, str]) -> DataF
 
     Keys are unique within a side. A null key matches nothing.
     """
-    match = F.lit(True)
-    for left_key, right_key in on.items():
-        match = match & (F.col(left_key) == F.col(right_key))
+    return _reconciled(left, right, _equal(on))
+
+
+def reconcile_in_time(
+    left: DataFrame, right: DataFrame, on: Mapping[str, str], left_ts: str, right_ts: str, within: timedelta
+) -> DataFrame:
+    """The same for records at most ``within`` apart (also streaming, with a watermark on both times).
+
+    On streams a record without a partner is reported once the watermarks rule one out.
+    """
+    near = F.col(right_ts) >= F.col(left_ts) - F.lit(within)
+    return _reconciled(left, right, _equal(on) & near & (F.col(right_ts) <= F.col(left_ts) + F.lit(within)))
+
+
+def _equal(on: Mapping[str, str]) -> Column:
+    return reduce(and_, [F.col(left_key) == F.col(right_key) for left_key, right_key in on.items()])
+
+
+def _reconciled(left: DataFrame, right: DataFrame, match: Column) -> DataFrame:
     a, b = left.withColumn("_left", F.lit(1)), right.withColumn("_right", F.lit(1))
     status = F.when(F.col("_right").isNull(), "left_only").when(F.col("_left").isNull(), "right_only").otherwise("matched")
     return a.join(b, match, "full_outer").withColumn("status", status).drop("_left", "_right")
@@ -116,9 +132,7 @@ def lookup(df: DataFrame, dim: DataFrame, on: Mapping[str, str], columns: Mappin
         *[F.col(key).alias(f"_dim_{key}") for key in dict.fromkeys(on.values())],
         *[F.col(c).alias(name) for c, name in columns.items()],
     )
-    match = F.lit(True)
-    for fact_key, dim_key in on.items():
-        match = match & (F.col(fact_key) == F.col(f"_dim_{dim_key}"))
+    match = _equal({fact_key: f"_dim_{dim_key}" for fact_key, dim_key in on.items()})
     return df.join(side, match, "left").drop(*[f"_dim_{key}" for key in on.values()])
 
 

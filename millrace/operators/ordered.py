@@ -253,7 +253,7 @@ def find_cuts(df: DataFrame, keys: Sequence[str], axis: str, hot_rows: int | Non
         return None
     groups = df.select(group_number(keys).alias(GROUP), position)
     sketch = groups.agg(F.expr(f"approx_top_k({GROUP}, {MAX_HOT_KEYS}, {10 * MAX_HOT_KEYS})").alias("top")).first()
-    hot = [(item["item"],) for item in sketch.top if item["count"] > hot_rows]
+    hot = [(item["item"],) for item in sketch.top or [] if item["count"] > hot_rows]
     if not hot:
         return None
     measured = (

@@ -90,6 +90,11 @@ def stream_interval_join(spark: SparkSession, sf: str) -> DataFrame:
     return replay.drain(joined.select("o_orderkey", "l_linenumber", "l_partkey"))
 
 
+@query("SELECT count(*) AS seen FROM events")
+def stream_row_count(spark: SparkSession, sf: str) -> DataFrame:
+    return replay.drain(event_rows(spark, sf).groupBy().agg(F.count("*").alias("seen")), "update")
+
+
 @query("SELECT DISTINCT CAST(user_id AS VARCHAR) AS key, event_type FROM events")
 def stream_distinct(spark: SparkSession, sf: str) -> DataFrame:
     rows = event_rows(spark, sf).withWatermark("event_time", "60 days")

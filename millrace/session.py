@@ -14,6 +14,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": TIME_ZONE,
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # A skewed join is split even if its result has to be shuffled once more for that.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Sessions are merged inside each map task before they are shuffled.
     "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
 }

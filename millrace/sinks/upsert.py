@@ -57,17 +57,20 @@ class KeyedTable:
         return self._newest().drop("kind", "batch")
 
     def compact(self) -> None:
-        """Fold all deltas stored so far into a new base."""
-        newest = self._files().agg(F.max("batch")).first()[0]
-        if newest is not None:
+        """Fold all deltas stored so far into a new base, if there are any since the last one."""
+        base, newest = self._last(BASE), self._last(DELTA)
+        if newest is not None and (base is None or newest > base):
             self._store(self._newest().drop("kind", "batch"), BASE, newest)
 
+    def _last(self, kind: str) -> int | None:
+        return self._files().filter(F.col("kind") == kind).agg(F.max("batch")).first()[0]
+
     def _files(self) -> DataFrame:
         return self.spark.read.schema(f"{self.schema}, kind string, batch long").parquet(self.path)
 
     def _newest(self) -> DataFrame:
         files = self._files()
-        base = files.filter(F.col("kind") == BASE).agg(F.max("batch")).first()[0]
+        base = self._last(BASE)
         if base is None:
             current = files
         else:

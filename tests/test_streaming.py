@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from frames import ROWS_B
 from millrace import schemas
+from millrace.operators import joins, windows
 from millrace.plans import dwd, dwm, dws
 from millrace.sinks import dimensions, marts, topics as topic_sink
 from millrace.streaming import jobs, stateful
@@ -349,3 +350,28 @@ def test_unique_visits_by_event_time(spark, tmp_path):
     assert sorted((r[0], str(r[1])) for r in out) == [
         ("1", "2024-01-01"), ("1", "2024-01-02"), ("2", "2024-01-01"), ("3", "2024-01-01"), ("4", "2024-01-02"),
     ]
+
+
+def test_reconcile_streams(spark, tmp_path):
+    def feed(rows, name):
+        path = str(tmp_path / name)
+        for part in rows:
+            spark.createDataFrame(part, f"{name}_tx string, {name}_ms long").coalesce(1).write.mode("append").parquet(path)
+        reader = spark.readStream.schema(f"{name}_tx string, {name}_ms long").option("maxFilesPerTrigger", 1)
+        timed = reader.parquet(path).withColumn(f"{name}_ts", F.timestamp_millis(f"{name}_ms"))
+        return timed.withWatermark(f"{name}_ts", "0 seconds")
+
+    pay = feed([[("t1", T0), ("t2", T0 + 1000)], [("t9", T0 + 600_000)]], "pay")
+    receipt = feed([[("t1", T0 + 5000), ("t3", T0)], [("t9", T0 + 600_000)]], "rec")
+    both = joins.reconcile_in_time(pay, receipt, {"pay_tx": "rec_tx"}, "pay_ts", "rec_ts", timedelta(seconds=60))
+    out = drain(both.select("status", F.coalesce("pay_tx", "rec_tx").alias("tx")), tmp_path, "reconciled")
+    assert out == [("left_only", "t2"), ("matched", "t1"), ("matched", "t9"), ("right_only", "t3")]
+
+
+def test_session_windows_on_a_stream(spark, tmp_path):
+    rows = [("a", T0, 1), ("a", T0 + 10_000, 2), ("a", T0 + 25_000, 3), ("b", T0 + 900_000, 1)]
+    stream = keyed_stream(spark, tmp_path, rows, "sessions").withWatermark("event_time", "0 seconds")
+    gap = F.when(F.col("value") == 2, "14 seconds").otherwise("10 seconds")
+    out = windows.session_window(stream, "event_time", gap, ["key"], {"n": F.count(F.lit(1))})
+    got = drain(out.select("key", F.unix_millis("session_start"), F.unix_millis("session_end"), "n"), tmp_path, "sessions")
+    assert got == [("a", T0, T0 + 24_000, 2), ("a", T0 + 25_000, T0 + 35_000, 1)]
