@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +34,8 @@ MAX_HOT_KEYS = 5_000
 BROADCAST_ROWS = 100_000
 
 GROUP, CHUNK = "_group", "_chunk"
+# Chunk of rows whose axis is null: before all others, as in the order.
+NULL_CHUNK = -(2**62)
 
 # Asks ``scan`` to look for hot keys itself.
 SEARCH = "search"
@@ -197,11 +199,11 @@ class Cuts:
         position = axis_number(df, self.axis)
         if not self.keys:
             (whole,) = self.hot
-            return df.withColumn(CHUNK, F.coalesce(_chunk_of(position, F.lit(whole.low), F.lit(whole.width)), F.lit(-1)))
+            return df.withColumn(CHUNK, _chunk_of(position, F.lit(whole.low), F.lit(whole.width)))
         table = df.sparkSession.createDataFrame(
             [(g.group, g.low, g.width) for g in self.hot], f"{GROUP} long, _low long, _width long"
         )
-        chunk = F.coalesce(_chunk_of(position, F.col("_low"), F.col("_width")), F.lit(-1))
+        chunk = _chunk_of(position, F.col("_low"), F.col("_width"))
         return (
             df.withColumn(GROUP, group_number(self.keys))
             # At most MAX_HOT_KEYS rows.
@@ -212,7 +214,8 @@ class Cuts:
 
 
 def _chunk_of(position: Column, low: Column, width: Column) -> Column:
-    return F.floor((position - low) / width).cast("long")
+    """Rows outside the measured extent get chunks below and above it, so an extent may come from a sample."""
+    return F.coalesce(F.floor((position - low) / width).cast("long"), F.lit(NULL_CHUNK))
 
 
 def group_number(keys: Sequence[str]) -> Column:
@@ -236,6 +239,10 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def session_hot_rows(spark: SparkSession) -> int:
+    return int(spark.conf.get(HOT_ROWS_SETTING, str(HOT_ROWS)))
+
+
 def find_cuts(df: DataFrame, keys: Sequence[str], axis: str, hot_rows: int | None = None) -> Cuts | None:
     """Look for keys with more than ``hot_rows`` rows; None when every key fits one task.
 
@@ -243,7 +250,7 @@ def find_cuts(df: DataFrame, keys: Sequence[str], axis: str, hot_rows: int | Non
     frequent-items sketch (no shuffle but that of the sketch), and a second one measures the keys it named.
     Without keys all rows are one group, which is always cut. ``hot_rows`` defaults to the session's setting.
     """
-    hot_rows = hot_rows or int(df.sparkSession.conf.get(HOT_ROWS_SETTING, str(HOT_ROWS)))
+    hot_rows = hot_rows or session_hot_rows(df.sparkSession)
     position = axis_number(df, axis).alias("p")
     if not keys:
         row = df.agg(F.count(F.lit(1)).alias("n"), F.min(position).alias("lo"), F.max(position).alias("hi")).first()

@@ -99,12 +99,18 @@ def bounces(
 
 
 def repair_new_flag(
-    df: DataFrame, key: str, order: Sequence[str], flag: Column, name: str, hot_rows: int | None = None
+    df: DataFrame,
+    key: str,
+    order: Sequence[str],
+    flag: Column,
+    name: str,
+    hot_rows: int | None = None,
+    cuts: ordered.Cuts | None | str = ordered.SEARCH,
 ) -> DataFrame:
     """Only the first row a key flags as new ('1') stays new, later ones become '0'; other rows pass unchanged."""
     marked = df.withColumn("_flag", flag)
     news = F.when(F.col("_flag") == "1", 1).otherwise(0)
-    seen = ordered.scan(marked, [key], order, {"_news": ordered.total(news)}, hot_rows=hot_rows)
+    seen = ordered.scan(marked, [key], order, {"_news": ordered.total(news)}, hot_rows=hot_rows, cuts=cuts)
     repaired = F.when((F.col("_flag") == "1") & (F.col("_news") > 1), "0").otherwise(F.col("_flag"))
     return seen.withColumn("_repaired", repaired).drop("_flag", "_news").withColumnRenamed("_repaired", name)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators import exchange, patterns
+from millrace.operators import exchange, ordered, patterns
 from millrace.schemas import APP_LOG, BOOTSTRAP_INSERT, CHANGE, INSERT, SINK_DIMENSION, SINK_FACT
 
 # Routing tables up to this many rows are broadcast.
@@ -27,10 +27,34 @@ def parsed_once(record: Column) -> Column:
     return F.inline(F.array(record))
 
 
-def repair_new_visitors(log: DataFrame, hot_rows: int | None = None) -> DataFrame:
-    """A visitor is new once: later rows of a device that still say so are corrected."""
+# Devices of a log larger than this are counted on a sample of its rows.
+SAMPLE_BYTES = 10 * 1024**3
+SAMPLE_SHARE = 0.01
+
+
+def device_cuts(raw: DataFrame, hot_rows: int | None = None) -> ordered.Cuts | None:
+    """Cuts for the hot devices of a raw log, found without parsing it.
+
+    Only two fields are read from the text. The sample of a large log only steers where devices are cut; all rows are
+    processed, and results do not depend on the cuts.
+    """
+    share = SAMPLE_SHARE if ordered.estimated_bytes(raw) > SAMPLE_BYTES else 1.0
+    rows = raw.sample(share, seed=7) if share < 1 else raw
+    light = rows.select(
+        F.get_json_object("value", "$.common.mid").alias("_mid"),
+        F.get_json_object("value", "$.ts").try_cast("long").alias("ts"),
+    )
+    most = hot_rows or ordered.session_hot_rows(raw.sparkSession)
+    return ordered.find_cuts(light, ["_mid"], "ts", max(1, int(most * share)))
+
+
+def repair_new_visitors(log: DataFrame, cuts: ordered.Cuts | None | str = ordered.SEARCH) -> DataFrame:
+    """A visitor is new once: later rows of a device that still say so are corrected.
+
+    ``cuts`` may come from ``device_cuts``.
+    """
     flat = log.withColumn("_mid", F.col("common.mid"))
-    fixed = patterns.repair_new_flag(flat, "_mid", ["ts", "seq"], F.col("common.is_new"), "_is_new", hot_rows)
+    fixed = patterns.repair_new_flag(flat, "_mid", ["ts", "seq"], F.col("common.is_new"), "_is_new", cuts=cuts)
     return fixed.withColumn("common", F.col("common").withField("is_new", F.col("_is_new"))).drop("_mid", "_is_new")
 
 

@@ -64,12 +64,15 @@ def visitor_facts(pages: DataFrame, unique_visits: DataFrame, jumps: DataFrame)
 
 
 def visitor_facts_from_log(
-    log: DataFrame, timeout_ms: int = BOUNCE_TIMEOUT_MS, hot_rows: int | None = None
+    log: DataFrame,
+    timeout_ms: int = BOUNCE_TIMEOUT_MS,
+    cuts: ordered.Cuts | None | str = ordered.SEARCH,
 ) -> DataFrame:
     """The same facts straight from the parsed log, for batch runs: one sort per device serves all of them.
 
     Repairing the new flag, finding the first entry of a day and the next page all look along the rows of a device,
-    so they share one shuffle; the layered form writes each of them to a topic of its own.
+    so they share one shuffle; the layered form writes each of them to a topic of its own. ``cuts`` may come from
+    ``dwd.device_cuts``, which spares parsing the log to find its hot devices.
     """
     entry, page = is_entry(), F.col("page").isNotNull() & ~dwd.has_start()
     time = times.millis_to_time(F.col("ts"))
@@ -95,7 +98,7 @@ def visitor_facts_from_log(
             "_last_day": ordered.largest(F.col("_entry_day"), before=True),
             "_next_at": ordered.following_known("_shown_at"),
         },
-        hot_rows=hot_rows,
+        cuts=cuts,
     ).filter("_page")
     entry = F.col("_entry")
     unseen = F.col("_last_day").isNull() | (F.col("_last_day") < F.col("_entry_day"))

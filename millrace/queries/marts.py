@@ -46,8 +46,9 @@ VISITORS = f"""
 
 @query(f"WITH {VISITORS} SELECT * FROM mart")
 def visitor_stats(spark: SparkSession, sf: str) -> DataFrame:
-    log = dwd.parse_log(star_views.app_log(spark, sf))
-    return dws.visitor_stats(dws.visitor_facts_from_log(log, BOUNCE_HOURS_MS), "1 day", version())
+    raw = star_views.app_log(spark, sf)
+    facts = dws.visitor_facts_from_log(dwd.parse_log(raw), BOUNCE_HOURS_MS, dwd.device_cuts(raw))
+    return dws.visitor_stats(facts, "1 day", version())
 
 
 @query(f"WITH {VISITORS} SELECT * FROM mart")

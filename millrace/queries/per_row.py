@@ -246,13 +246,15 @@ LOG = """
 
 
 def repaired_log(spark: SparkSession, sf: str) -> DataFrame:
-    return dwd.repair_new_visitors(dwd.parse_log(star_views.app_log(spark, sf)))
+    raw = star_views.app_log(spark, sf)
+    return dwd.repair_new_visitors(dwd.parse_log(raw), dwd.device_cuts(raw))
 
 
 @query(f"WITH {LOG} SELECT seq, mid, ms, flagged::VARCHAR AS was_new, is_new FROM fixed")
 def new_user_fix(spark: SparkSession, sf: str) -> DataFrame:
-    log = dwd.parse_log(star_views.app_log(spark, sf)).withColumn("was_new", F.col("common.is_new"))
-    return dwd.repair_new_visitors(log).select(
+    raw = star_views.app_log(spark, sf)
+    log = dwd.parse_log(raw).withColumn("was_new", F.col("common.is_new"))
+    return dwd.repair_new_visitors(log, dwd.device_cuts(raw)).select(
         "seq", F.col("common.mid").alias("mid"), F.col("ts").alias("ms"), "was_new", F.col("common.is_new").alias("is_new")
     )
 

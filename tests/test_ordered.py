@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from frames import EVENT, collected, skewed
 from millrace.operators import ordered, patterns, rolling, topk, windows
+from millrace.plans import dwd
 
 HOUR = timedelta(hours=1)
 ORDER = ["ts", "seq"]
@@ -167,3 +168,28 @@ def test_cut_plan_equals_plain_plan(events, case):
     assert "_chunk" in cut._jdf.queryExecution().toString()
     assert plain.columns == cut.columns
     assert collected(plain) == collected(cut) and plain.count() > 0
+
+
+def test_cuts_of_a_sample_fit_all_rows(events, monkeypatch):
+    """An extent measured on some rows leaves others outside of it, in chunks below and above."""
+    some = events.filter("seq between 100 and 200")
+    cuts = ordered.find_cuts(some, ["key"], "ts", hot_rows=20)
+    assert cuts is not None
+    out = ordered.scan(events, ["key"], ORDER, values(), cuts=cuts)
+    assert by_seq(map(tuple, out.collect())) == by_seq(brute(skewed()))
+
+
+def test_device_cuts_from_a_sample(spark, monkeypatch):
+    line = '{"common":{"mid":"%s"},"ts":%d}'
+    rows = [(i, line % ("hot" if i % 2 else i, i)) for i in range(20_000)] + [(-1, "no json")]
+    raw = spark.createDataFrame(rows, "seq long, value string")
+    monkeypatch.setattr(dwd, "SAMPLE_BYTES", 0)
+    cuts = dwd.device_cuts(raw, hot_rows=1000)
+    assert len(cuts.hot) == 1 and 20 <= cuts.hot[0].chunks <= 60
+
+
+def test_rows_without_a_time_come_first(spark):
+    rows = [("k", None, 0, 7), ("k", None, 1, 8), *[("k", i, i, i) for i in range(2, 60)]]
+    df = spark.createDataFrame(rows, "key string, place long, seq long, level int")
+    out = ordered.scan(df, ["key"], ["place", "seq"], {"n": ordered.row_count()}, hot_rows=4)
+    assert [r.n for r in out.orderBy("seq").collect()] == list(range(1, 61))
