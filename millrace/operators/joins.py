@@ -154,7 +154,7 @@ def switch(
     rows = data.withColumn(name, F.lit(None).cast(control.schema[value].dataType)).withColumn("_data", F.lit(1))
     merged = rows.unionByName(marks, allowMissingColumns=True)
     seen = ordered.scan(
-        merged, [], [ts, "_data", *order], {"_seen": ordered.last_known(F.col(name))}, axis=ts, hot_rows=hot_rows
+        merged, [], [ts, "_data", *order], {"_seen": ordered.last_known(F.col(name))}, hot_rows=hot_rows
     )
     return seen.filter("_data = 1").withColumn(name, F.col("_seen")).drop("_data", "_seen")
 

@@ -4,8 +4,9 @@ A plain ``Window.partitionBy(key).orderBy(...)`` sorts one key in one task. That
 fits a task, and it is the plan used here then. When some keys are larger than ``hot_rows`` their rows are cut into
 chunks along the order:
 
-1. each chunk is evaluated as a window of its own (one shuffle on key and chunk);
-2. each chunk of a hot key is summed up in one row (partial aggregation, no sort);
+1. each chunk is evaluated as a window of its own (one shuffle on key and chunk), and chunks in which rows crowd are cut
+   again until they are small;
+2. each chunk of a hot key is summed up in one row (partial aggregation);
 3. the summaries, one row per chunk, are carried forward and joined back.
 
 The cut points are numbers fixed before the plan is built, so a recomputed task always sees the same chunks, and the
@@ -15,9 +16,9 @@ result does not depend on where the cuts are.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,16 +27,20 @@ HOT_ROWS = 2_000_000
 HOT_ROWS_SETTING = "spark.millrace.hotRows"
 # Assumed width of a row when only the size of the input is known.
 ROW_BYTES = 32
-# Cuts are equally wide, rows are not equally dense: cut finer than the average asks for.
+# Cells are equally wide, rows are not equally dense: cut finer than the average asks for.
 OVERSPLIT = 4
 # Hot keys looked for; the sketch tracks ten times as many candidates.
 MAX_HOT_KEYS = 5_000
 # Carry tables up to this many rows are broadcast, larger ones are shuffled.
 BROADCAST_ROWS = 100_000
 
+# At most this many chunks are cut again in a level, and at most so many levels.
+MAX_HEAVY_CHUNKS = 100_000
+MAX_LEVELS = 8
+
 GROUP, CHUNK = "_group", "_chunk"
-# Chunk of rows whose axis is null: before all others, as in the order.
-NULL_CHUNK = -(2**62)
+# Place of rows whose axis is null: before all others, as in the order.
+NULL_PLACE = -(2**62)
 
 # Asks ``scan`` to look for hot keys itself.
 SEARCH = "search"
@@ -174,48 +179,85 @@ def following_known(name: str) -> Running:
 
 @dataclass(frozen=True)
 class HotGroup:
-    """Extent of one hot key along the axis and the width of its chunks."""
+    """Extent of one hot key along the axis, cut into cells of equal width."""
+
+    group: int
+    low: int
+    width: int
+    cells: int
+
+
+@dataclass(frozen=True)
+class HeavyChunk:
+    """A chunk with too many rows for one task, cut into parts.
+
+    Along the first axis, or, when all of its rows share one place ``at`` there, along the second.
+    """
 
     group: int
+    chunk: tuple[int, ...]
+    at: int | None
     low: int
     width: int
-    chunks: int
+    parts: int
 
 
 @dataclass(frozen=True)
 class Cuts:
-    """Chunks of the hot keys; keys not listed stay whole."""
+    """Chunks of the hot keys. Keys not listed stay whole.
+
+    A chunk is an array: the cell of the key, then, level by level, the part of the chunk so far where that was too
+    heavy, else 0. ``axes`` are one or two leading columns of the order. Any cuts are valid for any rows, since a chunk
+    only depends on the place of a row and never falls along the order.
+    """
 
     keys: tuple[str, ...]
-    axis: str
+    axes: tuple[str, ...]
     hot: tuple[HotGroup, ...]
+    levels: tuple[tuple[HeavyChunk, ...], ...] = ()
 
     @property
     def chunks(self) -> int:
-        return sum(group.chunks for group in self.hot)
+        return sum(g.cells for g in self.hot) + sum(c.parts for level in self.levels for c in level)
 
     def assign(self, df: DataFrame) -> DataFrame:
-        """Add the chunk number; rows whose axis is null come first, as they do in the order."""
-        position = axis_number(df, self.axis)
+        """Add the chunk; ``_width`` is null for keys that stay whole, ``_part_width`` outside the last level's chunks."""
+        spark = df.sparkSession
+        first, second = axis_number(df, self.axes[0]), axis_number(df, self.axes[-1])
         if not self.keys:
             (whole,) = self.hot
-            return df.withColumn(CHUNK, _chunk_of(position, F.lit(whole.low), F.lit(whole.width)))
-        table = df.sparkSession.createDataFrame(
-            [(g.group, g.low, g.width) for g in self.hot], f"{GROUP} long, _low long, _width long"
-        )
-        chunk = _chunk_of(position, F.col("_low"), F.col("_width"))
-        return (
-            df.withColumn(GROUP, group_number(self.keys))
+            out = df.withColumns({GROUP: F.lit(0), "_low": F.lit(whole.low), "_width": F.lit(whole.width)})
+        else:
+            groups = spark.createDataFrame(
+                [(g.group, g.low, g.width) for g in self.hot], f"{GROUP} long, _low long, _width long"
+            )
             # At most MAX_HOT_KEYS rows.
-            .join(F.broadcast(table), GROUP, "left")
-            .withColumn(CHUNK, F.when(F.col("_width").isNull(), F.lit(0)).otherwise(chunk))
-            .drop("_low")
-        )
-
-
-def _chunk_of(position: Column, low: Column, width: Column) -> Column:
-    """Rows outside the measured extent get chunks below and above it, so an extent may come from a sample."""
-    return F.coalesce(F.floor((position - low) / width).cast("long"), F.lit(NULL_CHUNK))
+            out = df.withColumn(GROUP, group_number(self.keys)).join(F.broadcast(groups), GROUP, "left")
+        cell = F.when(F.col("_width").isNull(), F.lit(0)).otherwise(_step(first, F.col("_low"), F.col("_width")))
+        out = out.withColumn(CHUNK, F.array(cell)).withColumn("_part_width", F.col("_width")).drop("_low")
+        for level in self.levels:
+            heavy = spark.createDataFrame(
+                [(c.group, list(c.chunk), c.at, c.low, c.width) for c in level],
+                "_g long, _c array<long>, _at long, _low long, _part_width long",
+            )
+            match = (F.col(GROUP) == F.col("_g")) & (F.col(CHUNK) == F.col("_c"))
+            # At most MAX_HEAVY_CHUNKS rows.
+            out = out.drop("_part_width").join(F.broadcast(heavy), match, "left")
+            low, width = F.col("_low"), F.col("_part_width")
+            part = (
+                F.when(width.isNull(), F.lit(0).cast("long"))
+                .when(F.col("_at").isNull(), _step(first, low, width))
+                .when(first < F.col("_at"), F.lit(NULL_PLACE))
+                .when(first > F.col("_at"), F.lit(-NULL_PLACE))
+                .otherwise(_step(second, low, width))
+            )
+            out = out.withColumn(CHUNK, F.concat(CHUNK, F.array(part))).drop("_g", "_c", "_at", "_low")
+        return out
+
+
+def _step(place: Column, low: Column, width: Column) -> Column:
+    """Places outside the measured extent get steps below and above it, so an extent may come from a sample."""
+    return F.coalesce(F.floor((place - low) / width).cast("long"), F.lit(NULL_PLACE))
 
 
 def group_number(keys: Sequence[str]) -> Column:
@@ -243,42 +285,86 @@ def session_hot_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(HOT_ROWS_SETTING, str(HOT_ROWS)))
 
 
-def find_cuts(df: DataFrame, keys: Sequence[str], axis: str, hot_rows: int | None = None) -> Cuts | None:
+def axes_of(df: DataFrame, order: Sequence[str]) -> tuple[str, ...]:
+    """The columns to cut along: the first of the order, and the second where it has numbers or times too."""
+    kinds = (T.TimestampType, T.TimestampNTZType, T.DateType, T.IntegralType)
+    usable = len(order) > 1 and isinstance(df.schema[order[1]].dataType, kinds)
+    return tuple(order[:2]) if usable else (order[0],)
+
+
+def find_cuts(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int | None = None) -> Cuts | None:
     """Look for keys with more than ``hot_rows`` rows; None when every key fits one task.
 
     Inputs small enough for one task are not looked at. Otherwise one pass over the key columns feeds a
-    frequent-items sketch (no shuffle but that of the sketch), and a second one measures the keys it named.
-    Without keys all rows are one group, which is always cut. ``hot_rows`` defaults to the session's setting.
+    frequent-items sketch (no shuffle but that of the sketch), a second one measures the keys it named, and further ones
+    look for chunks that are still too heavy: rows may crowd in a short time, even at one instant. Without keys all rows
+    are one group, which is always cut. ``hot_rows`` defaults to the session's setting.
     """
     hot_rows = hot_rows or session_hot_rows(df.sparkSession)
-    position = axis_number(df, axis).alias("p")
+    axes = axes_of(df, order)
+    place = axis_number(df, axes[0])
+    extent = [F.count(F.lit(1)).alias("n"), F.min("p").alias("lo"), F.max("p").alias("hi")]
     if not keys:
-        row = df.agg(F.count(F.lit(1)).alias("n"), F.min(position).alias("lo"), F.max(position).alias("hi")).first()
-        pieces = max(-(-OVERSPLIT * row.n // hot_rows), 2 * df.sparkSession.sparkContext.defaultParallelism)
-        return Cuts((), axis, (_hot_group(0, row.lo or 0, row.hi or 0, pieces),))
+        row = df.select(place.alias("p")).agg(*extent).first()
+        least = 2 * df.sparkSession.sparkContext.defaultParallelism
+        cuts = Cuts((), axes, (_hot_group(0, row, hot_rows, least),))
+        return _with_levels(df, cuts, row.n, hot_rows)
     if estimated_bytes(df) <= hot_rows * ROW_BYTES:
         return None
-    groups = df.select(group_number(keys).alias(GROUP), position)
+    groups = df.select(group_number(keys).alias(GROUP), place.alias("p"))
     sketch = groups.agg(F.expr(f"approx_top_k({GROUP}, {MAX_HOT_KEYS}, {10 * MAX_HOT_KEYS})").alias("top")).first()
     hot = [(item["item"],) for item in sketch.top or [] if item["count"] > hot_rows]
     if not hot:
         return None
-    measured = (
-        groups.join(F.broadcast(df.sparkSession.createDataFrame(hot, f"{GROUP} long")), GROUP)
-        .groupBy(GROUP)
-        .agg(F.count(F.lit(1)).alias("n"), F.min("p").alias("lo"), F.max("p").alias("hi"))
-        .collect()
-    )
-    return Cuts(
-        tuple(keys),
-        axis,
-        tuple(_hot_group(r[GROUP], r.lo or 0, r.hi or 0, -(-OVERSPLIT * r.n // hot_rows)) for r in measured),
-    )
-
-
-def _hot_group(group: int, low: int, high: int, pieces: int) -> HotGroup:
-    width = max(1, -(-(high - low + 1) // pieces))
-    return HotGroup(group, low, width, min(pieces, high - low + 1))
+    named = groups.join(F.broadcast(df.sparkSession.createDataFrame(hot, f"{GROUP} long")), GROUP)
+    measured = named.groupBy(GROUP).agg(*extent).collect()
+    cuts = Cuts(tuple(keys), axes, tuple(_hot_group(r[GROUP], r, hot_rows, 1) for r in measured))
+    return _with_levels(df, cuts, sum(r.n for r in measured), hot_rows)
+
+
+def _pieces(rows: int, hot_rows: int) -> int:
+    return -(-OVERSPLIT * rows // hot_rows)
+
+
+def _width(low: int, high: int, pieces: int) -> int:
+    return max(1, -(-(high - low + 1) // max(pieces, 1)))
+
+
+def _hot_group(group: int, row: Row, hot_rows: int, least: int) -> HotGroup:
+    low, high = row.lo or 0, row.hi or 0
+    pieces = max(_pieces(row.n, hot_rows), least)
+    return HotGroup(group, low, _width(low, high, pieces), min(pieces, high - low + 1))
+
+
+def _with_levels(df: DataFrame, cuts: Cuts, rows: int, hot_rows: int) -> Cuts:
+    """Cut chunks with more than ``hot_rows`` rows again, until none is left that can be cut."""
+    most = max(hot_rows, rows // MAX_HEAVY_CHUNKS)
+    first, second = axis_number(df, cuts.axes[0]), axis_number(df, cuts.axes[-1])
+    while rows > hot_rows and len(cuts.levels) < MAX_LEVELS:
+        counted = (
+            cuts.assign(df)
+            .filter(F.col("_part_width").isNotNull())
+            .groupBy(GROUP, CHUNK)
+            .agg(
+                F.count(F.lit(1)).alias("n"),
+                F.min(first).alias("lo"),
+                F.max(first).alias("hi"),
+                F.min(second).alias("lo2"),
+                F.max(second).alias("hi2"),
+            )
+        )
+        level = []
+        for r in counted.filter(F.col("n") > most).collect():
+            crowded = r.lo == r.hi
+            low, high = (r.lo2, r.hi2) if crowded else (r.lo, r.hi)
+            if r.lo is not None and low != high:
+                pieces = _pieces(r.n, hot_rows)
+                at, width = r.lo if crowded else None, _width(low, high, pieces)
+                level.append(HeavyChunk(r[GROUP], tuple(r[CHUNK]), at, low, width, min(pieces, high - low + 1)))
+        if not level:
+            break
+        cuts = replace(cuts, levels=(*cuts.levels, tuple(level)))
+    return cuts
 
 
 # ---------------------------------------------------------------------------------------------------------------
@@ -292,18 +378,17 @@ def scan(
     order: Sequence[str],
     values: Mapping[str, Running],
     *,
-    axis: str | None = None,
     hot_rows: int | None = None,
     cuts: Cuts | None | str = SEARCH,
 ) -> DataFrame:
     """Add running values over the rows of each key, ordered ascending by ``order``.
 
-    ``order`` must be unique within a key. ``axis`` is the column hot keys are cut along; it must not fall while
-    the order rises, and defaults to the first order column. ``cuts`` hands over the outcome of ``find_cuts``.
+    ``order`` must be unique within a key and start with a number, a time or a date, along which hot keys are cut.
+    ``cuts`` hands over the outcome of ``find_cuts``.
     """
     keys, order = list(keys), list(order)
     if cuts == SEARCH:
-        cuts = find_cuts(df, keys, axis or order[0], hot_rows)
+        cuts = find_cuts(df, keys, order, hot_rows)
     if cuts is None:
         window = Window.partitionBy(*keys).orderBy(*order)
         return df.select("*", *[v.finish(v.local(window)).alias(name) for name, v in values.items()])

@@ -51,7 +51,7 @@ def rising_alerts(
     alerts unless a group starts within ``hold`` of its first rise.
     """
     keys = list(keys)
-    cuts = ordered.find_cuts(df, keys, ts, hot_rows)
+    cuts = ordered.find_cuts(df, keys, order, hot_rows)
     seen = ordered.scan(df, keys, order, {"_before": ordered.previous(F.col(level))}, cuts=cuts)
     zero = F.lit(0).cast(df.schema[level].dataType)
     marked = seen.withColumn("_rises", F.col(level) > F.coalesce("_before", zero))
@@ -61,7 +61,7 @@ def rising_alerts(
         F.min(F.when(F.col("_rises"), F.col(ts))).alias("first_rise"), F.min(ts).alias("_start")
     )
     # The same cuts, along the start of the groups.
-    moved = cuts and replace(cuts, axis="_start")
+    moved = cuts and replace(cuts, axes=("_start", "_group_no"))
     ended = ordered.scan(
         runs, keys, ["_start", "_group_no"], {"_next": ordered.following(F.col("_start"))}, cuts=moved
     )
@@ -87,7 +87,7 @@ def bounces(
     """
     flagged = df.withColumn("_entry", entry).withColumn("_follow_ts", F.when(follow, F.col(ts)))
     seen = ordered.scan(
-        flagged, keys, order, {"_next": ordered.following_known("_follow_ts")}, axis=ts, hot_rows=hot_rows
+        flagged, keys, order, {"_next": ordered.following_known("_follow_ts")}, hot_rows=hot_rows
     ).filter("_entry")
     waited = F.col(ts) + F.lit(timeout)
     if close_open:

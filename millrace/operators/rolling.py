@@ -98,7 +98,6 @@ def rolling_distinct(
     column: str,
     order: Sequence[str],
     name: str,
-    axis: str | None = None,
     hot_rows: int | None = None,
 ) -> DataFrame:
     """Exact number of distinct values seen so far over all rows.
@@ -114,13 +113,13 @@ def rolling_distinct(
     )
     merged = df.withColumn("_row", F.lit(1)).unionByName(firsts, allowMissingColumns=True)
     counted = ordered.scan(
-        merged, [], [*order, "_row"], {name: ordered.total(1 - F.col("_row"))}, axis=axis, hot_rows=hot_rows
+        merged, [], [*order, "_row"], {name: ordered.total(1 - F.col("_row"))}, hot_rows=hot_rows
     )
     return counted.filter("_row = 1").drop("_row").withColumn(name, F.col(name).cast("long"))
 
 
 def running_row_count(
-    df: DataFrame, order: Sequence[str], name: str, axis: str | None = None, hot_rows: int | None = None
+    df: DataFrame, order: Sequence[str], name: str, hot_rows: int | None = None
 ) -> DataFrame:
     """Number of rows seen so far over all rows."""
-    return ordered.scan(df, [], order, {name: ordered.row_count()}, axis=axis, hot_rows=hot_rows)
+    return ordered.scan(df, [], order, {name: ordered.row_count()}, hot_rows=hot_rows)

@@ -26,7 +26,6 @@ def rolling_top3(
     order: Sequence[str],
     value: str,
     name: str,
-    axis: str | None = None,
     hot_rows: int | None = None,
 ) -> DataFrame:
     """After every row the three highest values of the key so far, as an array in descending order.
@@ -35,7 +34,7 @@ def rolling_top3(
     what is driven out of the second competes for the third. Nulls are ignored.
     """
     keys, order = list(keys), list(order)
-    cuts = ordered.find_cuts(df, keys, axis or order[0], hot_rows)
+    cuts = ordered.find_cuts(df, keys, order, hot_rows)
     if cuts is None:
         return _cascade(df, Window.partitionBy(*keys).orderBy(*order), F.col(value), name)
 

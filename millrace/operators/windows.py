@@ -82,7 +82,7 @@ def session_window(
     ``ordered.scan`` (then ``order`` must be unique within a key); everything else uses Spark's session windows,
     merged in the map tasks first.
     """
-    cuts = None if df.isStreaming or not order else ordered.find_cuts(df, keys, ts, hot_rows)
+    cuts = None if df.isStreaming or not order else ordered.find_cuts(df, keys, order, hot_rows)
     if cuts is None:
         grouped = df.groupBy(*keys, F.session_window(ts, gap).alias("_session")).agg(*_named(aggregates))
         return grouped.select(
@@ -149,7 +149,7 @@ def count_sliding(
     hot_rows: int | None = None,
 ) -> DataFrame:
     """Every ``slide`` rows of a key, the aggregates over its last ``size`` rows (fewer at the start)."""
-    cuts = ordered.find_cuts(df, keys, order[0], hot_rows)
+    cuts = ordered.find_cuts(df, keys, order, hot_rows)
     if cuts is None:
         rows = Window.partitionBy(*keys).orderBy(*order)
         frame = rows.rowsBetween(-(size - 1), 0)

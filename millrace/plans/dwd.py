@@ -45,7 +45,7 @@ def device_cuts(raw: DataFrame, hot_rows: int | None = None) -> ordered.Cuts | N
         F.get_json_object("value", "$.ts").try_cast("long").alias("ts"),
     )
     most = hot_rows or ordered.session_hot_rows(raw.sparkSession)
-    return ordered.find_cuts(light, ["_mid"], "ts", max(1, int(most * share)))
+    return ordered.find_cuts(light, ["_mid"], ["ts"], max(1, int(most * share)))
 
 
 def repair_new_visitors(log: DataFrame, cuts: ordered.Cuts | None | str = ordered.SEARCH) -> DataFrame:

@@ -22,9 +22,9 @@ def events(spark):
 
 
 def test_cuts_only_where_a_key_is_hot(events):
-    assert ordered.find_cuts(events, ["key"], "ts") is None
-    cuts = ordered.find_cuts(events, ["key"], "ts", hot_rows=100)
-    assert len(cuts.hot) == 1 and cuts.hot[0].chunks >= 4
+    assert ordered.find_cuts(events, ["key"], ORDER) is None
+    cuts = ordered.find_cuts(events, ["key"], ORDER, hot_rows=100)
+    assert len(cuts.hot) == 1 and cuts.chunks >= 4
     spread = cuts.assign(events).filter("key = 'hot'").groupBy("_chunk").count().collect()
     assert len(spread) >= 4 and max(r["count"] for r in spread) <= 100
 
@@ -173,7 +173,7 @@ def test_cut_plan_equals_plain_plan(events, case):
 def test_cuts_of_a_sample_fit_all_rows(events, monkeypatch):
     """An extent measured on some rows leaves others outside of it, in chunks below and above."""
     some = events.filter("seq between 100 and 200")
-    cuts = ordered.find_cuts(some, ["key"], "ts", hot_rows=20)
+    cuts = ordered.find_cuts(some, ["key"], ORDER, hot_rows=20)
     assert cuts is not None
     out = ordered.scan(events, ["key"], ORDER, values(), cuts=cuts)
     assert by_seq(map(tuple, out.collect())) == by_seq(brute(skewed()))
@@ -185,7 +185,7 @@ def test_device_cuts_from_a_sample(spark, monkeypatch):
     raw = spark.createDataFrame(rows, "seq long, value string")
     monkeypatch.setattr(dwd, "SAMPLE_BYTES", 0)
     cuts = dwd.device_cuts(raw, hot_rows=1000)
-    assert len(cuts.hot) == 1 and 20 <= cuts.hot[0].chunks <= 60
+    assert len(cuts.hot) == 1 and 20 <= cuts.chunks <= 60
 
 
 def test_rows_without_a_time_come_first(spark):
@@ -193,3 +193,17 @@ def test_rows_without_a_time_come_first(spark):
     df = spark.createDataFrame(rows, "key string, place long, seq long, level int")
     out = ordered.scan(df, ["key"], ["place", "seq"], {"n": ordered.row_count()}, hot_rows=4)
     assert [r.n for r in out.orderBy("seq").collect()] == list(range(1, 61))
+
+
+@pytest.mark.parametrize("keys", [["key"], []])
+def test_crowded_times_are_cut_again(spark, keys):
+    """A third of the rows within a second of a year, another third at one instant."""
+    year = 365 * 24 * 3600 * 1_000_000
+    places = [i * year // 300 for i in range(300)] + [year // 2 + i for i in range(300)] + [year // 3] * 300
+    rows = [("k", place, seq, seq % 7) for seq, place in enumerate(places)]
+    df = spark.createDataFrame(rows, "key string, place long, seq long, level int").repartition(4)
+    cuts = ordered.find_cuts(df, keys, ["place", "seq"], hot_rows=50)
+    sizes = [r["count"] for r in cuts.assign(df).groupBy("_chunk").count().collect()]
+    assert max(sizes) <= 50 and sum(sizes) == 900 and {c.at for level in cuts.levels for c in level} == {None, year // 3}
+    out = ordered.scan(df, keys, ["place", "seq"], values(), cuts=cuts)
+    assert by_seq(map(tuple, out.collect())) == by_seq(brute(rows))
