@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import keywords
-from millrace.plans import dwd, dws, serving, star_views
-from millrace.plans import dwm
+from millrace.operators import windows
+from millrace.plans import dwd, dwm, dws, serving, star_views
 from millrace.plans.star_views import table
 from millrace.queries import query
 from millrace.queries.joined import ORDER_SQL, order_details, products
@@ -106,9 +106,9 @@ PRODUCTS = f"""
 """
 
 
-def product_mart(spark: SparkSession, sf: str) -> DataFrame:
+def product_facts(spark: SparkSession, sf: str) -> DataFrame:
     wide = order_details(spark, sf)
-    facts = dws.product_facts(
+    return dws.product_facts(
         dwd.page_log(dwd.parse_log(star_views.app_log(spark, sf))),
         star_views.product_marks(spark, sf, "view"),
         star_views.product_marks(spark, sf, "click"),
@@ -117,7 +117,11 @@ def product_mart(spark: SparkSession, sf: str) -> DataFrame:
         star_views.refund_info(spark, sf),
         star_views.comment_info(spark, sf),
     )
-    return dws.product_stats(facts, products(spark, sf), "1 day", version())
+
+
+def product_amounts(spark: SparkSession, sf: str) -> DataFrame:
+    """The mart without product names, which a sum of amounts has no use for."""
+    return windows.with_bounds(dws.product_measures(product_facts(spark, sf), "1 day"))
 
 
 @query(
@@ -132,7 +136,7 @@ def product_mart(spark: SparkSession, sf: str) -> DataFrame:
     """
 )
 def product_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return product_mart(spark, sf)
+    return dws.product_stats(product_facts(spark, sf), products(spark, sf), "1 day", version())
 
 
 @query(
@@ -143,7 +147,7 @@ def product_stats(spark: SparkSession, sf: str) -> DataFrame:
     """
 )
 def gmv_by_day(spark: SparkSession, sf: str) -> DataFrame:
-    return serving.gmv_by_day(product_mart(spark, sf))
+    return serving.gmv_by_day(product_amounts(spark, sf))
 
 
 @query(
@@ -153,7 +157,7 @@ def gmv_by_day(spark: SparkSession, sf: str) -> DataFrame:
     """
 )
 def gmv_of_day(spark: SparkSession, sf: str) -> DataFrame:
-    return serving.gmv(product_mart(spark, sf), 20240103)
+    return serving.gmv(product_amounts(spark, sf), 20240103)
 
 
 # -- provinces and keywords -----------------------------------------------------------------------------------
