@@ -24,12 +24,16 @@ from millrace.streaming import stateful
 
 Batch = Callable[[DataFrame, int], None]
 
+RAW_FEEDS = (schemas.ODS_LOG, schemas.ODS_CHANGES)
+
 
 @dataclass(frozen=True)
 class Warehouse:
     """Folders of a warehouse: ``root`` holds topics, dimensions and marts; ``checkpoints`` the progress of the jobs.
 
-    Both must be on storage every executor can reach. ``files_per_batch`` bounds a micro-batch.
+    Both must be on storage every executor can reach. ``files_per_batch`` bounds a micro-batch of the raw feeds. Topics
+    written by a job are read in whole batches, which appear in one rename: the files of a batch hold its rows in no
+    order of time, and a watermark taken after some of them would drop rows of the others.
     """
 
     spark: SparkSession
@@ -46,7 +50,8 @@ class Warehouse:
 
     def read(self, topic: str, streaming: bool = True) -> DataFrame:
         topic_source.ensure_folder(self.spark, self.topic_root, topic)
-        return topic_source.read_folder(self.spark, self.topic_root, topic, streaming, self.files_per_batch)
+        limit = self.files_per_batch if topic in RAW_FEEDS else None
+        return topic_source.read_folder(self.spark, self.topic_root, topic, streaming, limit)
 
     def write(self, df: DataFrame, topic: str, batch_id: int) -> None:
         topic_sink.append_folder(topic_sink.to_records(df, topic), self.topic_root, batch_id)
