@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from millrace.session import checkpoint_root, configure_streaming
 from millrace.sinks.upsert import latest_per_key
@@ -38,7 +39,23 @@ def drain(stream: DataFrame, mode: str = "append", keys: Sequence[str] = ()) ->
 
     spark.createDataFrame([], schema).write.mode("append").parquet(f"{run}/rows")
     writer = stream.writeStream.outputMode(mode).foreachBatch(each)
-    query = writer.option("checkpointLocation", f"{run}/progress").trigger(availableNow=True).start()
-    query.awaitTermination()
+    writer = writer.option("checkpointLocation", f"{run}/progress").trigger(availableNow=True)
+    _start(spark, writer).awaitTermination()
     rows = spark.read.schema(schema.add("_batch", "long")).parquet(f"{run}/rows")
     return (latest_per_key(rows, keys, ["_batch"]) if mode == "update" else rows).drop("_batch")
+
+
+def _start(spark: SparkSession, writer: DataStreamWriter) -> StreamingQuery:
+    """Start a query; on a local master its state has one partition per core, as each costs a store and a worker.
+
+    A query takes its settings when it starts, so the session's own are put back at once.
+    """
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    cores = spark.sparkContext.defaultParallelism
+    if not spark.sparkContext.master.startswith("local") or int(partitions) <= cores:
+        return writer.start()
+    spark.conf.set("spark.sql.shuffle.partitions", str(cores))
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import json
+import subprocess
+import sys
 import time
 from datetime import timedelta
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from frames import ROWS_B
@@ -375,3 +378,10 @@ def test_session_windows_on_a_stream(spark, tmp_path):
     out = windows.session_window(stream, "event_time", gap, ["key"], {"n": F.count(F.lit(1))})
     got = drain(out.select("key", F.unix_millis("session_start"), F.unix_millis("session_end"), "n"), tmp_path, "sessions")
     assert got == [("a", T0, T0 + 24_000, 2), ("a", T0 + 25_000, T0 + 35_000, 1)]
+
+
+def test_executors_need_not_have_the_package(tmp_path):
+    data = cloudpickle.dumps(stateful.LevelJump()).hex()
+    code = f"import pickle; print(type(pickle.loads(bytes.fromhex('{data}'))).__name__)"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True)
+    assert done.stdout.strip() == "LevelJump"
