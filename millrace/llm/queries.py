@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import tables, token_files
+from millrace.llm import bpe, tables, token_files
 from millrace.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,3 +40,18 @@ def op5_token_files(spark: SparkSession, sf: str) -> DataFrame:
     shards = token_files.write(table(spark, sf, "documents"), path, definition, END_ID)
     documents = token_files.read(spark, shards, path)
     return documents.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query()
+def op8_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents encoded by the merges of a rank file, and decoded again. A null text is empty."""
+    vocabulary = bpe.Vocabulary.from_file(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    documents = table(spark, sf, "documents").select("doc_id", "text")
+    encoded = bpe.encode(documents, vocabulary, public_tokenizers.PATTERN).drop("text")
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return bpe.decode(encoded, vocabulary).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(ids, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from millrace.session import checkpoint_root, configure
 
@@ -27,3 +30,21 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def append(
+    df: DataFrame, added: str, each: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, list[pa.Array]]]]
+) -> DataFrame:
+    """The rows with more columns, computed by Arrow batch.
+
+    ``added`` is a schema text; a column that has one of its names already is replaced. ``each`` turns batches into
+    (rows, arrays of the added columns).
+    """
+    fields = StructType.fromDDL(added)
+    rest = df.drop(*fields.names)
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, columns in each(source):
+            yield pa.RecordBatch.from_arrays([*rows.columns, *columns], names=[*rows.schema.names, *fields.names])
+
+    return rest.mapInArrow(batches, StructType([*rest.schema.fields, *fields.fields]))
