@@ -190,10 +190,10 @@ def encode(
     ``pattern`` splits a text before the merges; it must match white space alone, or one blank with what follows it, as the
     patterns of byte-level vocabularies do. No special tokens are looked for.
     """
-    shared = df.sparkSession.sparkContext.broadcast(vocabulary)  # a vocabulary file: does not grow with the data
+    shared = tables.share(df.sparkSession, vocabulary)  # a vocabulary file: does not grow with the data
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
-        cache = texts.ChunkCache(word_encoder(shared.value, pattern))
+        cache = texts.ChunkCache(word_encoder(shared(), pattern))
         for batch in texts.in_pieces(batches, text_column, BLOCK_BYTES):
             plains = [b"".join(values) for values in cache(texts.strings(batch.column(text_column)))]
             ends = np.cumsum([0, *(len(plain) // 4 for plain in plains)])
@@ -205,10 +205,10 @@ def encode(
 
 def decode(df: DataFrame, vocabulary: Vocabulary, ids_column: str = "ids", bytes_column: str = "decoded") -> DataFrame:
     """Add the bytes that the ids stand for; null for null. An id outside the vocabulary is an error."""
-    shared = df.sparkSession.sparkContext.broadcast(vocabulary.bytes_of)
+    shared = tables.share(df.sparkSession, vocabulary.bytes_of)
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
-        token = shared.value.__getitem__
+        token = shared().__getitem__
         for batch in batches:
             rows = batch.column(ids_column)
             ids, ends = rows.values.to_numpy(zero_copy_only=False), rows.offsets.to_numpy()

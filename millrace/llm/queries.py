@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, tables, token_files
+from millrace.llm import bpe, language, tables, token_files, toxicity
 from millrace.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,11 @@ SQL: dict[str, str] = {}
 END_ID = 2
 
 
+def held_out(modulus: int, remainder: int) -> Column:
+    """Whether crc32 of doc_id as text leaves this remainder."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder
+
+
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     """Register a function under its own name, with the SQL that gives the same rows."""
 
@@ -55,3 +60,28 @@ def op8_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(ids, 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+def toxicity_model(documents: DataFrame, labels: DataFrame) -> toxicity.ToxicityModel | None:
+    """Learned from the labelled documents outside the held-out fold."""
+    known = labels.select("doc_id", "toxic").filter(~held_out(5, 0))
+    labelled = documents.select("doc_id", "text").join(known, "doc_id")
+    return toxicity.train(labelled, F.xxhash64("doc_id"))
+
+
+@query()
+def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Toxicity of every document; a null doc_id is not held out."""
+    documents = table(spark, sf, "documents").select("doc_id", "text")
+    model = toxicity_model(documents, table(spark, sf, "labels"))
+    scored = toxicity.score(documents, model)
+    return scored.select("doc_id", F.coalesce(held_out(5, 0), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@query()
+def op9_language(spark: SparkSession, sf: str) -> DataFrame:
+    """Language of every document, learned outside the held-out fold; a null doc_id is not held out."""
+    documents = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    model = language.train(documents.filter(~held_out(4, 2)), order=F.xxhash64("doc_id"))
+    told = language.predict(documents.select("doc_id", "text"), model)
+    return told.select("doc_id", F.coalesce(held_out(4, 2), F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")

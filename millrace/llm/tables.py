@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -48,3 +49,9 @@ def append(
             yield pa.RecordBatch.from_arrays([*rows.columns, *columns], names=[*rows.schema.names, *fields.names])
 
     return rest.mapInArrow(batches, StructType([*rest.schema.fields, *fields.fields]))
+
+
+def share(spark: SparkSession, value: object) -> Callable[[], object]:
+    """Send an object of bounded size to the executors once; the result reads it there. Classes travel with it."""
+    held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: cloudpickle.loads(held.value)

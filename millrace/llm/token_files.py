@@ -161,7 +161,7 @@ def write(
     out. A shard appears in one rename, so a task that is run again leaves the same files.
     """
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(definition)  # a vocabulary file: does not grow with the data
+    shared = tables.share(spark, definition)  # a vocabulary file: does not grow with the data
     shards = shards or tables.shuffle_partitions(spark)
     file_system, _ = fs.FileSystem.from_uri(path)
     file_system.create_dir(fs.FileSystem.from_uri(path)[1], recursive=True)
@@ -171,7 +171,7 @@ def write(
         target, folder = fs.FileSystem.from_uri(path)
         name = f"{folder}/shard-{number:06d}.ids.zst"
         draft = f"{folder}/_draft-{number:06d}-{uuid.uuid4().hex}"
-        encode = encoder(shared.value, end_id)
+        encode = encoder(shared(), end_id)
         n_tokens = 0
         with target.open_output_stream(draft) as out:
             writer = ShardWriter(out, level)
