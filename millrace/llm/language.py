@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import tables, texts
@@ -69,15 +69,14 @@ def train(
 ) -> LanguageModel:
     """Learn from at most ``rows`` rows of every language, the first by ``order`` (by default the hash of the text).
 
-    Rows without language or letters are left out. Without any row the model knows no language.
+    Rows without language or text are left out, and texts without letters teach nothing. Without any row the model knows no language.
     """
     order = F.xxhash64(text_column) if order is None else order
     usable = labelled.select(
         F.col(language_column).cast("string").alias("language"), F.col(text_column).cast("string").alias("text"),
         order.alias("place"),
-    ).filter("language IS NOT NULL AND text RLIKE '\\\\p{L}'")
-    first = F.row_number().over(Window.partitionBy("language").orderBy("place", "text"))
-    chosen = usable.withColumn("nth", first).filter(F.col("nth") <= rows).drop("nth")
+    ).filter("text IS NOT NULL")
+    chosen = tables.first_rows(usable, "language", "place", rows)
     samples: dict[str, list] = {}
     for row in chosen.collect():  # at most ``rows`` rows a language
         samples.setdefault(row.language, []).append((row.place, row.text))

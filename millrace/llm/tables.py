@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from millrace.session import checkpoint_root, configure
@@ -55,3 +56,24 @@ def share(spark: SparkSession, value: object) -> Callable[[], object]:
     """Send an object of bounded size to the executors once; the result reads it there. Classes travel with it."""
     held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
     return lambda: cloudpickle.loads(held.value)
+
+
+def first_rows(df: DataFrame, group: str, place: str, most: int | dict) -> DataFrame:
+    """The rows of every group with the lowest places, at most ``most`` of each (by group, where it is a dictionary).
+
+    The last place of each group is found on these two columns alone, so wide rows that are left out are never shuffled.
+    Rows with a null group or place are left out.
+    """
+    spark = df.sparkSession
+    limit = F.lit(most) if isinstance(most, int) else F.create_map(*[F.lit(v) for pair in most.items() for v in pair])[F.col(group)]
+    nth = F.row_number().over(Window.partitionBy(group).orderBy(place))
+    largest = most if isinstance(most, int) else max(most.values())
+    known = df.filter(F.col(group).isNotNull() & F.col(place).isNotNull())
+    places = known.select(group, place).withColumn("_nth", nth).filter(F.col("_nth") <= largest).filter(F.col("_nth") <= limit)
+    last = places.groupBy(group).agg(F.max(place).alias("_last")).collect()  # a row for each group
+    ends = spark.createDataFrame(last, places.groupBy(group).agg(F.max(place).alias("_last")).schema)
+    near = known.join(F.broadcast(ends), group).filter(F.col(place) <= F.col("_last")).drop("_last")
+    # Rows that tie with the last place are cut off by their other columns.
+    columns = [place, *(c for c in df.columns if c not in (group, place))]
+    nth = F.row_number().over(Window.partitionBy(group).orderBy(*columns))
+    return near.withColumn("_nth", nth).filter(F.col("_nth") <= limit).drop("_nth")

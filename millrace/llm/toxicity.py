@@ -9,11 +9,13 @@ bounded sample of labelled rows; surroundings instead of occurrences, as copies
 neighbours. These words with gapped and filled-in variants stand against words of clean texts. Landmarks turn the kernel
 into a linear machine, whose weights are folded back into one weight per subsequence: scoring a unit is a sparse sum.
 
-A text scores as its worst unit, and every unit of a text is scored.
+Every unit of a text is scored. Its three worst units, put into a logistic regression, make the score of the text: one unit
+that merely looks like an insult does not condemn a text, several do.
 """
 
 from __future__ import annotations
 
+import heapq
 import random
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -21,7 +23,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import tables, texts
@@ -32,9 +34,10 @@ UNIT_CHARS = 24
 SYMBOLS = 64
 TOXIC_ROWS = 4000
 CLEAN_ROWS = 12000
-MOST_INSULTS = 250
+MOST_INSULTS = 400
 CLEAN_WORDS = 6000
 LANDMARKS = 300
+WORST = 3
 EVIDENCE = 16.0
 LEAST_INSULTS = 8
 READ_BYTES = 8 << 20
@@ -44,12 +47,11 @@ MOST_KNOWN = 400_000
 
 @dataclass
 class ToxicityModel:
-    """Weight of each subsequence, bias, and the logistic curve from margin to score."""
+    """Weight of each subsequence, bias, and the logistic weights (the last one the constant) of the worst units."""
 
     weights: np.ndarray
     bias: float
-    slope: float
-    offset: float
+    of_worst: list[float]
 
 
 # -- units ----------------------------------------------------------------------------------------------------
@@ -228,7 +230,9 @@ def _fit(insults: list[str], clean: list[str], landmarks: int) -> tuple[np.ndarr
     signs = np.array([1.0] * len(positive) + [-1.0] * len(negative))
     # One clean word too many hurts more than a variant that is missed: a text has hundreds of clean words.
     sizes = np.where(signs > 0, 1.0 / max(1, len(positive)), 3.0 / max(1, len(negative)))
-    chosen = (insults + negative[:: max(1, len(negative) // (landmarks // 2 or 1))])[:landmarks]
+    most = 2 * landmarks // 3
+    chosen = insults[:: -(-len(insults) // most)]
+    chosen = chosen + negative[:: max(1, len(negative) // max(1, landmarks - len(chosen)))]
     values, vectors = np.linalg.eigh(kernel(chosen, chosen))
     root = vectors / np.sqrt(np.maximum(values, 1e-6))
     solved = _machine(kernel(words, chosen) @ root, signs, sizes * len(words), ridge=0.05)
@@ -239,14 +243,19 @@ def _fit(insults: list[str], clean: list[str], landmarks: int) -> tuple[np.ndarr
     return weights, float(solved[-1])
 
 
-def _curve(values: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the logistic curve: 0.5 where most training texts fall on their side."""
-    order = np.argsort(values)
-    values, labels = values[order], labels[order]
-    right = np.concatenate([[0], np.cumsum(labels == 0)]) + np.concatenate([np.cumsum(labels[::-1] == 1)[::-1], [0]])
-    best = np.flatnonzero(right == right.max())
-    cuts = np.concatenate([[values[0] - 1], (values[1:] + values[:-1]) / 2, [values[-1] + 1]])
-    return 4.0, float(cuts[best[len(best) // 2]])
+def _logistic(points: np.ndarray, labels: np.ndarray, ridge: float = 0.05) -> list[float]:
+    """Weights and constant (last) of a logistic regression, by damped Newton steps."""
+    points = np.hstack([points, np.ones((len(points), 1))])
+    weights = np.zeros(points.shape[1])
+    for _ in range(100):
+        chance = 1 / (1 + np.exp(-np.clip(points @ weights, -30, 30)))
+        slope = points.T @ (labels - chance) - ridge * weights
+        bend = (points * (chance * (1 - chance))[:, None]).T @ points + ridge * np.eye(len(weights))
+        step = np.linalg.solve(bend, slope)
+        weights = weights + step * min(1.0, 2.0 / max(1e-12, np.abs(step).max()))
+        if np.abs(step).max() < 1e-6:
+            break
+    return weights.tolist()
 
 
 def train(
@@ -260,9 +269,7 @@ def train(
     order = F.xxhash64("text") if order is None else order
     usable = labelled.select("text", F.col("toxic").cast("int").alias("toxic"), order.alias("place"))
     usable = usable.filter("text IS NOT NULL AND toxic IN (0, 1)")
-    nth = F.row_number().over(Window.partitionBy("toxic").orderBy("place", "text"))
-    most = F.when(F.col("toxic") == 1, toxic_rows).otherwise(clean_rows)
-    sample = usable.withColumn("nth", nth).filter(F.col("nth") <= max(toxic_rows, clean_rows)).filter(F.col("nth") <= most)
+    sample = tables.first_rows(usable, "toxic", "place", {1: toxic_rows, 0: clean_rows})
     sample = tables.keep(sample.select("text", "toxic"), "toxicity-sample")
     counted = tables.keep(labelled_words(sample), "toxicity-words")
     sums = counted.agg(F.sum("in_toxic"), F.sum("in_clean")).first()
@@ -284,11 +291,9 @@ def train(
     if not strong or not clean:
         return None
     weights, bias = _fit(strong, clean, landmarks)
-    model = ToxicityModel(weights, bias, 1.0, 0.0)
-    told = text_margins(sample, model, "text").select("toxic", "margin").collect()  # one number per row of the sample
-    model.slope, model.offset = _curve(
-        np.array([row.margin for row in told]), np.array([row.toxic for row in told])
-    )
+    model = ToxicityModel(weights, bias, [])
+    told = text_margins(sample, model, "text").select("toxic", "margins").collect()  # three numbers per row of the sample
+    model.of_worst = _logistic(np.array([row.margins for row in told]), np.array([row.toxic for row in told]))
     return model
 
 
@@ -296,32 +301,36 @@ def train(
 
 
 def text_margins(df: DataFrame, model: ToxicityModel, text_column: str = "text") -> DataFrame:
-    """Add ``margin``: that of the worst unit of a text; a text without units has that of no subsequences."""
+    """Add ``margins``: those of the worst units of a text, falling; a unit that is missing has that of no subsequences."""
     shared = tables.share(df.sparkSession, model)  # one weight per subsequence: of fixed size
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         learned = shared()
         known: dict[str, float] = {}
+        missing = [min(learned.bias, -1.0)] * WORST
         for batch in texts.in_pieces(batches, text_column, READ_BYTES):
             found = [units(text) for text in texts.strings(batch.column(text_column))]
             if len(known) > MOST_KNOWN:
                 known = {}
             fresh = list(set().union(*found) - known.keys())
             known.update(zip(fresh, margins(learned, fresh).tolist()))
-            worst = [max(map(known.__getitem__, words), default=min(learned.bias, learned.offset - 1)) for words in found]
-            yield batch, [pa.array(worst, pa.float64())]
+            worst = [
+                (heapq.nlargest(WORST, map(known.__getitem__, words)) + missing)[:WORST] for words in found
+            ]
+            yield batch, [pa.array(worst, pa.list_(pa.float64()))]
 
-    return tables.append(df, "margin double", each)
+    return tables.append(df, "margins array<double>", each)
 
 
 def score(df: DataFrame, model: ToxicityModel | None, text_column: str = "text") -> DataFrame:
     """Add ``score`` (0 to 1) and ``predicted`` (1 where the score reaches 0.5); columns of these names are replaced.
 
-    Without a model every score is 0. Null and empty texts score as low as a text without insults can.
+    Without a model every score is 0. A null or empty text has no units, so it scores as clean.
     """
-    rest = df.drop("score", "predicted", "margin")
+    rest = df.drop("score", "predicted", "margins")
     if model is None:
         return rest.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)})
-    value = 1 / (1 + F.exp(-F.lit(model.slope) * (F.col("margin") - F.lit(model.offset))))
-    scored = text_margins(rest, model, text_column).withColumn("score", value).drop("margin")
+    *weights, constant = model.of_worst
+    sums = sum((F.get("margins", i) * weight for i, weight in enumerate(weights)), F.lit(constant))
+    scored = text_margins(rest, model, text_column).withColumn("score", 1 / (1 + F.exp(-sums))).drop("margins")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
