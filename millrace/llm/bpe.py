@@ -195,7 +195,7 @@ def encode(
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         cache = texts.ChunkCache(word_encoder(shared(), pattern))
         for batch in texts.in_pieces(batches, text_column, BLOCK_BYTES):
-            plains = [b"".join(values) for values in cache(texts.strings(batch.column(text_column)))]
+            plains = list(cache.joined(texts.strings(batch.column(text_column))))
             ends = np.cumsum([0, *(len(plain) // 4 for plain in plains)])
             ids = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(plains))])
             yield batch, [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, chat, decontaminate, language, tables, token_files, toxicity
+from millrace.llm import bpe, chat, decontaminate, language, ngram_join, tables, token_files, toxicity
 from millrace.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -167,3 +167,9 @@ def op4_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.size("spans") > 0).alias("contaminated"),
     )
+
+
+@query()
+def op3_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return ngram_join.near_duplicates(table(spark, sf, "documents")).drop("tag")

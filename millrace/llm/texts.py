@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -72,20 +72,20 @@ def chunks(text: str) -> tuple[str, list[str]]:
 
 
 class ChunkCache:
-    """What ``encode`` gives for each distinct chunk of the texts seen so far; emptied when it holds too much."""
+    """The bytes that ``encode`` gives for each distinct chunk of the texts seen so far; emptied when it holds too much."""
 
-    def __init__(self, encode, most_chars: int = 24_000_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], most_chars: int = 24_000_000):
         self.encode, self.most_chars = encode, most_chars
-        self.heads: dict[str, object] = {}
-        self.tails: dict[str, object] = {}
+        self.heads: dict[str, bytes] = {"": b""}
+        self.tails: dict[str, bytes] = {}
         self.chars = 0
 
-    def __call__(self, texts: list[str]) -> Iterator[list]:
-        """For each text the values of its chunks, in order."""
+    def joined(self, texts: list[str]) -> Iterator[bytes]:
+        """For each text the values of its chunks, end to end."""
         if self.chars > self.most_chars:
-            self.heads, self.tails, self.chars = {}, {}, 0
+            self.heads, self.tails, self.chars = {"": b""}, {}, 0
         cut = [chunks(text) for text in texts]
-        heads = list({head for head, _ in cut if head} - self.heads.keys())
+        heads = list({head for head, _ in cut} - self.heads.keys())
         tails = list(set().union(*(tail for _, tail in cut)) - self.tails.keys())
         missing = heads + [" " + tail for tail in tails]
         values = self.encode(missing)
@@ -94,4 +94,4 @@ class ChunkCache:
         self.chars += sum(map(len, missing))
         of_tail = self.tails.__getitem__
         for head, tail in cut:
-            yield ([self.heads[head]] if head else []) + list(map(of_tail, tail))
+            yield self.heads[head] + b"".join(map(of_tail, tail))

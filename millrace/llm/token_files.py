@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import struct
 import uuid
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -34,7 +35,13 @@ SEEKABLE_MAGIC = 0x8F92EAB1
 CHECKSUM_FLAG = 0x80
 
 PIECE_BYTES = 4 << 20
+SHARD_BYTES = 48 << 20
 LEVEL = 3
+MARKS = ".,;:!?"
+
+# How byte-level tokenizers write a byte: printable ones as themselves, the others from U+0100 on. A fixed rule.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+VISIBLE_BYTES = {b: chr(256 + n) for n, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
 
 
 class ChecksumError(ValueError):
@@ -140,14 +147,47 @@ def encoder(definition: str, end_id: int):
     tokenizer, cut = open_tokenizer(definition)
     end = struct.pack("<I", end_id)
 
-    def ids(parts: list[str]) -> list[bytes]:
+    def one_by_one(parts: list[str]) -> list[bytes]:
         encoded = tokenizer.encode_batch_fast(parts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in encoded]
 
     if not cut:
-        return lambda many: [plain + end for plain in ids(many)]
+        return lambda many: [plain + end for plain in one_by_one(many)]
+
+    pieces_of, blank = tokenizer.model.tokenize, VISIBLE_BYTES[32]
+
+    def words(many: list[str]) -> list[bytes]:
+        """Words of letters, with or without a blank before, which the pattern never cuts: the merges alone."""
+        found = []
+        for word in many:
+            if word.isascii():
+                visible = word.replace(" ", blank)
+            else:
+                visible = word.encode().decode("latin-1").translate(VISIBLE_BYTES)
+            found.append(array("I", [piece.id for piece in pieces_of(visible)]).tobytes())
+        return found
+
+    def ids(parts: list[str]) -> list[bytes]:
+        """Letters and a mark after them are never one token, so they are encoded apart and put together."""
+        known: dict[str, bytes] = {}
+        bodies, rest = set(), []
+        cut_up: list[tuple[str, str]] = []
+        for part in parts:
+            body, mark = (part[:-1], part[-1]) if part[-1] in MARKS else (part, "")
+            if body.isalpha() or body[:1] == " " and body[1:].isalpha():
+                bodies.add(body)
+                cut_up.append((body, mark))
+            else:
+                rest.append(part)
+                cut_up.append((part, ""))
+        bodies = list(bodies)
+        known.update(zip(bodies, words(bodies)))
+        known.update(zip(rest, one_by_one(rest)))
+        known.update(zip(MARKS, one_by_one(list(MARKS))))
+        return [known[body] + known[mark] if mark else known[body] for body, mark in cut_up]
+
     cache = texts.ChunkCache(ids)
-    return lambda many: [b"".join(values) + end for values in cache(many)]
+    return lambda many: [plain + end for plain in cache.joined(many)]
 
 
 def write(
@@ -156,15 +196,18 @@ def write(
 ) -> DataFrame:
     """Encode all texts and write them as shards below ``path``, in ascending order of ids over all shards.
 
-    ``definition`` is the JSON of a tokenizer. Returns (shard, file, n_docs, n_tokens, start): ``start`` is the number of ids in
-    all shards before. A null text is empty, a null id comes first, rows of one id stand together in the order of their texts. Other columns are left
-    out. A shard appears in one rename, so a task that is run again leaves the same files.
+    ``definition`` is the JSON of a tokenizer. A shard holds about SHARD_BYTES of text unless ``shards`` is given; a word is
+    encoded once in a shard. Returns (shard, file, n_docs, n_tokens, start): ``start`` is the number of ids in
+    all shards before. A null text is empty, a null id comes first, rows of one id stand together in the order of their
+    texts. Other columns are left out. A shard appears in one rename, so a task that is run again leaves the same files.
     """
     spark = df.sparkSession
     shared = tables.share(spark, definition)  # a vocabulary file: does not grow with the data
-    shards = shards or tables.shuffle_partitions(spark)
-    file_system, _ = fs.FileSystem.from_uri(path)
-    file_system.create_dir(fs.FileSystem.from_uri(path)[1], recursive=True)
+    rows = df.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
+    if shards is None:
+        shards = 1 + (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES
+    file_system, folder = fs.FileSystem.from_uri(path)
+    file_system.create_dir(folder, recursive=True)
 
     def shard(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId()
@@ -186,7 +229,6 @@ def write(
             {"shard": [number], "file": [name], "n_docs": [len(writer.ids)], "n_tokens": [n_tokens]}
         )
 
-    rows = df.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
     written = (
         rows.repartitionByRange(shards, "id")
         .sortWithinPartitions("id", "text")
