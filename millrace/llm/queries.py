@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, chat, decontaminate, language, ngram_join, tables, token_files, toxicity
+from millrace.llm import bpe, chat, decontaminate, language, ngram_join, tables, token_files, toxicity, vectors
 from millrace.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -173,3 +173,25 @@ def op4_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
 def op3_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return ngram_join.near_duplicates(table(spark, sf, "documents")).drop("tag")
+
+
+@query("""
+WITH v AS (
+    SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+), usable AS (
+    SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.r AS a, b.r AS b FROM usable a JOIN usable b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e)
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), reach AS (
+    WITH RECURSIVE walk(start, r) USING KEY (start, r) AS (
+        SELECT r, r FROM v UNION SELECT walk.start, links.b FROM walk JOIN links ON walk.r = links.a
+    ) SELECT start, min(vec_id) AS component_id FROM walk JOIN v USING (r) GROUP BY start
+)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept
+FROM v LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) ON a = r JOIN reach ON start = r
+""")
+def op10_near_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Near-duplicate vectors of each label, over all embeddings."""
+    return vectors.near_vectors(table(spark, sf, "embeddings"))
