@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from millrace.llm import tables, texts
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 8 << 20
 _SHIFT = 32
 
 

@@ -27,7 +27,7 @@ DICTIONARY_BYTES = 512 << 10
 SNIPPET_CHARS = 800
 PIECE_BYTES = 4 << 10
 LEVEL = 5
-READ_BYTES = 8 << 20
+READ_BYTES = 4 << 20
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, chat, decontaminate, language, ngram_join, tables, token_files, toxicity, vectors
+from millrace.llm import bpe, chat, decontaminate, language, ngram_join, suffix, tables, token_files, toxicity, vectors
 from millrace.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -195,3 +195,14 @@ FROM v LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) ON a = r JOIN r
 def op10_near_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """Near-duplicate vectors of each label, over all embeddings."""
     return vectors.near_vectors(table(spark, sf, "embeddings"))
+
+
+@query()
+def op2_suffix_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    """Bytes of repeated 100-byte strings removed from all documents."""
+    cleaned = suffix.remove_repeats(table(spark, sf, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda sum_, span: sum_ + span["end"] - span["start"])
+    return cleaned.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )

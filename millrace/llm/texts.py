@@ -74,7 +74,7 @@ def chunks(text: str) -> tuple[str, list[str]]:
 class ChunkCache:
     """The bytes that ``encode`` gives for each distinct chunk of the texts seen so far; emptied when it holds too much."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], most_chars: int = 24_000_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], most_chars: int = 8_000_000):
         self.encode, self.most_chars = encode, most_chars
         self.heads: dict[str, bytes] = {"": b""}
         self.tails: dict[str, bytes] = {}

@@ -40,9 +40,9 @@ LANDMARKS = 300
 WORST = 3
 EVIDENCE = 16.0
 LEAST_INSULTS = 8
-READ_BYTES = 8 << 20
+READ_BYTES = 2 << 20
 BLOCK_WORDS = 4096
-MOST_KNOWN = 400_000
+MOST_KNOWN = 200_000
 
 
 @dataclass
