@@ -225,7 +225,8 @@ def links(pairs: DataFrame, rows: DataFrame, documents: DataFrame, size: int, pe
 def near_duplicates(
     documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = WORDS, percent: int = PERCENT
 ) -> DataFrame:
-    """Of every document: its id, ``tag`` (hash of its text), ``n_shingles`` and ``component_id``.
+    """Of every document: its id, ``tag`` (hash of its text), ``n_shingles``, ``component_id`` and ``kept``, which is true for
+    one document of each component.
 
     Two documents link when 100 * intersection >= percent * union of their n-gram sets; ``component_id`` is the smallest id
     that links reach. Null texts and texts without words have empty sets and link with nothing. A null id is not smaller than
@@ -235,7 +236,8 @@ def near_duplicates(
     documents = documents.withColumn("tag", F.xxhash64(F.coalesce("text", F.lit(""))))
     rows = matrix(documents, size, percent)
     full = rows.filter("n > 0")
-    classes = tables.keep(full.groupBy("digest").agg(F.min("row").alias("row"), F.min("id").alias("id")), "ngram-classes")
+    best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("best")
+    classes = tables.keep(full.groupBy("digest").agg(F.min("row").alias("row"), best), "ngram-classes")
 
     # A row per class and first column; blocks with one class make no pairs.
     listed = full.filter("first IS NOT NULL")
@@ -272,12 +274,14 @@ def near_duplicates(
     # The smallest id of each component, for every document of its classes.
     labels = graph.components(first.unionByName(second)).withColumnRenamed("vertex", "row")
     labelled = classes.join(labels, "row", "left").withColumn("label", F.coalesce("label", "row"))
-    smallest = labelled.groupBy("label").agg(F.min("id").alias("component_id"))
-    of_digest = labelled.join(smallest, "label").select(F.col("digest").alias("_digest"), "component_id")
-    out = rows.select("id", "tag", "n", "digest").join(of_digest, (F.col("digest") == F.col("_digest")) & (F.col("n") > 0), "left")
+    smallest = labelled.groupBy("label").agg(F.min("best").alias("best"))
+    of_digest = labelled.drop("best").join(smallest, "label").select(F.col("digest").alias("_digest"), "best")
+    out = rows.select("row", "id", "tag", "n", "digest").join(of_digest, (F.col("digest") == F.col("_digest")) & (F.col("n") > 0), "left")
+    full = F.col("n") > 0
     return out.select(
         F.col("id").alias(id_column),
         "tag",
         F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
+        F.when(full, F.col("best.id")).otherwise(F.col("id")).alias("component_id"),
+        F.when(full, F.col("row") == F.col("best.row")).otherwise(True).alias("kept"),
     )

@@ -172,7 +172,7 @@ def op4_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op3_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
     """Near-duplicate components of all documents."""
-    return ngram_join.near_duplicates(table(spark, sf, "documents")).drop("tag")
+    return ngram_join.near_duplicates(table(spark, sf, "documents")).drop("tag", "kept")
 
 
 @query("""

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -77,3 +77,24 @@ def first_rows(df: DataFrame, group: str, place: str, most: int | dict) -> DataF
     columns = [place, *(c for c in df.columns if c not in (group, place))]
     nth = F.row_number().over(Window.partitionBy(group).orderBy(*columns))
     return near.withColumn("_nth", nth).filter(F.col("_nth") <= limit).drop("_nth")
+
+
+# A list of documents is sent to all tasks up to so many rows, and joined by shuffle beyond.
+MOST_BROADCAST_ROWS = 500_000
+
+
+def sent(df: DataFrame, most: int = MOST_BROADCAST_ROWS) -> DataFrame:
+    """A narrow table that is already written, marked for broadcast where its counted rows allow it."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def keyed(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Documents with ``_id`` and ``_tag`` (hash of the text): what the operators tell documents apart by."""
+    tag = F.xxhash64(F.coalesce(F.col(text_column).cast("string"), F.lit("")))
+    return documents.withColumns({"_id": F.col(id_column), "_tag": tag})
+
+
+def same_document(found: DataFrame, id_column: str = "doc_id") -> tuple[DataFrame, Column]:
+    """Rows (id, tag, ...) renamed, and the condition that ties them to keyed documents; a null id equals a null id."""
+    found = found.withColumnsRenamed({id_column: "_found_id", "tag": "_found_tag"})
+    return found, F.col("_id").eqNullSafe(F.col("_found_id")) & (F.col("_tag") == F.col("_found_tag"))
