@@ -5,10 +5,11 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
+from millrace import queries as registry
 from millrace.operators import ordered
 from oracle import connect, difference
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = registry.QUERIES, registry.SQL
 
 ORDERED = [
     "running_sum", "running_min_max", "running_avg", "reduce_keep_first", "running_maxby_last", "running_maxby_first",
