@@ -91,8 +91,9 @@ def session_window(
             F.col("_session.end").alias("session_end"),
             *aggregates,
         )
+    # A gap is added as Spark's own session windows add it; rows without a time or with a gap of nothing open no session.
     gap_column = F.lit(gap) if isinstance(gap, str) else gap
-    ends = df.withColumn("_end", _plus(ts, gap_column))
+    ends = df.withColumn("_end", F.col(ts) + gap_column.cast("interval")).filter(F.col("_end") > F.col(ts))
     seen = ordered.scan(ends, keys, order, {"_open": ordered.largest(F.col("_end"), before=True)}, cuts=cuts)
     opens = F.when(F.col("_open").isNull() | (F.col(ts) > F.col("_open")), 1).otherwise(0)
     numbered = ordered.scan(
@@ -103,14 +104,6 @@ def session_window(
     return grouped.drop("_number")
 
 
-def _plus(ts: str, gap: Column) -> Column:
-    """A time plus a gap written like '6 hours'."""
-    size = F.split(gap, " ")
-    unit = F.regexp_replace(size[1], "s$", "")
-    seconds = F.when(unit == "day", 86400).when(unit == "hour", 3600).when(unit == "minute", 60).when(unit == "second", 1)
-    return F.col(ts) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (size[0].cast("long") * seconds).cast("decimal(18,6)"))
-
-
 def global_window(
     df: DataFrame,
     keys: Sequence[str],

@@ -15,8 +15,11 @@ from millrace.queries.per_row import LOG
 from millrace.streaming import replay, stateful
 
 
+TIMES = {"events": "ts", "orders": "o_orderdate", "lineitem": "l_shipdate"}
+
+
 def stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return replay.source(spark, sf, f"{name}.parquet", star_views.SCHEMAS[name])
+    return replay.source(spark, f"{sf}/{name}.parquet", star_views.SCHEMAS[name], TIMES[name])
 
 
 def event_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -97,8 +100,7 @@ def stream_row_count(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT DISTINCT CAST(user_id AS VARCHAR) AS key, event_type FROM events")
 def stream_distinct(spark: SparkSession, sf: str) -> DataFrame:
-    rows = event_rows(spark, sf).withWatermark("event_time", "60 days")
-    return replay.drain(rows.dropDuplicatesWithinWatermark(["key", "event_type"]).select("key", "event_type"))
+    return keyed(event_rows(spark, sf), stateful.DistinctValues("event_type")).withColumnRenamed("value", "event_type")
 
 
 # -- stateful processors --------------------------------------------------------------------------------------
@@ -107,12 +109,13 @@ def stream_distinct(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     """
     SELECT CAST(user_id AS VARCHAR) AS key, event_id AS seq, first_value(event_id) OVER w AS first_seq,
-           min(value) OVER w AS low, max(value) OVER w AS high, count(*) OVER w AS n
+           sum(CAST(value AS DECIMAL(18,6))) OVER w AS total, min(value) OVER w AS low, max(value) OVER w AS high,
+           count(*) OVER w AS n, CAST(sum(CAST(value AS DECIMAL(18,6))) OVER w AS DOUBLE) / count(value) OVER w AS average
     FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)
     """
 )
 def stream_rolling(spark: SparkSession, sf: str) -> DataFrame:
-    return keyed(event_rows(spark, sf), stateful.RollingAggregates()).drop("total", "average")
+    return keyed(event_rows(spark, sf), stateful.RollingAggregates())
 
 
 @query(
@@ -129,15 +132,17 @@ def stream_level_jump(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     """
-    SELECT CAST(user_id AS VARCHAR) AS key, rn AS row_no, n FROM (
+    SELECT CAST(user_id AS VARCHAR) AS key, rn AS row_no, total, n FROM (
         SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn,
+               sum(CAST(value AS DECIMAL(18,6))) OVER (PARTITION BY user_id ORDER BY ts, event_id
+                   ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS total,
                count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS n
         FROM events)
     WHERE rn % 2 = 0
     """
 )
 def stream_count_sliding(spark: SparkSession, sf: str) -> DataFrame:
-    return keyed(event_rows(spark, sf), stateful.CountWindow(3, 2)).drop("total")
+    return keyed(event_rows(spark, sf), stateful.CountWindow(3, 2))
 
 
 @query(

@@ -12,18 +12,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
+from millrace.operators.ordered import estimated_bytes
 from millrace.session import checkpoint_root, configure_streaming
 from millrace.sinks.upsert import latest_per_key
 
 # Input of one micro-batch; it bounds what a stateful operator sorts at a time.
 BATCH_BYTES = 1 << 30
+# A table is laid out in files of about this size, one range of times in each.
+RANGE_BYTES = 128 << 20
+# A second apart; a file stream passes over files that are a week older than the newest one.
+FIRST_CHANGE, MOST_FILES = 1_000_000_000_000, 600_000
 
 
-def source(spark: SparkSession, folder: str, file: str, schema: str) -> DataFrame:
-    """A Parquet table as a stream, oldest files first."""
-    reader = configure_streaming(spark).readStream.schema(schema)
-    reader = reader.option("maxBytesPerTrigger", BATCH_BYTES).option("pathGlobFilter", file)
-    return reader.parquet(folder)
+def source(spark: SparkSession, path: str, schema: str, time: str) -> DataFrame:
+    """A finished Parquet table, a file or a folder, as a stream in the order of its ``time`` column.
+
+    The table is laid out again below the checkpoint folder, a file for each range of times, and a stream takes files by
+    the time they were written; so these are set to rise with the ranges. Micro-batches then rise in time however the
+    table itself is stored. A table that is not there, or a store that does not keep the times, is an error.
+    """
+    table = configure_streaming(spark).read.schema(schema).parquet(path)
+    ranges = 1 + estimated_bytes(table) // RANGE_BYTES
+    feed = f"{checkpoint_root(spark)}/replay/{uuid.uuid4()}/feed"
+    table.repartitionByRange(ranges, time).sortWithinPartitions(time).write.parquet(feed)
+    _date_files(spark, feed)
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", BATCH_BYTES).parquet(feed)
+
+
+def _date_files(spark: SparkSession, folder: str) -> None:
+    """Give the files of a folder rising times of change, in the order of their names, which is that of the ranges."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted(str(f.getPath()) for f in store.listStatus(where) if f.getPath().getName().startswith("part-"))
+    if len(files) < 2:
+        return
+    if len(files) > MOST_FILES:
+        raise ValueError(f"{len(files)} files are too many for one replay: raise RANGE_BYTES")
+    for number, file in enumerate(files):
+        store.setTimes(spark._jvm.org.apache.hadoop.fs.Path(file), FIRST_CHANGE + 1000 * number, -1)
+    dated = [store.getFileStatus(spark._jvm.org.apache.hadoop.fs.Path(f)).getModificationTime() for f in files]
+    if dated != sorted(set(dated)):
+        raise RuntimeError(f"{folder} does not keep the times of files: a replay would not be in order")
 
 
 def drain(stream: DataFrame, mode: str = "append", keys: Sequence[str] = ()) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from datetime import timedelta
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,26 +28,132 @@ def run_keyed(
     )
 
 
+class HeldValue:
+    """A value state that is read at its first use for a key and written once after the key's rows."""
+
+    def __init__(self, state):
+        self.state = state
+        self.begin()
+
+    def begin(self) -> None:
+        self.known = self.changed = False
+        self.value: tuple | None = None
+
+    def get(self) -> tuple | None:
+        if not self.known:
+            self.value, self.known = self.read(), True
+        return self.value
+
+    def read(self) -> tuple | None:
+        return self.state.get() if self.state.exists() else None
+
+    def write(self, value: tuple) -> None:
+        self.state.update(value)
+
+    def exists(self) -> bool:
+        return self.get() is not None
+
+    def update(self, value: tuple) -> None:
+        self.value, self.known, self.changed = value, True, True
+
+    def clear(self) -> None:
+        self.update(None)
+
+    def flush(self) -> None:
+        if self.changed:
+            self.state.clear() if self.value is None else self.write(self.value)
+        self.begin()
+
+
+class HeldList(HeldValue):
+    """A list state, likewise; its value is a list of tuples."""
+
+    def read(self) -> list[tuple] | None:
+        return list(self.state.get()) if self.state.exists() else None
+
+    def write(self, value: list[tuple]) -> None:
+        self.state.put(value)
+
+    def items(self) -> list[tuple]:
+        return list(self.get() or ())
+
+    def update(self, value: list[tuple] | None) -> None:
+        super().update(value or None)
+
+
+class HeldKeys(HeldValue):
+    """The keys of a map state: one look for each unlike key among the rows, one write for each new one."""
+
+    def begin(self) -> None:
+        self.there: dict[str, bool] = {}
+        self.added: list[str] = []
+
+    def add(self, key: str) -> bool:
+        """Whether the key is new."""
+        if key not in self.there:
+            self.there[key] = self.state.containsKey((key,))
+        if self.there[key]:
+            return False
+        self.there[key] = True
+        self.added.append(key)
+        return True
+
+    def flush(self) -> None:
+        for key in self.added:
+            self.state.updateValue((key,), (1,))
+        self.begin()
+
+
 class Ordered(StatefulProcessor):
-    """Handles rows one by one, sorted by ``order``; ``step`` returns the rows to emit."""
+    """Handles rows one by one, sorted by ``order``; ``step`` returns the rows to emit.
+
+    State made by ``value_state``, ``list_state`` and ``key_state`` lives in memory while the rows of a key pass.
+    """
 
     def __init__(self, order: tuple[str, ...], columns: tuple[str, ...]):
         self.order, self.columns = list(order), list(columns)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
+        self.held: list[HeldValue] = []
         self.open(handle)
 
+    def value_state(self, name: str, schema: str, ttl_ms: int | None = None) -> HeldValue:
+        return self._hold(HeldValue(self.handle.getValueState(name, schema, ttlDurationMs=ttl_ms)))
+
+    def list_state(self, name: str, schema: str) -> HeldList:
+        return self._hold(HeldList(self.handle.getListState(name, schema)))
+
+    def key_state(self, name: str) -> HeldKeys:
+        return self._hold(HeldKeys(self.handle.getMapState(name, "value string", "n long")))
+
+    def _hold(self, held: HeldValue) -> HeldValue:
+        self.held.append(held)
+        return held
+
     def open(self, handle: StatefulProcessorHandle) -> None:
         raise NotImplementedError
 
     def step(self, key: tuple, row) -> list[tuple]:
         raise NotImplementedError
 
+    def expired(self, key: tuple, now: int) -> list[tuple]:
+        """Rows to emit when a timer is due."""
+        return []
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         self.timer_values = timerValues
         ordered = pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        out = [emitted for row in ordered.itertuples(index=False) for emitted in self.step(key, row)]
+        yield from self._emit([emitted for row in ordered.itertuples(index=False) for emitted in self.step(key, row)])
+
+    def handleExpiredTimer(
+        self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo
+    ) -> Iterator[pd.DataFrame]:
+        yield from self._emit(self.expired(key, expiredTimerInfo.getExpiryTimeInMs()))
+
+    def _emit(self, out: list[tuple]) -> Iterator[pd.DataFrame]:
+        for held in self.held:
+            held.flush()
         if out:
             yield pd.DataFrame(out, columns=self.columns)
 
@@ -54,35 +161,50 @@ class Ordered(StatefulProcessor):
         pass
 
 
+def number(value) -> float | None:
+    """A number of a row; what was null comes as NaN."""
+    return None if value is None or value != value else float(value)
+
+
+def exact(value: float) -> Decimal:
+    return Decimal(str(value)).quantize(Decimal("0.000001"))
+
+
 # -- running values -------------------------------------------------------------------------------------------
 
 
 class RollingAggregates(Ordered):
-    """After every row: first order value, sum, minimum, maximum, count and mean of the value so far."""
+    """After every row: first order value, sum, minimum, maximum, number of rows and mean of the value so far.
 
-    SCHEMA = "key string, seq long, first_seq long, total double, low double, high double, n long, average double"
+    Nulls count as rows only. Sums are exact to six decimals.
+    """
+
+    SCHEMA = "key string, seq long, first_seq long, total decimal(38,6), low double, high double, n long, average double"
 
     def __init__(self, key: str = "key", seq: str = "seq", value: str = "value", order: tuple[str, ...] = ("ts", "seq")):
         super().__init__(order, ("key", "seq", "first_seq", "total", "low", "high", "n", "average"))
         self.seq, self.value = seq, value
 
     def open(self, handle):
-        self.state = handle.getValueState("sums", "first_seq long, total double, low double, high double, n long")
+        self.state = self.value_state(
+            "sums", "first_seq long, total decimal(38,6), low double, high double, n long, counted long"
+        )
 
     def step(self, key, row):
-        value, seq = float(getattr(row, self.value)), int(getattr(row, self.seq))
-        held = self.state.get()
-        if held is None:
-            first, total, low, high, n = seq, value, value, value, 1
-        else:
-            first, total, low, high, n = held
-            total, low, high, n = total + value, min(low, value), max(high, value), n + 1
-        self.state.update((first, total, low, high, n))
-        return [(str(key[0]), seq, first, total, low, high, n, total / n)]
+        value, seq = number(getattr(row, self.value)), int(getattr(row, self.seq))
+        first, total, low, high, n, counted = self.state.get() or (seq, None, None, None, 0, 0)
+        n += 1
+        if value is not None:
+            total = exact(value) + (total or 0)
+            low = value if low is None else min(low, value)
+            high = value if high is None else max(high, value)
+            counted += 1
+        self.state.update((first, total, low, high, n, counted))
+        return [(str(key[0]), seq, first, total, low, high, n, float(total) / counted if counted else None)]
 
 
 class TopThree(Ordered):
-    """After every row the three highest values so far, descending, as text with two decimals."""
+    """After every row the three highest values so far, descending, as text with two decimals; nulls are passed over."""
 
     SCHEMA = "key string, seq long, best string"
 
@@ -91,17 +213,19 @@ class TopThree(Ordered):
         self.seq, self.value = seq, value
 
     def open(self, handle):
-        self.best = handle.getListState("best", "value double")
+        self.best = self.list_state("best", "value double")
 
     def step(self, key, row):
-        held = [v[0] for v in self.best.get()] if self.best.exists() else []
-        best = sorted([*held, float(getattr(row, self.value))], reverse=True)[:3]
-        self.best.put([(v,) for v in best])
+        value = number(getattr(row, self.value))
+        known = [v for (v,) in self.best.items()]
+        best = sorted([*known, value], reverse=True)[:3] if value is not None else known
+        if best != known:
+            self.best.update([(v,) for v in best])
         return [(str(key[0]), int(getattr(row, self.seq)), ",".join(f"{v:.2f}" for v in best))]
 
 
 class DistinctValues(Ordered):
-    """The first row of every value of a key."""
+    """The first row of every value of a key; null is a value. Nothing is ever forgotten."""
 
     SCHEMA = "key string, value string"
 
@@ -110,39 +234,39 @@ class DistinctValues(Ordered):
         self.value = value
 
     def open(self, handle):
-        self.seen = handle.getMapState("seen", "value string", "n long")
+        self.seen = self.key_state("seen")
 
     def step(self, key, row):
-        value = str(getattr(row, self.value))
-        if self.seen.containsKey((value,)):
-            return []
-        self.seen.updateValue((value,), (1,))
-        return [(str(key[0]), value)]
+        value = getattr(row, self.value)
+        value = None if value is None or value != value else str(value)
+        return [(str(key[0]), value)] if self.seen.add("null" if value is None else f"={value}") else []
 
 
 class CountWindow(Ordered):
     """Every ``slide`` rows of a key, the sum and number of its last ``size`` rows.
 
-    With ``slide`` equal to ``size`` the windows tumble and an unfinished one is not emitted.
+    With ``slide`` equal to ``size`` the windows tumble and an unfinished one is not emitted. Nulls count as rows only.
     """
 
-    SCHEMA = "key string, row_no long, total double, n long"
+    SCHEMA = "key string, row_no long, total decimal(38,6), n long"
 
     def __init__(self, size: int, slide: int, value: str = "value", order: tuple[str, ...] = ("ts", "seq")):
         super().__init__(order, ("key", "row_no", "total", "n"))
         self.size, self.slide, self.value = size, slide, value
 
     def open(self, handle):
-        self.recent = handle.getListState("recent", "value double")
-        self.count = handle.getValueState("count", "n long")
+        self.recent = self.list_state("recent", "value double")
+        self.count = self.value_state("count", "n long")
 
     def step(self, key, row):
-        held = [v[0] for v in self.recent.get()] if self.recent.exists() else []
-        recent = [*held, float(getattr(row, self.value))][-self.size :]
-        row_no = (self.count.get()[0] if self.count.exists() else 0) + 1
-        self.recent.put([(v,) for v in recent])
+        recent = [*self.recent.items(), (number(getattr(row, self.value)),)][-self.size :]
+        row_no = (self.count.get() or (0,))[0] + 1
+        self.recent.update(recent)
         self.count.update((row_no,))
-        return [(str(key[0]), row_no, sum(recent), len(recent))] if row_no % self.slide == 0 else []
+        if row_no % self.slide:
+            return []
+        known = [exact(v) for (v,) in recent if v is not None]
+        return [(str(key[0]), row_no, sum(known) if known else None, len(recent))]
 
 
 # -- patterns -------------------------------------------------------------------------------------------------
@@ -158,13 +282,15 @@ class LevelJump(Ordered):
         self.jump, self.seq, self.level = jump, seq, level
 
     def open(self, handle):
-        self.last = handle.getValueState("last", "level double")
+        self.last = self.value_state("last", "level double")
 
     def step(self, key, row):
-        level = float(getattr(row, self.level))
-        previous = self.last.get()[0] if self.last.exists() else 0.0
+        level = number(getattr(row, self.level))
+        previous = (self.last.get() or (None,))[0] or 0.0  # a null counts as 0 for the row after it
         self.last.update((level,))
-        return [(str(key[0]), int(getattr(row, self.seq)), previous, level)] if abs(level - previous) >= self.jump else []
+        if level is None or abs(level - previous) < self.jump:
+            return []
+        return [(str(key[0]), int(getattr(row, self.seq)), previous, level)]
 
 
 class NewVisitor(Ordered):
@@ -179,7 +305,7 @@ class NewVisitor(Ordered):
         super().__init__(("ts", "seq"), ("mid", "seq", "ts", "is_new", "value"))
 
     def open(self, handle):
-        self.seen = handle.getValueState("seen", "first long")
+        self.seen = self.value_state("seen", "first long")
 
     def step(self, key, row):
         flag = row.is_new
@@ -206,7 +332,7 @@ class DailyVisit(Ordered):
         self.ttl_ms = ttl_ms
 
     def open(self, handle):
-        self.last = handle.getValueState("last", "day long, ts long", ttlDurationMs=self.ttl_ms)
+        self.last = self.value_state("last", "day long, ts long", self.ttl_ms)
 
     def step(self, key, row):
         ts = int(row.ts)
@@ -218,10 +344,10 @@ class DailyVisit(Ordered):
             self.handle.registerTimer(ts + DAY_MS)
         return [(key[0], int(row.seq), ts, row.value)]
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.last.exists() and self.last.get()[1] + DAY_MS <= expiredTimerInfo.getExpiryTimeInMs():
+    def expired(self, key, now):
+        if self.last.exists() and self.last.get()[1] + DAY_MS <= now:
             self.last.clear()
-        yield pd.DataFrame([], columns=self.columns)
+        return []
 
 
 class Bounce(Ordered):
@@ -238,13 +364,10 @@ class Bounce(Ordered):
         self.timeout_ms = timeout // timedelta(milliseconds=1)
 
     def open(self, handle):
-        self.waiting = handle.getListState("waiting", "seq long, ts long, value string")
-
-    def _held(self) -> list[tuple]:
-        return list(self.waiting.get()) if self.waiting.exists() else []
+        self.waiting = self.list_state("waiting", "seq long, ts long, value string")
 
     def step(self, key, row):
-        out, ts, held = [], int(row.ts), self._held()
+        out, ts, held = [], int(row.ts), self.waiting.items()
         if row.shown and held:
             for seq, since, value in held:
                 self.handle.deleteTimer(since + self.timeout_ms)
@@ -252,17 +375,14 @@ class Bounce(Ordered):
                     out.append((key[0], seq, since, value))
             self.waiting.clear()
         if row.entry:
-            self.waiting.appendValue((int(row.seq), ts, row.value))
+            self.waiting.update([*self.waiting.items(), (int(row.seq), ts, row.value)])
             self.handle.registerTimer(ts + self.timeout_ms)
         return out
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held, now = self._held(), expiredTimerInfo.getExpiryTimeInMs()
-        over = [w for w in held if w[1] + self.timeout_ms <= now]
-        rest = [w for w in held if w[1] + self.timeout_ms > now]
-        self.waiting.put(rest) if rest else self.waiting.clear()
-        if over:
-            yield pd.DataFrame([(key[0], *w) for w in over], columns=self.columns)
+    def expired(self, key, now):
+        held = self.waiting.items()
+        self.waiting.update([w for w in held if w[1] + self.timeout_ms > now])
+        return [(key[0], *w) for w in held if w[1] + self.timeout_ms <= now]
 
 
 class RisingAlert(Ordered):
@@ -278,12 +398,12 @@ class RisingAlert(Ordered):
         self.hold_ms, self.level = hold // timedelta(milliseconds=1), level
 
     def open(self, handle):
-        self.last = handle.getValueState("last", "level double")
-        self.since = handle.getValueState("since", "ts long")
+        self.last = self.value_state("last", "level double")
+        self.since = self.value_state("since", "ts long")
 
     def step(self, key, row):
-        level, ts = float(getattr(row, self.level)), int(row.ts)
-        previous = self.last.get()[0] if self.last.exists() else 0.0
+        level, ts = number(getattr(row, self.level)), int(row.ts)
+        previous = (self.last.get() or (None,))[0] or 0.0
         self.last.update((level,))
         out = []
         if self.since.exists():
@@ -293,7 +413,7 @@ class RisingAlert(Ordered):
                 self.handle.deleteTimer(since + self.hold_ms)
                 self.since.clear()
                 out.append((str(key[0]), since))
-        if level > previous:
+        if level is not None and level > previous:
             if not self.since.exists():
                 self.since.update((ts,))
                 self.handle.registerTimer(ts + self.hold_ms)
@@ -302,11 +422,10 @@ class RisingAlert(Ordered):
             self.since.clear()
         return out
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.since.exists():
-            since = self.since.get()[0]
-            self.since.clear()
-            yield pd.DataFrame([(str(key[0]), since)], columns=self.columns)
+    def expired(self, key, now):
+        since = self.since.get()
+        self.since.clear()
+        return [(str(key[0]), since[0])] if since else []
 
 
 class Reminder(Ordered):
@@ -326,7 +445,5 @@ class Reminder(Ordered):
         self.handle.registerTimer(now + self.delay_ms)
         return []
 
-    def handleExpiredTimer(
-        self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo
-    ) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame([(str(key[0]), expiredTimerInfo.getExpiryTimeInMs())], columns=self.columns)
+    def expired(self, key, now):
+        return [(str(key[0]), now)]

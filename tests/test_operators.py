@@ -413,3 +413,15 @@ def test_keywords_with_a_dictionary(spark):
     assert sorted(r.keyword for r in split.filter("id = 2").collect()) == sorted(["连衣裙", "子"])
     keywords.register(spark)
     assert [r.word for r in spark.sql("SELECT word FROM ik_analyze('Big data, 2024')").collect()] == ["big", "data", "2024"]
+
+
+@pytest.mark.parametrize("gap", ["500 milliseconds", "1 week", "1 minute 30 seconds", "0 seconds", "-5 seconds", None])
+def test_gaps_mean_the_same_with_and_without_cuts(spark, gap):
+    rows = [("a", i * 100, i) for i in range(20)] + [("a", None, 50), ("b", 40_000, 60), ("a", 700_000, 61), ("a", 788_000, 62)]
+    df = spark.createDataFrame(rows, "k string, ms long, seq long").withColumn("ts", F.timestamp_millis("ms"))
+    df = df.withColumn("gap", F.lit(gap).cast("string"))
+    found = [
+        sorted(windows.session_window(df, "ts", F.col("gap"), ["k"], {"n": F.count("*")}, ["ts", "seq"], hot_rows=cut).collect())
+        for cut in (None, 2)
+    ]
+    assert found[0] == found[1] and bool(found[0]) == (gap in ("500 milliseconds", "1 week", "1 minute 30 seconds"))
