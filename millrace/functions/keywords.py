@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
-import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf, udtf
+from pyspark.sql.functions import pandas_udf
 
 WORD = r"[\p{L}\p{N}]+"
 HAN_RUN = r"\p{IsHan}"
@@ -36,19 +33,31 @@ def keywords(df: DataFrame, text: str, name: str = "keyword", dictionary: DataFr
 
 
 def segment(distinct: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Words of every token in ``_token``, as the array ``_words``."""
-    longest = dictionary.agg(F.max(F.length("word"))).scalar()
-    starts = distinct.withColumn("_at", F.explode(F.sequence(F.lit(1), F.length("_token"))))
-    room = F.least(F.coalesce(longest, F.lit(1)), F.length("_token") - F.col("_at") + 1)
-    parts = starts.withColumn("_size", F.explode(F.sequence(F.lit(1), room)))
-    known = parts.join(
-        dictionary.select(F.lower("word").alias("_word")).distinct(),
-        F.substring(F.col("_token"), F.col("_at"), F.col("_size")) == F.col("_word"),
-        "left_semi",
+    """Words of every token in ``_token``, as the array ``_words``.
+
+    Parts of a token travel with its hash instead of the token, so the work grows with its length alone.
+    """
+    longest = F.coalesce(dictionary.agg(F.max(F.length("word"))).scalar(), F.lit(1))
+    marked = distinct.withColumns({"_key": F.sha2("_token", 256), "_chars": F.split("_token", "")})
+    sizes = F.sequence(F.lit(1), longest)
+
+    def parts(_char: Column, i: Column) -> Column:
+        """The words that may begin at a place, as far as the token goes."""
+        inside = F.filter(sizes, lambda size: i + size <= F.size("_chars"))
+        return F.transform(
+            inside,
+            lambda size: F.struct(
+                (i + 1).alias("_at"), size.alias("_size"), F.array_join(F.slice("_chars", i + 1, size), "").alias("_part")
+            ),
+        )
+
+    at = marked.select("_key", F.explode(F.flatten(F.transform("_chars", parts))).alias("_p")).select("_key", "_p.*")
+    known = at.join(
+        dictionary.select(F.lower("word").alias("_word")).distinct(), F.col("_part") == F.col("_word"), "left_semi"
     )
-    best = known.groupBy("_token", "_at").agg(F.max("_size").alias("_size"))
-    found = best.groupBy("_token").agg(F.array_sort(F.collect_list(F.struct("_at", "_size"))).alias("_found"))
-    kept = distinct.join(found, "_token", "left")
+    best = known.groupBy("_key", "_at").agg(F.max("_size").alias("_size"))
+    found = best.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_at", "_size"))).alias("_found"))
+    kept = marked.join(found, "_key", "left")
     return kept.select("_token", _without_overlap("_token", "_found").alias("_words"))
 
 
@@ -68,14 +77,9 @@ def _without_overlap(token: pd.Series, found: pd.Series) -> pd.Series:
     return pd.Series([walk(t, f) for t, f in zip(token, found)])
 
 
-@udtf(returnType=T.StructType().add("word", T.StringType()), useArrow=True)
-class KeywordTable:
-    """``LATERAL ik_analyze(text)`` in SQL: the letter and digit runs of a text."""
-
-    def eval(self, text: str) -> Iterator[tuple[str]]:
-        for word in regex.findall(WORD, (text or "").lower()):
-            yield (word,)
-
-
 def register(spark: SparkSession) -> None:
-    spark.udtf.register("ik_analyze", KeywordTable)
+    """``LATERAL ik_analyze(text)`` in SQL: the letter and digit runs of a text, by built-in functions."""
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY FUNCTION ik_analyze(text STRING) RETURNS TABLE (word STRING) "
+        f"RETURN SELECT explode(regexp_extract_all(lower(text), r'{WORD}', 0))"
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,8 +12,12 @@ from millrace.schemas import MONEY
 
 
 def latest(mart: DataFrame, keys: list[str], version: str = "ts") -> DataFrame:
-    """The newest version of every mart row; each map task keeps one row per key before the shuffle."""
-    newest = Window.partitionBy(*keys).orderBy(F.col(version).desc())
+    """The newest version of every mart row; each map task keeps one row per key before the shuffle.
+
+    Rows of one version go by their other columns, the largest first, so a repeated run gives the same row.
+    """
+    others = [c for c in mart.columns if c not in (*keys, version)]
+    newest = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in (version, *others)])
     return mart.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1").drop("_rank")
 
 
@@ -24,9 +28,12 @@ def gmv_by_day(product_mart: DataFrame) -> DataFrame:
 
 
 def gmv(product_mart: DataFrame, day: int = 0) -> DataFrame:
-    """Order amount of one day, today for 0, in the shape of the answer: status and data."""
-    wanted = day or int(date.today().strftime("%Y%m%d"))
-    of_day = product_mart.filter(times.day_number(F.to_timestamp("stt")) == wanted)
+    """Order amount of one day (UTC), today for 0, in the shape of the answer: status and data.
+
+    The day is compared with the text that windows start with, which a stored mart is pruned by.
+    """
+    wanted = datetime.strptime(str(day), "%Y%m%d") if day else datetime.now(timezone.utc)
+    of_day = product_mart.select("stt", "order_amount").filter(F.col("stt").startswith(wanted.strftime("%Y-%m-%d ")))
     return of_day.agg(F.lit(0).alias("status"), F.sum("order_amount").cast(MONEY).alias("data"))
 
 

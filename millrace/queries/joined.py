@@ -76,6 +76,19 @@ def window_join(spark: SparkSession, sf: str) -> DataFrame:
     return joins.window_join_count(views, clicks, ["user_id"], "ts", "1 day").drop("left_rows", "right_rows")
 
 
+@query(
+    """
+    SELECT date_trunc('day', v.ts) AS window_start, v.user_id, v.event_id, v.ts, c.event_id AS right_event_id, c.ts AS right_ts
+    FROM events v JOIN events c ON v.user_id = c.user_id AND date_trunc('day', v.ts) = date_trunc('day', c.ts)
+    WHERE v.event_type = 'view' AND c.event_type = 'click'
+    """
+)
+def window_join_rows(spark: SparkSession, sf: str) -> DataFrame:
+    events = table(spark, sf, "events").select("user_id", "event_id", "ts", "event_type")
+    views, clicks = events.filter("event_type = 'view'").drop("event_type"), events.filter("event_type = 'click'").drop("event_type")
+    return joins.window_join(views, clicks, ["user_id"], "ts", "1 day")
+
+
 @query(
     """
     SELECT o_orderkey, o_totalprice, k AS receipt_key, n AS lines,

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+MOST_MS = 9_000_000_000_000_000 // 1000
+
 
 def raw_lines(spark: SparkSession, path: str, streaming: bool = True) -> DataFrame:
-    """Lines as they arrive, with the day of their own timestamp."""
+    """Lines as they arrive, with the day of their own timestamp; null where a line has none that can be read."""
     lines = (spark.readStream if streaming else spark.read).text(path)
-    ms = F.get_json_object("value", "$.ts").cast("long")
-    return lines.withColumn("dt", F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd"))
+    ms = F.get_json_object("value", "$.ts").try_cast("long")
+    known = ms.between(-MOST_MS, MOST_MS)  # what a timestamp can hold
+    return lines.withColumn("dt", F.date_format(F.timestamp_millis(F.when(known, ms)), "yyyy-MM-dd"))
 
 
 def write_bronze(lines: DataFrame, path: str, checkpoint: str):

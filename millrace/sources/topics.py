@@ -48,7 +48,10 @@ def ensure_folder(spark: SparkSession, root: str, topic: str) -> None:
 
 
 def values(records: DataFrame, schema: str) -> DataFrame:
-    """The JSON values of a topic as typed columns; numbers may be written as text, as in a change feed."""
+    """The JSON values of a topic as typed columns; numbers may be written as text, as in a change feed.
+
+    A value that does not fit its column is null, so one bad record does not end a job.
+    """
     parsed = records.select(F.from_json("value", "map<string,string>").alias("r"))
     fields = T.StructType.fromDDL(schema).fields
-    return parsed.select(*[F.col("r")[f.name].cast(f.dataType).alias(f.name) for f in fields])
+    return parsed.select(*[F.col("r")[f.name].try_cast(f.dataType).alias(f.name) for f in fields])
