@@ -38,12 +38,13 @@ def segment(distinct: DataFrame, dictionary: DataFrame) -> DataFrame:
     Parts of a token travel with its hash instead of the token, so the work grows with its length alone.
     """
     longest = F.coalesce(dictionary.agg(F.max(F.length("word"))).scalar(), F.lit(1))
-    marked = distinct.withColumns({"_key": F.sha2("_token", 256), "_chars": F.split("_token", "")})
-    sizes = F.sequence(F.lit(1), longest)
+    marked = distinct.withColumns(
+        {"_key": F.sha2("_token", 256), "_chars": F.split("_token", ""), "_sizes": F.sequence(F.lit(1), longest)}
+    )
 
     def parts(_char: Column, i: Column) -> Column:
         """The words that may begin at a place, as far as the token goes."""
-        inside = F.filter(sizes, lambda size: i + size <= F.size("_chars"))
+        inside = F.filter("_sizes", lambda size: i + size <= F.size("_chars"))
         return F.transform(
             inside,
             lambda size: F.struct(

@@ -425,3 +425,10 @@ def test_gaps_mean_the_same_with_and_without_cuts(spark, gap):
         for cut in (None, 2)
     ]
     assert found[0] == found[1] and bool(found[0]) == (gap in ("500 milliseconds", "1 week", "1 minute 30 seconds"))
+
+
+def test_a_long_run_is_split_in_time_of_its_length(spark):
+    text = spark.createDataFrame([(1, "红色连衣裙" * 4000)], "id int, t string")
+    dictionary = spark.createDataFrame([("红色",), ("连衣",), ("连衣裙",)], "word string")
+    found = keywords.keywords(text, "t", dictionary=dictionary).groupBy("keyword").count().collect()
+    assert sorted(tuple(r) for r in found) == sorted([("红色", 4000), ("连衣裙", 4000)])
