@@ -89,6 +89,8 @@ def order_details(orders: DataFrame, details: DataFrame, delay: str = "10 second
         "sku_num",
         "order_price",
         "split_total_amount",
+        "split_activity_amount",
+        "split_coupon_amount",
         times.text_to_time(F.col("create_time")).alias("detail_ts"),
     )
     bound = timedelta(seconds=ORDER_DETAIL_SECONDS)

@@ -115,13 +115,18 @@ def _order_time(key: Column, seconds: Column) -> Column:
 
 def order_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spread(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    key, total = F.col("o_orderkey"), F.col("o_totalprice").cast(MONEY)
     return orders.select(
-        F.col("o_orderkey").alias("id"),
+        key.alias("id"),
         (F.col("o_custkey") % 25).alias("province_id"),
         F.col("o_custkey").alias("user_id"),
         F.col("o_orderstatus").alias("order_status"),
-        F.col("o_totalprice").cast(MONEY).alias("total_amount"),
-        _order_time(F.col("o_orderkey"), F.lit(0)).alias("create_time"),
+        total.alias("total_amount"),
+        (key % 7).cast(MONEY).alias("activity_reduce_amount"),
+        (key % 5).cast(MONEY).alias("coupon_reduce_amount"),
+        (total + key % 7 + key % 5).cast(MONEY).alias("original_total_amount"),
+        (key % 11).cast(MONEY).alias("feight_fee"),
+        _order_time(key, F.lit(0)).alias("create_time"),
     )
 
 
@@ -136,6 +141,8 @@ def order_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_quantity").cast("long").alias("sku_num"),
         F.col("l_extendedprice").cast(MONEY).alias("order_price"),
         F.col("l_extendedprice").cast(MONEY).alias("split_total_amount"),
+        (F.col("l_linenumber") % 3).cast(MONEY).alias("split_activity_amount"),
+        (F.col("l_linenumber") % 2).cast(MONEY).alias("split_coupon_amount"),
         _order_time(F.col("l_orderkey"), F.col("l_linenumber") * 2 - 9).alias("create_time"),
     )
 

@@ -149,10 +149,16 @@ ORDER_SQL = """
     info AS (
         SELECT o_orderkey AS id, o_custkey % 25 AS province_id, o_custkey AS user_id, o_orderstatus AS order_status,
                CAST(o_totalprice AS DECIMAL(18,2)) AS total_amount, o_orderpriority AS payment_type,
+               CAST(o_orderkey % 7 AS DECIMAL(18,2)) AS activity_reduce_amount,
+               CAST(o_orderkey % 5 AS DECIMAL(18,2)) AS coupon_reduce_amount,
+               CAST(CAST(o_totalprice AS DECIMAL(18,2)) + o_orderkey % 7 + o_orderkey % 5 AS DECIMAL(18,2))
+                   AS original_total_amount, CAST(o_orderkey % 11 AS DECIMAL(18,2)) AS feight_fee,
                TIMESTAMP '2024-01-01' + to_minutes(o_orderkey) AS created FROM orders),
     detail AS (
         SELECT l_orderkey * 10 + l_linenumber AS detail_id, l_orderkey AS order_id, l_partkey AS sku_id,
                CAST(l_quantity AS BIGINT) AS sku_num, CAST(l_extendedprice AS DECIMAL(18,2)) AS amount,
+               CAST(l_linenumber % 3 AS DECIMAL(18,2)) AS split_activity_amount,
+               CAST(l_linenumber % 2 AS DECIMAL(18,2)) AS split_coupon_amount,
                TIMESTAMP '2024-01-01' + to_minutes(l_orderkey) + to_seconds(l_linenumber * 2 - 9) AS line_created
         FROM lineitem),
     wide AS (
@@ -174,28 +180,29 @@ def products(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(
-    f"""
-    WITH {ORDER_SQL}
-    SELECT detail_id, order_id, sku_id, sku_num, amount AS order_price, amount AS split_total_amount, province_id, user_id,
-           order_status, total_amount, strftime(created, '%Y-%m-%d %H:%M:%S') AS create_time,
-           CAST(created AS DATE) AS create_date, strftime(created, '%H:%M:%S') AS create_hour,
-           CAST(hour(created) AS INTEGER) AS create_hour_number,
-           CAST(date_diff('day', DATE '1950-01-01' + CAST(c_custkey % 20000 AS INTEGER), DATE '{AS_OF}') // 365 AS INTEGER)
-               AS user_age,
-           CASE WHEN c_custkey IS NULL THEN NULL WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'M' END AS user_gender,
-           n_name AS province_name, '0' || n_nationkey AS province_area_code, 'N-' || n_nationkey AS province_iso_code,
-           r_name || '-' || n_nationkey AS province_3166_2_code,
-           p_name AS sku_name, CAST(p_size AS BIGINT) AS spu_id, CAST(split_part(p_brand, '#', 2) AS BIGINT) AS tm_id,
-           p_type AS category3_id, 'spu ' || p_size AS spu_name, p_brand AS tm_name, lower(p_type) AS category3_name
-    FROM wide
+# What a wide line has besides the order's own time, buyer and amount, and where it comes from.
+WIDE_COLUMNS = f"""
+    detail_id, order_id, sku_id, sku_num, amount AS order_price, amount AS split_total_amount, split_activity_amount,
+    split_coupon_amount, province_id, order_status, activity_reduce_amount, coupon_reduce_amount, original_total_amount,
+    feight_fee, CAST(created AS DATE) AS create_date, strftime(created, '%H:%M:%S') AS create_hour,
+    CAST(hour(created) AS INTEGER) AS create_hour_number,
+    CAST(date_diff('day', DATE '1950-01-01' + CAST(c_custkey % 20000 AS INTEGER), DATE '{AS_OF}') // 365 AS INTEGER)
+        AS user_age,
+    CASE WHEN c_custkey IS NULL THEN NULL WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'M' END AS user_gender,
+    n_name AS province_name, '0' || n_nationkey AS province_area_code, 'N-' || n_nationkey AS province_iso_code,
+    r_name || '-' || n_nationkey AS province_3166_2_code,
+    p_name AS sku_name, CAST(p_size AS BIGINT) AS spu_id, CAST(split_part(p_brand, '#', 2) AS BIGINT) AS tm_id,
+    p_type AS category3_id, 'spu ' || p_size AS spu_name, p_brand AS tm_name, lower(p_type) AS category3_name
+"""
+WIDE_DIMENSIONS = """
     LEFT JOIN customer ON user_id = c_custkey
     LEFT JOIN nation ON province_id = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey
     LEFT JOIN part ON sku_id = p_partkey
-    """
-)
-def order_wide(spark: SparkSession, sf: str) -> DataFrame:
-    wide = dwm.order_wide(
+"""
+
+
+def wide_orders(spark: SparkSession, sf: str) -> DataFrame:
+    return dwm.order_wide(
         star_views.order_info(spark, sf),
         star_views.order_detail(spark, sf),
         star_views.users(spark, sf),
@@ -203,7 +210,17 @@ def order_wide(spark: SparkSession, sf: str) -> DataFrame:
         products(spark, sf),
         F.lit(AS_OF).cast("date"),
     )
-    return wide.drop("create_ts")
+
+
+@query(
+    f"""
+    WITH {ORDER_SQL}
+    SELECT {WIDE_COLUMNS}, user_id, total_amount, strftime(created, '%Y-%m-%d %H:%M:%S') AS create_time
+    FROM wide {WIDE_DIMENSIONS}
+    """
+)
+def order_wide(spark: SparkSession, sf: str) -> DataFrame:
+    return wide_orders(spark, sf).drop("create_ts")
 
 
 @query(
@@ -212,23 +229,13 @@ def order_wide(spark: SparkSession, sf: str) -> DataFrame:
     paid AS (
         SELECT id AS payment_id, user_id AS payer, total_amount AS paid_amount, 'order ' || id AS subject,
                payment_type AS kind, created + to_minutes(id % 20 - 1) AS paid_at FROM info)
-    SELECT payment_id, payer AS user_id, paid_amount AS total_amount, subject, kind AS payment_type,
+    SELECT {WIDE_COLUMNS}, payment_id, payer AS user_id, paid_amount AS total_amount, subject, kind AS payment_type,
            strftime(paid_at, '%Y-%m-%d %H:%M:%S') AS payment_create_time,
            strftime(paid_at, '%Y-%m-%d %H:%M:%S') AS callback_time,
-           detail_id, order_id, sku_id, sku_num, amount AS order_price, amount AS split_total_amount, province_id,
-           order_status, strftime(created, '%Y-%m-%d %H:%M:%S') AS order_create_time, n_name AS province_name
+           strftime(created, '%Y-%m-%d %H:%M:%S') AS order_create_time
     FROM paid JOIN wide ON payment_id = order_id AND created BETWEEN paid_at - INTERVAL 15 MINUTE AND paid_at
-    LEFT JOIN nation ON province_id = n_nationkey
+    {WIDE_DIMENSIONS}
     """
 )
 def payment_wide(spark: SparkSession, sf: str) -> DataFrame:
-    wide = dwm.with_province(order_details(spark, sf), star_views.provinces(spark, sf))
-    paid = dwm.payment_wide(star_views.payment_info(spark, sf), wide)
-    return paid.drop(
-        "create_date",
-        "create_hour",
-        "create_hour_number",
-        "province_area_code",
-        "province_iso_code",
-        "province_3166_2_code",
-    )
+    return dwm.payment_wide(star_views.payment_info(spark, sf), wide_orders(spark, sf))

@@ -185,9 +185,12 @@ def order_wide_job(
 
 WIDE = f"""
     detail_id bigint, order_id bigint, sku_id bigint, sku_num bigint, order_price {schemas.MONEY},
-    split_total_amount {schemas.MONEY}, province_id bigint, user_id bigint, order_status string,
-    total_amount {schemas.MONEY}, create_time string, province_name string, province_area_code string,
-    province_iso_code string, province_3166_2_code string, user_age int, user_gender string
+    split_total_amount {schemas.MONEY}, split_activity_amount {schemas.MONEY}, split_coupon_amount {schemas.MONEY},
+    province_id bigint, user_id bigint, order_status string, total_amount {schemas.MONEY},
+    activity_reduce_amount {schemas.MONEY}, coupon_reduce_amount {schemas.MONEY}, original_total_amount {schemas.MONEY},
+    feight_fee {schemas.MONEY}, create_time string, province_name string, province_area_code string,
+    province_iso_code string, province_3166_2_code string, user_age int, user_gender string, sku_name string, spu_id bigint,
+    spu_name string, tm_id bigint, tm_name string, category3_id string, category3_name string
 """
 
 
