@@ -144,19 +144,28 @@ def product_facts(
     comments: DataFrame,
 ) -> DataFrame:
     """Seven feeds as one record: clicks and displays, favourites, carts, orders, payments, refunds, comments."""
-    one = F.lit(1).cast("long")
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
     logged = _product_defaults(times.millis_to_time(F.col("ts")))
     created = _product_defaults(times.text_to_time(F.col("create_time")))
     paid = _product_defaults(times.text_to_time(F.col("payment_create_time")))
     sku = F.col("sku_id").cast("long")
-    shown = pages.select("ts", F.explode("displays").alias("display")).filter("display.item_type = 'sku_id'")
+    # Clicks and displays of a page leave one pass over the log.
+    of_sku = F.filter("displays", lambda display: display["item_type"] == "sku_id")
+    marks = F.transform(of_sku, lambda display: F.struct(display["item"].alias("item"), none.alias("click"), one.alias("display")))
+    click = F.array(F.struct(F.col("page.item").alias("item"), one.alias("click"), none.alias("display")))
+    opened = F.when(F.col("page.page_id") == "good_detail", click)
+    empty = F.array().cast("array<struct<item:string,click:bigint,display:bigint>>")
+    seen = pages.select("ts", F.explode(F.concat(F.coalesce(opened, empty), F.coalesce(marks, empty))).alias("mark"))
     good = F.when(F.col("appraise") == APPRAISE_GOOD, 1).otherwise(0).cast("long")
     return union_all(
         [
             _record(
-                pages.filter("page.page_id = 'good_detail'"), logged, sku_id=F.col("page.item").cast("long"), click_ct=one
+                seen,
+                logged,
+                sku_id=F.col("mark.item").try_cast("long"),
+                click_ct=F.col("mark.click"),
+                display_ct=F.col("mark.display"),
             ),
-            _record(shown, logged, sku_id=F.col("display.item").cast("long"), display_ct=one),
             _record(favors, created, sku_id=sku, favor_ct=one),
             _record(carts, created, sku_id=sku, cart_ct=one),
             _record(
