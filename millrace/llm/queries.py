@@ -63,9 +63,15 @@ def op8_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def toxicity_model(documents: DataFrame, labels: DataFrame) -> toxicity.ToxicityModel | None:
-    """Learned from the labelled documents outside the held-out fold."""
-    known = labels.select("doc_id", "toxic").filter(~held_out(5, 0))
-    labelled = documents.select("doc_id", "text").join(known, "doc_id")
+    """Learned from labelled documents outside the held-out fold.
+
+    The sample is drawn among the labels, so that only its few texts are fetched, by a list of at most as many rows as the
+    sample has.
+    """
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(~held_out(5, 0) & F.col("toxic").isin(0, 1))
+    most = {1: toxicity.TOXIC_ROWS, 0: toxicity.CLEAN_ROWS}
+    sample = tables.keep(tables.first_rows(known.withColumn("place", F.xxhash64("doc_id")), "toxic", "place", most), "labels")
+    labelled = documents.select("doc_id", "text").join(F.broadcast(sample.select("doc_id", "toxic")), "doc_id")
     return toxicity.train(labelled, F.xxhash64("doc_id"))
 
 

@@ -1,6 +1,6 @@
 """Toxic texts by a support vector machine over a subsequence string kernel, with Nyström landmarks.
 
-A unit is a word with whatever is glued to it, or a run of single characters read as one word. The kernel of two units
+A unit is a word with whatever is glued to it, the same without marks, or a run of single characters read as one word. The kernel of two units
 counts the three-character subsequences that they share; one that spans s characters weighs DECAY ** (s - 3), up to
 MOST_SPAN, so inserted characters and gaps cost little. Values are divided by the norms of both units.
 
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import heapq
 import random
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -38,29 +39,34 @@ MOST_INSULTS = 400
 CLEAN_WORDS = 6000
 LANDMARKS = 300
 WORST = 3
+BIAS = -1.0
 EVIDENCE = 16.0
 LEAST_INSULTS = 8
 READ_BYTES = 2 << 20
-BLOCK_WORDS = 4096
+BLOCK_WORDS = 1024
+LANDMARKS_AT_ONCE = 48
 MOST_KNOWN = 200_000
 
 
 @dataclass
 class ToxicityModel:
-    """Weight of each subsequence, bias, and the logistic weights (the last one the constant) of the worst units."""
+    """Weight of each subsequence, and the logistic weights (the last one the constant) of the worst units."""
 
     weights: np.ndarray
-    bias: float
     of_worst: list[float]
 
 
+_MARKS = re.compile(r"[\W_]+")
+
 # -- units ----------------------------------------------------------------------------------------------------
 
 
 def units(text: str) -> set[str]:
-    """Distinct units of a text; one longer than UNIT_CHARS as overlapping parts."""
+    """Distinct units of a text: words as they stand and without the marks in them; a long one as overlapping parts."""
     words = text.lower().split()
     found = set(words)
+    found.update([_MARKS.sub("", word) for word in found if not word.isalnum()])
+    found.discard("")
     if any(len(word) > UNIT_CHARS for word in found):
         for word in [word for word in found if len(word) > UNIT_CHARS]:
             found.discard(word)
@@ -146,19 +152,23 @@ def features(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
-    """Normalised kernel of every word with every landmark."""
-    table = np.zeros((SYMBOLS**3, len(landmarks)), np.float32)
-    for places, codes, weights in features(landmarks):
-        np.add.at(table, (codes, places[:, None]), weights)
+    """Normalised kernel of every word with every landmark; a few landmarks at a time, as each has a weight for every code."""
     values = np.zeros((len(words), len(landmarks)))
-    for places, codes, weights in features(words):
-        for column in range(codes.shape[1]):
-            values[places] += weights[:, column, None] * table[codes[:, column]]
+    for start in range(0, len(landmarks), LANDMARKS_AT_ONCE):
+        part = landmarks[start : start + LANDMARKS_AT_ONCE]
+        table = np.zeros((SYMBOLS**3, len(part)), np.float32)
+        for places, codes, weights in features(part):
+            np.add.at(table, (codes, places[:, None]), weights)
+        for places, codes, weights in features(words):
+            sums = np.zeros((len(places), len(part)))
+            for column in range(codes.shape[1]):
+                sums += weights[:, column, None] * table[codes[:, column]]
+            values[places, start : start + len(part)] = sums
     return values
 
 
 def margins(model: ToxicityModel, words: list[str]) -> np.ndarray:
-    values = np.full(len(words), model.bias)
+    values = np.full(len(words), BIAS)
     for places, codes, weights in features(words):
         values[places] += (weights * model.weights[codes]).sum(axis=1)
     return values
@@ -206,23 +216,24 @@ def variants(word: str, seed: int) -> list[str]:
 
 
 def _machine(points: np.ndarray, signs: np.ndarray, sizes: np.ndarray, ridge: float) -> np.ndarray:
-    """Weights and bias (last) that minimise squared hinge loss, by Newton steps."""
-    points = np.hstack([points, np.ones((len(points), 1))])
+    """Weights that minimise squared hinge loss, by Newton steps.
+
+    The bias is fixed at BIAS: a unit that shares nothing with any landmark is clean, whatever script it is in.
+    """
     weights = np.zeros(points.shape[1])
-    penalty = np.full(points.shape[1], ridge)
-    penalty[-1] = 1e-6
+    wanted = signs - BIAS
     for _ in range(30):
-        inside = signs * (points @ weights) < 1
+        inside = signs * (points @ weights + BIAS) < 1
         held, scaled = points[inside], sizes[inside]
-        matrix = (held * scaled[:, None]).T @ held + np.diag(penalty)
-        fresh = np.linalg.solve(matrix, held.T @ (scaled * signs[inside]))
+        matrix = (held * scaled[:, None]).T @ held + ridge * np.eye(len(weights))
+        fresh = np.linalg.solve(matrix, held.T @ (scaled * wanted[inside]))
         if np.abs(fresh - weights).max() < 1e-8:
             break
         weights = fresh
     return weights
 
 
-def _fit(insults: list[str], clean: list[str], landmarks: int) -> tuple[np.ndarray, float]:
+def _fit(insults: list[str], clean: list[str], landmarks: int) -> np.ndarray:
     positive = list(dict.fromkeys([*insults, *(v for word in insults for v in variants(word, 7))]))
     known = set(positive)
     negative = [word for word in dict.fromkeys(clean) if word not in known]
@@ -236,11 +247,11 @@ def _fit(insults: list[str], clean: list[str], landmarks: int) -> tuple[np.ndarr
     values, vectors = np.linalg.eigh(kernel(chosen, chosen))
     root = vectors / np.sqrt(np.maximum(values, 1e-6))
     solved = _machine(kernel(words, chosen) @ root, signs, sizes * len(words), ridge=0.05)
-    of_landmark = root @ solved[:-1]
+    of_landmark = root @ solved
     weights = np.zeros(SYMBOLS**3)
     for places, codes, shares in features(chosen):
         np.add.at(weights, codes, shares * of_landmark[places][:, None])
-    return weights, float(solved[-1])
+    return weights
 
 
 def _logistic(points: np.ndarray, labels: np.ndarray, ridge: float = 0.05) -> list[float]:
@@ -270,7 +281,9 @@ def train(
     usable = labelled.select("text", F.col("toxic").cast("int").alias("toxic"), order.alias("place"))
     usable = usable.filter("text IS NOT NULL AND toxic IN (0, 1)")
     sample = tables.first_rows(usable, "toxic", "place", {1: toxic_rows, 0: clean_rows})
-    sample = tables.keep(sample.select("text", "toxic"), "toxicity-sample")
+    # The sample comes from a task for each kind of row; its words are counted by all.
+    sample = sample.select("text", "toxic").repartition(tables.shuffle_partitions(labelled.sparkSession))
+    sample = tables.keep(sample, "toxicity-sample")
     counted = tables.keep(labelled_words(sample), "toxicity-words")
     sums = counted.agg(F.sum("in_toxic"), F.sum("in_clean")).first()
     if not sums[0] or not sums[1]:
@@ -290,8 +303,7 @@ def train(
     clean = [row.word for row in [*common, *any_word] if row.in_clean]
     if not strong or not clean:
         return None
-    weights, bias = _fit(strong, clean, landmarks)
-    model = ToxicityModel(weights, bias, [])
+    model = ToxicityModel(_fit(strong, clean, landmarks), [])
     told = text_margins(sample, model, "text").select("toxic", "margins").collect()  # three numbers per row of the sample
     model.of_worst = _logistic(np.array([row.margins for row in told]), np.array([row.toxic for row in told]))
     return model
@@ -307,7 +319,7 @@ def text_margins(df: DataFrame, model: ToxicityModel, text_column: str = "text")
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         learned = shared()
         known: dict[str, float] = {}
-        missing = [min(learned.bias, -1.0)] * WORST
+        missing = [BIAS] * WORST
         for batch in texts.in_pieces(batches, text_column, READ_BYTES):
             found = [units(text) for text in texts.strings(batch.column(text_column))]
             if len(known) > MOST_KNOWN:
