@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from millrace.llm import tables, texts
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 _SHIFT = 32
 
 
@@ -33,7 +33,7 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         made = {
             (ranks[token[:cut]] << _SHIFT) | ranks[token[cut:]]: rank
             for token, rank in ranks.items()
@@ -53,7 +53,7 @@ class Vocabulary:
         """Rank of each pair, -1 where the two make no token."""
         if not len(self.pair_keys):
             return np.full(len(left), -1, np.int64)
-        keys = (left << _SHIFT) | right
+        keys = (left.astype(np.int64) << _SHIFT) | right
         at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
         return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], -1)
 
@@ -77,9 +77,9 @@ class MergeReplay:
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         self.tokens = vocabulary.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
         size = len(self.tokens)
-        self.word = np.repeat(np.arange(len(words)), lengths)
-        self.following = np.arange(1, size + 1)
-        self.previous = np.arange(-1, size - 1)
+        self.word = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+        self.following = np.arange(1, size + 1, dtype=np.int32)
+        self.previous = np.arange(-1, size - 1, dtype=np.int32)
         full = lengths > 0
         ends = np.cumsum(lengths)[full]
         self.following[ends - 1] = -1
@@ -146,7 +146,7 @@ class MergeReplay:
         """The ids of each word, as little-endian 32-bit integers."""
         if not len(self.tokens):
             return [b""] * len(self.words)
-        starts = np.flatnonzero(self.following >= 0)
+        starts = np.flatnonzero(self.following >= 0).astype(np.int32)
         self.enter(starts, self.vocabulary.rank(self.tokens[starts], self.tokens[self.following[starts]]))
         while self.waiting:
             self.merge(heapq.heappop(self.waiting))
