@@ -20,21 +20,22 @@ def components(links: DataFrame) -> DataFrame:
     """
     links = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     links = tables.keep(links.distinct(), "links")
-    before = _state(links)
     for _ in range(MOST_ROUNDS):
-        links = tables.keep(_hang_smaller(_hang_larger(links)), "links")
-        after = _state(links)
-        if after == before:
+        if _settled(links):
             break
-        before = after
+        links = tables.keep(_hang_smaller(_hang_larger(links)), "links")
     else:
         raise RuntimeError("components did not settle")
     leaves = links.select(F.col("u").alias("vertex"), F.col("v").alias("label"))
     return leaves.unionByName(leaves.select(F.col("label").alias("vertex"), "label").distinct())
 
 
-def _state(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _settled(links: DataFrame) -> bool:
+    """Whether every vertex hangs on one other, and on none that hangs itself."""
+    rows, vertices = links.agg(F.count(F.lit(1)), F.countDistinct("u")).first()
+    if rows != vertices:
+        return False
+    return links.join(links.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty()
 
 
 def _hang_larger(links: DataFrame) -> DataFrame:

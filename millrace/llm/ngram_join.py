@@ -2,8 +2,8 @@
 
 A row of the matrix is the set of distinct n-grams of a document, sorted by one global order: n-grams that many documents
 share come last. Two sets that are as alike as the limit demands share one of their first columns, as many as their sizes
-leave free; only these columns, one block for each n-gram, make pairs, and a pair is dropped when the sizes and the places
-of the shared column bound its overlap below the limit. The overlap of the other pairs is counted over their whole rows.
+leave free; only these columns, one block for each n-gram, make pairs, and a pair is dropped when its sizes and the number
+of first columns that it shares bound its overlap below the limit. The overlap of the others is counted over whole rows.
 
 Documents with equal sets are one class. In a block of thousands of near copies all pairs would say little more than a
 few: every class of a block is compared with the first one of the block, then only classes that this left in other
@@ -24,7 +24,7 @@ from millrace.llm import graph, tables, texts
 
 WORDS = 4
 PERCENT = 85
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 # Common n-grams are told by counts in so many buckets.
 BUCKET_BITS = 18
 # A list of documents to fetch is sent to all tasks up to so many rows, and joined by shuffle beyond.
@@ -174,13 +174,23 @@ def matrix(documents: DataFrame, size: int, percent: int) -> DataFrame:
 # -- product --------------------------------------------------------------------------------------------------
 
 
-def _may_link(a: str, b: str, percent: int) -> Column:
-    """Whether sizes and places of a shared column leave the pair a chance."""
-    left, right = F.col(f"{a}.n"), F.col(f"{b}.n")
-    most = F.least(left - F.col(f"{a}.place"), right - F.col(f"{b}.place"))
-    return (
-        (100 * left >= percent * right) & (100 * right >= percent * left) & (most >= least_overlap(left, right, percent))
-    )
+def _sizes_fit(left: Column, right: Column, percent: int) -> Column:
+    return (100 * left >= percent * right) & (100 * right >= percent * left)
+
+
+def _may_reach(common: Column, left: Column, right: Column, percent: int) -> Column:
+    """Whether two sets with so many common columns among their first ones can reach the limit.
+
+    Up to the nearer end of the two rows of first columns all common ones are counted; beyond it one of the sets has only
+    the columns left that it has after its first ones.
+    """
+    later = [n - _free(n, percent) for n in (left, right)]
+    return common + F.greatest(*later) >= least_overlap(left, right, percent)
+
+
+def _free(size: Column, percent: int) -> Column:
+    """``free_places`` of a column."""
+    return size - F.floor((percent * size + 99) / 100) + 1
 
 
 def overlaps(pairs: DataFrame, rows: DataFrame, documents: DataFrame, size: int) -> DataFrame:
@@ -188,9 +198,7 @@ def overlaps(pairs: DataFrame, rows: DataFrame, documents: DataFrame, size: int)
     pairs = tables.keep(pairs, "ngram-pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
     wanted = tables.keep(needed.join(rows.select("row", "id", "tag"), "row"), "ngram-wanted")
-    if wanted.count() <= MOST_BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    wanted = wanted.withColumnsRenamed({"id": "_id", "tag": "_tag"})
+    wanted = tables.sent(wanted, MOST_BROADCAST_ROWS).withColumnsRenamed({"id": "_id", "tag": "_tag"})
     same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag"))
     fetched = tables.keep(documents.join(wanted, same).select("row", "text").dropDuplicates(["row"]), "ngram-texts")
 
@@ -212,6 +220,18 @@ def overlaps(pairs: DataFrame, rows: DataFrame, documents: DataFrame, size: int)
     return both.select("a", "b", "text", "whole").mapInArrow(count, "a long, b long, shared long")
 
 
+def promising(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and first columns leave them a chance."""
+    pairs = tables.keep(pairs, "ngram-tried")
+    needed = tables.keep(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "ngram-needed")
+    firsts = rows.join(tables.sent(needed, MOST_BROADCAST_ROWS), "row", "left_semi").select("row", "n", "first")
+    for side in ("a", "b"):
+        pairs = pairs.join(firsts.withColumnsRenamed({"row": side, "n": f"n_{side}", "first": f"first_{side}"}), side)
+    common = F.size(F.array_intersect("first_a", "first_b"))
+    fit = _sizes_fit(F.col("n_a"), F.col("n_b"), percent) & _may_reach(common, F.col("n_a"), F.col("n_b"), percent)
+    return pairs.filter(fit).select("a", "b")
+
+
 def links(pairs: DataFrame, rows: DataFrame, documents: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs that reach the limit."""
     counted = overlaps(pairs, rows, documents, size)
@@ -222,6 +242,14 @@ def links(pairs: DataFrame, rows: DataFrame, documents: DataFrame, size: int, pe
     return tables.keep(counted.filter(100 * F.col("shared") >= percent * union).select("a", "b"), "ngram-links")
 
 
+def _labelled(entries: DataFrame, labels: DataFrame) -> DataFrame:
+    """Entries (gram, row, n, lead) with the component of the row and of the first one of the block."""
+    own = entries.join(labels.withColumnRenamed("vertex", "row"), "row", "left")
+    own = own.join(labels.withColumnsRenamed({"vertex": "lead", "label": "lead_label"}), "lead", "left")
+    label, lead_label = F.coalesce("label", "row"), F.coalesce("lead_label", "lead")
+    return tables.keep(own.select("gram", "row", "n", label.alias("label"), lead_label.alias("lead_label")), "ngram-labels")
+
+
 def near_duplicates(
     documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = WORDS, percent: int = PERCENT
 ) -> DataFrame:
@@ -245,34 +273,35 @@ def near_duplicates(
     again = tables.keep(
         listed.select("digest", "row").join(of_class, "digest").filter("row <> class_row").select("row"), "ngram-again"
     )
-    leads = listed.join(F.broadcast(again) if again.count() <= MOST_BROADCAST_ROWS else again, "row", "left_anti")
-    entries = leads.select("row", "n", F.posexplode("first").alias("place", "gram"))
-    lead = F.min(F.struct("row", "n", "place")).alias("lead")
-    blocks = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("members"), lead).filter("members > 1")
-    entries = tables.keep(entries.join(blocks, "gram"), "ngram-blocks")
+    leads = listed.join(tables.sent(again, MOST_BROADCAST_ROWS), "row", "left_anti")
+    entries = leads.select("row", "n", F.explode("first").alias("gram"))
+    blocks = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("members"), F.min("row").alias("lead"))
+    entries = tables.keep(entries.join(blocks.filter("members > 1").drop("members"), "gram"), "ngram-blocks")
 
     # Every class against the first one of its block.
-    e = entries.alias("e")
-    tried = e.filter(F.col("e.row") != F.col("e.lead.row")).filter(_may_link("e", "e.lead", percent))
-    first = links(tried.select(F.col("lead.row").alias("a"), F.col("row").alias("b")).distinct(), rows, documents, size, percent)
-    labels = graph.components(first)
-
-    # What is in another component than the first one of its block, against all the block.
-    labels = labels.withColumnRenamed("vertex", "row")
-    own = entries.join(labels, "row", "left").withColumn("label", F.coalesce("label", "row"))
-    of_lead = labels.withColumnsRenamed({"row": "lead_row", "label": "lead_label"})
-    own = own.withColumn("lead_row", F.col("lead.row")).join(of_lead, "lead_row", "left")
-    own = tables.keep(own.withColumn("lead_label", F.coalesce("lead_label", "lead_row")), "ngram-labels")
-    apart = own.filter("label <> lead_label").alias("l")
-    all_of_block = own.filter("members > 2 AND row <> lead_row").alias("r")
+    tried = entries.filter("row <> lead").select(F.col("lead").alias("a"), F.col("row").alias("b")).distinct()
+    found = links(promising(tried, rows, percent), rows, documents, size, percent)
+    labels = graph.components(found)
+
+    # What is in another component than the first one of its block, against all of the block. A pair of unlike labels
+    # comes once from each block that it shares, so the rows of a pair count its common first columns.
+    own = _labelled(entries, labels)
+    apart, all_of_block = own.filter("label <> lead_label").alias("l"), own.alias("r")
     # Two classes that are both apart meet once.
     once = (F.col("r.label") == F.col("r.lead_label")) | (F.col("l.row") < F.col("r.row"))
-    meet = (F.col("l.gram") == F.col("r.gram")) & (F.col("l.label") != F.col("r.label")) & once & _may_link("l", "r", percent)
-    rest = apart.join(all_of_block, meet).select(F.least("l.row", "r.row").alias("a"), F.greatest("l.row", "r.row").alias("b"))
-    second = links(rest.distinct(), rows, documents, size, percent)
+    unlike = (F.col("l.gram") == F.col("r.gram")) & (F.col("l.label") != F.col("r.label")) & once
+    met = apart.join(all_of_block, unlike & _sizes_fit(F.col("l.n"), F.col("r.n"), percent))
+    pair = [F.least("l.row", "r.row").alias("a"), F.greatest("l.row", "r.row").alias("b")]
+    counted = met.groupBy(*pair).agg(
+        F.count(F.lit(1)).alias("common"), F.min(F.least("l.n", "r.n")).alias("small"), F.min(F.greatest("l.n", "r.n")).alias("large")
+    )
+    rest = counted.filter(_may_reach(F.col("common"), F.col("small"), F.col("large"), percent)).select("a", "b")
+    last = links(rest, rows, documents, size, percent)
 
     # The smallest id of each component, for every document of its classes.
-    labels = graph.components(first.unionByName(second)).withColumnRenamed("vertex", "row")
+    if not last.isEmpty():
+        labels = graph.components(found.unionByName(last))
+    labels = labels.withColumnRenamed("vertex", "row")
     labelled = classes.join(labels, "row", "left").withColumn("label", F.coalesce("label", "row"))
     smallest = labelled.groupBy("label").agg(F.min("best").alias("best"))
     of_digest = labelled.drop("best").join(smallest, "label").select(F.col("digest").alias("_digest"), "best")
