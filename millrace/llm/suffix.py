@@ -215,6 +215,7 @@ class _RankRuns:
     def __init__(self):
         self.held: pa.Table | None = None  # the first run of the last mark, not known to have company yet
         self.mark = self.name = None
+        self.text: tuple | None = None  # id and place of the last row
         self.company = False
 
     def __call__(self, batch: pa.RecordBatch) -> list[pa.RecordBatch]:
@@ -231,12 +232,17 @@ class _RankRuns:
         old = self.mark is not None and marks[0] == self.mark
         new_mark = np.concatenate([[not old], marks[1:] != marks[:-1]])
         new_name = new_mark | np.concatenate([[not (old and names[0] == self.name)], names[1:] != names[:-1]])
+        # A row that comes twice, from other tasks, is one text: its copy does not stand earlier.
+        fresh = new_name.copy()
+        for column, last_ in zip((columns["id"], columns["place"]), self.text or (None, None)):
+            fresh[1:] |= column[1:] != column[:-1]
+            fresh[0] |= column[0] != last_
         group = np.cumsum(new_mark) - (0 if old else 1)
         different = np.bincount(group, weights=new_name)
         if old:
             different[0] += 2 if self.company else 1
         company = different[group] > 1
-        gone = ~new_name
+        gone = fresh & ~new_name
         if gone.any():
             out.append(_frame(_joined(columns["id"][gone], columns["place"][gone]), list(columns)))
         ranked = new_name & company
@@ -253,6 +259,7 @@ class _RankRuns:
                 self.held = _frame({name: column[first] for name, column in columns.items()}, list(columns))
             self.company = False
         self.mark, self.name = marks[-1], names[-1]
+        self.text = columns["id"][-1], columns["place"][-1]
         return out
 
 
@@ -283,7 +290,7 @@ def open_runs(documents: DataFrame, ranked: DataFrame, length: int) -> DataFrame
     entry = F.struct("place", "mark", F.coalesce("crowded", F.lit(False)).alias("crowded"))
     tag = F.shiftright("place", _START_BITS + _COUNT_BITS)
     listed = ranked.join(crowded, "mark", "left").select("id", tag.alias("tag"), entry.alias("entry"))
-    of_text = listed.groupBy("id", "tag").agg(F.collect_list("entry").alias("runs"))
+    of_text = listed.groupBy("id", "tag").agg(F.collect_set("entry").alias("runs"))
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         earliest: dict[bytes, tuple] = {}

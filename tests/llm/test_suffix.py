@@ -71,6 +71,28 @@ def test_small_pieces_and_batches(spark, monkeypatch):
     assert got == want
 
 
+@pytest.mark.parametrize("crowds", [False, True])
+@pytest.mark.parametrize("task_runs", [suffix.TASK_RUNS, 40])
+def test_copies_of_a_row_in_other_tasks_are_one_text(spark, monkeypatch, crowds, task_runs):
+    monkeypatch.setattr(suffix, "TASK_RUNS", task_runs)
+    monkeypatch.setattr(suffix, "PIECE_BYTES", 2000)
+    if crowds:
+        monkeypatch.setattr(suffix, "CROWD", 3)
+        monkeypatch.setattr(suffix, "CROWD_IN_TASK", 2)
+    rng = random.Random(5)
+    alone = "".join(rng.choice("abcdefgh ") for _ in range(3000))
+    passage = "".join(rng.choice("ijklmnop ") for _ in range(70))
+    near = [(20 + i, f"{i:05d}" * 30 + passage + f"{i:05d}" * 30) for i in range(12)]
+    rows = [(7, alone)] * 5 + near * 4 + [(50, "x" + alone[:400]), (60, passage)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got, want = found(spark.createDataFrame(spark.sparkContext.parallelize(rows, 9), "doc_id long, text string"), rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want
+    assert [g for g in got if g[0] == 7] == [(7, 3000, [], alone.encode())] * 5
+
+
 def test_empty_table(spark):
     assert rows_of(suffix.remove_repeats(documents(spark, []))) == []
 
