@@ -35,7 +35,7 @@ CROWD_IN_TASK = 16
 CROWD = 1000
 TASK_RUNS = 600_000
 
-_TAG_BITS, _START_BITS, _COUNT_BITS = 15, 39, 8
+_COUNT_BITS = 8
 # Stands for a null id, which comes before all others.
 _NO_ID = -(1 << 63)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -99,15 +99,13 @@ def lowest(names: np.ndarray, count: int) -> np.ndarray:
 # -- places ---------------------------------------------------------------------------------------------------
 
 
-def pack(tag: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Tag of the text, first window and number of windows in one number that sorts like them."""
-    return (tag << (_START_BITS + _COUNT_BITS)) | (start << _COUNT_BITS) | count
+def pack(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """First window and number of windows in one number that sorts like them."""
+    return (start << _COUNT_BITS) | count
 
 
-def unpack(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    count = place & ((1 << _COUNT_BITS) - 1)
-    start = (place >> _COUNT_BITS) & ((1 << _START_BITS) - 1)
-    return place >> (_START_BITS + _COUNT_BITS), start, count
+def unpack(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return place >> _COUNT_BITS, place & ((1 << _COUNT_BITS) - 1)
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -135,7 +133,7 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray
     return text[firsts], firsts - offsets[text[firsts]], counts, marks[firsts], np.array(named, np.uint64)
 
 
-_RUN = "mark long, name long, id long, place long, kind int"
+_RUN = "mark long, name long, id long, tag long, place long, kind int"
 _GONE, _RANK, _CROWD = 0, 1, 2
 
 
@@ -147,12 +145,12 @@ def find_runs(documents: DataFrame, length: int) -> DataFrame:
     """Runs of all texts: first ones of a task to be ranked, further ones of a task as gone, by ``kind``."""
 
     def close(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        ids, places, marks, names = (np.concatenate(part) for part in zip(*held))
-        order = np.lexsort((places, ids, names, marks))
-        ids, places, marks, names = ids[order], places[order], marks[order], names[order]
+        ids, tags, places, marks, names = (np.concatenate(part) for part in zip(*held))
+        order = np.lexsort((places, tags, ids, names, marks))
+        ids, tags, places, marks, names = ids[order], tags[order], places[order], marks[order], names[order]
         fresh = np.ones(len(ids), bool)  # a row that comes twice is one text
-        fresh[1:] = (ids[1:] != ids[:-1]) | (places[1:] != places[:-1]) | (marks[1:] != marks[:-1])
-        ids, places, marks, names = ids[fresh], places[fresh], marks[fresh], names[fresh]
+        fresh[1:] = (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1]) | (places[1:] != places[:-1]) | (marks[1:] != marks[:-1])
+        ids, tags, places, marks, names = ids[fresh], tags[fresh], places[fresh], marks[fresh], names[fresh]
         new_mark = np.concatenate([[True], marks[1:] != marks[:-1]])
         new_name = new_mark | np.concatenate([[True], names[1:] != names[:-1]])
         group = np.cumsum(new_mark) - 1
@@ -165,11 +163,13 @@ def find_runs(documents: DataFrame, length: int) -> DataFrame:
         gone = kind == _GONE
         columns = {
             "mark": np.where(gone, 0, marks.view(np.int64)), "name": np.where(gone, 0, names.view(np.int64)), "id": ids,
-            "place": places, "kind": kind.astype(np.int32),
+            "tag": tags, "place": places, "kind": kind.astype(np.int32),
         }
-        kept = ~gone
+        # Rows of one text follow each other, so its id and tag are compressed.
+        kept = np.lexsort((places, tags, ids))
+        kept = kept[~gone[kept]]
         yield _frame({name: column[kept] for name, column in columns.items()}, list(columns))
-        yield _frame(_joined(ids[gone], places[gone]), list(columns))
+        yield _frame(_joined(ids[gone], tags[gone], places[gone]), list(columns))
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -180,7 +180,7 @@ def find_runs(documents: DataFrame, length: int) -> DataFrame:
                 continue
             ids = batch.column("id").to_numpy(zero_copy_only=False)[text]
             tags = batch.column("tag").to_numpy(zero_copy_only=False)[text]
-            held.append((ids, pack(tags, starts, counts), marks, names))
+            held.append((ids, tags, pack(starts, counts), marks, names))
             size += len(text)
             if size > TASK_RUNS:
                 yield from close(held)
@@ -191,11 +191,11 @@ def find_runs(documents: DataFrame, length: int) -> DataFrame:
     return documents.mapInArrow(each, _RUN)
 
 
-def _joined(ids: np.ndarray, places: np.ndarray) -> dict[str, np.ndarray]:
+def _joined(ids: np.ndarray, tags: np.ndarray, places: np.ndarray) -> dict[str, np.ndarray]:
     """Removed runs that follow each other in a text as fewer rows: ``mark`` is the end of the last window."""
-    order = np.lexsort((places, ids))
-    ids = ids[order]
-    tags, starts, counts = unpack(places[order])
+    order = np.lexsort((places, tags, ids))
+    ids, tags = ids[order], tags[order]
+    starts, counts = unpack(places[order])
     ends = starts + counts
     begins = np.ones(len(ids), bool)
     begins[1:] = (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1]) | (starts[1:] != ends[:-1])
@@ -204,7 +204,7 @@ def _joined(ids: np.ndarray, places: np.ndarray) -> dict[str, np.ndarray]:
     zero = np.zeros(len(firsts), np.int64)
     return {
         "mark": ends[lasts] if len(firsts) else zero, "name": zero, "id": ids[firsts],
-        "place": pack(tags[firsts], starts[firsts], zero), "kind": np.full(len(firsts), _GONE, np.int32),
+        "tag": tags[firsts], "place": pack(starts[firsts], zero), "kind": np.full(len(firsts), _GONE, np.int32),
     }
 
 
@@ -215,7 +215,7 @@ class _RankRuns:
     def __init__(self):
         self.held: pa.Table | None = None  # the first run of the last mark, not known to have company yet
         self.mark = self.name = None
-        self.text: tuple | None = None  # id and place of the last row
+        self.text: tuple | None = None  # id, tag and place of the last row
         self.company = False
 
     def __call__(self, batch: pa.RecordBatch) -> list[pa.RecordBatch]:
@@ -234,7 +234,7 @@ class _RankRuns:
         new_name = new_mark | np.concatenate([[not (old and names[0] == self.name)], names[1:] != names[:-1]])
         # A row that comes twice, from other tasks, is one text: its copy does not stand earlier.
         fresh = new_name.copy()
-        for column, last_ in zip((columns["id"], columns["place"]), self.text or (None, None)):
+        for column, last_ in zip((columns["id"], columns["tag"], columns["place"]), self.text or (None, None, None)):
             fresh[1:] |= column[1:] != column[:-1]
             fresh[0] |= column[0] != last_
         group = np.cumsum(new_mark) - (0 if old else 1)
@@ -244,7 +244,7 @@ class _RankRuns:
         company = different[group] > 1
         gone = fresh & ~new_name
         if gone.any():
-            out.append(_frame(_joined(columns["id"][gone], columns["place"][gone]), list(columns)))
+            out.append(_frame(_joined(*(columns[name][gone] for name in ("id", "tag", "place"))), list(columns)))
         ranked = new_name & company
         if old and not self.company and different[0] > 1 and self.held is not None:
             out.append(self.held)
@@ -259,7 +259,7 @@ class _RankRuns:
                 self.held = _frame({name: column[first] for name, column in columns.items()}, list(columns))
             self.company = False
         self.mark, self.name = marks[-1], names[-1]
-        self.text = columns["id"][-1], columns["place"][-1]
+        self.text = columns["id"][-1], columns["tag"][-1], columns["place"][-1]
         return out
 
 
@@ -272,8 +272,10 @@ def rank_runs(found: DataFrame) -> DataFrame:
             yield from rank(batch)
 
     # What is settled already is spread by its text.
-    key = F.when(F.col("kind") == _RANK, F.col("mark")).otherwise(F.xxhash64("id", "place"))
-    dealt = found.repartition(tables.shuffle_partitions(found.sparkSession), key).sortWithinPartitions("mark", "name", "id", "place")
+    key = F.when(F.col("kind") == _RANK, F.col("mark")).otherwise(F.xxhash64("id", "tag", "place"))
+    dealt = found.repartition(tables.shuffle_partitions(found.sparkSession), key).sortWithinPartitions(
+        "mark", "name", "id", "tag", "place"
+    )
     return dealt.mapInArrow(each, _RUN)
 
 
@@ -288,8 +290,7 @@ def open_runs(documents: DataFrame, ranked: DataFrame, length: int) -> DataFrame
     crowded = ranked.groupBy("mark").agg(F.count(F.lit(1)).alias("n"), F.max("kind").alias("most"))
     crowded = crowded.filter((F.col("n") > CROWD) | (F.col("most") == _CROWD)).select("mark", F.lit(True).alias("crowded"))
     entry = F.struct("place", "mark", F.coalesce("crowded", F.lit(False)).alias("crowded"))
-    tag = F.shiftright("place", _START_BITS + _COUNT_BITS)
-    listed = ranked.join(crowded, "mark", "left").select("id", tag.alias("tag"), entry.alias("entry"))
+    listed = ranked.join(crowded, "mark", "left").select("id", "tag", entry.alias("entry"))
     of_text = listed.groupBy("id", "tag").agg(F.collect_set("entry").alias("runs"))
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,7 +303,7 @@ def open_runs(documents: DataFrame, ranked: DataFrame, length: int) -> DataFrame
             text = np.repeat(np.arange(len(offsets) - 1), np.diff(lists.offsets.to_numpy()))
             ids, tags = (batch.column(name).to_numpy(zero_copy_only=False)[text].tolist() for name in ("id", "tag"))
             places, marks, alone = (entries.field(name).to_numpy(zero_copy_only=False) for name in ("place", "mark", "crowded"))
-            _, starts, counts = unpack(places)
+            starts, counts = unpack(places)
             rows: list[tuple] = []
             columns = (ids, tags, offsets[text].tolist(), marks.tolist(), alone.tolist(), starts.tolist(), counts.tolist())
             for id_, tag_, base, mark, crowd, start, count in zip(*columns):
@@ -408,21 +409,18 @@ def remove_repeats(
     A byte goes if a string of ``length`` bytes over it stands earlier too: in a row with a smaller id, or earlier in the
     same text. Strings are judged on the texts as given and never cross texts. A null text is empty; texts shorter than
     ``length`` stay. A null id comes before all others. Rows equal in id and text are one text, returned as often as they
-    come; unequal texts with one id go by their hash. Other columns are left out.
+    come; unequal texts with one id go by their hash, of 64 bits. Other columns are left out.
     """
     if not MARK + 1 <= length <= 100:
         raise ValueError(f"length must be {MARK + 1} to 100")
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     documents = df.select(
         F.coalesce(F.col(id_column).cast("long"), F.lit(_NO_ID)).alias("id"),
-        F.pmod(F.xxhash64(text), F.lit(1 << _TAG_BITS)).alias("tag"), text.alias("text"),
+        F.xxhash64(text).alias("tag"), text.alias("text"),
     )
     ranked = tables.keep(rank_runs(find_runs(documents, length)), "suffix-runs")
-    tag = F.shiftright("place", _START_BITS + _COUNT_BITS)
-    start = F.shiftright("place", _COUNT_BITS).bitwiseAND(F.lit((1 << _START_BITS) - 1))
-    gone = ranked.filter(F.col("kind") == _GONE).select(
-        "id", tag.alias("tag"), start.alias("first"), (F.col("mark") - 1).alias("last")
-    )
+    start = F.shiftright("place", _COUNT_BITS)
+    gone = ranked.filter(F.col("kind") == _GONE).select("id", "tag", start.alias("first"), (F.col("mark") - 1).alias("last"))
     later = rank_windows(open_runs(documents, ranked.filter(F.col("kind") != _GONE), length), length)
     spans = gone.unionByName(later).groupBy("id", "tag").agg(F.collect_list(F.struct("first", "last")).alias("windows"))
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from llm_frames import documents, rows_of
 from millrace.llm import queries, suffix
@@ -93,6 +94,22 @@ def test_copies_of_a_row_in_other_tasks_are_one_text(spark, monkeypatch, crowds,
     assert [g for g in got if g[0] == 7] == [(7, 3000, [], alone.encode())] * 5
 
 
+def test_many_texts_of_one_id_are_told_apart(spark):
+    rng = random.Random(8)
+    make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    early = make(300)
+    rows = [(-5, early)]
+    # 15 bits of hash tell 1 500 texts of one id apart with a chance of e-15.
+    for doc_id in (None, 7):
+        for i in range(1500):
+            rows.append((doc_id, make(150) + (early[:150] if doc_id and i % 2 else "") + make(150)))
+    df = documents(spark, rows).repartition(6)
+    got = sorted(((r.doc_id, bytes(r.kept)) for r in suffix.remove_repeats(df).collect()), key=str)
+    ordered = [(r.doc_id, r.text) for r in df.orderBy(F.asc_nulls_first("doc_id"), F.xxhash64("text")).collect()]
+    want = brute([(place, text) for place, (_, text) in enumerate(ordered)])
+    assert got == sorted(((i, want[place, text][2]) for place, (i, text) in enumerate(ordered)), key=str)
+
+
 def test_empty_table(spark):
     assert rows_of(suffix.remove_repeats(documents(spark, []))) == []
 
