@@ -1,16 +1,23 @@
-"""Toxic texts by a support vector machine over a subsequence string kernel, with Nyström landmarks.
+"""Toxic texts by support vector machines over a subsequence string kernel, with Nyström landmarks.
 
 A unit is a word with whatever is glued to it, the same without marks, or a run of single characters read as one word. The kernel of two units
 counts the three-character subsequences that they share; one that spans s characters weighs DECAY ** (s - 3), up to
 MOST_SPAN, so inserted characters and gaps cost little. Values are divided by the norms of both units.
 
-Learning: which words occur in more different surroundings of toxic texts than chance allows is counted by Spark over a
+A span is a sentence, or SPAN_WORDS words of a long one. The kernel of two spans is the sum over all pairs of their words,
+divided by their numbers of words.
+
+Learning, spans: spans of labelled texts, each with the label of its row, teach a machine; spans of toxic texts that it finds
+no worse than clean ones are left out, and it learns again. Words that are harmless alone count by what stands around them.
+
+Learning, units: which words occur in more different surroundings of toxic texts than chance allows is counted by Spark over a
 bounded sample of labelled rows; surroundings instead of occurrences, as copies of a text repeat its words but not new
 neighbours. These words with gapped and filled-in variants stand against words of clean texts. Landmarks turn the kernel
 into a linear machine, whose weights are folded back into one weight per subsequence: scoring a unit is a sparse sum.
 
-Every unit of a text is scored. Its three worst units, put into a logistic regression, make the score of the text: one unit
-that merely looks like an insult does not condemn a text, several do.
+Every unit and every span of a text is scored. Its three worst units and two worst spans, put into a logistic regression,
+make the score of the text: one unit that merely looks like an insult does not condemn a text, several do. The regression
+learns from rows that the machine of spans has not seen.
 """
 
 from __future__ import annotations
@@ -39,6 +46,11 @@ MOST_INSULTS = 400
 CLEAN_WORDS = 6000
 LANDMARKS = 300
 WORST = 3
+SPAN_WORDS = 32
+LEAST_SPAN_WORDS = 8
+WORST_SPANS = 2
+TOXIC_SPANS = 6000
+CLEAN_SPANS = 12000
 BIAS = -1.0
 EVIDENCE = 16.0
 LEAST_INSULTS = 8
@@ -50,9 +62,10 @@ MOST_KNOWN = 200_000
 
 @dataclass
 class ToxicityModel:
-    """Weight of each subsequence, and the logistic weights (the last one the constant) of the worst units."""
+    """Weight of each subsequence in units and in spans, and the logistic weights (the last one the constant) of the worst."""
 
     weights: np.ndarray
+    of_spans: np.ndarray
     of_worst: list[float]
 
 
@@ -85,6 +98,25 @@ def units(text: str) -> set[str]:
     return found
 
 
+def spans(text: str) -> list[list[str]]:
+    """Words without marks of every span of a text; a long word as overlapping parts. All of them are units of the text."""
+    found: list[list[str]] = []
+    held: list[str] = []
+    step = UNIT_CHARS // 2
+    for word in text.lower().split():
+        bare = word if word.isalnum() else _MARKS.sub("", word)
+        if len(bare) > UNIT_CHARS:
+            held.extend(bare[start : start + UNIT_CHARS] for start in range(0, len(bare) - step, step))
+        elif bare:
+            held.append(bare)
+        if held and (word[-1] in ".!?" or len(held) >= SPAN_WORDS):
+            found.append(held)
+            held = []
+    if held:
+        found.append(held)
+    return found
+
+
 def _symbol(char: str) -> int:
     if "a" <= char <= "z":
         return ord(char) - 96
@@ -167,11 +199,13 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     return values
 
 
-def margins(model: ToxicityModel, words: list[str]) -> np.ndarray:
-    values = np.full(len(words), BIAS)
+def margins(model: ToxicityModel, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Margin of every word as a unit, and what it adds to a span."""
+    values, added = np.full(len(words), BIAS), np.zeros(len(words))
     for places, codes, weights in features(words):
         values[places] += (weights * model.weights[codes]).sum(axis=1)
-    return values
+        added[places] += (weights * model.of_spans[codes]).sum(axis=1)
+    return values, added
 
 
 # -- learning -------------------------------------------------------------------------------------------------
@@ -254,6 +288,71 @@ def _fit(insults: list[str], clean: list[str], landmarks: int) -> np.ndarray:
     return weights
 
 
+def labelled_spans(sample: DataFrame, toxic_spans: int, clean_spans: int) -> list[tuple[int, list[str]]]:
+    """(label of the row, words) of the first spans by hash; those of more than one row or place are one."""
+
+    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in texts.in_pieces(batches, "text", READ_BYTES):
+            for toxic, text in zip(batch.column("toxic").to_pylist(), texts.strings(batch.column("text"))):
+                found = [" ".join(words[:SPAN_WORDS]) for words in spans(text)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([toxic] * len(found), pa.int32()), pa.array(found, pa.string())], names=["toxic", "span"]
+                )
+
+    found = sample.select("toxic", "text").mapInArrow(each, "toxic int, span string").distinct()
+    first = [
+        found.filter(F.col("toxic") == toxic).orderBy(F.xxhash64("span"), "span").limit(most)
+        for toxic, most in ((1, toxic_spans), (0, clean_spans))
+    ]
+    return [(row.toxic, row.span.split(" ")) for row in first[0].unionByName(first[1]).collect()]  # bounded by the parameters
+
+
+def _fit_spans(found: list[tuple[int, list[str]]], landmarks: int) -> np.ndarray:
+    """One weight per subsequence of a machine that has learned spans with the labels of their rows."""
+    weights = np.zeros(SYMBOLS**3)
+    toxic = np.array([label for label, _ in found]) == 1
+    if not toxic.any() or toxic.all():
+        return weights
+    place = {word: i for i, word in enumerate(sorted({word for _, words in found for word in words}))}
+    words = list(place)
+    span = np.repeat(np.arange(len(found)), [len(words_) for _, words_ in found])
+    word = np.array([place[word_] for _, words_ in found for word_ in words_])
+    # Landmarks: words that tell the labels apart best, and some of all others.
+    seen = np.bincount(word, minlength=len(words))
+    bad = np.bincount(word, weights=toxic[span], minlength=len(words))
+    base = toxic[span].mean()
+    told = np.abs(bad - base * seen) / np.sqrt(seen + 4.0)
+    order = np.argsort(-told, kind="stable")
+    most = 2 * landmarks // 3
+    rest = np.sort(order[most:])
+    chosen = [words[i] for i in [*order[:most], *rest[:: max(1, -(-len(rest) // (landmarks - most)))]]]
+    values, vectors = np.linalg.eigh(kernel(chosen, chosen))
+    root = vectors / np.sqrt(np.maximum(values, 1e-6))
+    of_word = kernel(words, chosen) @ root
+    sizes = np.maximum(np.bincount(span, minlength=len(found)), LEAST_SPAN_WORDS)
+    points = np.zeros((len(found), of_word.shape[1]))
+    for start in range(0, len(span), 1 << 14):
+        part = slice(start, start + (1 << 14))
+        np.add.at(points, span[part], of_word[word[part]])
+    points /= sizes[:, None]
+    signs = np.where(toxic, 1.0, -1.0)
+
+    def learn(kept: np.ndarray) -> np.ndarray:
+        share = np.where(signs[kept] > 0, 0.5 / max(1, toxic[kept].sum()), 0.5 / max(1, (~toxic[kept]).sum()))
+        return _machine(points[kept], signs[kept], share * kept.sum(), ridge=0.5)
+
+    solved = learn(np.ones(len(found), bool))
+    told_by = points @ solved
+    # Not every span of a toxic text is toxic.
+    worse = told_by > np.quantile(told_by[~toxic], 0.95)
+    if (worse & toxic).sum() >= LEAST_INSULTS:
+        solved = learn(~toxic | worse)
+    of_landmark = root @ solved
+    for places, codes, shares in features(chosen):
+        np.add.at(weights, codes, shares * of_landmark[places][:, None])
+    return weights
+
+
 def _logistic(points: np.ndarray, labels: np.ndarray, ridge: float = 0.05) -> list[float]:
     """Weights and constant (last) of a logistic regression, by damped Newton steps."""
     points = np.hstack([points, np.ones((len(points), 1))])
@@ -301,10 +400,15 @@ def train(
     common = counted.filter("in_clean > 0").orderBy(F.desc("in_clean"), "word").limit(clean_words // 3).collect()
     any_word = counted.filter("in_clean > 0 AND in_toxic = 0").orderBy(F.xxhash64("word"), "word").limit(clean_words).collect()
     clean = [row.word for row in [*common, *any_word] if row.in_clean]
-    if not strong or not clean:
+    if not clean:
         return None
-    model = ToxicityModel(_fit(strong, clean, landmarks), [])
-    told = text_margins(sample, model, "text").select("toxic", "margins").collect()  # three numbers per row of the sample
+    second = F.pmod(F.xxhash64("text"), F.lit(2)) == 1
+    of_spans = _fit_spans(labelled_spans(sample.filter(~second), TOXIC_SPANS, CLEAN_SPANS), landmarks)
+    model = ToxicityModel(_fit(strong, clean, landmarks) if strong else np.zeros(SYMBOLS**3), of_spans, [])
+    told = text_margins(sample.withColumn("second", second), model, "text").select("toxic", "second", "margins")
+    told = told.collect()  # five numbers per row of the sample
+    if len({row.toxic for row in told if row.second}) == 2:
+        told = [row for row in told if row.second]
     model.of_worst = _logistic(np.array([row.margins for row in told]), np.array([row.toxic for row in told]))
     return model
 
@@ -313,21 +417,34 @@ def train(
 
 
 def text_margins(df: DataFrame, model: ToxicityModel, text_column: str = "text") -> DataFrame:
-    """Add ``margins``: those of the worst units of a text, falling; a unit that is missing has that of no subsequences."""
+    """Add ``margins``: those of the worst units of a text, falling, then those of the worst spans; a unit or span that is
+    missing has that of no subsequences."""
     shared = tables.share(df.sparkSession, model)  # one weight per subsequence: of fixed size
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         learned = shared()
         known: dict[str, float] = {}
-        missing = [BIAS] * WORST
+        added: dict[str, float] = {}
+        missing = [BIAS] * max(WORST, WORST_SPANS)
+
+        def of_spans(text: str) -> Iterator[float]:
+            for words in spans(text):
+                yield BIAS + sum(map(added.__getitem__, words)) / max(len(words), LEAST_SPAN_WORDS)
+
         for batch in texts.in_pieces(batches, text_column, READ_BYTES):
-            found = [units(text) for text in texts.strings(batch.column(text_column))]
+            plain = texts.strings(batch.column(text_column))
+            found = [units(text) for text in plain]
             if len(known) > MOST_KNOWN:
-                known = {}
+                known.clear()
+                added.clear()
             fresh = list(set().union(*found) - known.keys())
-            known.update(zip(fresh, margins(learned, fresh).tolist()))
+            of_units, adding = margins(learned, fresh)
+            known.update(zip(fresh, of_units.tolist()))
+            added.update(zip(fresh, adding.tolist()))
             worst = [
-                (heapq.nlargest(WORST, map(known.__getitem__, words)) + missing)[:WORST] for words in found
+                (heapq.nlargest(WORST, map(known.__getitem__, words)) + missing)[:WORST]
+                + (heapq.nlargest(WORST_SPANS, of_spans(text)) + missing)[:WORST_SPANS]
+                for words, text in zip(found, plain)
             ]
             yield batch, [pa.array(worst, pa.list_(pa.float64()))]
 

@@ -77,6 +77,32 @@ def test_insults_with_gaps_and_inserted_characters(spark, learned):
     assert predicted(spark, model, toxic) == [1] * 5
 
 
+def test_insults_of_ordinary_words_are_learned_from_labelled_spans(spark):
+    rng = random.Random(4)
+    syllables = ["ta", "mo", "ri", "ne", "ko", "su", "le", "va"]
+    harmless = ["empty", "waste", "space", "brick"]
+
+    def text(toxic):
+        lines = [["".join(rng.choice(syllables) for _ in range(rng.randrange(1, 5))) for _ in range(10)] for _ in range(4)]
+        if toxic:  # all in one sentence
+            for place, word in zip(rng.sample(range(10), 4), harmless):
+                lines[1][place] = word
+        else:  # one of them alone: as many in clean texts as in toxic ones
+            lines[2][rng.randrange(10)] = rng.choice(harmless)
+        return " ".join(" ".join(line) + "." for line in lines)
+
+    rows = [(text(i % 5 == 0), int(i % 5 == 0)) for i in range(600)]
+    model = toxicity.train(spark.createDataFrame(rows, "text string, toxic int"))
+    assert sum(predicted(spark, model, [text(True) for _ in range(50)])) >= 45
+    assert sum(predicted(spark, model, [text(False) for _ in range(50)])) <= 2
+
+
+def test_spans_are_made_of_units():
+    for many in ["You i d i o t ! Go. away", "b.a.d b_ad *** x" * 40, "", "ab" * 300, "one two\nthree? four"]:
+        assert {word for words in toxicity.spans(many) for word in words} <= toxicity.units(many)
+    assert toxicity.spans("One, two. Three") == [["one", "two"], ["three"]]
+
+
 def test_nulls_empty_and_long_texts(spark, learned):
     model, word = learned
     many = [None, "", "   ", "x", " ".join(word() for _ in range(30_000)), "ta" * 50_000]
