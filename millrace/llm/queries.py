@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, chat, decontaminate, language, ngram_join, pii, suffix, tables, token_files, toxicity, vectors
+from millrace.llm import (
+    bpe, chat, decontaminate, filter_audit, language, ngram_join, pii, suffix, tables, token_counts, token_files, toxicity, vectors,
+    whitening,
+)
 from millrace.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -227,3 +230,72 @@ def op6_pii(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(
         "doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans")
     )
+
+
+@query()
+def op11_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    """All usable embeddings along four principal components, with unit variance."""
+    return whitening.whiten(table(spark, sf, "embeddings"))
+
+
+@query(r"""
+WITH d AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+        list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws
+    FROM documents
+), firsts AS (
+    SELECT t, min(doc_id) AS first FROM d GROUP BY t
+), l AS (
+    SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic
+    FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), m AS (
+    SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, {
+        'A': len(ws) < 100, 'B': 100 * len(list_distinct(ws)) < 80 * len(ws),
+        'C': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t),
+        'D': regexp_matches(t, '[#$%&*|]'), 'E': coalesce(d.doc_id > first, false)} AS f
+    FROM d JOIN firsts USING (t) LEFT JOIN l ON d.doc_id = l.doc_id
+), fails AS (
+    SELECT part, good, toxic, list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: CASE x WHEN 'A' THEN f.A WHEN 'B' THEN f.B
+        WHEN 'C' THEN f.C WHEN 'D' THEN f.D ELSE f.E END) AS failed, count(*) AS n
+    FROM m GROUP BY ALL
+), letters AS (
+    SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+    SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+    WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (
+    SELECT filter_order, unnest(range(1, 6)) AS step, substr(filter_order, unnest(range(1, 6)), 1) AS letter FROM orders
+), counted AS (
+    SELECT part, filter_order, step, letter,
+        sum(n) FILTER (NOT gone_before AND NOT fails_here) AS kept, sum(n) FILTER (NOT gone_before AND fails_here) AS removed,
+        sum(n) FILTER (gone_before AND fails_here) AS redundant, sum(n) FILTER (failed = [letter]) AS unique_fails,
+        sum(n) FILTER (NOT gone_before AND fails_here AND good) AS good_lost,
+        sum(n) FILTER (NOT gone_before AND fails_here AND toxic) AS toxic_lost
+    FROM (
+        SELECT *, list_contains(failed, letter) AS fails_here,
+            len(list_filter(failed, lambda x: position(x IN filter_order) < step)) > 0 AS gone_before
+        FROM fails, steps
+    ) GROUP BY ALL
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept,
+    CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+    CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost,
+    CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+    CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM counted
+""")
+def op12_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Five filters over all documents, in all orders, by language."""
+    return filter_audit.audit(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+TOKEN_LIMIT = 2048
+
+
+@query()
+def op13_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of every document, special strings in it as the library takes them."""
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        definition = file.read()
+    documents = table(spark, sf, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(documents, definition, limit=TOKEN_LIMIT).drop("text")
