@@ -96,7 +96,7 @@ def window_join_count(left: DataFrame, right: DataFrame, keys: Sequence[str], ts
 def reconcile(left: DataFrame, right: DataFrame, on: Mapping[str, str]) -> DataFrame:
     """One-to-one matching of two feeds: every record of both sides with its status.
 
-    Keys are unique within a side. A null key matches nothing.
+    Keys are unique within a side; ``match_in_order`` takes repeated ones. A null key matches nothing.
     """
     return _reconciled(left, right, _equal(on))
 
@@ -112,6 +112,35 @@ def reconcile_in_time(
     return _reconciled(left, right, _equal(on) & near & (F.col(right_ts) <= F.col(left_ts) + F.lit(within)))
 
 
+def match_in_order(
+    left: DataFrame,
+    right: DataFrame,
+    on: Mapping[str, str],
+    left_order: Sequence[str],
+    right_order: Sequence[str],
+    hot_rows: int | None = None,
+) -> DataFrame:
+    """Matching that consumes: the n-th left record of a key meets its n-th right one, each record once.
+
+    Every record of both sides comes back with its number (``match_no``, from 1, in arrival order) and ``status``; what has
+    no partner is ``left_only`` or ``right_only``. A null key matches nothing and has no number. Records are numbered by
+    ordered scans and joined by key and number, so a hot key is spread in both steps.
+    """
+
+    def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> tuple[DataFrame, DataFrame]:
+        known = reduce(and_, [F.col(key).isNotNull() for key in keys])
+        counted = ordered.scan(df.filter(known), keys, order, {name: ordered.row_count()}, hot_rows=hot_rows)
+        return counted, df.filter(~known)
+
+    a, bare_left = numbered(left, list(on), left_order, "_left_no")
+    b, bare_right = numbered(right, list(on.values()), right_order, "_right_no")
+    status = F.when(F.col("_right_no").isNull(), "left_only").when(F.col("_left_no").isNull(), "right_only").otherwise("matched")
+    joined = a.join(b, _equal({**on, "_left_no": "_right_no"}), "full_outer").withColumn("status", status)
+    joined = joined.withColumn("match_no", F.coalesce("_left_no", "_right_no")).drop("_left_no", "_right_no")
+    out = joined.unionByName(bare_left.withColumn("status", F.lit("left_only")), allowMissingColumns=True)
+    return out.unionByName(bare_right.withColumn("status", F.lit("right_only")), allowMissingColumns=True)
+
+
 def _equal(on: Mapping[str, str]) -> Column:
     return reduce(and_, [F.col(left_key) == F.col(right_key) for left_key, right_key in on.items()])
 

@@ -8,6 +8,7 @@ watermark.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -117,6 +118,39 @@ def global_window(
     return fired.filter(F.col("row_no") % every == 0 if every else F.lit(False)).select(*keys, "row_no", *values)
 
 
+def global_window_count_or_time(
+    df: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    order: Sequence[str],
+    every: int | None,
+    span: timedelta | None,
+    hot_rows: int | None = None,
+) -> DataFrame:
+    """One endless window per key with two triggers: firings (keys, ``cause``, ``at_ms``, ``n``), n rows so far.
+
+    ``count``: after each ``every`` rows, at the time of the last of them. ``time``: at every multiple of ``span`` since the
+    epoch before which new rows came, over the rows before it. Either trigger can be left out. ``order`` starts with ``ts``; rows
+    without a time come first and belong to no span.
+    """
+    parts = []
+    at = F.unix_millis(F.col(ts).cast("timestamp"))
+    if every:
+        counted = ordered.scan(df, keys, order, {"n": ordered.row_count()}, hot_rows=hot_rows)
+        fired = counted.filter(F.col("n") % every == 0)
+        parts.append(fired.select(*keys, F.lit("count").alias("cause"), at.alias("at_ms"), F.col("n").cast("long").alias("n")))
+    if span:
+        width = span // timedelta(milliseconds=1)
+        slot = ((F.floor(at / width) + 1) * width).cast("long")
+        # Rows are counted by span before they are carried along: a key has a row for each of its spans.
+        spans = df.select(*keys, slot.alias("at_ms")).groupBy(*keys, "at_ms").agg(F.count(F.lit(1)).alias("_rows"))
+        carried = ordered.scan(spans, keys, ["at_ms"], {"n": ordered.total(F.col("_rows"))}, hot_rows=hot_rows)
+        parts.append(carried.filter("at_ms IS NOT NULL").select(*keys, F.lit("time").alias("cause"), "at_ms", "n"))
+    if not parts:
+        raise ValueError("a window without a trigger never fires")
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
 def count_tumbling(
     df: DataFrame,
     keys: Sequence[str],

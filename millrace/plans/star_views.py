@@ -294,6 +294,28 @@ def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.unionByName(loaded).unionByName(updated).unionByName(parts)
 
 
+USER_VERSIONS = 5
+
+
+def user_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of customers in time: loaded before the first order, then moved to another segment again and again; the last
+    change deletes every eleventh one. Half of all changes have a second one at the same instant, which counts."""
+    key, step = F.col("c_custkey"), F.col("step")
+    minutes = F.when(step == 0, -1).otherwise(key % 211 + step * step * 300)
+    at = F.timestamp_seconds(F.unix_timestamp(F.lit(ORDER_EPOCH).cast("timestamp")) + minutes * 60)
+    moved = F.concat_ws("/", F.lower("c_mktsegment"), _text(step), _text(F.col("again")))
+    customers = spread(spark, sf_dir, "customer", "c_custkey", "c_mktsegment")
+    steps = customers.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(USER_VERSIONS))))
+    both = F.sequence(F.lit(0), (key + step).cast("int") % 2)
+    return steps.withColumn("again", F.explode(both)).select(
+        key.alias("id"),
+        at.cast("timestamp_ntz").alias("changed_at"),
+        (key * 100 + step * 2 + F.col("again")).alias("seq"),
+        moved.alias("segment"),
+        F.when((step == USER_VERSIONS) & (key % 11 == 0), "delete").otherwise("update").alias("type"),
+    )
+
+
 def routes(spark: SparkSession) -> DataFrame:
     """The routing table: a handful of rules, as configuration has them."""
     return spark.createDataFrame(

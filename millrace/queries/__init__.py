@@ -26,4 +26,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from millrace.queries import aggregates, joined, marts, ordered_rows, per_row, streamed, windowed  # noqa: F401
+    from millrace.queries import (  # noqa: F401
+        aggregates, in_time, joined, marts, ordered_rows, per_row, streamed, windowed,
+    )

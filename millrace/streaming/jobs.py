@@ -12,6 +12,7 @@ from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from millrace import schemas
@@ -20,7 +21,7 @@ from millrace.plans import dwd, dwm, dws
 from millrace.session import configure_streaming
 from millrace.sinks import dimensions, marts, topics as topic_sink
 from millrace.sources import topics as topic_source
-from millrace.streaming import stateful
+from millrace.streaming import in_time, stateful
 
 Batch = Callable[[DataFrame, int], None]
 
@@ -267,7 +268,10 @@ def product_mart_job(
 def switch_job(
     house: Warehouse, data: DataFrame, read_control: Callable[[], DataFrame], topic: str, name: str = "mode"
 ) -> StreamingQuery:
-    """Every row with the newest control value; the control table (ts, value) is read anew in every batch."""
+    """Every row with the newest control value; the control table (ts, value) is read anew in every batch.
+
+    What a row meets depends on when its batch ran; ``control_job`` goes by the times of the rows.
+    """
 
     def each(batch: DataFrame, batch_id: int) -> None:
         newest = read_control().agg(F.max_by("value", "ts")).first()[0]
@@ -276,29 +280,58 @@ def switch_job(
     return house.run(data, "switch_job", each)
 
 
+def control_job(
+    house: Warehouse, data: DataFrame, control: DataFrame, ts: str, value: str, seq: str, topic: str, name: str = "mode",
+    delay: str = "0 seconds",
+) -> StreamingQuery:
+    """Every row with the control value of its own time, from two streams in one query.
+
+    Control rows reach every bucket of the data; a row waits until the watermark of the slower stream has passed it. So the
+    result does not depend on the batches that either stream comes in. Both have ``ts`` and ``seq``.
+    """
+    number = int(house.spark.conf.get("spark.sql.shuffle.partitions"))
+    record = F.to_json(F.struct(*data.columns))
+
+    def tagged(df: DataFrame, is_data: bool, content: Column) -> DataFrame:
+        marked = df.withColumn("_value", content.cast("string")).withColumn("_at", F.col(ts).cast("timestamp"))
+        return marked.withWatermark("_at", delay).select(
+            in_time.plain_time("_at").alias("ts"), F.col(seq).cast("long").alias("seq"), F.lit(is_data).alias("is_data"),
+            F.col("_value").alias("value"),
+        )
+
+    both = in_time.buckets(tagged(data, True, record), ["seq"], number).unionByName(
+        in_time.to_all_buckets(tagged(control, False, F.col(value)), number)
+    )
+    found = stateful.run_keyed(both, "key", in_time.AsOf(), in_time.AsOf.SCHEMA, "EventTime")
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select(F.from_json("row", data.schema).alias("row"), F.col("value").alias(name))
+        house.write(rows.select("row.*", name), topic, batch_id)
+
+    return house.run(found, "control_job", each)
+
+
 def late_job(
     house: Warehouse, data: DataFrame, ts: str, width: str, delay: timedelta, lateness: timedelta, main: str, side: str
 ) -> StreamingQuery:
     """Rows too late for their window to a topic of their own, all others to the main topic.
 
-    The watermark is the newest time of all earlier batches less the delay, as in Spark. Each batch records its newest
-    time under its own number, so a repeated batch sees the same watermark.
+    A processor tags every row by the watermark of this query: the newest time of all earlier batches less the delay. It is
+    kept in the query's own checkpoint, so a repeated batch sees the same one, and nothing is written but the topics.
     """
-    progress = f"{house.root}/late_job_progress"
-    schema = "newest timestamp, batch long"
-    house.spark.createDataFrame([], schema).write.mode("append").parquet(progress)
+    number = int(house.spark.conf.get("spark.sql.shuffle.partitions"))
+    milliseconds = delay // timedelta(milliseconds=1)
+    marked = data.withColumn("_at", F.col(ts).cast("timestamp")).withWatermark("_at", f"{milliseconds} milliseconds")
+    # Behind the mark the time is a column of its own: the state operator would drop the late rows of a marked one.
+    plain = marked.withColumn("last", in_time.window_last("_at", width)).drop("_at")
+    dealt = plain.withColumn("_key", F.pmod(F.xxhash64(*data.columns), F.lit(number)))
+    schema = T.StructType([*data.schema.fields, T.StructField("status", T.StringType())])
+    judged = stateful.run_keyed(dealt, "_key", in_time.Judge(data.columns, lateness), schema, "EventTime")
 
     def each(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
-        earlier = house.spark.read.schema(schema).parquet(progress).filter(F.col("batch") < batch_id)
-        newest = earlier.agg(F.max("newest")).first()[0]
-        mark = F.lit(newest).cast("timestamp") - F.lit(delay + timedelta(milliseconds=1))
-        judged = late.judge(batch.withColumn("_watermark", mark), ts, width, lateness, "status")
-        house.write(judged.filter(F.col("status") != late.TOO_LATE), main, batch_id)
-        house.write(judged.filter(F.col("status") == late.TOO_LATE), side, batch_id)
-        own = batch.agg(F.max(ts).cast("timestamp").alias("newest")).withColumn("batch", F.lit(batch_id))
-        writer = own.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy("batch").parquet(progress)
+        house.write(batch.filter(F.col("status") != late.TOO_LATE), main, batch_id)
+        house.write(batch.filter(F.col("status") == late.TOO_LATE), side, batch_id)
         batch.unpersist()
 
-    return house.run(data, "late_job", each)
+    return house.run(judged, "late_job", each)

@@ -8,7 +8,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
@@ -24,26 +24,64 @@ RANGE_BYTES = 128 << 20
 FIRST_CHANGE, MOST_FILES = 1_000_000_000_000, 600_000
 
 
-def source(spark: SparkSession, path: str, schema: str, time: str) -> DataFrame:
+def source(spark: SparkSession, path: str, schema: str, time: str, closing: str | None = None) -> DataFrame:
     """A finished Parquet table, a file or a folder, as a stream in the order of its ``time`` column.
 
     The table is laid out again below the checkpoint folder, a file for each range of times, and a stream takes files by
     the time they were written; so these are set to rise with the ranges. Micro-batches then rise in time however the
     table itself is stored. A table that is not there, or a store that does not keep the times, is an error.
+
+    ``closing``, an interval, adds a last row so much later than all others, null but for its time: it moves the watermark
+    past everything that waits. Take it out again with ``without_closing``.
     """
     table = configure_streaming(spark).read.schema(schema).parquet(path)
     ranges = 1 + estimated_bytes(table) // RANGE_BYTES
-    feed = f"{checkpoint_root(spark)}/replay/{uuid.uuid4()}/feed"
+    if closing:
+        last = table.agg(F.max(time).alias(time)).withColumn(time, F.col(time) + F.expr(f"INTERVAL {closing}"))
+        table = table.unionByName(last.filter(F.col(time).isNotNull()), allowMissingColumns=True)
+    feed = _new_feed(spark)
     table.repartitionByRange(ranges, time).sortWithinPartitions(time).write.parquet(feed)
     _date_files(spark, feed)
     return spark.readStream.schema(schema).option("maxBytesPerTrigger", BATCH_BYTES).parquet(feed)
 
 
+def without_closing(stream: DataFrame, known: str, time: str) -> DataFrame:
+    """The rows without the closing one, in which ``known`` is null.
+
+    The condition names the time too, so that it stays behind the watermark, which has to see the closing row.
+    """
+    return stream.filter(F.col(known).isNotNull() | F.col(time).isNull())
+
+
+def in_batches(spark: SparkSession, path: str, schema: str, batch: Column, order: str) -> DataFrame:
+    """A finished Parquet table as a stream of given micro-batches: one for each value of ``batch``, rising, sorted by ``order``.
+
+    A micro-batch is one file, so it should be no more than a task can sort.
+    """
+    table = configure_streaming(spark).read.schema(schema).parquet(path).withColumn("_micro_batch", batch.cast("long"))
+    feed = _new_feed(spark)
+    table.repartition("_micro_batch").sortWithinPartitions("_micro_batch", order).write.partitionBy("_micro_batch").parquet(feed)
+    _date_files(spark, feed)
+    reader = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1)
+    return reader.parquet(feed).drop("_micro_batch")
+
+
+def _new_feed(spark: SparkSession) -> str:
+    return f"{checkpoint_root(spark)}/replay/{uuid.uuid4()}/feed"
+
+
 def _date_files(spark: SparkSession, folder: str) -> None:
-    """Give the files of a folder rising times of change, in the order of their names, which is that of the ranges."""
+    """Give the files of a folder rising times of change: by the number of their micro-batch, and by their names, which rise
+    with the ranges."""
     where = spark._jvm.org.apache.hadoop.fs.Path(folder)
     store = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    files = sorted(str(f.getPath()) for f in store.listStatus(where) if f.getPath().getName().startswith("part-"))
+    found, listed = [], store.listFiles(where, True)
+    while listed.hasNext():
+        file = listed.next().getPath()
+        if file.getName().startswith("part-"):
+            number = file.getParent().getName().partition("_micro_batch=")[2]
+            found.append((int(number) if number.lstrip("-").isdigit() else 0, str(file)))
+    files = [file for _, file in sorted(found)]
     if len(files) < 2:
         return
     if len(files) > MOST_FILES:

@@ -15,12 +15,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
+from pyspark.sql.types import StructType
 
 DAY_MS = 24 * 3600 * 1000
 
 
 def run_keyed(
-    df: DataFrame, key: str, processor: StatefulProcessor, schema: str, time_mode: str = "None", mode: str = "Append"
+    df: DataFrame, key: str, processor: StatefulProcessor, schema: str | StructType, time_mode: str = "None", mode: str = "Append"
 ) -> DataFrame:
     """Apply a processor to every key."""
     return df.groupBy(key).transformWithStateInPandas(
@@ -388,18 +389,24 @@ class Bounce(Ordered):
 class RisingAlert(Ordered):
     """Alerts when a level keeps rising for ``hold``. Run with time mode EventTime; ``ts`` in milliseconds.
 
-    The first rise sets a timer; a row that does not rise cancels it; after an alert the next rise sets a new one.
+    The first rise sets a timer; a row that does not rise cancels it; after an alert the next rise sets a new one. With
+    ``once`` a run of rises alerts only once, as in the batch form.
     """
 
     SCHEMA = "key string, first_rise long"
 
-    def __init__(self, hold: timedelta, level: str = "value", order: tuple[str, ...] = ("ts", "seq")):
+    def __init__(
+        self, hold: timedelta, level: str = "value", order: tuple[str, ...] = ("ts", "seq"), once: bool = False
+    ):
         super().__init__(order, ("key", "first_rise"))
-        self.hold_ms, self.level = hold // timedelta(milliseconds=1), level
+        self.hold_ms, self.level, self.once = hold // timedelta(milliseconds=1), level, once
 
     def open(self, handle):
         self.last = self.value_state("last", "level double")
-        self.since = self.value_state("since", "ts long")
+        self.since = self.value_state("since", "ts long, alerted boolean")
+
+    def alert(self, since: int) -> None:
+        self.since.update((since, True)) if self.once else self.since.clear()
 
     def step(self, key, row):
         level, ts = number(getattr(row, self.level)), int(row.ts)
@@ -407,25 +414,29 @@ class RisingAlert(Ordered):
         self.last.update((level,))
         out = []
         if self.since.exists():
-            since = self.since.get()[0]
-            if since + self.hold_ms < ts:
+            since, alerted = self.since.get()
+            if not alerted and since + self.hold_ms < ts:
                 # Time has passed the timer within this batch: it fires before this row.
                 self.handle.deleteTimer(since + self.hold_ms)
-                self.since.clear()
+                self.alert(since)
                 out.append((str(key[0]), since))
         if level is not None and level > previous:
             if not self.since.exists():
-                self.since.update((ts,))
+                self.since.update((ts, False))
                 self.handle.registerTimer(ts + self.hold_ms)
         elif self.since.exists():
-            self.handle.deleteTimer(self.since.get()[0] + self.hold_ms)
+            since, alerted = self.since.get()
+            if not alerted:
+                self.handle.deleteTimer(since + self.hold_ms)
             self.since.clear()
         return out
 
     def expired(self, key, now):
-        since = self.since.get()
-        self.since.clear()
-        return [(str(key[0]), since[0])] if since else []
+        since, alerted = self.since.get() or (None, True)
+        if alerted:
+            return []
+        self.alert(since)
+        return [(str(key[0]), since)]
 
 
 class Reminder(Ordered):

@@ -17,6 +17,7 @@ ORDERED = [
     "session_dynamic", "global_window_triggered", "count_tumbling_3", "count_sliding_3_2", "level_jump_alert",
     "level_rise_alert", "rising_alert", "bounce_detail", "bounce_detail_open", "new_user_fix", "watermark_trace",
     "late_classify", "broadcast_switch", "visitor_stats", "visitor_stats_layered",
+    "dimension_versions", "lookup_as_of", "match_in_order", "global_window_count_or_time",
 ]
 
 
