@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
 from collections.abc import Callable, Iterator
+from types import ModuleType
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -58,6 +60,12 @@ def share(spark: SparkSession, value: object) -> Callable[[], object]:
     return lambda: cloudpickle.loads(held.value)
 
 
+def worker_cache() -> dict:
+    """A dictionary that lives as long as a Python worker. Code that travels by value has globals of its own in every task."""
+    module = sys.modules.setdefault("_millrace_worker", ModuleType("_millrace_worker"))
+    return module.__dict__.setdefault("held", {})
+
+
 def first_rows(df: DataFrame, group: str, place: str, most: int | dict) -> DataFrame:
     """The rows of every group with the lowest places, at most ``most`` of each (by group, where it is a dictionary).
 

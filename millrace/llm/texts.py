@@ -15,6 +15,10 @@ _CHUNK = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
 _RARE_BEFORE_BLANK = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] ")
 _COMMON_BEFORE_BLANK = ("  ", "\n ", "\t ", "\r ", "\x0b ", "\x0c ")
 
+_SPACE = r"[\t\n\v\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+# For Arrow: two white-space characters in a row, or a zero character, which marks cuts.
+SPACES_MEET = rf"{_SPACE}{_SPACE}|\x00"
+
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column and the offset of each text in them; a null is an empty text."""

@@ -223,13 +223,9 @@ def count_tokens(
     return counted if limit is None else counted.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
-# The cache of a worker outlives a task: by tokenizer and table, the latest only.
-_WORKER: dict[int, Lengths] = {}
-
-
 def _worker_lengths(definition: str, frequent: FrequentLengths) -> Lengths:
-    key = hash((definition, frequent.words, frequent.lengths))
-    if key not in _WORKER:
-        _WORKER.clear()
-        _WORKER[key] = Lengths(frequent.table(), encoded_lengths(open_tokenizer(definition)))
-    return _WORKER[key]
+    """The tiers of this worker, kept from task to task: those of the latest tokenizer and table only."""
+    held, key = tables.worker_cache(), (definition, frequent.words, frequent.lengths)
+    if held.get("lengths", (None,))[0] != key:
+        held["lengths"] = key, Lengths(frequent.table(), encoded_lengths(open_tokenizer(definition)))
+    return held["lengths"][1]

@@ -15,15 +15,16 @@ from __future__ import annotations
 import struct
 import uuid
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import tables, texts
@@ -34,10 +35,12 @@ SEEK_TABLE_MAGIC = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
 CHECKSUM_FLAG = 0x80
 
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 12 << 20
 SHARD_BYTES = 48 << 20
 LEVEL = 3
 MARKS = ".,;:!?"
+MOST_KNOWN_CHARS = 6_000_000
+CUT = "\x00"
 
 # How byte-level tokenizers write a byte: printable ones as themselves, the others from U+0100 on. A fixed rule.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -142,52 +145,119 @@ def open_tokenizer(definition: str):
     return tokenizer, plain_bytes
 
 
-def encoder(definition: str, end_id: int):
-    """A function from texts to the id bytes of each, with the end id."""
-    tokenizer, cut = open_tokenizer(definition)
-    end = struct.pack("<I", end_id)
+class WordIds:
+    """The id bytes of whole texts, put together from those of their parts.
 
-    def one_by_one(parts: list[str]) -> list[bytes]:
-        encoded = tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in encoded]
-
-    if not cut:
-        return lambda many: [plain + end for plain in one_by_one(many)]
+    Where no two white-space characters meet, the pattern of byte-level tokenizers always cuts before a blank, before and
+    after a line break, and between a letter and a mark that white space follows. Texts are cut there as one Arrow array;
+    each distinct part is looked up once a batch and encoded once a worker, and the ids of all places are gathered in one step.
+    Other texts go through ``texts.ChunkCache``. What is known is forgotten when it holds too many characters.
+    """
 
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], most_chars: int = MOST_KNOWN_CHARS):
+        self.encode, self.most_chars = encode, most_chars
+        self.rest = texts.ChunkCache(encode, most_chars // 8)
+        self.chars, self.known, self.older = 0, {"": b""}, {}
+
+    def forget(self) -> None:
+        """Keep what was looked up since the last time; older parts go."""
+        self.older = self.known
+        self.chars, self.known = 0, {"": b""}
+
+    def of(self, column: pa.Array) -> list[bytes]:
+        """For each text of an array without nulls."""
+        odd = pc.match_substring_regex(column, texts.SPACES_MEET).to_numpy(zero_copy_only=False)
+        if not odd.any():
+            return self._regular(column)
+        out: list[bytes] = [b""] * len(column)
+        regular = np.flatnonzero(~odd)
+        for place, plain in zip(regular.tolist(), self._regular(column.take(pa.array(regular)))):
+            out[place] = plain
+        places = np.flatnonzero(odd)
+        for place, plain in zip(places.tolist(), self.rest.joined(column.take(pa.array(places)).to_pylist())):
+            out[place] = plain
+        return out
+
+    def _regular(self, column: pa.Array) -> list[bytes]:
+        if not len(column):
+            return []
+        if self.chars > self.most_chars // 2:
+            self.forget()
+        cut = pc.replace_substring_regex(column, rf"(\pL)([{MARKS}])([ \n]|$)", f"\\1{CUT}\\2\\3")
+        cut = pc.replace_substring(pc.replace_substring(cut, " ", f"{CUT} "), "\n", f"{CUT}\n{CUT}")
+        split = pc.split_pattern(cut, CUT)
+        offsets = split.offsets.to_numpy().astype(np.int64)
+        parts = split.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+        values = self._values(parts.dictionary.to_pylist())
+        code = parts.indices.to_numpy()
+        flat = np.frombuffer(b"".join(values), "<u4")
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        starts = np.cumsum(sizes) - sizes
+        size = sizes[code]
+        ends = np.cumsum(size)
+        ids = flat[np.repeat(starts[code] - (ends - size), size) + np.arange(int(ends[-1]))]
+        cuts = np.concatenate([[0], ends])[offsets - offsets[0]].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+
+    def _values(self, parts: list[str]) -> list[bytes]:
+        known = self.known
+        missing = [part for part in parts if part not in known]
+        known.update((part, self.older[part]) for part in missing if part in self.older)
+        fresh = [part for part in missing if part not in known]
+        known.update(zip(fresh, self.encode(fresh)))
+        self.chars += sum(map(len, missing))
+        return list(map(known.__getitem__, parts))
+
+
+def chunk_encoder(tokenizer) -> Callable[[list[str]], list[bytes]]:
+    """A function from chunks to the id bytes of each, for a byte-level tokenizer."""
     pieces_of, blank = tokenizer.model.tokenize, VISIBLE_BYTES[32]
 
-    def words(many: list[str]) -> list[bytes]:
-        """Words of letters, with or without a blank before, which the pattern never cuts: the merges alone."""
-        found = []
-        for word in many:
-            if word.isascii():
-                visible = word.replace(" ", blank)
-            else:
-                visible = word.encode().decode("latin-1").translate(VISIBLE_BYTES)
-            found.append(array("I", [piece.id for piece in pieces_of(visible)]).tobytes())
-        return found
+    def word(text: str) -> bytes:
+        """A word of letters, with or without a blank before, which the pattern never cuts: the merges alone."""
+        visible = text.replace(" ", blank) if text.isascii() else text.encode().decode("latin-1").translate(VISIBLE_BYTES)
+        return array("I", [piece.id for piece in pieces_of(visible)]).tobytes()
 
     def ids(parts: list[str]) -> list[bytes]:
         """Letters and a mark after them are never one token, so they are encoded apart and put together."""
-        known: dict[str, bytes] = {}
-        bodies, rest = set(), []
-        cut_up: list[tuple[str, str]] = []
+        found: list[bytes | None] = []
+        rest: list[str] = []
         for part in parts:
-            body, mark = (part[:-1], part[-1]) if part[-1] in MARKS else (part, "")
-            if body.isalpha() or body[:1] == " " and body[1:].isalpha():
-                bodies.add(body)
-                cut_up.append((body, mark))
-            else:
-                rest.append(part)
-                cut_up.append((part, ""))
-        bodies = list(bodies)
-        known.update(zip(bodies, words(bodies)))
-        known.update(zip(rest, one_by_one(rest)))
-        known.update(zip(MARKS, one_by_one(list(MARKS))))
-        return [known[body] + known[mark] if mark else known[body] for body, mark in cut_up]
-
-    cache = texts.ChunkCache(ids)
-    return lambda many: [plain + end for plain in cache.joined(many)]
+            if part.isalpha() or part[0] == " " and part[1:].isalpha():
+                found.append(word(part))
+                continue
+            body = part[:-1]
+            if part[-1] in marks and (body.isalpha() or body[:1] == " " and body[1:].isalpha()):
+                found.append(word(body) + marks[part[-1]])
+                continue
+            rest.append(part)
+            found.append(None)
+        others = iter(plain_ids(tokenizer, rest))
+        return [next(others) if plain is None else plain for plain in found]
+
+    marks = dict(zip(MARKS, plain_ids(tokenizer, list(MARKS))))
+    return ids
+
+
+def plain_ids(tokenizer, parts: list[str]) -> list[bytes]:
+    encoded = tokenizer.encode_batch_fast(parts, add_special_tokens=False) if parts else []
+    return [array("I", e.ids).tobytes() for e in encoded]
+
+
+def encoder(definition: str, end_id: int) -> Callable[[pa.Array], list[bytes]]:
+    """A function from an array of texts to the id bytes of each, with the end id; a null is empty."""
+    tokenizer, cut = open_tokenizer(definition)
+    end = struct.pack("<I", end_id)
+    of = WordIds(chunk_encoder(tokenizer)).of if cut else lambda column: plain_ids(tokenizer, column.to_pylist())
+    return lambda column: [plain + end for plain in of(pc.fill_null(column.cast(pa.large_string()), ""))]
+
+
+def _worker_encoder(definition: str, end_id: int) -> Callable[[pa.Array], list[bytes]]:
+    """The encoder of this worker, kept from task to task: the latest one only."""
+    held = tables.worker_cache()
+    if held.get("encoder", (None,))[0] != (definition, end_id):
+        held["encoder"] = (definition, end_id), encoder(definition, end_id)
+    return held["encoder"][1]
 
 
 def write(
@@ -197,9 +267,10 @@ def write(
     """Encode all texts and write them as shards below ``path``, in ascending order of ids over all shards.
 
     ``definition`` is the JSON of a tokenizer. A shard holds about SHARD_BYTES of text unless ``shards`` is given; a word is
-    encoded once in a shard. Returns (shard, file, n_docs, n_tokens, start): ``start`` is the number of ids in
-    all shards before. A null text is empty, a null id comes first, rows of one id stand together in the order of their
-    texts. Other columns are left out. A shard appears in one rename, so a task that is run again leaves the same files.
+    encoded once in a worker. Returns (shard, file, n_docs, n_tokens, start), a written table: ``start`` is the number of ids
+    in all shards before. A null text is empty, a null id comes first, rows of one id stand together in the order of a hash
+    of their texts, in as many shards as they need. Other columns are left out. A shard appears in one rename, so a task
+    that is run again leaves the same files.
     """
     spark = df.sparkSession
     shared = tables.share(spark, definition)  # a vocabulary file: does not grow with the data
@@ -210,16 +281,17 @@ def write(
     file_system.create_dir(folder, recursive=True)
 
     def shard(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = (batch.drop_columns(["hash"]) for batch in batches)
         number = TaskContext.get().partitionId()
         target, folder = fs.FileSystem.from_uri(path)
         name = f"{folder}/shard-{number:06d}.ids.zst"
         draft = f"{folder}/_draft-{number:06d}-{uuid.uuid4().hex}"
-        encode = encoder(shared(), end_id)
+        encode = _worker_encoder(shared(), end_id)
         n_tokens = 0
         with target.open_output_stream(draft) as out:
             writer = ShardWriter(out, level)
             for batch in texts.in_pieces(batches, "text", PIECE_BYTES):
-                plains = encode(texts.strings(batch.column("text")))
+                plains = encode(batch.column("text"))
                 for doc_id, plain in zip(batch.column("id").to_pylist(), plains):
                     writer.add(doc_id, plain)
                     n_tokens += len(plain) // 4
@@ -230,16 +302,14 @@ def write(
         )
 
     written = (
-        rows.repartitionByRange(shards, "id")
-        .sortWithinPartitions("id", "text")
+        rows.withColumn("hash", F.xxhash64("text"))
+        .repartitionByRange(shards, "id", "hash")
+        .sortWithinPartitions("id", "hash", "text")
         .mapInArrow(shard, "shard long, file string, n_docs long, n_tokens long")
-        .collect()  # one row per shard
     )
-    start, listed = 0, []
-    for row in sorted(written):
-        listed.append((*row, start))
-        start += row.n_tokens
-    return spark.createDataFrame(listed, "shard long, file string, n_docs long, n_tokens long, start long")
+    listed = tables.keep(written, "token-shards")  # one row per shard
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    return listed.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 
 def read(spark: SparkSession, shards: DataFrame, path: str, only: list[int] | None = None) -> DataFrame:

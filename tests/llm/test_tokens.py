@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -50,10 +51,32 @@ def test_chunks_make_the_text_again():
 def test_encoder_equals_whole_texts(definition, tokenizer):
     encode = token_files.encoder(definition, 2)
     many = odd_texts()
-    for text, plain in zip(many, encode(many)):
+    for text, plain in zip(many, encode(pa.array(many))):
         assert np.frombuffer(plain, "<u4").tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
 
 
+def test_encoder_forgets_and_cuts_at_marks_and_breaks(definition, tokenizer):
+    of = token_files.WordIds(token_files.chunk_encoder(tokenizer), most_chars=40).of
+    many = ["One, two.\nThree? four", "\nbreak first", "break last\n", "mark.", "été, über.\nØre", "a,b ,c, d ,", "zero\0mark.\0 end", " ", "\n", ","]
+    for _ in range(3):
+        for start in range(0, len(many), 2):
+            part = many[start : start + 2]
+            for text, plain in zip(part, of(pa.array(part, pa.large_string()))):
+                assert np.frombuffer(plain, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_one_id_and_rows_without_id_fill_several_shards(spark, definition, tmp_path):
+    rows = [(None, f"text {i}") for i in range(3000)] + [(7, f"other {i % 900}") for i in range(1500)] + [(8, "end")]
+    shards = token_files.write(documents(spark, rows), f"file://{tmp_path}", definition, 2, shards=6)
+    held = sorted(shards.collect())
+    assert max(s.n_docs for s in held) < 2000 and sum(s.n_docs for s in held) == len(rows)
+    assert [s.start for s in held] == [sum(s.n_tokens for s in held[:i]) for i in range(len(held))]
+    found = token_files.read(spark, shards, f"file://{tmp_path}").orderBy("start").collect()
+    ids = [r.doc_id for r in found]
+    assert ids == [None] * 3000 + [7] * 1500 + [8]
+    assert len(token_files.read(spark, shards, f"file://{tmp_path}", only=[7]).collect()) == 1500
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"])
 def test_merge_replay_equals_the_library(name):
     vocabulary = bpe.Vocabulary.from_file(public_tokenizers.path(name))
