@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import patterns, rolling, topk
+from millrace.operators import patterns, rolling, sketches, topk
 from millrace.plans.star_views import table
 from millrace.queries import query
 from millrace.schemas import MONEY
@@ -34,6 +34,38 @@ def uv_count(spark: SparkSession, sf: str) -> DataFrame:
     return events(spark, sf).filter("event_type = 'view'").agg(F.count_distinct("user_id").alias("uv"))
 
 
+# Sketched numbers may be off by so many percent.
+SKETCH_PERCENT = 2
+
+
+@query(
+    """
+    SELECT date_trunc('day', ts) AS day, event_type, count(*) AS pv, count(DISTINCT user_id) AS exact_uv, true AS sketch_is_close
+    FROM events GROUP BY ALL
+    UNION ALL
+    SELECT NULL, event_type, count(*), count(DISTINCT user_id), true FROM events GROUP BY ALL
+    """
+)
+def uv_sketched(spark: SparkSession, sf: str) -> DataFrame:
+    """Visitors of a day and of all time, from sketches of two-second windows, beside the exact numbers."""
+    rows = events(spark, sf).select("ts", "event_type", "user_id")
+    mart = sketches.window_sketches(rows, "ts", "2 seconds", ["event_type"], "user_id", {"pv": F.count(F.lit(1))})
+    day = F.date_trunc("day", "window_start").cast("timestamp_ntz").alias("day")
+    days = mart.groupBy(day, "event_type").agg(F.hll_union_agg("visitors").alias("visitors"), F.sum("pv").alias("pv"))
+    whole = days.groupBy(F.lit(None).cast("timestamp_ntz").alias("day"), "event_type").agg(
+        F.hll_union_agg("visitors").alias("visitors"), F.sum("pv").alias("pv")
+    )
+    told = sketches.estimated(days.unionByName(whole))
+    exact_day = rows.groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"), "event_type")
+    exact = exact_day.agg(F.count_distinct("user_id").alias("exact_uv")).unionByName(
+        rows.groupBy(F.lit(None).cast("timestamp_ntz").alias("day"), "event_type").agg(F.count_distinct("user_id").alias("exact_uv"))
+    )
+    exact = exact.withColumnsRenamed({"day": "_day", "event_type": "_type"})
+    joined = told.join(exact, F.col("day").eqNullSafe(F.col("_day")) & (F.col("event_type") == F.col("_type")))
+    close = F.abs(F.col("uv") - F.col("exact_uv")) * 100 <= SKETCH_PERCENT * F.col("exact_uv")
+    return joined.select("day", "event_type", "pv", "exact_uv", close.alias("sketch_is_close"))
+
+
 @query(
     """SELECT o_orderpriority AS channel, o_orderstatus AS behavior, count(*) AS n
     FROM orders GROUP BY o_orderpriority, o_orderstatus"""

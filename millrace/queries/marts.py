@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from millrace.queries.joined import ORDER_SQL, order_details, products
 from millrace.queries.ordered_rows import BOUNCE_HOURS_MS, PAGES
 from millrace.queries.per_row import repaired_log
 from millrace.schemas import VISITOR_KEYS
+from millrace.session import checkpoint_root
 from millrace.sinks import upsert
 
 # Version of the mart rows in these queries.
@@ -245,3 +248,25 @@ def keyed_upsert(spark: SparkSession, sf: str) -> DataFrame:
 )
 def document_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return upsert.as_documents(keyed_upsert(spark, sf), "user_id")
+
+
+STORED_BATCHES = 10
+
+
+@query(
+    """
+    SELECT user_id, event_id, event_type FROM events
+    QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1
+    """
+)
+def stored_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """The newest event of every user from a stored table that came in batches and was folded meanwhile."""
+    rows = table(spark, sf, "events").select("user_id", "event_id", "event_type", "ts")
+    path = f"{checkpoint_root(spark)}/keyed/{uuid.uuid4()}"
+    stored = upsert.KeyedTable(
+        spark, path, "user_id long, event_id long, event_type string, ts timestamp_ntz", ("user_id",), ("ts", "event_id"), fan=3
+    )
+    stored.create()
+    for batch in range(STORED_BATCHES):
+        stored.apply(rows.filter(F.pmod(F.xxhash64("event_id"), F.lit(STORED_BATCHES)) == batch), batch)
+    return stored.read().drop("ts")

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import os
+import time
 
 from pyspark.sql import functions as F
 
 from frames import SENSOR
 from millrace import schemas
+from millrace.operators import sketches
 from millrace.plans import dwd
 from millrace.sinks import marts, upsert
 from millrace.sinks import topics as topic_sink
@@ -43,18 +46,66 @@ def test_sensor_lines_and_custom_source(spark, tmp_path):
         ("sensor_1", 1, 10),
         ("sensor_2", 2, 20),
     ]
-    stream = spark.readStream.format("sensor_lines").load(str(folder))
-    query = (
-        stream.writeStream.format("memory").queryName("sensor_rows")
-        .option("checkpointLocation", str(tmp_path / "cp")).start()
-    )
+    def run(name, **options):
+        stream = spark.readStream.format("sensor_lines").options(**options).load(str(folder))
+        writer = stream.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name))
+        return writer.start()
+
+    query = run("sensor_rows")
     try:
         query.processAllAvailable()
         (folder / "2.txt").write_text("sensor_3,3,30\n")
         query.processAllAvailable()
+        (folder / "0.txt").write_text("sensor_0,4,40\n")  # sorts first, comes last
+        query.processAllAvailable()
     finally:
         query.stop()
-    assert sorted(r.vc for r in spark.table("sensor_rows").collect()) == [10, 20, 30]
+    assert sorted(r.vc for r in spark.table("sensor_rows").collect()) == [10, 20, 30, 40]
+
+
+def test_sensor_files_by_trigger_and_bad_lines(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    spark.dataSource.register(SensorDataSource)
+    for i in range(5):
+        (folder / f"{9 - i}.txt").write_text(f"s,{i},{i}\nbroken\n\ns,x,1\n")
+        os.utime(folder / f"{9 - i}.txt", (1000 + i // 2, 1000 + i // 2))  # two files at a time share their time of change
+    (folder / "_hidden").write_text("s,1,1\n")
+    plain = spark.read.format("sensor_lines").load(folder.as_uri())
+    assert sorted(r.vc for r in plain.collect()) == [0, 1, 2, 3, 4]
+    kept = spark.read.format("sensor_lines").option("badLines", "keep").load(str(folder))
+    assert sorted(r.bad_line for r in kept.filter("bad_line IS NOT NULL").collect()) == ["broken"] * 5 + ["s,x,1"] * 5
+    stream = spark.readStream.format("sensor_lines").option("filesPerTrigger", 2).load(str(folder))
+    seen = []
+    query = stream.writeStream.foreachBatch(lambda df, i: seen.append([r.vc for r in df.orderBy("vc").collect()])).option(
+        "checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        deadline = time.time() + 60
+        while time.time() < deadline and sum(map(len, seen)) < 5:
+            time.sleep(0.2)
+    finally:
+        query.stop()
+    assert [rows for rows in seen if rows] == [[0, 1], [2, 3], [4]]
+    for i in range(3):
+        (folder / f"new{i}.txt").write_text(f"s,9,{9 + i}\n")
+    again = stream.writeStream.foreachBatch(lambda df, i: seen.append([r.vc for r in df.collect()])).option(
+        "checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        deadline = time.time() + 60
+        while time.time() < deadline and sum(map(len, seen)) < 8:
+            time.sleep(0.2)
+    finally:
+        again.stop()
+    assert [rows for rows in seen[3:] if rows] == [[9, 10], [11]]
+
+
+def test_sketches_of_windows_add_up(spark):
+    rows = spark.range(40_000).selectExpr(
+        "CASE WHEN id % 50 = 0 THEN null ELSE (id * 7919) % 9000 END AS mid", "timestamp_seconds(1704067200 + id % 7200) AS ts", "id % 2 AS k")
+    mart = sketches.window_sketches(rows, "ts", "2 seconds", ["k"], "mid", {"pv": F.count(F.lit(1))})
+    by_key = {r.k: r.uv for r in sketches.estimated(sketches.merged(mart, ["k"])).collect()}
+    exact = {r.k: r.n for r in rows.groupBy("k").agg(F.count_distinct("mid").alias("n")).collect()}
+    assert all(abs(by_key[k] - exact[k]) <= 0.02 * exact[k] for k in exact) and mart.count() == 7200
 
 
 def test_renamed_columns(spark):
@@ -150,13 +201,52 @@ def test_upsert_keeps_the_newest(spark, tmp_path):
     assert set(map(tuple, table.read().collect())) == want | {("c", 5, 0)}
 
 
+def test_a_table_of_fifty_batches_stays_small(spark, tmp_path):
+    table = upsert.KeyedTable(spark, str(tmp_path / "t"), "day string, k long, v long", ("day", "k"), ("v",), ("day",), fan=4, retain=6)
+    table.create()
+    want, most = {}, 0
+    for batch in range(50):
+        rows = [(f"d{batch % 3}", (batch * 7 + i) % 40, batch * (1 if i else -1)) for i in range(5)]
+        for day, key, value in rows:
+            want[day, key] = max(want.get((day, key), value), value)
+        table.apply(spark.createDataFrame(rows, "day string, k long, v long").coalesce(1), batch)
+        runs = table.runs()
+        most = max(most, len(runs))
+        assert [r.first for r in runs] == [0, *(r.last + 1 for r in runs[:-1])] and runs[-1].last == batch
+    # Four levels of at most three runs, and the batch that waits for the next to be folded.
+    assert most <= 3 * 3 + 1 + 1
+    assert len(list((tmp_path / "t").glob("run-*"))) <= 3 * most
+    assert {(r.day, r.k): r.v for r in table.read().collect()} == want
+    one = table.read(F.col("k").between(3, 5) & (F.col("day") == "d1"))
+    assert {(r.day, r.k): r.v for r in one.collect()} == {k: v for k, v in want.items() if k[0] == "d1" and 3 <= k[1] <= 5}
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(k,3)" in plan and "PartitionFilters: [isnotnull(day" in plan
+
+
+def test_a_run_counts_when_it_is_complete(spark, tmp_path):
+    table = upsert.KeyedTable(spark, str(tmp_path / "t"), "k long, v long", ("k",), ("v",), fan=2)
+    rows = spark.createDataFrame([(1, 1)], "k long, v long")
+    for batch in range(3):
+        table.apply(rows.withColumn("v", F.lit(batch).cast("long")), batch)
+    assert [r.name for r in table.runs()] == ["run-1-0-1", "run-0-2-2"]
+    (tmp_path / "t" / "run-1-0-1" / "_SUCCESS").rename(tmp_path / "t" / "run-1-0-1" / "_gone")
+    # A fold that died: what it was made of is still there, and the next batch folds again.
+    assert [r.name for r in table.runs()] == ["run-0-0-0", "run-0-1-1", "run-0-2-2"]
+    assert [tuple(r) for r in table.read().collect()] == [(1, 2)]
+    table.apply(rows.withColumn("v", F.lit(3).cast("long")), 3)
+    table.apply(rows.withColumn("v", F.lit(3).cast("long")), 3)
+    assert [tuple(r) for r in table.read().collect()] == [(1, 3)]
+    table.compact()
+    assert len(table.runs()) == 1 and [tuple(r) for r in table.read().collect()] == [(1, 3)]
+
+
 def test_marts_hold_their_columns_only(spark, tmp_path):
     mart = marts.mart(spark, str(tmp_path), "keyword_stats")
     row = ("2024-01-01 00:00:00", "2024-01-01 00:00:02", "shoe", "SEARCH", 1, 1, "scratch")
     marts.store(mart, spark.createDataFrame([row], f"{marts.KEYWORD_MART}, extra string"), 0)
     stored = mart.read()
     assert stored.columns == ["stt", "edt", "keyword", "source", "ct", "ts", "dt"]
-    assert (tmp_path / "keyword_stats" / "kind=delta" / "batch=0" / "dt=2024-01-01").is_dir()
+    assert (tmp_path / "keyword_stats" / "run-0-0-0" / "dt=2024-01-01").is_dir()
 
 
 def test_documents(spark):
