@@ -4,7 +4,8 @@
 
 A block holds the adjacent turns of one role, a separator between their texts. Inside roles and texts every ``<|`` is
 written ``<||``, so that no control string can stand there and reading back is exact; a line break in a role is written
-``<|nl|>``. The mask of a block is the part of it, in code points, that a model is to learn: the texts of assistant turns.
+``<|nl|>``. The masks of a block are the parts of it, in code points, that a model is to learn: each text of an assistant turn,
+without the separators between them.
 
 A conversation becomes one value, so it is gathered in one row; its turns are sorted there by turn, role and text.
 """
@@ -60,8 +61,8 @@ def _merged(turns: Column) -> Column:
 def format_conversations(
     turns: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text"
 ) -> DataFrame:
-    """One row per conversation: key, ``formatted``, ``masks`` (start and length of the learned part of each block, in code
-    points, null where there is none) and ``n_turns``.
+    """One row per conversation: key, ``formatted``, ``masks`` (for each block the start and length of each learned text in it,
+    in code points; none where nothing is learned) and ``n_turns``.
 
     A null text or role is empty. Rows that tie in ``order`` go by role and text; a null order comes first; repeated rows
     are turns of their own. Rows with a null key are one conversation. Other columns are left out.
@@ -81,8 +82,18 @@ def format_conversations(
         return F.array_join(F.transform(block["texts"], escape), SEPARATOR)
 
     def mask(block: Column) -> Column:
-        learned = F.struct(F.char_length(head(block)).alias("start"), F.char_length(body(block)).alias("length"))
-        return F.when(block["role"] == LEARNED, learned)
+        spans = F.array().cast("array<struct<start:int,length:int>>")
+        start = F.struct(F.char_length(head(block)).alias("next"), spans.alias("spans"))
+
+        def add(sofar: Column, text: Column) -> Column:
+            length = F.char_length(escape(text))
+            span = F.struct(sofar["next"].alias("start"), length.alias("length"))
+            return F.struct(
+                (sofar["next"] + length + len(SEPARATOR)).alias("next"), F.concat(sofar["spans"], F.array(span)).alias("spans")
+            )
+
+        learned = F.when(block["role"] == LEARNED, block["texts"]).otherwise(F.array().cast("array<string>"))
+        return F.aggregate(learned, start, add, lambda sofar: sofar["spans"])
 
     return blocks.select(
         key,
@@ -110,11 +121,11 @@ def read_turns(formatted: Column) -> Column:
 
 
 def read_learned(formatted: Column, masks: Column) -> Column:
-    """The text under the mask, unescaped, the texts end to end."""
+    """The text under the masks, unescaped, the texts end to end."""
 
     def learned(pair: Column) -> Column:
-        part = F.substring(pair["block"], pair["mask"]["start"] + 1, pair["mask"]["length"])
-        return F.when(pair["mask"].isNull(), "").otherwise(unescape(F.replace(part, F.lit(SEPARATOR), F.lit(""))))
+        texts = F.transform(pair["mask"], lambda span: unescape(F.substring(pair["block"], span["start"] + 1, span["length"])))
+        return F.array_join(texts, "")
 
     pairs = F.arrays_zip(read_blocks(formatted).alias("block"), masks.alias("mask"))
     return F.array_join(F.transform(pairs, learned), "")

@@ -42,8 +42,17 @@ def test_adjacent_turns_of_a_role_share_a_block(spark):
     row = read_back(conversation(spark, [(1, 2, "assistant", "c", ""), (1, 0, "user", "a", ""), (1, 1, "assistant", "b", "")]))[1]
     assert row.formatted == "<|im_start|>user\na<|im_end|>\n<|im_start|>assistant\nb<|im_sep|>c<|im_end|>\n"
     assert row.learned == "bc" and [t.text for t in row.turns] == ["a", "b", "c"]
-    mask = row.masks[1]
-    assert row.masks[0] is None and "<|im_start|>assistant\nb<|im_sep|>c"[mask.start : mask.start + mask.length] == "b<|im_sep|>c"
+    block = "<|im_start|>assistant\nb<|im_sep|>c"
+    assert row.masks[0] == [] and [block[m.start : m.start + m.length] for m in row.masks[1]] == ["b", "c"]
+
+
+def test_masks_cover_the_texts_of_assistant_turns_and_nothing_else(spark):
+    turns = [(1, i, "assistant", text, "") for i, text in enumerate(HOSTILE)] + [(1, 99, "user", "u", "")]
+    row = read_back(conversation(spark, turns))[1]
+    (masks, none), first = row.masks, row.formatted.split("<|im_end|>\n<|im_start|>user")[0]
+    assert none == [] and len(masks) == len(HOSTILE)
+    escaped = [first[m.start : m.start + m.length] for m in masks]
+    assert [text.replace("<||", "<|") for text in escaped] == HOSTILE
 
 
 def test_nulls_ties_and_repeated_rows(spark):
