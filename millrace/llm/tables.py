@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sys
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from types import ModuleType
 
 import pyarrow as pa
@@ -96,12 +96,35 @@ def sent(df: DataFrame, most: int = MOST_BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+# Columns that ``keyed`` and ``same_document`` add.
+KEY_NAMES = ("_id", "_tag", "_found_id", "_found_tag")
+
+
 def keyed(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Documents with ``_id`` and ``_tag`` (hash of the text): what the operators tell documents apart by."""
     tag = F.xxhash64(F.coalesce(F.col(text_column).cast("string"), F.lit("")))
     return documents.withColumns({"_id": F.col(id_column), "_tag": tag})
 
 
+def set_aside(df: DataFrame, names: Sequence[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The rows with columns of these names (in any case of letters) renamed, so that operators may add their own, and a
+    function that brings back exactly the columns of ``df``."""
+    taken, wanted = {c.lower() for c in df.columns}, {name.lower() for name in names}
+    renamed = {}
+    for column in df.columns:
+        if column.lower() in wanted:
+            fresh = f"_aside_{column}"
+            while fresh.lower() in taken | wanted:
+                fresh = f"_{fresh}"
+            taken.add(fresh.lower())
+            renamed[column] = fresh
+
+    def back(out: DataFrame) -> DataFrame:
+        return out.select(*[F.col(f"`{renamed.get(c, c)}`").alias(c) for c in df.columns])
+
+    return df.withColumnsRenamed(renamed), back
+
+
 def same_document(found: DataFrame, id_column: str = "doc_id") -> tuple[DataFrame, Column]:
     """Rows (id, tag, ...) renamed, and the condition that ties them to keyed documents; a null id equals a null id."""
     found = found.withColumnsRenamed({id_column: "_found_id", "tag": "_found_tag"})

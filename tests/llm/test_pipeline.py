@@ -73,6 +73,27 @@ def test_tokens_decode_to_the_text(spark, tables, docs):
     assert all(ids[i] == library.encode_ordinary(t or "") for i, t in rows(docs))
 
 
+CLASHES = (
+    "_id string, _tag int, _found_id string, _found_tag string, _spans string, margins string, Score string, predicted string, "
+    "kept int, tag string, spans int, ids string, row string, n int, _aside_score int, text_sha256 int, part string"
+)
+
+
+@pytest.mark.parametrize("stage", [stage for _, stage in corpus_pipeline.STAGES[:-1]])
+def test_columns_of_the_documents_stay_as_they_are(spark, tables, docs, stage):
+    names = [field.split()[0] for field in CLASHES.split(", ")]
+    kinds = [field.split()[1] for field in CLASHES.split(", ")]
+    values = {n: F.concat(F.lit(f"{n} "), F.col("doc_id").cast("string")) if k == "string" else F.col("doc_id").cast("int") for n, k in zip(names, kinds)}
+    wide = docs.select("*", *[value.alias(n) for n, value in values.items()])
+    out = stage(spark, wide, tables)
+    assert out.columns == wide.columns and out.dtypes == wide.dtypes
+    plain = stage(spark, docs, tables)
+    assert rows(out) == rows(plain)
+    assert out.filter(~F.equal_null(F.col("predicted"), values["predicted"]) | ~F.equal_null(F.col("_tag"), values["_tag"])).isEmpty()
+    before = {(r.doc_id, *r[5:]) for r in wide.collect()}
+    assert {(r.doc_id, *r[5:]) for r in out.collect()} <= before
+
+
 def test_every_stage_takes_an_empty_table(spark, tables):
     none = documents(spark, [])
     for _, stage in corpus_pipeline.STAGES:
