@@ -18,40 +18,46 @@ from millrace.llm import bpe, decontaminate, ngram_join, pii, queries, tables, t
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not call toxic."""
+    """Documents that the classifier does not call toxic; null and empty texts are clean, and without labels all stay."""
     model = queries.toxicity_model(docs, tables.table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).filter("predicted = 0").select(*docs.columns)
+    plain, back = tables.set_aside(docs, ("score", "predicted", "margins"))
+    return back(toxicity.score(plain, model).filter("predicted = 0"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates."""
+    """One document of each component of near duplicates; rows equal in id and text are one, null and empty texts stay."""
     found = tables.keep(ngram_join.near_duplicates(docs).select("doc_id", "tag", "kept"), "pipeline-near")
     groups = found.groupBy("doc_id", "tag").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
     groups = tables.keep(groups.filter("n > 1 OR NOT kept"), "pipeline-copies")
-    gone, same = tables.same_document(groups.filter("NOT kept"))
-    left = tables.keyed(docs).join(tables.sent(gone), same, "left_anti")
+    gone, same = tables.same_document(groups.filter("NOT kept").select("doc_id", "tag"))
+    plain, back = tables.set_aside(docs, tables.KEY_NAMES)
+    left = tables.keyed(plain).join(tables.sent(gone), same, "left_anti")
     if groups.filter("n > 1 AND kept").count():
         left = left.dropDuplicates(["_id", "_tag"])
-    return left.drop("_id", "_tag")
+    return back(left)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark passages."""
+    """Documents without benchmark passages; null and empty texts have none."""
     found = decontaminate.contaminated_words(docs, tables.table(spark, sf_dir, "benchmark"))
     found = tables.keep(found.filter(F.size("spans") > 0).select("doc_id", "tag").distinct(), "pipeline-leaks")
     gone, same = tables.same_document(found)
-    return tables.keyed(docs).join(tables.sent(gone), same, "left_anti").drop("_id", "_tag")
+    plain, back = tables.set_aside(docs, tables.KEY_NAMES)
+    return back(tables.keyed(plain).join(tables.sent(gone), same, "left_anti"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind and the number of characters counted again."""
+    """All documents, with personal data replaced by its kind and the number of characters counted again; a text without any,
+    null or not, stays as it is."""
     found = pii.find(docs).filter(F.size("spans") > 0).select("doc_id", "tag", F.col("spans").alias("_spans"))
     found = tables.keep(found.dropDuplicates(["doc_id", "tag"]), "pipeline-pii")
     found, same = tables.same_document(found)
-    joined = tables.keyed(docs).join(tables.sent(found), same, "left")
-    masked = joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(pii.mask(F.col("text"), F.col("_spans"))))
-    counted = F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long"))
-    return masked.withColumn("n_chars", counted).select(*docs.columns)
+    plain, back = tables.set_aside(docs, (*tables.KEY_NAMES, "_spans"))
+    joined = tables.keyed(plain).join(tables.sent(found), same, "left")
+    none = F.col("_spans").isNull()
+    masked = joined.withColumn("text", F.when(none, F.col("text")).otherwise(pii.mask(F.col("text"), F.col("_spans"))))
+    counted = F.when(none, F.col("n_chars")).otherwise(F.char_length("text").cast("long"))
+    return back(masked.withColumn("n_chars", counted))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
