@@ -35,11 +35,11 @@ SEEK_TABLE_MAGIC = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
 CHECKSUM_FLAG = 0x80
 
-PIECE_BYTES = 12 << 20
+PIECE_BYTES = 6 << 20
 SHARD_BYTES = 48 << 20
 LEVEL = 3
 MARKS = ".,;:!?"
-MOST_KNOWN_CHARS = 6_000_000
+MOST_KNOWN_CHARS = 4_000_000
 CUT = "\x00"
 
 # How byte-level tokenizers write a byte: printable ones as themselves, the others from U+0100 on. A fixed rule.
