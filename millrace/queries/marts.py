@@ -270,3 +270,52 @@ def stored_upsert(spark: SparkSession, sf: str) -> DataFrame:
     for batch in range(STORED_BATCHES):
         stored.apply(rows.filter(F.pmod(F.xxhash64("event_id"), F.lit(STORED_BATCHES)) == batch), batch)
     return stored.read().drop("ts")
+
+
+# -- keywords by a dictionary ---------------------------------------------------------------------------------
+
+# Names in Han characters: a character for each letter and for the blank, so that a name is one token.
+LETTERS, HAN = "abcdefghijklmnopqrstuvwxyz ", "一丁七万丈三上下不与丑专且世丘丙业丛东丝丢两严丧个中丰"
+
+
+def han_names(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Product names as Han tokens, and a dictionary of their words and of the beginnings of these, which overlap."""
+    names = table(spark, sf, "part").select("p_partkey", F.translate(F.lower("p_name"), LETTERS, HAN).alias("name"))
+    words = table(spark, sf, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("word")).distinct()
+    cuts = words.select(F.explode(F.array("word", F.substring("word", 1, 2), F.concat(F.substring("word", 2, 2), F.lit(" ")))).alias("word"))
+    return names, cuts.select(F.translate("word", LETTERS, HAN).alias("word")).distinct()
+
+
+HAN_WORDS = f"""
+    WITH RECURSIVE names AS (SELECT p_partkey, translate(lower(p_name), '{LETTERS}', '{HAN}') AS name FROM part),
+    plain AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS w FROM part),
+    dictionary AS (
+        SELECT DISTINCT translate(unnest([w, substr(w, 1, 2), substr(w, 2, 2) || ' ']), '{LETTERS}', '{HAN}') AS word FROM plain),
+    longest AS (
+        SELECT name, place, max(length(word)) AS size
+        FROM (SELECT DISTINCT name, unnest(range(1, length(name) + 1)) AS place FROM names) JOIN dictionary
+          ON starts_with(substr(name, place), word) GROUP BY name, place),
+    steps(name, place, size) AS (
+        SELECT name, 1, 0 FROM (SELECT DISTINCT name FROM names)
+        UNION ALL
+        SELECT s.name, s.place + s.size, coalesce(l.size, 1)
+        FROM steps s LEFT JOIN longest l ON s.name = l.name AND s.place + s.size = l.place WHERE s.place + s.size <= length(s.name)),
+    words AS (SELECT name, substr(name, place, size) AS word FROM steps WHERE size > 0)
+    SELECT p_partkey, word FROM names JOIN words USING (name)
+"""
+
+
+@query(HAN_WORDS)
+def dictionary_keywords(spark: SparkSession, sf: str) -> DataFrame:
+    """Keywords with a dictionary of any size: substrings of each distinct token joined with it."""
+    names, dictionary = han_names(spark, sf)
+    return keywords.keywords(names, "name", "word", dictionary).select("p_partkey", "word")
+
+
+@query(HAN_WORDS)
+def lateral_dictionary_keywords(spark: SparkSession, sf: str) -> DataFrame:
+    """The same in SQL: a table function whose dictionary every task holds."""
+    names, dictionary = han_names(spark, sf)
+    names.createOrReplaceTempView("han_names")
+    keywords.register(spark, dictionary)
+    return spark.sql("SELECT p_partkey, word FROM han_names, LATERAL ik_analyze(name)")

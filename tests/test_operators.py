@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -415,6 +416,30 @@ def test_keywords_with_a_dictionary(spark):
     assert [r.word for r in spark.sql("SELECT word FROM ik_analyze('Big data, 2024')").collect()] == ["big", "data", "2024"]
 
 
+def test_table_function_with_a_dictionary_equals_the_join(spark):
+    dice = random.Random(1)
+    characters = "一丁七万丈三上下不与𠀀"
+    words = ["".join(dice.choice(characters) for _ in range(dice.randrange(1, 5))) for _ in range(150)] + ["Abc", "", "丁a"]
+    texts = ["".join(dice.choice(characters + " aB1") for _ in range(dice.randrange(60))) for _ in range(200)] + [None, "", " ,"]
+    texts.append("".join(dice.choice(characters) for _ in range(4000)))
+    dictionary = spark.createDataFrame([(w,) for w in words], "word string")
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    df.createOrReplaceTempView("han_texts")
+    keywords.register(spark, dictionary)
+    found = spark.sql("SELECT id, word FROM han_texts, LATERAL ik_analyze(t)")
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+    joined = keywords.keywords(df, "t", dictionary=dictionary)
+    assert sorted(map(tuple, found.collect())) == sorted((r.id, r.keyword) for r in joined.collect())
+    keywords.register(spark, dictionary.limit(0))
+    assert [r.word for r in spark.sql("SELECT word FROM ik_analyze('丁七 x')").collect()] == ["丁", "七", "x"]
+
+
+def test_a_dictionary_too_large_for_a_table_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(keywords, "MOST_TABLE_WORDS", 2)
+    with pytest.raises(ValueError):
+        keywords.register(spark, spark.createDataFrame([("a",), ("b",), ("c",)], "word string"))
+
+
 @pytest.mark.parametrize("gap", ["500 milliseconds", "1 week", "1 minute 30 seconds", "0 seconds", "-5 seconds", None])
 def test_gaps_mean_the_same_with_and_without_cuts(spark, gap):
     rows = [("a", i * 100, i) for i in range(20)] + [("a", None, 50), ("b", 40_000, 60), ("a", 700_000, 61), ("a", 788_000, 62)]
