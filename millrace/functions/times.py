@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from millrace.schemas import DATE_FORMAT, DAY_NUMBER_FORMAT, TIME_FORMAT
 
 
+# What TIME_FORMAT writes.
+TIME_SHAPE = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"
+
+
 def millis_to_time(ms: Column) -> Column:
     return F.timestamp_millis(ms)
 
@@ -17,8 +21,10 @@ def seconds_to_time(seconds: Column) -> Column:
 
 
 def text_to_time(text: Column, fmt: str = TIME_FORMAT) -> Column:
-    """Text as a time, null when it is none. The usual format has a fast path."""
-    return text.try_cast("timestamp") if fmt == TIME_FORMAT else F.try_to_timestamp(text, F.lit(fmt))
+    """Text as a time, null where it is not written in the format. The usual format has a fast path."""
+    if fmt == TIME_FORMAT:
+        return F.when(text.rlike(TIME_SHAPE), text.try_cast("timestamp"))
+    return F.try_to_timestamp(text, F.lit(fmt))
 
 
 def text_to_millis(text: Column, fmt: str = TIME_FORMAT) -> Column:

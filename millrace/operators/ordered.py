@@ -27,6 +27,8 @@ HOT_ROWS = 2_000_000
 HOT_ROWS_SETTING = "spark.millrace.hotRows"
 # Assumed width of a row when only the size of the input is known.
 ROW_BYTES = 32
+# An input is not counted if its rows would fit though it were packed this many times as densely.
+SURE = 16
 # Cells are equally wide, rows are not equally dense: cut finer than the average asks for.
 OVERSPLIT = 4
 # Hot keys looked for; the sketch tracks ten times as many candidates.
@@ -241,14 +243,15 @@ class Cuts:
                 "_g long, _c array<long>, _at long, _low long, _part_width long",
             )
             match = (F.col(GROUP) == F.col("_g")) & (F.col(CHUNK) == F.col("_c"))
+            known = F.coalesce(first, F.lit(NULL_PLACE))
             # At most MAX_HEAVY_CHUNKS rows.
             out = out.drop("_part_width").join(F.broadcast(heavy), match, "left")
             low, width = F.col("_low"), F.col("_part_width")
             part = (
                 F.when(width.isNull(), F.lit(0).cast("long"))
                 .when(F.col("_at").isNull(), _step(first, low, width))
-                .when(first < F.col("_at"), F.lit(NULL_PLACE))
-                .when(first > F.col("_at"), F.lit(-NULL_PLACE))
+                .when(known < F.col("_at"), F.lit(NULL_PLACE))
+                .when(known > F.col("_at"), F.lit(-NULL_PLACE))
                 .otherwise(_step(second, low, width))
             )
             out = out.withColumn(CHUNK, F.concat(CHUNK, F.array(part))).drop("_g", "_c", "_at", "_low")
@@ -292,10 +295,19 @@ def axes_of(df: DataFrame, order: Sequence[str]) -> tuple[str, ...]:
     return tuple(order[:2]) if usable else (order[0],)
 
 
+def _fits(df: DataFrame, hot_rows: int) -> bool:
+    """Whether all rows together are no more than a task may sort. Files say little about rows: all but very small ones are
+    counted, which reads no values from Parquet."""
+    size = estimated_bytes(df)
+    if size <= hot_rows * ROW_BYTES // SURE:
+        return True
+    return size <= hot_rows * ROW_BYTES and df.count() <= hot_rows
+
+
 def find_cuts(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int | None = None) -> Cuts | None:
     """Look for keys with more than ``hot_rows`` rows; None when every key fits one task.
 
-    Inputs small enough for one task are not looked at. Otherwise one pass over the key columns feeds a
+    Inputs of no more rows than one task may sort are not looked at. Otherwise one pass over the key columns feeds a
     frequent-items sketch (no shuffle but that of the sketch), a second one measures the keys it named, and further ones
     look for chunks that are still too heavy: rows may crowd in a short time, even at one instant. Without keys all rows
     are one group, which is always cut. ``hot_rows`` defaults to the session's setting.
@@ -309,7 +321,7 @@ def find_cuts(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows
         least = 2 * df.sparkSession.sparkContext.defaultParallelism
         cuts = Cuts((), axes, (_hot_group(0, row, hot_rows, least),))
         return _with_levels(df, cuts, row.n, hot_rows)
-    if estimated_bytes(df) <= hot_rows * ROW_BYTES:
+    if _fits(df, hot_rows):
         return None
     groups = df.select(group_number(keys).alias(GROUP), place.alias("p"))
     sketch = groups.agg(F.expr(f"approx_top_k({GROUP}, {MAX_HOT_KEYS}, {10 * MAX_HOT_KEYS})").alias("top")).first()
@@ -339,7 +351,8 @@ def _hot_group(group: int, row: Row, hot_rows: int, least: int) -> HotGroup:
 def _with_levels(df: DataFrame, cuts: Cuts, rows: int, hot_rows: int) -> Cuts:
     """Cut chunks with more than ``hot_rows`` rows again, until none is left that can be cut."""
     most = max(hot_rows, rows // MAX_HEAVY_CHUNKS)
-    first, second = axis_number(df, cuts.axes[0]), axis_number(df, cuts.axes[-1])
+    # Rows without a first axis share one place, so they are cut along the second.
+    first, second = F.coalesce(axis_number(df, cuts.axes[0]), F.lit(NULL_PLACE)), axis_number(df, cuts.axes[-1])
     while rows > hot_rows and len(cuts.levels) < MAX_LEVELS:
         counted = (
             cuts.assign(df)
@@ -357,7 +370,7 @@ def _with_levels(df: DataFrame, cuts: Cuts, rows: int, hot_rows: int) -> Cuts:
         for r in counted.filter(F.col("n") > most).collect():
             crowded = r.lo == r.hi
             low, high = (r.lo2, r.hi2) if crowded else (r.lo, r.hi)
-            if r.lo is not None and low != high:
+            if low is not None and low != high:
                 pieces = _pieces(r.n, hot_rows)
                 at, width = r.lo if crowded else None, _width(low, high, pieces)
                 level.append(HeavyChunk(r[GROUP], tuple(r[CHUNK]), at, low, width, min(pieces, high - low + 1)))

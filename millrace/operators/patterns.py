@@ -79,6 +79,7 @@ def bounces(
     timeout: timedelta,
     close_open: bool = True,
     hot_rows: int | None = None,
+    cuts: ordered.Cuts | None | str = ordered.SEARCH,
 ) -> DataFrame:
     """Entry rows that no later row of the key follows before ``timeout`` has passed.
 
@@ -87,7 +88,7 @@ def bounces(
     """
     flagged = df.withColumn("_entry", entry).withColumn("_follow_ts", F.when(follow, F.col(ts)))
     seen = ordered.scan(
-        flagged, keys, order, {"_next": ordered.following_known("_follow_ts")}, hot_rows=hot_rows
+        flagged, keys, order, {"_next": ordered.following_known("_follow_ts")}, hot_rows=hot_rows, cuts=cuts
     ).filter("_entry")
     waited = F.col(ts) + F.lit(timeout)
     if close_open:

@@ -66,13 +66,23 @@ def start_log(log: DataFrame) -> DataFrame:
     return log.filter(has_start()).drop("page", "displays")
 
 
+def is_page() -> Column:
+    """A line that shows a page; all plans and jobs go by this. Start lines are none, whatever else they hold."""
+    return F.col("page").isNotNull() & ~has_start()
+
+
 def page_log(log: DataFrame) -> DataFrame:
-    return log.filter(~has_start()).drop("start")
+    return log.filter(is_page()).drop("start")
+
+
+def rejected_log(log: DataFrame) -> DataFrame:
+    """Lines that neither start a visit nor show a page, unreadable ones included: ``seq``, and whether there is any field."""
+    return log.filter(~is_page() & ~has_start()).select("seq", F.coalesce("common.mid", F.col("ts").cast("string")).isNotNull().alias("readable"))
 
 
 def display_log(log: DataFrame) -> DataFrame:
     """One row per display of a page: its own fields and the page it was on."""
-    pages = log.filter(~has_start())
+    pages = log.filter(is_page())
     return pages.select(
         *[c for c in ("seq",) if c in log.columns],
         F.explode("displays").alias("display"),

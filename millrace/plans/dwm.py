@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import times
-from millrace.operators import joins, patterns
+from millrace.operators import joins, ordered, patterns
 from millrace.schemas import BOUNCE_TIMEOUT_MS, HOUR_FORMAT, ORDER_DETAIL_SECONDS, PAYMENT_MINUTES
 
 
@@ -25,9 +25,10 @@ def unique_visits(pages: DataFrame) -> DataFrame:
 
 
 def user_jumps(
-    pages: DataFrame, timeout_ms: int = BOUNCE_TIMEOUT_MS, close_open: bool = True, hot_rows: int | None = None
+    pages: DataFrame, timeout_ms: int = BOUNCE_TIMEOUT_MS, close_open: bool = True, hot_rows: int | None = None,
+    cuts: ordered.Cuts | None | str = ordered.SEARCH,
 ) -> DataFrame:
-    """Entry pages after which a device opens no other page in time."""
+    """Entry pages after which a device opens no other page in time. ``cuts`` may come from ``dwd.device_cuts``."""
     flat = pages.withColumn("_mid", F.col("common.mid")).withColumn("_time", times.millis_to_time(F.col("ts")))
     return patterns.bounces(
         flat,
@@ -39,6 +40,7 @@ def user_jumps(
         timedelta(milliseconds=timeout_ms),
         close_open,
         hot_rows,
+        cuts,
     ).drop("_mid", "_time")
 
 

@@ -74,7 +74,7 @@ def visitor_facts_from_log(
     so they share one shuffle; the layered form writes each of them to a topic of its own. ``cuts`` may come from
     ``dwd.device_cuts``, which spares parsing the log to find its hot devices.
     """
-    entry, page = is_entry(), F.col("page").isNotNull() & ~dwd.has_start()
+    entry, page = is_entry(), dwd.is_page()
     time = times.millis_to_time(F.col("ts"))
     shown = page & ~patterns.is_blank(F.col("page.page_id"))
     rows = log.select(
@@ -240,17 +240,16 @@ def product_stats(
 # -- provinces and keywords (SQL) -----------------------------------------------------------------------------
 
 
-def order_wide_view(wide: DataFrame, name: str = "order_wide") -> None:
-    """Register wide orders with their row time, ready for SQL."""
+def order_wide_rows(wide: DataFrame) -> DataFrame:
+    """Wide orders with their row time, ready for SQL."""
     rows = wide.withColumn("rowtime", times.text_to_time(F.col("create_time")))
     if wide.isStreaming:
         rows = rows.withWatermark("rowtime", "0 seconds")
-    rows.createOrReplaceTempView(name)
+    return rows
 
 
 def province_stats(wide: DataFrame, window: str = MART_WINDOW, version: Column | None = None) -> DataFrame:
     """Order amount and number of order lines per window and province (also streaming)."""
-    order_wide_view(wide)
     dims = ", ".join(PROVINCE_KEYS)
     stats = wide.sparkSession.sql(
         f"""
@@ -259,32 +258,40 @@ def province_stats(wide: DataFrame, window: str = MART_WINDOW, version: Column |
                {dims}, order_amount, order_count
         FROM (SELECT window(rowtime, '{window}') AS window, {dims},
                      cast(sum(split_total_amount) AS {MONEY}) AS order_amount, count(*) AS order_count
-              FROM order_wide
+              FROM {{order_wide}}
               GROUP BY window(rowtime, '{window}'), {dims})
-        """
+        """,
+        order_wide=order_wide_rows(wide),
     )
     return _versioned(stats, version)
 
 
-def page_view(pages: DataFrame, name: str = "page_view") -> None:
-    """Register pages as maps with their row time, ready for SQL."""
+def _as_map(rows: DataFrame, record: str) -> Column:
+    """A record as a map of texts, without the fields that are null."""
+    names = rows.schema[record].dataType.names
+    pairs = [part for name in names for part in (F.lit(name), F.col(record)[name].cast("string"))]
+    return F.when(F.col(record).isNotNull(), F.map_filter(F.create_map(*pairs), lambda _, value: value.isNotNull()))
+
+
+def page_rows(pages: DataFrame) -> DataFrame:
+    """Pages as maps with their row time, ready for SQL."""
     rows = pages.select(
-        F.from_json(F.to_json("common"), "map<string,string>").alias("common"),
-        F.from_json(F.to_json("page"), "map<string,string>").alias("page"),
+        _as_map(pages, "common").alias("common"),
+        _as_map(pages, "page").alias("page"),
         "ts",
         times.text_to_time(times.millis_to_text(F.col("ts"))).alias("rowtime"),
     )
     if pages.isStreaming:
         rows = rows.withWatermark("rowtime", "2 seconds")
-    rows.createOrReplaceTempView(name)
+    return rows
 
 
 def search_events(pages: DataFrame) -> DataFrame:
     """The words people searched for, with their time."""
-    page_view(pages)
     return pages.sparkSession.sql(
-        "SELECT page['item'] AS fullWord, rowtime FROM page_view "
-        "WHERE page['item_type'] = 'keyword' AND page['item'] IS NOT NULL"
+        "SELECT page['item'] AS fullWord, rowtime FROM {page_view} "
+        "WHERE page['item_type'] = 'keyword' AND page['item'] IS NOT NULL",
+        page_view=page_rows(pages),
     )
 
 

@@ -30,10 +30,13 @@ def gmv_by_day(product_mart: DataFrame) -> DataFrame:
 def gmv(product_mart: DataFrame, day: int = 0) -> DataFrame:
     """Order amount of one day (UTC), today for 0, in the shape of the answer: status and data.
 
-    The day is compared with the text that windows start with, which a stored mart is pruned by.
+    A stored mart is laid out by the day that windows start on (``dt``), and only the files of the day are read; one that is not
+    stored is filtered by the text that windows start with.
     """
     wanted = datetime.strptime(str(day), "%Y%m%d") if day else datetime.now(timezone.utc)
-    of_day = product_mart.select("stt", "order_amount").filter(F.col("stt").startswith(wanted.strftime("%Y-%m-%d ")))
+    text = wanted.strftime("%Y-%m-%d")
+    stored = "dt" in product_mart.columns
+    of_day = product_mart.filter(F.col("dt") == text if stored else F.col("stt").startswith(f"{text} "))
     return of_day.agg(F.lit(0).alias("status"), F.sum("order_amount").cast(MONEY).alias("data"))
 
 

@@ -74,8 +74,8 @@ PAGES = f"""
     WHERE last_page_id IS NULL AND (next_ms IS NULL OR next_ms >= ms + {BOUNCE_HOURS_MS})"""
 )
 def bounce_detail(spark: SparkSession, sf: str) -> DataFrame:
-    pages = dwd.page_log(dwd.parse_log(star_views.app_log(spark, sf)))
-    jumps = dwm.user_jumps(pages, BOUNCE_HOURS_MS)
+    raw = star_views.app_log(spark, sf)
+    jumps = dwm.user_jumps(dwd.page_log(dwd.parse_log(raw)), BOUNCE_HOURS_MS, cuts=dwd.device_cuts(raw))
     return jumps.select("seq", F.col("common.mid").alias("mid"), F.col("ts").alias("ms"))
 
 
@@ -84,8 +84,8 @@ def bounce_detail(spark: SparkSession, sf: str) -> DataFrame:
     WHERE last_page_id IS NULL AND coalesce(next_ms, (SELECT max(ms) FROM pages)) >= ms + {BOUNCE_HOURS_MS}"""
 )
 def bounce_detail_open(spark: SparkSession, sf: str) -> DataFrame:
-    pages = dwd.page_log(dwd.parse_log(star_views.app_log(spark, sf)))
-    jumps = dwm.user_jumps(pages, BOUNCE_HOURS_MS, close_open=False)
+    raw = star_views.app_log(spark, sf)
+    jumps = dwm.user_jumps(dwd.page_log(dwd.parse_log(raw)), BOUNCE_HOURS_MS, close_open=False, cuts=dwd.device_cuts(raw))
     return jumps.select("seq", F.col("common.mid").alias("mid"), F.col("ts").alias("ms"))
 
 

@@ -318,6 +318,19 @@ def cdc_facts(spark: SparkSession, sf: str) -> DataFrame:
     return dwd.facts(routed).select("seq", "topic", F.to_json("data").alias("value"))
 
 
+@query(
+    """
+    SELECT c_custkey AS seq, 'insert' AS type, c_mktsegment AS segment, 'DIM_USER_INFO' AS sink FROM customer
+    UNION ALL SELECT c_custkey + 1000000000000, 'update', lower(c_mktsegment), 'DIM_USER_INFO' FROM customer
+    """
+)
+def cdc_history(spark: SparkSession, sf: str) -> DataFrame:
+    """Every change of a user as it is routed: rows loaded from history count as inserts."""
+    routed = dwd.route(dwd.parse_changes(star_views.change_log(spark, sf)), star_views.routes(spark))
+    users = routed.filter("table = 'user_info'")
+    return users.select("seq", "type", F.col("data")["segment"].alias("segment"), F.upper("sink_table").alias("sink"))
+
+
 @query(
     """
     SELECT 'DIM_USER_INFO' AS dim, CAST(c_custkey AS VARCHAR) AS pk,

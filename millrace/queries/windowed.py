@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions import averages
 from millrace.operators import ordered, rows, windows
 from millrace.queries import query
 from millrace.queries.aggregates import ORDER, events, measured
@@ -167,6 +168,20 @@ def window_average(spark: SparkSession, sf: str) -> DataFrame:
     return windows.time_window(measured(spark, sf), "ts", "1 day", ["user_id"], average).drop("window_end")
 
 
+@query(
+    """
+    SELECT user_id, date_trunc('day', ts) AS window_start, round(median(value), 6) AS middle
+    FROM events GROUP BY ALL
+    """
+)
+def window_grouped_function(spark: SparkSession, sf: str) -> DataFrame:
+    """An aggregate of one's own over small windows, as a grouped Pandas function."""
+    middle = averages.grouped(lambda values: float(values.median()))
+    rows_in = events(spark, sf).select("user_id", "ts", "value")
+    found = windows.time_window(rows_in, "ts", "1 day", ["user_id"], {"middle": middle("value")})
+    return found.select("user_id", "window_start", F.round("middle", 6).alias("middle"))
+
+
 @query(
     """
     SELECT event_type,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.schemas import SINK_DIMENSION
 from millrace.sinks.upsert import KeyedTable
 
+MOST_ROUTES = 10_000
 SCHEMA = "dim string, pk string, data map<string,string>, seq long"
 
 
@@ -21,9 +22,11 @@ def dimensions(spark: SparkSession, root: str) -> KeyedTable:
 def columns_of(config: DataFrame) -> dict[str, list[str]]:
     """Columns of every configured dimension, its key (``id`` by default) first.
 
-    The routing table is configuration: a few rows.
+    The routing table is configuration; one of more than MOST_ROUTES dimension rows is refused.
     """
-    rows = config.filter(F.col("sink_type") == SINK_DIMENSION).collect()
+    rows = config.filter(F.col("sink_type") == SINK_DIMENSION).limit(MOST_ROUTES + 1).collect()
+    if len(rows) > MOST_ROUTES:
+        raise ValueError(f"a routing table of more than {MOST_ROUTES} dimensions")
     tables: dict[str, list[str]] = {}
     for row in rows:
         listed = [c.strip() for c in (row.sink_columns or "").split(",") if c.strip()]

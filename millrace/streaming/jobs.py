@@ -25,6 +25,9 @@ from millrace.streaming import in_time, stateful
 
 Batch = Callable[[DataFrame, int], None]
 
+# Not a topic of the blueprint: lines of the behaviour log that no plan takes.
+DWD_REJECTED = "dwd_rejected_log"
+
 RAW_FEEDS = (schemas.ODS_LOG, schemas.ODS_CHANGES)
 
 
@@ -70,7 +73,11 @@ class Warehouse:
 
 
 def log_job(house: Warehouse) -> StreamingQuery:
-    """Split the behaviour log into start, page and display topics, with the new-visitor flag repaired."""
+    """Split the behaviour log into start, page and display topics, with the new-visitor flag repaired.
+
+    Lines that are neither go to a topic of their own, which counts them. (A line without a device has no key and reaches no
+    processor; it is one of them only in batch.)
+    """
     raw = house.read(schemas.ODS_LOG).select("seq", "value")
     keyed = dwd.parse_log(raw, ("seq", "value")).select(
         F.col("common.mid").alias("mid"), "seq", "ts", F.col("common.is_new").alias("is_new"), "value"
@@ -84,6 +91,7 @@ def log_job(house: Warehouse) -> StreamingQuery:
         house.write(dwd.start_log(log), schemas.DWD_START, batch_id)
         house.write(dwd.page_log(log), schemas.DWD_PAGE, batch_id)
         house.write(dwd.display_log(log), schemas.DWD_DISPLAY, batch_id)
+        house.write(dwd.rejected_log(log), DWD_REJECTED, batch_id)
         batch.unpersist()
 
     return house.run(fixed, "log_job", each)

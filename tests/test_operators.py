@@ -402,6 +402,13 @@ def test_times(spark):
     )
 
 
+def test_only_texts_in_the_format_are_times(spark):
+    texts = ["2024-01-31 23:59:59", "2024", "2024-01-31", "2024-01-31 23:59:59.5", "2024-13-31 00:00:00", "2024-01-31T00:00:00", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    found = {r.i: r.ms for r in df.select("i", times.text_to_millis(F.col("t")).alias("ms")).collect()}
+    assert found == {0: 1706745599000} | dict.fromkeys(range(1, len(texts)))
+
+
 def test_keywords_with_a_dictionary(spark):
     text = spark.createDataFrame([(1, "Red红色连衣裙, size 42"), (2, "连衣裙子"), (3, None)], "id int, t string")
     dictionary = spark.createDataFrame([("红色",), ("连衣",), ("连衣裙",), ("裙子",)], "word string")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import heapq
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -207,3 +207,28 @@ def test_crowded_times_are_cut_again(spark, keys):
     assert max(sizes) <= 50 and sum(sizes) == 900 and {c.at for level in cuts.levels for c in level} == {None, year // 3}
     out = ordered.scan(df, keys, ["place", "seq"], values(), cuts=cuts)
     assert by_seq(map(tuple, out.collect())) == by_seq(brute(rows))
+
+
+def test_a_hot_key_without_times_is_cut_along_the_second_column(spark):
+    rows = [("hot", None, i, 1) for i in range(300)] + [("hot", datetime(2024, 1, 1), i, 1) for i in range(20)] + [("k", None, 0, 1)]
+    df = spark.createDataFrame(rows, "key string, ts timestamp_ntz, seq long, level int").repartition(3)
+    cuts = ordered.find_cuts(df, ["key"], ["ts", "seq"], 25)
+    sizes = cuts.assign(df).filter("key = 'hot'").groupBy(ordered.CHUNK).count()
+    assert sizes.agg({"count": "max"}).first()[0] <= 25
+    found = ordered.scan(df, ["key"], ["ts", "seq"], {"n": ordered.row_count()}, cuts=cuts)
+    place = sorted(rows, key=lambda r: (r[0], r[1] is not None, r[2]))
+    want, counts = {}, {}
+    for key, ts, seq, _ in place:
+        counts[key] = counts.get(key, 0) + 1
+        want[key, ts, seq] = counts[key]
+    assert {(r.key, r.ts, r.seq): r.n for r in found.collect()} == want
+
+
+def test_a_densely_packed_file_is_counted(spark, tmp_path):
+    """A constant column packs into next to nothing: rows count, not bytes."""
+    path = str(tmp_path / "dense")
+    spark.range(60_000).selectExpr("'k' AS key", "id AS seq").coalesce(1).write.parquet(path)
+    df = spark.read.parquet(path)
+    hot = ordered.estimated_bytes(df) // ordered.ROW_BYTES + 1
+    assert hot < 60_000 and ordered.find_cuts(df, ["key"], ["seq"], hot) is not None
+    assert ordered.find_cuts(df, ["key"], ["seq"], 60_000) is None

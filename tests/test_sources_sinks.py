@@ -5,14 +5,16 @@ from __future__ import annotations
 import json
 import os
 import time
+from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from frames import SENSOR
 from millrace import schemas
 from millrace.operators import sketches
-from millrace.plans import dwd
-from millrace.sinks import marts, upsert
+from millrace.plans import dwd, serving
+from millrace.sinks import dimensions, marts, upsert
 from millrace.sinks import topics as topic_sink
 from millrace.sources import landing, readers
 from millrace.sources import topics as topic_source
@@ -249,6 +251,26 @@ def test_marts_hold_their_columns_only(spark, tmp_path):
     assert (tmp_path / "keyword_stats" / "run-0-0-0" / "dt=2024-01-01").is_dir()
 
 
+def test_gmv_reads_the_files_of_its_day_only(spark, tmp_path):
+    mart = marts.mart(spark, str(tmp_path), "province_stats")
+    names = spark.createDataFrame([], marts.PROVINCE_MART).columns
+    for batch, (day, amount) in enumerate([("2024-01-01", 5), ("2024-01-02", 7), ("2024-01-01", 1)]):
+        row = {n: None for n in names} | {"stt": f"{day} 00:00:0{batch}", "edt": f"{day} 00:00:09", "province_id": 1, "ts": batch,
+                                          "order_amount": Decimal(amount), "order_count": 1}
+        marts.store(mart, spark.createDataFrame([tuple(row[n] for n in names)], marts.PROVINCE_MART), batch)
+    found = serving.gmv(mart.read(), 20240101)
+    assert [tuple(r) for r in found.collect()] == [(0, Decimal("6.00"))]
+    assert "PartitionFilters: [isnotnull(dt" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_routing_table_of_any_size_is_not_collected(spark, monkeypatch):
+    config = spark.range(5).selectExpr("'hbase' AS sink_type", "concat('t', id) AS sink_table", "'id,a' AS sink_columns", "'id' AS sink_pk")
+    assert len(dimensions.columns_of(config)) == 5
+    monkeypatch.setattr(dimensions, "MOST_ROUTES", 4)
+    with pytest.raises(ValueError):
+        dimensions.columns_of(config)
+
+
 def test_documents(spark):
     docs = upsert.as_documents(spark.createDataFrame([(1, "x")], "id int, name string"), "id")
     assert [tuple(r) for r in docs.collect()] == [("1", '{"id":1,"name":"x"}')]

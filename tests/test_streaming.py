@@ -139,6 +139,22 @@ def test_one_pass_visitor_facts_equal_layered_ones(behaviour):
     assert sorted(map(tuple, one)) == sorted(map(tuple, two))
 
 
+def test_both_visitor_marts_agree_on_lines_that_are_neither_start_nor_page(spark):
+    odd = json.dumps({"common": {"mid": "1", "ar": "a", "ch": "c", "vc": "v", "is_new": "0"}, "ts": T0 + 1_500})
+    both = json.dumps({**json.loads(page("1", 1_700)), "start": {"entry": "icon"}})
+    lines = [*LOG, odd, both, "{broken", "", json.dumps({"ts": T0}), json.dumps({"page": {"page_id": "home"}, "ts": T0 + 1})]
+    raw = spark.createDataFrame(list(enumerate(lines)), "seq long, value string")
+    log = dwd.parse_log(raw)
+    pages = dwd.page_log(dwd.repair_new_visitors(log))
+    layered = dws.visitor_facts(pages, dwm.unique_visits(pages), dwm.user_jumps(pages))
+    one, two = (dws.visitor_stats(f, "2 seconds", F.lit(0)).collect() for f in (layered, dws.visitor_facts_from_log(log)))
+    assert sorted(map(tuple, one), key=str) == sorted(map(tuple, two), key=str)
+    n = len(LOG)
+    rejected = {r.seq: r.readable for r in dwd.rejected_log(log).collect()}
+    assert rejected == {n: True, n + 2: False, n + 3: False, n + 4: True}
+    assert dwd.start_log(log).count() + pages.count() + len(rejected) == len(lines)
+
+
 def test_keyword_mart(behaviour):
     house, _ = behaviour
     got = marts.mart(house.spark, house.root, "keyword_stats").read()
