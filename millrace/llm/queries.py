@@ -178,7 +178,29 @@ def op4_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query()
+@query(r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws
+    FROM documents
+), shingles AS (
+    SELECT DISTINCT r, array_to_string(ws[i : i + least(len(ws), 4) - 1], ' ') AS s
+    FROM (SELECT r, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM d WHERE len(ws) > 0)
+), sizes AS (
+    SELECT r, count(*) AS n FROM shingles GROUP BY r
+), shared AS (
+    SELECT x.r AS a, y.r AS b, count(*) AS c FROM shingles x JOIN shingles y ON x.s = y.s AND x.r < y.r GROUP BY ALL
+), pairs AS (
+    SELECT a, b FROM shared JOIN sizes m ON m.r = a JOIN sizes o ON o.r = b WHERE 100 * c >= 85 * (m.n + o.n - c)
+), links AS (
+    SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs
+), reach AS (
+    WITH RECURSIVE walk(start, r) USING KEY (start, r) AS (
+        SELECT r, r FROM d UNION SELECT walk.start, links.b FROM walk JOIN links ON walk.r = links.a
+    ) SELECT start, min(doc_id) AS component_id FROM walk JOIN d USING (r) GROUP BY start
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM d LEFT JOIN sizes USING (r) JOIN reach ON start = d.r
+""")
 def op3_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return ngram_join.near_duplicates(table(spark, sf, "documents")).drop("tag", "kept")

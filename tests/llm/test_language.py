@@ -1,5 +1,11 @@
 from __future__ import annotations
 
+import re
+import zlib
+
+import zstandard
+from pyspark.sql import functions as F
+
 from llm_frames import documents, rows_of
 from millrace.llm import language, queries
 
@@ -48,6 +54,49 @@ def test_sample_is_bounded_and_repeatable(spark):
     assert small.dictionaries["en"].count(b"word") == 5
 
 
+def brute(rows):
+    """Language and margin of (doc_id, text, lang, place): dictionaries and sizes by their definition."""
+    letters = lambda text: re.sub(r"[\W\d_]+", " ", text.lower())
+    usable = lambda plain: any(c.isalpha() for c in plain)
+    contents = {}
+    for lang in sorted({r[2] for r in rows if r[2] is not None}):
+        learn = sorted((r for r in rows if r[2] == lang and r[1] is not None and zlib.crc32(str(r[0]).encode()) % 4 != 2), key=lambda r: r[3])
+        plain = [p for p in (letters(r[1]) for r in learn) if usable(p)]
+        snippets, size = [], 0
+        for start in range(0, max(map(len, plain), default=0), language.SNIPPET_CHARS):
+            for text in plain:
+                part = text[start : start + language.SNIPPET_CHARS].encode()
+                if part and size < language.DICTIONARY_BYTES:
+                    snippets.append(part)
+                    size += len(part) + 1
+        contents[lang] = b" ".join(snippets[::-1])[-language.DICTIONARY_BYTES :]
+    out = {}
+    for doc_id, text, _, _ in rows:
+        plain = letters(text or "")
+        if not usable(plain):
+            out[doc_id] = ("und", 0.0)
+            continue
+        data, sizes = plain.encode(), []
+        for lang, content in contents.items():
+            given = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            given.precompute_compress(level=language.LEVEL)
+            one = zstandard.ZstdCompressor(level=language.LEVEL, dict_data=given, write_content_size=False, write_checksum=False, write_dict_id=False)
+            total = 0
+            for start in range(0, len(data), language.PIECE_BYTES):
+                total += len(one.compress(data[start : start + language.PIECE_BYTES]))
+            sizes.append((total, lang))
+        (best, lang), (second, _) = sorted(sizes)[:2]
+        out[doc_id] = (lang, (second - best) / second)
+    return out
+
+
+def test_query_equals_brute_force(spark, tables):
+    docs = spark.read.parquet(f"{tables}/documents.parquet").withColumn("place", F.xxhash64("doc_id"))
+    want = brute([tuple(r) for r in docs.select("doc_id", "text", "lang", "place").collect()])
+    got = {r.doc_id: (r.lang_pred, r.score) for r in queries.QUERIES["op9_language"](spark, tables).collect()}
+    assert got == want
+
+
 def test_held_out_rows(spark):
     folder = "/root/testdata/sf0.01"
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang").collect()}

@@ -7,6 +7,7 @@ import pytest
 
 from llm_frames import documents, rows_of
 from millrace.llm import graph, ngram_join, queries
+from oracle import connect, difference
 
 
 def ngrams(text):
@@ -73,6 +74,11 @@ def test_query_equals_brute_force(spark, tables):
     assert sorted(rows_of(queries.QUERIES["op3_ngram_join"](spark, tables)), key=str) == brute(rows)
 
 
+def test_query_equals_sql(spark, tables):
+    name = "op3_ngram_join"
+    assert difference(queries.QUERIES[name](spark, tables), connect(tables), queries.SQL[name]) is None
+
+
 def test_empty_table(spark):
     assert rows_of(ngram_join.near_duplicates(documents(spark, []))) == []
 

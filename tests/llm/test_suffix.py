@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import random
 
 import pytest
@@ -121,3 +122,7 @@ def test_query_equals_brute_force(spark, tables):
     for doc_id, text in rows:
         n_bytes, spans, _ = want[doc_id, text]
         assert (got[doc_id].n_bytes, got[doc_id].n_spans, got[doc_id].n_removed) == (n_bytes, len(spans), sum(b - a for a, b in spans))
+        data, left, end = (text or "").encode(), b"", 0
+        for a, b in sorted(spans):
+            left, end = left + data[end:a], b
+        assert got[doc_id].kept_sha256 == hashlib.sha256(left + data[end:]).hexdigest()
