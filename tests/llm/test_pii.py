@@ -115,6 +115,17 @@ def test_query_equals_brute_force(spark, tables):
         assert [row[f"n_{kind}"] for kind in pii.BASE_KINDS] == [sum(k == kind for k, _, _ in spans) for kind in pii.BASE_KINDS]
 
 
+def test_added_spans_on_the_tables_are_the_secrets_after_their_cue(spark):
+    folder = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    secrets = {(i, m.start(1), m.end(1)) for i, text in texts.items() for m in re.finditer(r'(?i:token) = "([0-9A-Za-z]{20,})"', text)}
+    added = set()
+    for row in pii.find(spark.read.parquet(f"{folder}/documents.parquet")).collect():
+        added |= {(row.doc_id, s.start, s.end) for s in row.spans if not s.base}
+    assert len(secrets) > 5
+    assert secrets <= added and len(added - secrets) <= len(secrets) // 10
+
+
 def test_plan_is_native(spark, tables):
     plan = queries.QUERIES["op6_pii"](spark, tables)._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
