@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import uuid
+import zlib
 from collections.abc import Callable, Iterator, Sequence
 from types import ModuleType
 
@@ -55,9 +56,12 @@ def append(
 
 
 def share(spark: SparkSession, value: object) -> Callable[[], object]:
-    """Send an object of bounded size to the executors once; the result reads it there. Classes travel with it."""
-    held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
-    return lambda: cloudpickle.loads(held.value)
+    """Send an object of bounded size to the executors once; the result reads it there. Classes travel with it.
+
+    It is compressed, as a broadcast lies on the disk of the driver and of every executor: tables of weights are mostly zeros.
+    """
+    held = spark.sparkContext.broadcast(zlib.compress(cloudpickle.dumps(value), 1))
+    return lambda: cloudpickle.loads(zlib.decompress(held.value))
 
 
 def worker_cache() -> dict:

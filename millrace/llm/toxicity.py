@@ -12,7 +12,8 @@ no worse than clean ones are left out, and it learns again. Words that are harml
 
 Learning, units: which words occur in more different surroundings of toxic texts than chance allows is counted by Spark over a
 bounded sample of labelled rows; surroundings instead of occurrences, as copies of a text repeat its words but not new
-neighbours. These words with gapped and filled-in variants stand against words of clean texts. Landmarks turn the kernel
+neighbours. These words with gapped and filled-in variants stand against words of clean texts; the clean words that look worst to the
+machine join them, and it learns again. Landmarks turn the kernel
 into a linear machine, whose weights are folded back into one weight per subsequence: scoring a unit is a sparse sum.
 
 Every unit and every span of a text is scored. Its three worst units and two worst spans, put into a logistic regression,
@@ -44,6 +45,9 @@ TOXIC_ROWS = 4000
 CLEAN_ROWS = 12000
 MOST_INSULTS = 400
 CLEAN_WORDS = 6000
+TOXIC_WEIGHT = 2.0
+HARD_WORDS = 2000
+HARD_ROUNDS = 3
 LANDMARKS = 300
 WORST = 3
 SPAN_WORDS = 32
@@ -52,10 +56,11 @@ WORST_SPANS = 2
 TOXIC_SPANS = 6000
 CLEAN_SPANS = 12000
 BIAS = -1.0
-EVIDENCE = 16.0
+EVIDENCE = 10.0
 LEAST_INSULTS = 8
 READ_BYTES = 2 << 20
 BLOCK_WORDS = 1024
+SPANS_AT_ONCE = 512
 LANDMARKS_AT_ONCE = 48
 MOST_KNOWN = 200_000
 
@@ -99,7 +104,10 @@ def units(text: str) -> set[str]:
 
 
 def spans(text: str) -> list[list[str]]:
-    """Words without marks of every span of a text; a long word as overlapping parts. All of them are units of the text."""
+    """Words without marks of every span of a text; a long word as overlapping parts. All of them are units of the text.
+
+    A span has at most SPAN_WORDS words; what is more begins the next one.
+    """
     found: list[list[str]] = []
     held: list[str] = []
     step = UNIT_CHARS // 2
@@ -109,7 +117,10 @@ def spans(text: str) -> list[list[str]]:
             held.extend(bare[start : start + UNIT_CHARS] for start in range(0, len(bare) - step, step))
         elif bare:
             held.append(bare)
-        if held and (word[-1] in ".!?" or len(held) >= SPAN_WORDS):
+        while len(held) >= SPAN_WORDS:
+            found.append(held[:SPAN_WORDS])
+            held = held[SPAN_WORDS:]
+        if held and word[-1] in ".!?":
             found.append(held)
             held = []
     if held:
@@ -211,27 +222,40 @@ def margins(model: ToxicityModel, words: list[str]) -> tuple[np.ndarray, np.ndar
 # -- learning -------------------------------------------------------------------------------------------------
 
 
+def _parts(word: Column) -> Column:
+    """The word, a long one as overlapping parts."""
+    step = UNIT_CHARS // 2
+    starts = F.sequence(F.lit(0), F.char_length(word) - step - 1, F.lit(step))
+    long = F.transform(F.when(F.char_length(word) > UNIT_CHARS, starts), lambda start: F.substring(word, start + 1, F.lit(UNIT_CHARS)))
+    return F.when(F.char_length(word) > UNIT_CHARS, long).otherwise(F.array(word))
+
+
 def labelled_words(sample: DataFrame) -> DataFrame:
-    """(word, toxic surroundings, clean surroundings) of labelled texts (toxic, text)."""
+    """(word, toxic surroundings, clean surroundings) of labelled texts (toxic, text): words as scoring takes them for units.
+
+    The words around it stand for themselves as hashes.
+    """
     words = F.filter(F.split(F.lower("text"), "\\s+"), lambda word: word != "")
-    with_neighbours = sample.select("toxic", words.alias("words")).select(
+    at = sample.select("toxic", words.alias("words")).select(
         "toxic",
         F.explode(
             F.transform(
                 "words",
                 lambda word, i: F.struct(
-                    F.substring(word, 1, UNIT_CHARS).alias("word"),
-                    F.when(i > 0, F.get("words", i - 1)).alias("before"),
-                    F.get("words", i + 1).alias("after"),
+                    word.alias("word"),
+                    F.xxhash64(F.when(i > 0, F.get("words", i - 1)), F.get("words", i + 1)).alias("around"),
                 ),
             )
         ).alias("at"),
-    )
-    surroundings = with_neighbours.groupBy("at.word", "at.before", "at.after", "toxic").agg(F.lit(1).alias("n"))
+    ).select("toxic", "at.*")
+    surroundings = at.groupBy("word", "around", "toxic").agg(F.lit(1).alias("n"))
     toxic = F.col("toxic") == 1
-    return surroundings.groupBy("word").agg(
-        F.count_if(toxic).alias("in_toxic"), F.count_if(~toxic).alias("in_clean")
-    )
+    counted = surroundings.groupBy("word").agg(F.count_if(toxic).alias("in_toxic"), F.count_if(~toxic).alias("in_clean"))
+    # Each distinct word is taken apart once; what several words have in common adds up.
+    bare = F.regexp_replace("word", r"[^\p{L}\p{N}]+", "")
+    forms = F.when(bare == F.col("word"), _parts(F.col("word"))).otherwise(F.array_union(_parts(F.col("word")), _parts(bare)))
+    units_ = counted.select("in_toxic", "in_clean", F.explode(forms).alias("word")).filter("word <> ''")
+    return units_.groupBy("word").agg(F.sum("in_toxic").alias("in_toxic"), F.sum("in_clean").alias("in_clean"))
 
 
 def variants(word: str, seed: int) -> list[str]:
@@ -250,17 +274,22 @@ def variants(word: str, seed: int) -> list[str]:
 
 
 def _machine(points: np.ndarray, signs: np.ndarray, sizes: np.ndarray, ridge: float) -> np.ndarray:
-    """Weights that minimise squared hinge loss, by Newton steps.
+    """Weights that minimise squared hinge loss, by Newton steps whose matrices are summed block by block.
 
     The bias is fixed at BIAS: a unit that shares nothing with any landmark is clean, whatever script it is in.
     """
     weights = np.zeros(points.shape[1])
     wanted = signs - BIAS
     for _ in range(30):
-        inside = signs * (points @ weights + BIAS) < 1
-        held, scaled = points[inside], sizes[inside]
-        matrix = (held * scaled[:, None]).T @ held + ridge * np.eye(len(weights))
-        fresh = np.linalg.solve(matrix, held.T @ (scaled * wanted[inside]))
+        matrix, right = ridge * np.eye(len(weights)), np.zeros(len(weights))
+        for start in range(0, len(points), BLOCK_WORDS):
+            part = slice(start, start + BLOCK_WORDS)
+            held = points[part].astype(np.float64)
+            inside = signs[part] * (held @ weights + BIAS) < 1
+            held, scaled = held[inside], sizes[part][inside]
+            matrix += (held * scaled[:, None]).T @ held
+            right += held.T @ (scaled * wanted[part][inside])
+        fresh = np.linalg.solve(matrix, right)
         if np.abs(fresh - weights).max() < 1e-8:
             break
         weights = fresh
@@ -288,13 +317,28 @@ def _fit(insults: list[str], clean: list[str], landmarks: int) -> np.ndarray:
     return weights
 
 
-def labelled_spans(sample: DataFrame, toxic_spans: int, clean_spans: int) -> list[tuple[int, list[str]]]:
-    """(label of the row, words) of the first spans by hash; those of more than one row or place are one."""
+def _hardest(harmless: DataFrame, of_units: np.ndarray, most: int) -> list[str]:
+    """The words of clean texts that look most like insults to a machine: what it should learn next."""
+    shared = tables.share(harmless.sparkSession, ToxicityModel(of_units, np.zeros(SYMBOLS**3), []))
+
+    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learned = shared()
+        for batch in batches:
+            told = margins(learned, batch.column("word").to_pylist())[0]
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(told)], names=["word", "margin"])
+
+    scored = harmless.select("word").mapInArrow(each, "word string, margin double")
+    return [row.word for row in scored.orderBy(F.desc("margin"), "word").limit(most).collect()]
+
+
+def labelled_spans(sample: DataFrame, toxic_spans: int, clean_spans: int) -> DataFrame:
+    """(toxic: label of the row, span: its words) of the first spans by hash, written; those of more than one row or place are
+    one."""
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in texts.in_pieces(batches, "text", READ_BYTES):
             for toxic, text in zip(batch.column("toxic").to_pylist(), texts.strings(batch.column("text"))):
-                found = [" ".join(words[:SPAN_WORDS]) for words in spans(text)]
+                found = [" ".join(words) for words in spans(text)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([toxic] * len(found), pa.int32()), pa.array(found, pa.string())], names=["toxic", "span"]
                 )
@@ -304,44 +348,68 @@ def labelled_spans(sample: DataFrame, toxic_spans: int, clean_spans: int) -> lis
         found.filter(F.col("toxic") == toxic).orderBy(F.xxhash64("span"), "span").limit(most)
         for toxic, most in ((1, toxic_spans), (0, clean_spans))
     ]
-    return [(row.toxic, row.span.split(" ")) for row in first[0].unionByName(first[1]).collect()]  # bounded by the parameters
+    return tables.keep(first[0].unionByName(first[1]), "toxicity-spans")
+
+
+def _telling_words(found: DataFrame, landmarks: int) -> list[str]:
+    """Landmarks: words of the spans that tell the labels apart best, and some of all others, evenly by the alphabet."""
+    words = found.select("toxic", F.explode(F.split("span", " ")).alias("word"))
+    counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("seen"), F.sum("toxic").alias("bad"))
+    base = words.agg(F.avg("toxic")).first()[0]
+    told = F.abs(F.col("bad") - base * F.col("seen")) / F.sqrt(F.col("seen") + 4.0)
+    counted = tables.keep(counted.withColumn("told", told), "toxicity-span-words")
+    most = 2 * landmarks // 3
+    best = [row.word for row in counted.orderBy(F.desc("told"), "word").limit(most).select("word").collect()]
+    others = counted.filter(~F.col("word").isin(best))
+    # The lowest hashes of words are an even choice of them.
+    rest = others.orderBy(F.xxhash64("word"), "word").limit(landmarks - len(best)).select("word").collect()
+    return [*best, *(row.word for row in rest)]
 
 
-def _fit_spans(found: list[tuple[int, list[str]]], landmarks: int) -> np.ndarray:
+def _pooled(found: DataFrame, chosen: list[str], root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Kernel values of every span with the landmarks, one row each, and its label; computed by the tasks of the spans.
+
+    The driver holds ``len(chosen)`` floats for each of a bounded number of spans.
+    """
+    shared = tables.share(found.sparkSession, (chosen, root))
+
+    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        landmarks, turn = shared()
+        for whole in batches:
+            for start in range(0, whole.num_rows, SPANS_AT_ONCE):
+                batch = whole.slice(start, SPANS_AT_ONCE)
+                many = [span.split(" ") for span in batch.column("span").to_pylist()]
+                place = {word: i for i, word in enumerate(sorted({word for words in many for word in words}))}
+                of_word = kernel(list(place), landmarks)
+                sums = np.array([of_word[[place[word] for word in words]].sum(axis=0) for words in many])
+                sizes = np.maximum([len(words) for words in many], LEAST_SPAN_WORDS)
+                points = ((sums / sizes[:, None]) @ turn).astype(np.float32)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("toxic"), pa.array([row.tobytes() for row in points], pa.binary())], names=["toxic", "point"]
+                )
+
+    parts = tables.shuffle_partitions(found.sparkSession)
+    rows = found.repartition(parts).mapInArrow(each, "toxic int, point binary").toArrow()
+    plain = b"".join(rows["point"].to_pylist())
+    return np.frombuffer(plain, np.float32).reshape(-1, len(chosen)), rows["toxic"].to_numpy() == 1
+
+
+def _fit_spans(found: DataFrame, landmarks: int) -> np.ndarray:
     """One weight per subsequence of a machine that has learned spans with the labels of their rows."""
     weights = np.zeros(SYMBOLS**3)
-    toxic = np.array([label for label, _ in found]) == 1
-    if not toxic.any() or toxic.all():
+    if found.select("toxic").distinct().count() < 2:
         return weights
-    place = {word: i for i, word in enumerate(sorted({word for _, words in found for word in words}))}
-    words = list(place)
-    span = np.repeat(np.arange(len(found)), [len(words_) for _, words_ in found])
-    word = np.array([place[word_] for _, words_ in found for word_ in words_])
-    # Landmarks: words that tell the labels apart best, and some of all others.
-    seen = np.bincount(word, minlength=len(words))
-    bad = np.bincount(word, weights=toxic[span], minlength=len(words))
-    base = toxic[span].mean()
-    told = np.abs(bad - base * seen) / np.sqrt(seen + 4.0)
-    order = np.argsort(-told, kind="stable")
-    most = 2 * landmarks // 3
-    rest = np.sort(order[most:])
-    chosen = [words[i] for i in [*order[:most], *rest[:: max(1, -(-len(rest) // (landmarks - most)))]]]
+    chosen = _telling_words(found, landmarks)
     values, vectors = np.linalg.eigh(kernel(chosen, chosen))
     root = vectors / np.sqrt(np.maximum(values, 1e-6))
-    of_word = kernel(words, chosen) @ root
-    sizes = np.maximum(np.bincount(span, minlength=len(found)), LEAST_SPAN_WORDS)
-    points = np.zeros((len(found), of_word.shape[1]))
-    for start in range(0, len(span), 1 << 14):
-        part = slice(start, start + (1 << 14))
-        np.add.at(points, span[part], of_word[word[part]])
-    points /= sizes[:, None]
+    points, toxic = _pooled(found, chosen, root)
     signs = np.where(toxic, 1.0, -1.0)
 
     def learn(kept: np.ndarray) -> np.ndarray:
-        share = np.where(signs[kept] > 0, 0.5 / max(1, toxic[kept].sum()), 0.5 / max(1, (~toxic[kept]).sum()))
-        return _machine(points[kept], signs[kept], share * kept.sum(), ridge=0.5)
+        share = np.where(signs > 0, 0.5 / max(1, (toxic & kept).sum()), 0.5 / max(1, (~toxic & kept).sum()))
+        return _machine(points, signs, np.where(kept, share * kept.sum(), 0.0), ridge=0.5)
 
-    solved = learn(np.ones(len(found), bool))
+    solved = learn(np.ones(len(points), bool))
     told_by = points @ solved
     # Not every span of a toxic text is toxic.
     worse = told_by > np.quantile(told_by[~toxic], 0.95)
@@ -353,24 +421,42 @@ def _fit_spans(found: list[tuple[int, list[str]]], landmarks: int) -> np.ndarray
     return weights
 
 
-def _logistic(points: np.ndarray, labels: np.ndarray, ridge: float = 0.05) -> list[float]:
-    """Weights and constant (last) of a logistic regression, by damped Newton steps."""
+def _logistic(points: np.ndarray, labels: np.ndarray, ridge: float = 0.05, toxic_weight: float = TOXIC_WEIGHT) -> list[float]:
+    """Weights and constant (last) of a logistic regression in which a toxic row counts ``toxic_weight`` times.
+
+    No weight is negative, as a worse unit or span never makes a text better: what would be is left out, and the rest is
+    fitted again.
+    """
+    used = np.ones(points.shape[1], bool)
+    while True:
+        fitted = _newton(points[:, used], labels, ridge, toxic_weight)
+        if not used.any() or (fitted[:-1] >= 0).all():
+            break
+        used[np.flatnonzero(used)[np.argmin(fitted[:-1])]] = False
+    weights = np.zeros(points.shape[1] + 1)
+    weights[:-1][used], weights[-1] = fitted[:-1], fitted[-1]
+    return weights.tolist()
+
+
+def _newton(points: np.ndarray, labels: np.ndarray, ridge: float, toxic_weight: float) -> np.ndarray:
+    """The regression itself, by damped Newton steps."""
     points = np.hstack([points, np.ones((len(points), 1))])
+    sizes = np.where(labels == 1, toxic_weight, 1.0)
     weights = np.zeros(points.shape[1])
     for _ in range(100):
         chance = 1 / (1 + np.exp(-np.clip(points @ weights, -30, 30)))
-        slope = points.T @ (labels - chance) - ridge * weights
-        bend = (points * (chance * (1 - chance))[:, None]).T @ points + ridge * np.eye(len(weights))
+        slope = points.T @ (sizes * (labels - chance)) - ridge * weights
+        bend = (points * (sizes * chance * (1 - chance))[:, None]).T @ points + ridge * np.eye(len(weights))
         step = np.linalg.solve(bend, slope)
         weights = weights + step * min(1.0, 2.0 / max(1e-12, np.abs(step).max()))
         if np.abs(step).max() < 1e-6:
             break
-    return weights.tolist()
+    return weights
 
 
 def train(
     labelled: DataFrame, order: Column | None = None, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS,
-    insults: int = MOST_INSULTS, clean_words: int = CLEAN_WORDS, landmarks: int = LANDMARKS,
+    insults: int = MOST_INSULTS, clean_words: int = CLEAN_WORDS, landmarks: int = LANDMARKS, hard_words: int = HARD_WORDS,
 ) -> ToxicityModel | None:
     """Learn from rows (text, toxic 0 or 1): at most ``toxic_rows`` and ``clean_rows`` of them, the first by ``order``.
 
@@ -404,7 +490,14 @@ def train(
         return None
     second = F.pmod(F.xxhash64("text"), F.lit(2)) == 1
     of_spans = _fit_spans(labelled_spans(sample.filter(~second), TOXIC_SPANS, CLEAN_SPANS), landmarks)
-    model = ToxicityModel(_fit(strong, clean, landmarks) if strong else np.zeros(SYMBOLS**3), of_spans, [])
+    of_units = np.zeros(SYMBOLS**3)
+    if strong:
+        of_units = _fit(strong, clean, landmarks)
+        harmless = counted.filter("in_clean > 0").filter(share <= (1 + base) / 2)
+        for _ in range(HARD_ROUNDS):
+            clean = [*clean, *_hardest(harmless, of_units, hard_words)]
+            of_units = _fit(strong, clean, landmarks)
+    model = ToxicityModel(of_units, of_spans, [])
     told = text_margins(sample.withColumn("second", second), model, "text").select("toxic", "second", "margins")
     told = told.collect()  # five numbers per row of the sample
     if len({row.toxic for row in told if row.second}) == 2:
