@@ -20,14 +20,14 @@ ORDER_DETAIL_SECONDS = 5
 PAYMENT_MINUTES = 15
 MART_WINDOW = "2 seconds"
 
-# -- topics ---------------------------------------------------------------------------------------------------
+# -- topics (fixed values) ------------------------------------------------------------------------------------
 ODS_LOG = "ods_base_log"
 ODS_CHANGES = "ods_base_db"
 DWD_START, DWD_PAGE, DWD_DISPLAY = "dwd_start_log", "dwd_page_log", "dwd_display_log"
 DWM_UNIQUE_VISIT, DWM_USER_JUMP = "dwm_unique_visit", "dwm_user_jump_detail"
 DWM_ORDER_WIDE, DWM_PAYMENT_WIDE = "dwm_order_wide", "dwm_payment_wide"
 
-# -- records --------------------------------------------------------------------------------------------------
+# -- records (fixed values: names and types of fields) --------------------------------------------------------
 WATER_SENSOR = "id string, ts long, vc int"
 USER_BEHAVIOR = "user_id long, item_id long, category_id int, behavior string, ts long"
 MARKETING_BEHAVIOR = "user_id long, behavior string, channel string, ts long"
@@ -66,7 +66,7 @@ PAYMENT_INFO = f"""
     create_time string, callback_time string
 """
 
-# -- marts ----------------------------------------------------------------------------------------------------
+# -- marts (fixed values) -------------------------------------------------------------------------------------
 VISITOR_KEYS = ["vc", "ch", "ar", "is_new"]
 VISITOR_MEASURES = ["uv_ct", "pv_ct", "sv_ct", "uj_ct", "dur_sum"]
 VISITOR_MART_KEY = ["stt", "edt", "is_new", "vc", "ch", "ar"]

@@ -36,6 +36,12 @@ def test_order_and_receipt_lines(spark):
     typed = readers.typed_lines(lines, schemas.ORDER_EVENT)
     assert [tuple(r) for r in typed.filter("event_type = 'pay'").collect()] == [(34729, "pay", "sd76f87d6", 1558430844)]
     assert typed.filter("event_type = 'create'").first().tx_id is None
+    receipt = spark.createDataFrame([("ewr342as4,wechat,1558430845",)], "value string")
+    assert tuple(readers.typed_lines(receipt, schemas.RECEIPT_EVENT).first()) == ("ewr342as4", "wechat", 1558430845)
+    behavior = spark.createDataFrame([("543462,1715,1464116,pv,1511658000",)], "value string")
+    assert tuple(readers.typed_lines(behavior, schemas.USER_BEHAVIOR).first()) == (543462, 1715, 1464116, "pv", 1511658000)
+    channel = spark.createDataFrame([("7,download,store,1511658000",)], "value string")
+    assert tuple(readers.typed_lines(channel, schemas.MARKETING_BEHAVIOR).first()) == (7, "download", "store", 1511658000)
 
 
 def test_sensor_lines_and_custom_source(spark, tmp_path):
