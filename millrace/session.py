@@ -16,8 +16,6 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # A skewed join is split even if its result has to be shuffled once more for that.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # Rows that go to a Python worker at a time: batches are counted in rows, and texts make rows of any size.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     # Sessions are merged inside each map task before they are shuffled.
     "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
 }
