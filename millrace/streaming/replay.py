@@ -18,8 +18,9 @@ from millrace.sinks.upsert import latest_per_key
 
 # Input of one micro-batch; it bounds what a stateful operator sorts at a time.
 BATCH_BYTES = 1 << 30
-# A table is laid out in files of about this size, one range of times in each.
-RANGE_BYTES = 128 << 20
+# A table is laid out in files of about this size, one range of times in each: what one task sorts, and what one task of a
+# micro-batch reads.
+RANGE_BYTES = 8 << 20
 # A second apart; a file stream passes over files that are a week older than the newest one.
 FIRST_CHANGE, MOST_FILES = 1_000_000_000_000, 600_000
 
@@ -100,9 +101,7 @@ def drain(stream: DataFrame, mode: str = "append", keys: Sequence[str] = ()) ->
     schema = stream.schema
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        stamped = batch.withColumn("_batch", F.lit(batch_id).cast("long"))
-        writer = stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy("_batch").parquet(f"{run}/rows")
+        batch.write.mode("overwrite").parquet(f"{run}/rows/_batch={batch_id}")
 
     spark.createDataFrame([], schema).write.mode("append").parquet(f"{run}/rows")
     writer = stream.writeStream.outputMode(mode).foreachBatch(each)

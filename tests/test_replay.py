@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
 from millrace import queries as registry
 from millrace.streaming import replay, stateful
@@ -61,3 +62,13 @@ def test_nulls_count_as_rows_only(spark, tmp_path):
     assert sorted((r.seq, r.previous, r.level) for r in run(stateful.LevelJump())) == [(1, 0.0, 10.1), (4, 0.2, 30.0)]
     windows = sorted((r.row_no, None if r.total is None else float(r.total), r.n) for r in run(stateful.CountWindow(2, 1)))
     assert windows == [(1, None, 1), (2, 10.1, 2), (3, 10.1, 2), (4, 0.2, 2), (5, 30.2, 2), (6, 60.0, 2)]
+
+
+def test_a_table_is_laid_out_in_ranges_that_a_task_can_sort(spark, tmp_path):
+    rows = spark.range(3_000_000).select(F.col("id").cast("timestamp").alias("ts"), "id", F.rand(1).alias("value"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/t.parquet")
+    stream = replay.source(spark, f"{tmp_path}/t.parquet", "ts timestamp, id long, value double", "ts")
+    counted = stream.groupBy(F.input_file_name().alias("file")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a"), F.max("id").alias("b"))
+    found = sorted(replay.drain(counted, "complete").collect(), key=lambda r: r.a)
+    assert len(found) > 2 and max(r.n for r in found) < 1_500_000
+    assert sum(r.n for r in found) == 3_000_000 and all(x.b < y.a for x, y in zip(found, found[1:]))
