@@ -36,7 +36,8 @@ def event_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def keyed(rows: DataFrame, processor, time_mode: str = "None") -> DataFrame:
-    return replay.drain(stateful.run_keyed(rows, "key", processor, processor.SCHEMA, time_mode))
+    """Results of a processor; the watermarked column, which it has no use for, is left out."""
+    return replay.drain(stateful.run_keyed(rows.drop("event_time"), "key", processor, processor.SCHEMA, time_mode))
 
 
 # -- windows and joins ----------------------------------------------------------------------------------------
@@ -180,7 +181,7 @@ def page_rows(spark: SparkSession, sf: str) -> DataFrame:
                                     OR next_ms IS NULL AND ms + {BOUNCE_HOURS_MS} <= (SELECT max(ms) FROM pages))"""
 )
 def stream_bounce(spark: SparkSession, sf: str) -> DataFrame:
-    rows = page_rows(spark, sf).withWatermark("event_time", "0 seconds")
+    rows = page_rows(spark, sf).withWatermark("event_time", "0 seconds").drop("event_time")
     bounce = stateful.Bounce(timedelta(milliseconds=BOUNCE_HOURS_MS))
     return replay.drain(stateful.run_keyed(rows, "mid", bounce, bounce.SCHEMA, "EventTime")).select("seq", "mid")
 
@@ -190,7 +191,7 @@ def stream_bounce(spark: SparkSession, sf: str) -> DataFrame:
     QUALIFY row_number() OVER (PARTITION BY mid, date_trunc('day', ts) ORDER BY ms, seq) = 1"""
 )
 def stream_unique_visit(spark: SparkSession, sf: str) -> DataFrame:
-    rows = page_rows(spark, sf).filter("entry").withWatermark("event_time", "1 day")
+    rows = page_rows(spark, sf).filter("entry").withWatermark("event_time", "1 day").drop("event_time")
     visit = stateful.DailyVisit()
     return replay.drain(stateful.run_keyed(rows, "mid", visit, visit.SCHEMA, "EventTime")).select("seq", "mid")
 

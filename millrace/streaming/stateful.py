@@ -46,7 +46,7 @@ class HeldValue:
         return self.value
 
     def read(self) -> tuple | None:
-        return self.state.get() if self.state.exists() else None
+        return self.state.get()  # None if there is none
 
     def write(self, value: tuple) -> None:
         self.state.update(value)
@@ -108,7 +108,8 @@ class HeldKeys(HeldValue):
 class Ordered(StatefulProcessor):
     """Handles rows one by one, sorted by ``order``; ``step`` returns the rows to emit.
 
-    State made by ``value_state``, ``list_state`` and ``key_state`` lives in memory while the rows of a key pass.
+    State made by ``value_state``, ``list_state`` and ``key_state`` lives in memory while the rows of a key pass. A key has one
+    timer at most, at the time that ``due`` reads from its state: it is set after the rows of a key, not row by row.
     """
 
     def __init__(self, order: tuple[str, ...], columns: tuple[str, ...]):
@@ -138,19 +139,41 @@ class Ordered(StatefulProcessor):
     def step(self, key: tuple, row) -> list[tuple]:
         raise NotImplementedError
 
+    def due(self) -> int | None:
+        """When the key wants to be called again, by its state."""
+        return None
+
     def expired(self, key: tuple, now: int) -> list[tuple]:
-        """Rows to emit when a timer is due."""
+        """Rows to emit when the time of the timer is reached; ``now`` is how far time has come, at or after it."""
         return []
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         self.timer_values = timerValues
-        ordered = pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        yield from self._emit([emitted for row in ordered.itertuples(index=False) for emitted in self.step(key, row)])
+        parts = list(rows)
+        ordered = (pd.concat(parts) if len(parts) > 1 else parts[0]).sort_values(self.order, kind="stable")
+        before = self.due()
+        out = [emitted for row in ordered.itertuples(index=False) for emitted in self.step(key, row)]
+        after = self.due()
+        if before != after:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            if after is not None:
+                self.handle.registerTimer(after)
+        yield from self._emit(out)
 
     def handleExpiredTimer(
         self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo
     ) -> Iterator[pd.DataFrame]:
-        yield from self._emit(self.expired(key, expiredTimerInfo.getExpiryTimeInMs()))
+        self.timer_values = timerValues
+        out = self.expired(key, self.reached(timerValues, expiredTimerInfo.getExpiryTimeInMs()))
+        after = self.due()
+        if after is not None:
+            self.handle.registerTimer(after)
+        yield from self._emit(out)
+
+    def reached(self, timer_values: TimerValues, expiry: int) -> int:
+        """How far event time has come when a timer fires."""
+        return max(expiry, timer_values.getCurrentWatermarkInMs())
 
     def _emit(self, out: list[tuple]) -> Iterator[pd.DataFrame]:
         for held in self.held:
@@ -341,10 +364,11 @@ class DailyVisit(Ordered):
         if self.last.exists() and self.last.get()[0] == day:
             return []
         self.last.update((day, ts))
-        if self.ttl_ms is None:
-            self.handle.registerTimer(ts + DAY_MS)
         return [(key[0], int(row.seq), ts, row.value)]
 
+    def due(self):
+        return self.last.get()[1] + DAY_MS if self.ttl_ms is None and self.last.exists() else None
+
     def expired(self, key, now):
         if self.last.exists() and self.last.get()[1] + DAY_MS <= now:
             self.last.clear()
@@ -354,8 +378,8 @@ class DailyVisit(Ordered):
 class Bounce(Ordered):
     """Entry pages not followed by another page of the device in time.
 
-    Run with time mode EventTime. An entry waits with a timer at its timeout; a page before that cancels it, a page
-    at or after it, or the timer, releases it.
+    Run with time mode EventTime. An entry waits for its timeout; a page before that cancels it, a page at or after it, or
+    the watermark, releases it. The timer of a key stands at its first timeout.
     """
 
     SCHEMA = "mid string, seq long, ts long, value string"
@@ -371,15 +395,17 @@ class Bounce(Ordered):
         out, ts, held = [], int(row.ts), self.waiting.items()
         if row.shown and held:
             for seq, since, value in held:
-                self.handle.deleteTimer(since + self.timeout_ms)
                 if ts - since >= self.timeout_ms:
                     out.append((key[0], seq, since, value))
             self.waiting.clear()
         if row.entry:
             self.waiting.update([*self.waiting.items(), (int(row.seq), ts, row.value)])
-            self.handle.registerTimer(ts + self.timeout_ms)
         return out
 
+    def due(self):
+        held = self.waiting.items()
+        return min(since for _, since, _ in held) + self.timeout_ms if held else None
+
     def expired(self, key, now):
         held = self.waiting.items()
         self.waiting.update([w for w in held if w[1] + self.timeout_ms > now])
@@ -416,21 +442,20 @@ class RisingAlert(Ordered):
         if self.since.exists():
             since, alerted = self.since.get()
             if not alerted and since + self.hold_ms < ts:
-                # Time has passed the timer within this batch: it fires before this row.
-                self.handle.deleteTimer(since + self.hold_ms)
+                # Time has passed the timer within this batch: the alert comes before this row.
                 self.alert(since)
                 out.append((str(key[0]), since))
         if level is not None and level > previous:
             if not self.since.exists():
                 self.since.update((ts, False))
-                self.handle.registerTimer(ts + self.hold_ms)
         elif self.since.exists():
-            since, alerted = self.since.get()
-            if not alerted:
-                self.handle.deleteTimer(since + self.hold_ms)
             self.since.clear()
         return out
 
+    def due(self):
+        since, alerted = self.since.get() or (None, True)
+        return None if alerted else since + self.hold_ms
+
     def expired(self, key, now):
         since, alerted = self.since.get() or (None, True)
         if alerted:
@@ -440,7 +465,10 @@ class RisingAlert(Ordered):
 
 
 class Reminder(Ordered):
-    """A message some time after every row, by event time or by processing time."""
+    """A message some time after every row, by event time or by processing time.
+
+    The messages of a key wait in one value; its timer stands at the first of them.
+    """
 
     SCHEMA = "key string, fired_at long"
 
@@ -449,12 +477,23 @@ class Reminder(Ordered):
         self.delay_ms, self.event_time = delay // timedelta(milliseconds=1), event_time
 
     def open(self, handle):
-        pass
+        self.waiting = self.value_state("waiting", "fires_at array<long>")
 
     def step(self, key, row):
         now = int(row.ts) if self.event_time else self.timer_values.getCurrentProcessingTimeInMs()
-        self.handle.registerTimer(now + self.delay_ms)
+        waiting = self.waiting.get() or ([],)
+        waiting[0].append(now + self.delay_ms)
+        self.waiting.update(waiting)
         return []
 
+    def due(self):
+        return min(self.waiting.get()[0]) if self.waiting.exists() else None
+
+    def reached(self, timer_values, expiry):
+        return super().reached(timer_values, expiry) if self.event_time else max(expiry, timer_values.getCurrentProcessingTimeInMs())
+
     def expired(self, key, now):
-        return [(str(key[0]), now)]
+        waiting = self.waiting.get()[0] if self.waiting.exists() else []
+        later = [at for at in waiting if at > now]
+        self.waiting.update((later,) if later else None)
+        return [(str(key[0]), at) for at in sorted(waiting) if at <= now]

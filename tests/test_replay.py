@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime, timedelta
+
+import pandas as pd
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import TimerValues
 
 from millrace import queries as registry
 from millrace.streaming import replay, stateful
@@ -72,3 +76,61 @@ def test_a_table_is_laid_out_in_ranges_that_a_task_can_sort(spark, tmp_path):
     found = sorted(replay.drain(counted, "complete").collect(), key=lambda r: r.a)
     assert len(found) > 2 and max(r.n for r in found) < 1_500_000
     assert sum(r.n for r in found) == 3_000_000 and all(x.b < y.a for x, y in zip(found, found[1:]))
+
+
+class Held:
+    """A state of one key."""
+
+    def __init__(self):
+        self.value = None
+
+    def get(self):
+        return self.value
+
+    def exists(self):
+        return self.value is not None
+
+    def update(self, value):
+        self.value = value
+
+    put = update
+
+    def clear(self):
+        self.value = None
+
+
+class Handle:
+    """What a processor asks of Spark for one key: its states and timers."""
+
+    def __init__(self):
+        self.timers = []
+        self.registerTimer, self.deleteTimer = self.timers.append, self.timers.remove
+        self.getValueState = self.getListState = lambda *args, **kwargs: Held()
+
+
+KEYED = {
+    "reminder": stateful.Reminder(timedelta(seconds=5), event_time=True),
+    "visit": stateful.DailyVisit(),
+    "bounce": stateful.Bounce(timedelta(days=9)),
+    "alert": stateful.RisingAlert(timedelta(days=9)),
+}
+
+
+@pytest.mark.parametrize("name", KEYED)
+def test_the_rows_of_a_key_set_one_timer(name):
+    handle, processor = Handle(), KEYED[name]
+    processor.init(handle)
+    ts = [i * stateful.DAY_MS // 4 for i in range(20)]
+    rows = pd.DataFrame({"ts": ts, "seq": range(20), "value": range(20), "entry": True, "shown": False, "is_data": True, "is_left": True})
+    list(processor.handleInputRows(("a",), iter([rows.astype({"value": str}) if name == "as_of" else rows]), TimerValues(0, 0)))
+    assert len(handle.timers) == 1
+
+
+def test_rows_of_one_instant_each_have_a_reminder(spark, tmp_path):
+    rows = [("a", ts, seq, datetime.fromtimestamp(ts / 1000, UTC)) for seq, ts in enumerate([1000, 1000, 2000, 3500, 60_000])]
+    schema = "key string, ts long, seq long, event_time timestamp"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/t.parquet")
+    stream = replay.source(spark, f"{tmp_path}/t.parquet", schema, "event_time").withWatermark("event_time", "0 seconds")
+    reminder = stateful.Reminder(timedelta(seconds=5), event_time=True)
+    found = replay.drain(stateful.run_keyed(stream.drop("event_time"), "key", reminder, reminder.SCHEMA, "EventTime")).collect()
+    assert sorted(r.fired_at for r in found) == [6000, 6000, 7000, 8500]
