@@ -1,15 +1,17 @@
 """Processors that act on the query's own watermark: lateness, versions in time, matching queues, triggers.
 
-Rows are handled as whole pandas columns, oldest first within a micro-batch; state is read and written once per key and
-batch. Spark's watermark before a batch is the newest time of all earlier batches less the delay. A row whose window closed
-before it has come late; so the columns handed to these processors must not carry the watermark themselves (Spark drops late
-rows of such a column before a processor sees them): see ``plain_time``.
+Rows are handled as whole columns, oldest first within a micro-batch; state is read and written once per key and batch, and a
+key that waits has one timer. Spark's watermark before a batch is the newest time of all earlier batches less the delay. A row
+whose window closed before it has come late; so the columns handed to these processors must not carry the watermark
+themselves (Spark drops late rows of such a column before a processor sees them): see ``plain_time``.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from datetime import timedelta
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -43,7 +45,7 @@ def to_all_buckets(df: DataFrame, number: int) -> DataFrame:
 
 
 class Columnar(StatefulProcessor):
-    """Handles the rows of a key in a batch as one frame sorted by ``order``."""
+    """Handles the rows of a key in a batch as columns, or as one frame sorted by ``order``."""
 
     order = ["ts", "seq"]
 
@@ -60,17 +62,32 @@ class Columnar(StatefulProcessor):
     def close(self) -> None:
         pass
 
-    @staticmethod
-    def held(state, columns: list[str]) -> pd.DataFrame:
-        return pd.DataFrame(list(state.get()) if state.exists() else [], columns=columns)
 
-    @staticmethod
-    def hold(state, frame: pd.DataFrame) -> None:
-        if len(frame):
-            plain = frame.astype(object).where(frame.notna(), None)
-            state.put([tuple(row) for row in plain.itertuples(index=False, name=None)])
-        elif state.exists():
-            state.clear()
+class Lists:
+    """Some lists in one value state: read and written at once, not entry by entry."""
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str, schema: str, number: int):
+        self.state, self.number = handle.getValueState(name, schema), number
+        self.there = False
+
+    def read(self) -> tuple[list, ...]:
+        value = self.state.get()
+        self.there = value is not None
+        return value if self.there else tuple([] for _ in range(self.number))
+
+    def write(self, lists: list[list]) -> None:
+        """To be called after ``read`` for the same key."""
+        if any(lists):
+            self.state.update(tuple(lists))
+        elif self.there:
+            self.state.clear()
+
+
+def _columns(rows: list[tuple], number: int) -> list[list]:
+    return [list(column) for column in zip(*rows)] if rows else [[] for _ in range(number)]
+
+
+_time, _place = itemgetter(0), itemgetter(0, 1)
 
 
 def _status(last: np.ndarray, watermark: int, lateness: int) -> np.ndarray:
@@ -174,45 +191,39 @@ class AsOf(Columnar):
     """
 
     SCHEMA = "key string, seq long, value string, row string"
-    COLUMNS = ["ts", "seq", "value"]
 
     def open(self, handle):
-        self.marks = handle.getListState("marks", "ts long, seq long, value string")
-        self.waiting = handle.getListState("waiting", "ts long, seq long, value string")
+        columns = "ts array<long>", "seq array<long>", "value array<string>"
+        parts = (f"{part}_{column}" for part in ("marks", "waiting") for column in columns)
+        self.state = Lists(handle, "versions", ", ".join(parts), 6)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = self.frame(rows)
-        data = frame["is_data"].to_numpy(bool)
-        yield from self.answer(key, frame[~data][self.COLUMNS], frame[data][self.COLUMNS], timerValues)
+        new: tuple[list, list] = ([], [])
+        for part in rows:
+            values = (value if isinstance(value, str) else None for value in part["value"].tolist())
+            for ts, seq, is_data, value in zip(*(part[c].tolist() for c in ("ts", "seq", "is_data")), values):
+                new[bool(is_data)].append((int(ts), int(seq), value))
+        yield from self.answer(key, *new, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        nothing = pd.DataFrame(columns=self.COLUMNS)
-        yield from self.answer(key, nothing, nothing, timerValues)
+        yield from self.answer(key, [], [], timerValues)
 
-    def answer(self, key, new_marks: pd.DataFrame, new_rows: pd.DataFrame, timer_values) -> Iterator[pd.DataFrame]:
+    def answer(self, key, new_marks: list[tuple], new_rows: list[tuple], timer_values) -> Iterator[pd.DataFrame]:
         watermark = timer_values.getCurrentWatermarkInMs()
-        marks = self.together(self.marks, new_marks)
-        waiting = self.together(self.waiting, new_rows)
-        ready = waiting["ts"] < watermark
-        asked = waiting[ready]
-        waiting = waiting[~ready]
-        self.hold(self.waiting, waiting)
-        if len(waiting):
-            self.handle.registerTimer(int(waiting["ts"].min()) + 1)
-        place = np.searchsorted(marks["ts"].to_numpy(), asked["ts"].to_numpy(), "right") - 1
+        held = self.state.read()
+        marks, waiting = (sorted([*zip(*part), *new], key=_place) for part, new in ((held[:3], new_marks), (held[3:], new_rows)))
+        ready = bisect_left(waiting, watermark, key=_time)
+        times = [ts for ts, _, _ in marks]
         # The newest value before the watermark and all after it can still be asked for.
-        first = max(0, int(np.searchsorted(marks["ts"].to_numpy(), watermark, "left")) - 1)
-        self.hold(self.marks, marks.iloc[first:])
-        if len(asked):
-            values = np.append(marks["value"].to_numpy(object), None)  # place -1: none yet
-            columns = {"key": str(key[0]), "seq": asked["seq"].to_numpy(), "value": values[place], "row": asked["value"].to_numpy(object)}
-            frame = pd.DataFrame(columns)
-            yield frame.astype(object).where(frame.notna(), None).astype({"seq": "int64"})
-
-    def together(self, state, new: pd.DataFrame) -> pd.DataFrame:
-        both = pd.concat([part for part in (self.held(state, self.COLUMNS), new) if len(part)] or [new], ignore_index=True)
-        both = both.astype({"ts": "int64", "seq": "int64", "value": object})
-        return both.sort_values(self.order, kind="stable", ignore_index=True)
+        kept = marks[max(0, bisect_left(times, watermark) - 1) :]
+        self.state.write([*_columns(kept, 3), *_columns(waiting[ready:], 3)])
+        if waiting[ready:]:
+            self.handle.registerTimer(waiting[ready][0] + 1)
+        if ready:
+            places = (bisect_right(times, ts) - 1 for ts, _, _ in waiting[:ready])
+            values = [None if place < 0 else marks[place][2] for place in places]
+            out = [(str(key[0]), seq, value, row) for (_, seq, row), value in zip(waiting, values)]
+            yield pd.DataFrame(out, columns=["key", "seq", "value", "row"])
 
 
 class MatchInOrder(Columnar):
@@ -225,34 +236,44 @@ class MatchInOrder(Columnar):
     """
 
     SCHEMA = "key string, match_no long, left_seq long, right_seq long, status string"
-    QUEUE = ["ts", "seq"]
+    COLUMNS = ["key", "match_no", "left_seq", "right_seq", "status"]
 
     def __init__(self, within: timedelta | None = None):
         self.within = None if within is None else within // timedelta(milliseconds=1)
 
     def open(self, handle):
-        self.queues = [handle.getListState(name, "ts long, seq long") for name in ("left", "right")]
+        parts = (f"{side}_{column} array<long>" for side in ("left", "right") for column in ("ts", "seq"))
+        self.state = Lists(handle, "queues", ", ".join(parts), 4)
         self.count = handle.getValueState("pairs", "n long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = self.frame(rows)
-        is_left = frame["is_left"].to_numpy(bool)
-        new = [frame[is_left][self.QUEUE], frame[~is_left][self.QUEUE]]
-        waiting = [pd.concat([self.held(q, self.QUEUE), part], ignore_index=True).astype("int64") for q, part in zip(self.queues, new)]
-        paired, alone = self.meet(*(queue["ts"].to_numpy() for queue in waiting))
-        pairs = self.count.get()[0] if self.count.exists() else 0
+        new: tuple[list, list] = ([], [])
+        for part in rows:
+            for ts, seq, is_left in zip(*(part[c].tolist() for c in ("ts", "seq", "is_left"))):
+                new[not is_left].append((int(ts), int(seq)))
+        queues = [[*old, *sorted(part)] for old, part in zip(self.read(), new)]
+        paired, alone = self.meet(*(np.array([ts for ts, _ in queue], np.int64) for queue in queues))
+        out = []
+        for place in (0, 1):
+            out += [self.single(key, place, queues[place][i][1]) for i in alone[place]]
         if len(paired[0]):
+            pairs = (self.count.get() or (0,))[0]
             self.count.update((pairs + len(paired[0]),))
-        for place, (state, queue, status) in enumerate(zip(self.queues, waiting, (LEFT_ONLY, RIGHT_ONLY))):
-            if alone[place]:
-                yield self.single(key, place, queue["seq"].to_numpy()[alone[place]], status)
-            left = queue.iloc[len(paired[place]) + len(alone[place]) :]
-            self.hold(state, left)
-            if self.within is not None and len(left):
-                self.handle.registerTimer(int(left["ts"].min()) + self.within + 1)
-        if len(paired[0]):
-            seqs = [queue["seq"].to_numpy()[places] for queue, places in zip(waiting, paired)]
-            yield self.rows(key, np.arange(pairs + 1, pairs + len(seqs[0]) + 1), seqs[0], seqs[1], MATCHED)
+            for number, (a, b) in enumerate(zip(*paired), pairs + 1):
+                out.append((str(key[0]), number, queues[0][a][1], queues[1][b][1], MATCHED))
+        self.write([queue[len(paired[place]) + len(alone[place]) :] for place, queue in enumerate(queues)])
+        if out:
+            yield pd.DataFrame(out, columns=self.COLUMNS, dtype=object)
+
+    def read(self) -> list[list[tuple]]:
+        held = self.state.read()
+        return [list(zip(*held[:2])), list(zip(*held[2:]))]
+
+    def write(self, queues: list[list[tuple]]) -> None:
+        """Hold what waits, with one timer for the first record that can be given up."""
+        self.state.write([*_columns(queues[0], 2), *_columns(queues[1], 2)])
+        if self.within is not None and any(queues):
+            self.handle.registerTimer(min(ts for queue in queues for ts, _ in queue) + self.within + 1)
 
     def meet(self, left: np.ndarray, right: np.ndarray) -> tuple[tuple, tuple[list[int], list[int]]]:
         """Places in both queues that are paired, and those given up; all of them stand before the rest of their queue."""
@@ -276,31 +297,23 @@ class MatchInOrder(Columnar):
         return paired, alone
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        watermark = timerValues.getCurrentWatermarkInMs()
-        for place, (state, status) in enumerate(zip(self.queues, (LEFT_ONLY, RIGHT_ONLY))):
-            queue = self.held(state, self.QUEUE).astype("int64")
-            given_up = queue["ts"] + self.within < watermark
-            if given_up.any():
-                yield self.single(key, place, queue["seq"].to_numpy()[given_up], status)
-                queue = queue[~given_up]
-                self.hold(state, queue)
-            if len(queue):
-                self.handle.registerTimer(int(queue["ts"].min()) + self.within + 1)
-
-    def single(self, key, place: int, seqs: np.ndarray, status: str) -> pd.DataFrame:
-        return self.rows(key, None, *((seqs, None) if place == 0 else (None, seqs)), status)
+        last = timerValues.getCurrentWatermarkInMs() - self.within  # before it, a record is given up
+        queues = self.read()
+        out = [self.single(key, place, seq) for place in (0, 1) for ts, seq in queues[place] if ts < last]
+        self.write([[(ts, seq) for ts, seq in queue if ts >= last] for queue in queues])
+        if out:
+            yield pd.DataFrame(out, columns=self.COLUMNS, dtype=object)
 
     @staticmethod
-    def rows(key, numbers, left, right, status: str) -> pd.DataFrame:
-        frame = pd.DataFrame({"match_no": numbers, "left_seq": left, "right_seq": right}, dtype="Int64")
-        return frame.assign(key=str(key[0]), status=status)[["key", "match_no", "left_seq", "right_seq", "status"]]
+    def single(key, place: int, seq: int) -> tuple:
+        return (str(key[0]), None, *((seq, None, LEFT_ONLY) if place == 0 else (None, seq, RIGHT_ONLY)))
 
 
 class Trigger(Columnar):
     """An endless window per key that fires by count, by time or by either: firings as ``windows.global_window_count_or_time``.
 
-    Rows are (key, ts, seq). Rows are counted by span until the watermark passes its end, where a timer fires; a key holds
-    no more than its open spans and a number. Run with time mode EventTime if ``span`` is given.
+    Rows are (key, ts, seq). Rows are counted by span until the watermark passes its end; a key holds no more than its open
+    spans, two numbers and one timer at the first end. Run with time mode EventTime if ``span`` is given.
     """
 
     SCHEMA = "key string, cause string, at_ms long, n long"
@@ -311,42 +324,39 @@ class Trigger(Columnar):
         self.every, self.span = every, None if span is None else span // timedelta(milliseconds=1)
 
     def open(self, handle):
-        self.count = handle.getValueState("count", "n long")
-        self.closed = handle.getValueState("closed", "n long")
-        self.spans = handle.getListState("spans", "at_ms long, n long")
+        self.state = handle.getValueState("window", "n long, closed long, ends array<long>, rows array<long>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        ts = self.frame(rows)["ts"].to_numpy(np.int64)
-        before = self.count.get()[0] if self.count.exists() else 0
-        self.count.update((before + len(ts),))
+        ts = np.sort(np.concatenate([part["ts"].to_numpy(np.int64) for part in rows]))
+        before, closed, ends, counts = self.state.get() or (0, 0, [], [])
+        known = dict(zip(ends, counts))
+        if self.span:
+            for end, n in zip(*(part.tolist() for part in np.unique((ts // self.span + 1) * self.span, return_counts=True))):
+                known[end] = known.get(end, 0) + n
+            first = min(known)
+            if not ends or first < ends[0]:
+                self.handle.registerTimer(first)
+        self.hold_spans(before + len(ts), closed, sorted(known.items()))
         if self.every:
             numbers = np.arange(before + 1, before + len(ts) + 1)
             fires = numbers % self.every == 0
             if fires.any():
                 yield self.firings(key, "count", ts[fires], numbers[fires])
-        if self.span:
-            known = dict(self.spans.get()) if self.spans.exists() else {}
-            for end, n in zip(*(part.tolist() for part in np.unique((ts // self.span + 1) * self.span, return_counts=True))):
-                if end not in known:
-                    self.handle.registerTimer(end)
-                known[end] = known.get(end, 0) + n
-            self.spans.put(sorted(known.items()))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        known = sorted(self.spans.get()) if self.spans.exists() else []
-        due = [(end, n) for end, n in known if end <= watermark]
+        count, closed, ends, counts = self.state.get() or (0, 0, [], [])
+        due = bisect_right(ends, watermark)
+        if ends[due:]:
+            self.handle.registerTimer(ends[due])
         if not due:
             return
-        before = self.closed.get()[0] if self.closed.exists() else 0
-        totals = before + np.cumsum([n for _, n in due])
-        self.closed.update((int(totals[-1]),))
-        rest = known[len(due) :]
-        if rest:
-            self.spans.put(rest)
-        else:
-            self.spans.clear()
-        yield self.firings(key, "time", [end for end, _ in due], totals)
+        totals = closed + np.cumsum(counts[:due])
+        self.hold_spans(count, int(totals[-1]), list(zip(ends[due:], counts[due:])))
+        yield self.firings(key, "time", ends[:due], totals)
+
+    def hold_spans(self, count: int, closed: int, spans: list[tuple]) -> None:
+        self.state.update((count, closed, *_columns(spans, 2)))
 
     @staticmethod
     def firings(key, cause: str, at, n) -> pd.DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import TimerValues
 
 from millrace import queries as registry
-from millrace.streaming import replay, stateful
+from millrace.streaming import in_time, replay, stateful
 from oracle import connect, difference
 
 TABLES = {"events": "ts", "orders": "o_orderdate", "lineitem": "l_shipdate"}
@@ -113,6 +113,9 @@ KEYED = {
     "visit": stateful.DailyVisit(),
     "bounce": stateful.Bounce(timedelta(days=9)),
     "alert": stateful.RisingAlert(timedelta(days=9)),
+    "as_of": in_time.AsOf(),
+    "match": in_time.MatchInOrder(timedelta(days=9)),
+    "trigger": in_time.Trigger(10, timedelta(seconds=1)),
 }
 
 
