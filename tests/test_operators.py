@@ -243,6 +243,15 @@ def test_user_defined_aggregate(a):
     assert {r.id: r.s for r in a.groupBy("id").agg(spread("vc").alias("s")).collect()} == {"sensor_1": 30.0, "sensor_2": 20.0}
 
 
+def test_user_defined_aggregate_takes_many_groups_at_a_time_and_nulls(spark):
+    many = averages.grouped(lambda values: float(len(values) + values.isna().sum()))
+    df = spark.createDataFrame([("a", None), ("a", 1.0), ("b", 2.0), ("c", None)], "k string, v double")
+    found = df.groupBy("k").agg(many("v").alias("n"))
+    assert {r.k: r.n for r in found.collect()} == {"a": 3.0, "b": 1.0, "c": 2.0}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "ArrowAggregatePython" not in plan
+
+
 # -- patterns -------------------------------------------------------------------------------------------------
 
 
