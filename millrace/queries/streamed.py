@@ -91,7 +91,7 @@ def stream_interval_join(spark: SparkSession, sf: str) -> DataFrame:
         timedelta(days=-15),
         timedelta(days=15),
     )
-    return replay.drain(joined.select("o_orderkey", "l_linenumber", "l_partkey"))
+    return replay.drain(joined.select("o_orderkey", "l_linenumber", "l_partkey"), settle=False)
 
 
 @query("SELECT count(*) AS seen FROM events")

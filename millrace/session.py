@@ -23,7 +23,13 @@ RUNTIME_SETTINGS = {
 # Can only be set while a session is built. Building a plan then skips recording the Python line of every expression.
 BUILD_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STREAMING_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # Counting the rows of a store costs a read before every write.
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+    # Both sides of a stream-stream join share a store, not four.
+    "spark.sql.streaming.join.stateFormatVersion": "3",
+}
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -37,7 +43,8 @@ def configure(spark: SparkSession) -> SparkSession:
 def configure_streaming(spark: SparkSession) -> SparkSession:
     """Settings for stateful streaming jobs on top of the runtime ones."""
     configure(spark)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    for name, value in STREAMING_SETTINGS.items():
+        spark.conf.set(name, value)
     return spark
 
 

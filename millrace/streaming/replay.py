@@ -94,8 +94,12 @@ def _date_files(spark: SparkSession, folder: str) -> None:
         raise RuntimeError(f"{folder} does not keep the times of files: a replay would not be in order")
 
 
-def drain(stream: DataFrame, mode: str = "append", keys: Sequence[str] = ()) -> DataFrame:
-    """Process all input and read the result back; in update mode the newest row of every key counts."""
+def drain(stream: DataFrame, mode: str = "append", keys: Sequence[str] = (), settle: bool = True) -> DataFrame:
+    """Process all input and read the result back; in update mode the newest row of every key counts.
+
+    Without ``settle`` there is no last micro-batch for what only the watermark releases. It gives no rows of an inner join,
+    it just empties its state.
+    """
     spark = stream.sparkSession
     run = f"{checkpoint_root(spark)}/replay/{uuid.uuid4()}"
     schema = stream.schema
@@ -106,22 +110,28 @@ def drain(stream: DataFrame, mode: str = "append", keys: Sequence[str] = ()) ->
     spark.createDataFrame([], schema).write.mode("append").parquet(f"{run}/rows")
     writer = stream.writeStream.outputMode(mode).foreachBatch(each)
     writer = writer.option("checkpointLocation", f"{run}/progress").trigger(availableNow=True)
-    _start(spark, writer).awaitTermination()
+    _start(spark, writer, settle).awaitTermination()
     rows = spark.read.schema(schema.add("_batch", "long")).parquet(f"{run}/rows")
     return (latest_per_key(rows, keys, ["_batch"]) if mode == "update" else rows).drop("_batch")
 
 
-def _start(spark: SparkSession, writer: DataStreamWriter) -> StreamingQuery:
+def _start(spark: SparkSession, writer: DataStreamWriter, settle: bool = True) -> StreamingQuery:
     """Start a query; on a local master its state has one partition per core, as each costs a store and a worker.
 
     A query takes its settings when it starts, so the session's own are put back at once.
     """
-    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    partitions = "spark.sql.shuffle.partitions"
     cores = spark.sparkContext.defaultParallelism
-    if not spark.sparkContext.master.startswith("local") or int(partitions) <= cores:
-        return writer.start()
-    spark.conf.set("spark.sql.shuffle.partitions", str(cores))
+    own = {}
+    if spark.sparkContext.master.startswith("local") and int(spark.conf.get(partitions)) > cores:
+        own[partitions] = str(cores)
+    if not settle:
+        own["spark.sql.streaming.noDataMicroBatches.enabled"] = "false"
+    before = {name: spark.conf.get(name) for name in own}
+    for name, value in own.items():
+        spark.conf.set(name, value)
     try:
         return writer.start()
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        for name, value in before.items():
+            spark.conf.set(name, value)

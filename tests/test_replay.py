@@ -137,3 +137,12 @@ def test_rows_of_one_instant_each_have_a_reminder(spark, tmp_path):
     reminder = stateful.Reminder(timedelta(seconds=5), event_time=True)
     found = replay.drain(stateful.run_keyed(stream.drop("event_time"), "key", reminder, reminder.SCHEMA, "EventTime")).collect()
     assert sorted(r.fired_at for r in found) == [6000, 6000, 7000, 8500]
+
+
+def test_an_inner_join_ends_with_its_last_rows(spark, tables, tmp_path, monkeypatch):
+    monkeypatch.setattr(replay, "checkpoint_root", lambda _: str(tmp_path))
+    before = spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled")
+    registry.QUERIES["stream_interval_join"](spark, tables)
+    (commits,) = tmp_path.glob("replay/*/progress/commits")
+    assert [f.name for f in commits.iterdir() if f.name.isdigit()] == ["0"]
+    assert spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled") == before
