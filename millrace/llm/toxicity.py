@@ -23,12 +23,11 @@ learns from rows that the machine of spans has not seen.
 
 from __future__ import annotations
 
-import heapq
 import random
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import combinations
+from itertools import chain, combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -59,10 +58,11 @@ BIAS = -1.0
 EVIDENCE = 10.0
 LEAST_INSULTS = 8
 READ_BYTES = 2 << 20
+SCORE_BYTES = 1 << 20
 BLOCK_WORDS = 1024
 SPANS_AT_ONCE = 512
 LANDMARKS_AT_ONCE = 48
-MOST_KNOWN = 200_000
+MOST_KNOWN = 100_000
 
 
 @dataclass
@@ -145,26 +145,24 @@ class _Symbols(dict):
 _SYMBOL = _Symbols()
 
 
-def _triples(length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the subsequences of a unit of this length, and their weights."""
+def _triples(length: int) -> np.ndarray:
+    """Places of the subsequences of a unit of this length."""
     places = [
         (first, first + second, first + third)
         for first in range(length)
         for second, third in combinations(range(1, MOST_SPAN), 2)
         if first + third < length
     ]
-    spans = np.array([last - first + 1 for first, _, last in places], np.float64)
-    return np.array(places, np.int64).reshape(-1, 3), DECAY ** (spans - 3)
+    return np.array(places, np.int64).reshape(-1, 3)
 
 
-_TRIPLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_TRIPLES: dict[int, np.ndarray] = {}
+# Weight of a subsequence by the distance from its first to its last place; 7 is the most that three bits hold.
+_DECAYED = DECAY ** (np.arange(8) - 2.0)
 
 
-def features(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Blocks of (places in ``words``, subsequence codes, weights divided by the norm); equal codes of a unit are summed.
-
-    A code that repeats has its whole weight at its first place and 0 elsewhere.
-    """
+def _subsequences(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of (places in ``words``, a row of subsequence codes for each, the distance that each column spans)."""
     by_length: dict[int, list[int]] = {}
     for place, word in enumerate(words):
         by_length.setdefault(len(word), []).append(place)
@@ -172,26 +170,41 @@ def features(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
     for length, all_places in by_length.items():
         if length + 2 not in _TRIPLES:
             _TRIPLES[length + 2] = _triples(length + 2)
-        triples, decayed = _TRIPLES[length + 2]
+        triples = _TRIPLES[length + 2]
         for start in range(0, len(all_places), BLOCK_WORDS):
             places = all_places[start : start + BLOCK_WORDS]
             chars = np.zeros((len(places), length + 2), np.int32)
             joined = "".join([words[place] for place in places])
             chars[:, 1:-1] = np.fromiter(map(symbol, joined), np.int32, len(joined)).reshape(len(places), length)
             codes = (chars[:, triples[:, 0]] << 12) | (chars[:, triples[:, 1]] << 6) | chars[:, triples[:, 2]]
-            order = np.argsort(codes, axis=1)
-            codes = np.take_along_axis(codes, order, axis=1)
-            weights = decayed[order]
-            total = np.cumsum(weights, axis=1)
-            last = np.ones(codes.shape, bool)
-            last[:, :-1] = codes[:, 1:] != codes[:, :-1]
-            # The sum up to the end of a run of equal codes, less the sum up to the end of the run before.
-            ends = np.where(last, total, 0.0)
-            before = np.zeros_like(ends)
-            before[:, 1:] = np.maximum.accumulate(ends, axis=1)[:, :-1]
-            weights = np.where(last, total - before, 0.0)
-            norm = np.sqrt((weights**2).sum(axis=1, keepdims=True))
-            yield np.array(places), codes, weights / np.maximum(norm, 1e-12)
+            yield np.array(places), codes, (triples[:, 2] - triples[:, 0]).astype(np.int32)
+
+
+def _sorted_codes(codes: np.ndarray, spread: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of every row in order, their weights, and which of them are the last of a run of equal codes."""
+    # A code and its distance in one number, so that sorting moves both.
+    held = np.sort((codes << 3) | spread, axis=1)
+    codes = held >> 3
+    last = np.ones(codes.shape, bool)
+    last[:, :-1] = codes[:, 1:] != codes[:, :-1]
+    return codes, _DECAYED[held & 7], last
+
+
+def features(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of (places in ``words``, subsequence codes, weights divided by the norm); equal codes of a unit are summed.
+
+    A code that repeats has its whole weight at its last place and 0 elsewhere.
+    """
+    for places, codes, spread in _subsequences(words):
+        codes, weights, last = _sorted_codes(codes, spread)
+        total = np.cumsum(weights, axis=1)
+        # The sum up to the end of a run of equal codes, less the sum up to the end of the run before.
+        ends = np.where(last, total, 0.0)
+        before = np.zeros_like(ends)
+        before[:, 1:] = np.maximum.accumulate(ends, axis=1)[:, :-1]
+        weights = np.where(last, total - before, 0.0)
+        norm = np.sqrt((weights**2).sum(axis=1, keepdims=True))
+        yield places, codes, weights / np.maximum(norm, 1e-12)
 
 
 def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
@@ -213,9 +226,17 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
 def margins(model: ToxicityModel, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Margin of every word as a unit, and what it adds to a span."""
     values, added = np.full(len(words), BIAS), np.zeros(len(words))
-    for places, codes, weights in features(words):
-        values[places] += (weights * model.weights[codes]).sum(axis=1)
-        added[places] += (weights * model.of_spans[codes]).sum(axis=1)
+    for places, codes, spread in _subsequences(words):
+        if not codes.size:
+            continue
+        # Only the norm needs equal codes summed: the rest is a sum over all of them.
+        _, weights, last = _sorted_codes(codes, spread)
+        ends = np.flatnonzero(last)
+        sums = np.add.reduceat(weights.ravel(), np.append(0, ends[:-1] + 1))
+        norm = np.sqrt(np.bincount(ends // codes.shape[1], weights=sums**2, minlength=len(places)))
+        norm = np.maximum(norm, 1e-12)
+        values[places] += model.weights[codes] @ _DECAYED[spread] / norm
+        added[places] += model.of_spans[codes] @ _DECAYED[spread] / norm
     return values, added
 
 
@@ -509,37 +530,159 @@ def train(
 # -- scoring --------------------------------------------------------------------------------------------------
 
 
+class _Numbers(dict):
+    """A number for each key, in the order in which they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self)
+        return number
+
+
+def _places(ends: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the elements of these rows of a ragged table, and how many each row has."""
+    starts, sizes = ends[rows], ends[rows + 1] - ends[rows]
+    return np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes), sizes
+
+
+def _largest(values: np.ndarray, owners: np.ndarray, n: int, most: int) -> np.ndarray:
+    """The largest values of each owner, falling, of ``n`` owners by whom the values are sorted; BIAS where there is none."""
+    found = np.full((n, most), BIAS)
+    if not len(values):
+        return found
+    values = values.copy()
+    begins = np.flatnonzero(np.diff(owners, prepend=-1))
+    for column in range(most):
+        top = np.maximum.reduceat(values, begins)
+        found[owners[begins], column] = np.where(np.isneginf(top), BIAS, top)
+        # One value of each owner is used up, even if others equal it.
+        at = np.flatnonzero(values == np.repeat(top, np.diff(begins, append=len(values))))
+        values[at[np.diff(owners[at], prepend=-1) > 0]] = -np.inf
+    return found
+
+
+class TextScorer:
+    """The worst units and spans of texts. A word is taken apart once, a unit is scored once, until there are MOST_KNOWN."""
+
+    def __init__(self, model: ToxicityModel):
+        self.model = model
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words, self.units = _Numbers(), _Numbers()
+        self.of_unit, self.added = np.zeros(0), np.zeros(0)
+        # Of every word: its units, its parts in a span, whether it is one character or ends a sentence, how often it was seen.
+        self.unit_ends, self.unit_list = np.zeros(1, np.int64), np.zeros(0, np.int64)
+        self.part_ends, self.part_list = np.zeros(1, np.int64), np.zeros(0, np.int64)
+        self.single, self.closing = np.zeros(0, bool), np.zeros(0, bool)
+        self.seen = np.zeros(0, np.int64)
+
+    def _learn(self, fresh: list[str]) -> None:
+        step, number = UNIT_CHARS // 2, self.units.__getitem__
+        of_words: list[int] = []
+        of_parts: list[int] = []
+        unit_ends, part_ends = [], []
+        for word in fresh:
+            if len(word) <= UNIT_CHARS:
+                of_words.append(unit := number(word))
+                if word.isalnum():
+                    of_parts.append(unit)
+                elif bare := _MARKS.sub("", word):
+                    of_parts.append(unit := number(bare))
+                    of_words.append(unit)
+            else:
+                bare = _MARKS.sub("", word)
+                of_words.extend(number(word[start : start + UNIT_CHARS]) for start in range(0, len(word) - step, step))
+                if len(bare) <= UNIT_CHARS:
+                    parts = [number(bare)] if bare else []
+                else:
+                    parts = [number(bare[start : start + UNIT_CHARS]) for start in range(0, len(bare) - step, step)]
+                of_words.extend(parts)
+                of_parts.extend(parts)
+            unit_ends.append(len(of_words))
+            part_ends.append(len(of_parts))
+        self.unit_ends = np.append(self.unit_ends, np.array(unit_ends, np.int64) + len(self.unit_list))
+        self.part_ends = np.append(self.part_ends, np.array(part_ends, np.int64) + len(self.part_list))
+        self.unit_list = np.append(self.unit_list, np.array(of_words, np.int64))
+        self.part_list = np.append(self.part_list, np.array(of_parts, np.int64))
+        self.single = np.append(self.single, np.array([len(word) == 1 for word in fresh], bool))
+        self.closing = np.append(self.closing, np.array([word[-1] in ".!?" for word in fresh], bool))
+
+    def _trim(self) -> None:
+        """Forget all but the short words that were seen most, if more than once."""
+        words, units, told, added = list(self.words), self.units, self.of_unit, self.added
+        often = np.argsort(-self.seen, kind="stable")[: MOST_KNOWN // 4]
+        kept = [words[i] for i in often[self.seen[often] > 1].tolist() if len(words[i]) <= UNIT_CHARS]
+        self._forget()
+        self.words.update(zip(kept, range(len(kept))))
+        self._learn(kept)
+        at = np.fromiter(map(units.__getitem__, self.units), np.int64, len(self.units))
+        self.of_unit, self.added, self.seen = told[at], added[at], np.zeros(len(kept), np.int64)
+
+    def _runs(self, flat: list[str], single: np.ndarray, text_of: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(text, unit) of the runs of single characters in a text."""
+        at = np.flatnonzero(single)
+        if not len(at):
+            return
+        begins = np.flatnonzero((np.diff(at, prepend=-2) > 1) | (np.diff(text_of[at], prepend=-1) > 0))
+        sizes = np.diff(begins, append=len(at))
+        for place, size in zip(at[begins[sizes > 2]].tolist(), sizes[sizes > 2].tolist()):
+            joined = "".join(flat[place : place + size])
+            for start in range(0, size, UNIT_CHARS // 2):
+                yield int(text_of[place]), self.units[joined[start : start + UNIT_CHARS]]
+
+    def worst(self, many: list[str]) -> np.ndarray:
+        """A row per text: margins of its worst units, then of its worst spans; those of ``units`` and ``spans``."""
+        if len(self.units) > MOST_KNOWN:
+            self._trim()
+        cut = [text.lower().split() for text in many]
+        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
+        flat = list(chain.from_iterable(cut))
+        del cut
+        known = len(self.words)
+        words = np.fromiter(map(self.words.__getitem__, flat), np.int64, len(flat))
+        self._learn(list(islice(self.words, known, None)))
+        self.seen = np.append(self.seen, np.zeros(len(self.words) - known, np.int64)) + np.bincount(words, minlength=len(self.words))
+        text_of = np.repeat(np.arange(len(many)), sizes)
+        at, each = _places(self.unit_ends, words)
+        owners, held = np.repeat(text_of, each), self.unit_list[at]
+        runs = list(self._runs(flat, self.single[words], text_of))
+        del flat
+        if runs:
+            more = np.array(runs, np.int64)
+            owners, held = np.append(owners, more[:, 0]), np.append(held, more[:, 1])
+        scored = len(self.of_unit)
+        if len(self.units) > scored:
+            told, added = margins(self.model, list(islice(self.units, scored, None)))
+            self.of_unit, self.added = np.append(self.of_unit, told), np.append(self.added, added)
+        # A unit counts once in a text.
+        distinct = np.unique(owners * len(self.units) + held)
+        of_units = _largest(self.of_unit[distinct % max(1, len(self.units))], distinct // max(1, len(self.units)), len(many), WORST)
+        # A sentence ends with its text or with a mark; every SPAN_WORDS words of it are a span.
+        at, each = _places(self.part_ends, words)
+        if not len(at):
+            return np.hstack([of_units, np.full((len(many), WORST_SPANS), BIAS)])
+        ended = np.cumsum(self.closing[words]) - self.closing[words]
+        sentence = np.repeat(ended + text_of, each)
+        first = np.flatnonzero(np.diff(sentence, prepend=-1))
+        within = np.arange(len(at)) - np.repeat(first, np.diff(first, append=len(at)))
+        begins = np.flatnonzero(within % SPAN_WORDS == 0)
+        sums = np.bincount(np.cumsum(within % SPAN_WORDS == 0) - 1, weights=self.added[self.part_list[at]])
+        margin = BIAS + sums / np.maximum(np.diff(begins, append=len(at)), LEAST_SPAN_WORDS)
+        of_spans = _largest(margin, np.repeat(text_of, each)[begins], len(many), WORST_SPANS)
+        return np.hstack([of_units, of_spans])
+
+
 def text_margins(df: DataFrame, model: ToxicityModel, text_column: str = "text") -> DataFrame:
     """Add ``margins``: those of the worst units of a text, falling, then those of the worst spans; a unit or span that is
     missing has that of no subsequences."""
     shared = tables.share(df.sparkSession, model)  # one weight per subsequence: of fixed size
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
-        learned = shared()
-        known: dict[str, float] = {}
-        added: dict[str, float] = {}
-        missing = [BIAS] * max(WORST, WORST_SPANS)
-
-        def of_spans(text: str) -> Iterator[float]:
-            for words in spans(text):
-                yield BIAS + sum(map(added.__getitem__, words)) / max(len(words), LEAST_SPAN_WORDS)
-
-        for batch in texts.in_pieces(batches, text_column, READ_BYTES):
-            plain = texts.strings(batch.column(text_column))
-            found = [units(text) for text in plain]
-            if len(known) > MOST_KNOWN:
-                known.clear()
-                added.clear()
-            fresh = list(set().union(*found) - known.keys())
-            of_units, adding = margins(learned, fresh)
-            known.update(zip(fresh, of_units.tolist()))
-            added.update(zip(fresh, adding.tolist()))
-            worst = [
-                (heapq.nlargest(WORST, map(known.__getitem__, words)) + missing)[:WORST]
-                + (heapq.nlargest(WORST_SPANS, of_spans(text)) + missing)[:WORST_SPANS]
-                for words, text in zip(found, plain)
-            ]
-            yield batch, [pa.array(worst, pa.list_(pa.float64()))]
+        scorer = TextScorer(shared())
+        for batch in texts.in_pieces(batches, text_column, SCORE_BYTES):
+            worst = scorer.worst(texts.strings(batch.column(text_column)))
+            ends = pa.array(np.arange(0, worst.size + 1, worst.shape[1], dtype=np.int32))
+            yield batch, [pa.ListArray.from_arrays(ends, pa.array(worst.ravel()))]
 
     return tables.append(df, "margins array<double>", each)
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -124,3 +125,26 @@ def test_held_out_rows(spark):
     rows = [r for r in queries.QUERIES["op7_toxicity"](spark, folder).collect() if r.held_out and r.doc_id in labels]
     assert len(rows) > 50 and sum(r.predicted == labels[r.doc_id] for r in rows) / len(rows) >= 0.95
     assert sum(r.predicted for r in rows if not labels[r.doc_id]) <= 1
+
+
+def test_scorer_takes_little_memory_and_finds_the_worst_of_units_and_spans():
+    rng = np.random.default_rng(1)
+    model = toxicity.ToxicityModel(rng.random(toxicity.SYMBOLS**3) - 0.5, rng.random(toxicity.SYMBOLS**3) - 0.5, [])
+    odd = ["", "a b c d", "x.y! " + "z" * 60 + " " + "-" * 40 + " ok. a a a a", "... !!! ?", "w " * 100 + "end. w", "İx ß. " + "q-" * 30]
+    many = [" ".join(f"{rng.integers(1 << 40):x}." for _ in range(6000)) for _ in range(20)]
+    scorer = toxicity.TextScorer(model)
+    tracemalloc.start()
+    found = [scorer.worst(part) for part in (odd, *([text] * 3 for text in many), odd)]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(scorer.units) <= toxicity.MOST_KNOWN + 3 * 12000 and most < 60e6
+    assert np.array_equal(found[0], found[-1])
+    for text, told in zip([*odd, many[0]], [*found[0], found[1][1]]):
+        held = sorted(toxicity.units(text))
+        of_units = sorted(toxicity.margins(model, held)[0], reverse=True)
+        of_spans = sorted(
+            (toxicity.BIAS + toxicity.margins(model, words)[1].sum() / max(len(words), toxicity.LEAST_SPAN_WORDS) for words in toxicity.spans(text)),
+            reverse=True,
+        )
+        missing = [toxicity.BIAS] * 3
+        assert np.allclose(told, [*(of_units + missing)[:3], *(of_spans + missing)[:2]], atol=1e-12)
