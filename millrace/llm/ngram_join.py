@@ -17,7 +17,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import graph, tables, texts
@@ -29,6 +29,8 @@ PIECE_BYTES = 2 << 20
 BUCKET_BITS = 18
 # A list of documents to fetch is sent to all tasks up to so many rows, and joined by shuffle beyond.
 MOST_BROADCAST_ROWS = 500_000
+# A document is compared with so many others by one task; it is sent again for more.
+AT_ONCE = 512
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MIXER = np.uint64(0xD6E8FEB86659FD93)
@@ -188,6 +190,18 @@ def _may_reach(common: Column, left: Column, right: Column, percent: int) -> Col
     return common + F.greatest(*later) >= least_overlap(left, right, percent)
 
 
+def _may_meet(left: str, right: str, percent: int) -> Column:
+    """Whether two sets that meet at an n-gram can reach the limit, by prefixes of columns ``n``, ``place`` and ``before``.
+
+    What they share before it lies among the first columns of both, so other sets hold it too; after it the shorter rest
+    is all that they can share.
+    """
+    sizes = [F.col(f"{side}n") for side in (left, right)]
+    before = F.least(*(F.col(f"{side}before") for side in (left, right)))
+    after = F.least(*(F.col(f"{side}n") - F.col(f"{side}place") - 1 for side in (left, right)))
+    return _sizes_fit(*sizes, percent) & (before + 1 + after >= least_overlap(*sizes, percent))
+
+
 def _free(size: Column, percent: int) -> Column:
     """``free_places`` of a column."""
     return size - F.floor((percent * size + 99) / 100) + 1
@@ -195,29 +209,34 @@ def _free(size: Column, percent: int) -> Column:
 
 def overlaps(pairs: DataFrame, rows: DataFrame, documents: DataFrame, size: int) -> DataFrame:
     """Pairs (a, b) with ``shared``, the size of their overlap, counted over whole rows."""
-    pairs = tables.keep(pairs, "ngram-pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    wanted = tables.keep(needed.join(rows.select("row", "id", "tag"), "row"), "ngram-wanted")
+    places = Window.partitionBy("a").orderBy("b")
+    dealt = pairs.select("a", "b", F.floor((F.row_number().over(places) - 1) / AT_ONCE).alias("part"))
+    dealt = tables.keep(dealt, "ngram-pairs")
+    # Each text goes straight to the tasks that compare it: the first of a pair once for AT_ONCE others.
+    sent = dealt.select("a", "part", F.col("b").alias("row")).unionByName(dealt.select("a", "part", F.col("a").alias("row")).distinct())
+    wanted = tables.keep(sent.join(rows.select("row", "id", "tag"), "row"), "ngram-wanted")
     wanted = tables.sent(wanted, MOST_BROADCAST_ROWS).withColumnsRenamed({"id": "_id", "tag": "_tag"})
     same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag"))
-    fetched = tables.keep(documents.join(wanted, same).select("row", "text").dropDuplicates(["row"]), "ngram-texts")
+    fetched = documents.join(wanted, same).select("a", "part", "row", "text")
+    fetched = fetched.repartition("a", "part").sortWithinPartitions("a", "part", F.col("row") != F.col("a"), "row")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int, np.ndarray] | None = None
+        whole, before = np.zeros(0, np.uint64), None
         for batch in texts.in_pieces(batches, "text", PIECE_BYTES):
-            shared = []
-            whole = batch.column("whole")
-            for place, (a, grams) in enumerate(zip(batch.column("a").to_pylist(), ngram_sets(batch.column("text"), size))):
-                if held is None or held[0] != a:
-                    held = a, next(ngram_sets(whole.slice(place, 1), size))
-                shared.append(len(np.intersect1d(held[1], grams, assume_unique=True)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("a"), batch.column("b"), pa.array(shared, pa.int64())], names=["a", "b", "shared"]
-            )
-
-    right = pairs.join(fetched.withColumnRenamed("row", "b"), "b")
-    both = right.join(fetched.select(F.col("row").alias("a"), F.col("text").alias("whole")), "a")
-    return both.select("a", "b", "text", "whole").mapInArrow(count, "a long, b long, shared long")
+            found: list[tuple[int, int, int]] = []
+            keys = zip(*(batch.column(name).to_pylist() for name in ("a", "part", "row")))
+            for key, grams in zip(keys, ngram_sets(batch.column("text"), size)):
+                if key == before:
+                    continue  # the same document once more
+                before = key
+                if key[2] == key[0]:
+                    whole = grams
+                else:
+                    found.append((key[0], key[2], len(np.intersect1d(whole, grams, assume_unique=True))))
+            columns = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(column, pa.int64()) for column in columns], names=["a", "b", "shared"])
+
+    return fetched.mapInArrow(count, "a long, b long, shared long")
 
 
 def promising(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
@@ -243,11 +262,11 @@ def links(pairs: DataFrame, rows: DataFrame, documents: DataFrame, size: int, pe
 
 
 def _labelled(entries: DataFrame, labels: DataFrame) -> DataFrame:
-    """Entries (gram, row, n, lead) with the component of the row and of the first one of the block."""
+    """Entries (gram, row, n, place, before, lead) with the component of the row and of the first one of the block."""
     own = entries.join(labels.withColumnRenamed("vertex", "row"), "row", "left")
     own = own.join(labels.withColumnsRenamed({"vertex": "lead", "label": "lead_label"}), "lead", "left")
     label, lead_label = F.coalesce("label", "row"), F.coalesce("lead_label", "lead")
-    return tables.keep(own.select("gram", "row", "n", label.alias("label"), lead_label.alias("lead_label")), "ngram-labels")
+    return tables.keep(own.select("gram", "row", "n", "place", "before", label.alias("label"), lead_label.alias("lead_label")), "ngram-labels")
 
 
 def near_duplicates(
@@ -274,23 +293,27 @@ def near_duplicates(
         listed.select("digest", "row").join(of_class, "digest").filter("row <> class_row").select("row"), "ngram-again"
     )
     leads = listed.join(tables.sent(again, MOST_BROADCAST_ROWS), "row", "left_anti")
-    entries = leads.select("row", "n", F.explode("first").alias("gram"))
-    blocks = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("members"), F.min("row").alias("lead"))
-    entries = tables.keep(entries.join(blocks.filter("members > 1").drop("members"), "gram"), "ngram-blocks")
+    entries = leads.select("row", "n", F.posexplode("first").alias("place", "gram"))
+    entries = entries.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("gram"))).filter("members > 1").drop("members")
+    # Columns before this one that other rows have among their first ones too.
+    entries = entries.withColumn("before", F.row_number().over(Window.partitionBy("row").orderBy("place")) - 1)
+    lead = F.min(F.struct("row", "n", "place", "before")).over(Window.partitionBy("gram"))
+    entries = tables.keep(entries.withColumn("first", lead), "ngram-blocks")
 
     # Every class against the first one of its block.
-    tried = entries.filter("row <> lead").select(F.col("lead").alias("a"), F.col("row").alias("b")).distinct()
+    tried = entries.filter(F.col("row") != F.col("first.row")).filter(_may_meet("", "first.", percent))
+    tried = tried.select(F.col("first.row").alias("a"), F.col("row").alias("b")).distinct()
     found = links(promising(tried, rows, percent), rows, documents, size, percent)
     labels = graph.components(found)
 
     # What is in another component than the first one of its block, against all of the block. A pair of unlike labels
     # comes once from each block that it shares, so the rows of a pair count its common first columns.
-    own = _labelled(entries, labels)
+    own = _labelled(entries.withColumn("lead", F.col("first.row")), labels)
     apart, all_of_block = own.filter("label <> lead_label").alias("l"), own.alias("r")
     # Two classes that are both apart meet once.
     once = (F.col("r.label") == F.col("r.lead_label")) | (F.col("l.row") < F.col("r.row"))
     unlike = (F.col("l.gram") == F.col("r.gram")) & (F.col("l.label") != F.col("r.label")) & once
-    met = apart.join(all_of_block, unlike & _sizes_fit(F.col("l.n"), F.col("r.n"), percent))
+    met = apart.join(all_of_block, unlike & _may_meet("l.", "r.", percent))
     pair = [F.least("l.row", "r.row").alias("a"), F.greatest("l.row", "r.row").alias("b")]
     counted = met.groupBy(*pair).agg(
         F.count(F.lit(1)).alias("common"), F.min(F.least("l.n", "r.n")).alias("small"), F.min(F.greatest("l.n", "r.n")).alias("large")

@@ -100,3 +100,30 @@ def test_components(spark, seed):
                 label[a] = label[b] = min(label[a], label[b])
     got = {r.vertex: r.label for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == label
+
+
+def test_copies_that_differ_too_much_are_not_tried(spark, monkeypatch):
+    chance = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for place in range(5 + 20 * (i % 2), 120, 23 if i % 3 else 60):
+            words[place] = f"x{chance.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    rows += [rows[7], (60, rows[7][1]), (61, rows[8][1] + " more")]
+    kept = {}
+    keep = ngram_join.tables.keep
+
+    def counted(df, name):
+        out = keep(df, name)
+        kept[name] = kept.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join.tables, "keep", counted)
+    monkeypatch.setattr(ngram_join, "AT_ONCE", 3)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = ngram_join.near_duplicates(df).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, found), key=str) == brute(rows)
+    print(kept)
+    assert kept["ngram-tried"] < 40
