@@ -61,10 +61,13 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, their number, and a digest of the text that they decode to."""
+    """Token ids of every document, their number, and a digest of the text that they decode to.
+
+    The ids are written before they are decoded: in one stage every task would need two Python workers at a time.
+    """
     vocabulary = bpe.Vocabulary.from_file(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), vocabulary, public_tokenizers.PATTERN)
-    decoded = bpe.decode(encoded.drop("text"), vocabulary)
+    decoded = bpe.decode(tables.keep(encoded.drop("text"), "pipeline-ids"), vocabulary)
     return decoded.select(
         "doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
         F.sha2("decoded", 256).alias("text_sha256"),

@@ -135,7 +135,7 @@ def common_buckets(documents: DataFrame, size: int) -> np.ndarray:
             [pa.array(stand_out, pa.int32()), pa.array(counts[stand_out] - int(mean), pa.int64())], names=["bucket", "n"]
         )
 
-    counted = documents.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    counted = tables.map_batches(documents.select("text"), count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     classes = np.zeros(1 << BUCKET_BITS, np.uint8)
     for bucket, n in counted.collect():  # a row for each bucket at most
         classes[bucket] = int(np.log2(n + 1)) + 1
@@ -169,7 +169,8 @@ def matrix(documents: DataFrame, size: int, percent: int) -> DataFrame:
                 names=["id", "tag", "n", "digest", "first"],
             )
 
-    found = documents.select("id", "tag", "text").mapInArrow(rows, "id long, tag long, n long, digest binary, first array<long>")
+    schema = "id long, tag long, n long, digest binary, first array<long>"
+    found = tables.map_batches(documents.select("id", "tag", "text"), rows, schema)
     return tables.keep(found.withColumn("row", F.monotonically_increasing_id()), "ngram-rows")
 
 
@@ -236,7 +237,7 @@ def overlaps(pairs: DataFrame, rows: DataFrame, documents: DataFrame, size: int)
             columns = zip(*found) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(column, pa.int64()) for column in columns], names=["a", "b", "shared"])
 
-    return fetched.mapInArrow(count, "a long, b long, shared long")
+    return tables.map_batches(fetched, count, "a long, b long, shared long")
 
 
 def promising(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:

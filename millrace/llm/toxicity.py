@@ -348,7 +348,7 @@ def _hardest(harmless: DataFrame, of_units: np.ndarray, most: int) -> list[str]:
             told = margins(learned, batch.column("word").to_pylist())[0]
             yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(told)], names=["word", "margin"])
 
-    scored = harmless.select("word").mapInArrow(each, "word string, margin double")
+    scored = tables.map_batches(harmless.select("word"), each, "word string, margin double")
     return [row.word for row in scored.orderBy(F.desc("margin"), "word").limit(most).collect()]
 
 
@@ -364,7 +364,7 @@ def labelled_spans(sample: DataFrame, toxic_spans: int, clean_spans: int) -> Dat
                     [pa.array([toxic] * len(found), pa.int32()), pa.array(found, pa.string())], names=["toxic", "span"]
                 )
 
-    found = sample.select("toxic", "text").mapInArrow(each, "toxic int, span string").distinct()
+    found = tables.map_batches(sample.select("toxic", "text"), each, "toxic int, span string").distinct()
     first = [
         found.filter(F.col("toxic") == toxic).orderBy(F.xxhash64("span"), "span").limit(most)
         for toxic, most in ((1, toxic_spans), (0, clean_spans))
@@ -410,7 +410,7 @@ def _pooled(found: DataFrame, chosen: list[str], root: np.ndarray) -> tuple[np.n
                 )
 
     parts = tables.shuffle_partitions(found.sparkSession)
-    rows = found.repartition(parts).mapInArrow(each, "toxic int, point binary").toArrow()
+    rows = tables.map_batches(found.repartition(parts), each, "toxic int, point binary").toArrow()
     plain = b"".join(rows["point"].to_pylist())
     return np.frombuffer(plain, np.float32).reshape(-1, len(chosen)), rows["toxic"].to_numpy() == 1
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from llm_frames import documents
 from millrace.llm import bpe, pii, queries, toxicity
+from millrace.llm import tables as kept
 from test_decontaminate import brute as leaks
 from test_ngram_join import brute as components
 from test_pii import brute as personal
@@ -107,3 +108,22 @@ def test_run_is_the_stages_in_turn(spark, tables):
         docs = stage(spark, docs, tables)
     digest = lambda df: sorted((r.doc_id, r.n_tokens, r.text_sha256) for r in df.collect())
     assert digest(found) == digest(docs) and len(digest(found)) > 100
+
+
+def test_no_task_needs_two_workers(spark, tables, docs):
+    plan = corpus_pipeline.tokenize(spark, docs, tables)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_workers_give_memory_back_after_a_task(monkeypatch):
+    seen, taken = [], []
+
+    def each(batches):
+        for batch in batches:
+            seen.append(batch)
+            yield batch
+
+    monkeypatch.setattr(kept, "give_back", lambda: seen.append("back"))
+    frame = type("Frame", (), {"mapInArrow": lambda self, function, schema: taken.append(function)})()
+    kept.map_batches(frame, each, "id long")
+    assert list(taken[0]([1, 2])) == [1, 2] and seen == [1, 2, "back"]
