@@ -28,13 +28,22 @@ def interval_join(
     right_ts: str,
     lower: timedelta,
     upper: timedelta,
+    slots: bool = True,
 ) -> DataFrame:
     """Pairs with equal keys and right time in [left time + lower, left time + upper], both ends included.
 
     ``on`` maps left to right key columns; column names of the two sides must differ. Keys are joined together with
     a time slot, so a key with many rows is spread over its slots and only rows near in time are compared. A right
     row lies in one slot and a left row reaches for every slot its interval touches, hence no pair appears twice.
+
+    Without ``slots`` batch frames are joined by their keys alone, which is for keys whose rows lie close together anyway,
+    as those of an order do: no left row is copied, and a join or an aggregate by the same keys afterwards shuffles nothing.
     """
+    if not slots and not (left.isStreaming or right.isStreaming):
+        near = left.withColumn("_since", _place(left_ts, NO_LEFT_TIME))
+        placed = right.withColumn("_at", _place(right_ts, NO_RIGHT_TIME))
+        match = _equal(on) & (F.col("_at") - F.col("_since")).between(_micros(lower), _micros(upper))
+        return near.join(placed, match).drop("_since", "_at")
     slot = SLOT_FACTOR * max(_micros(upper - lower), 1)
     since, at = F.col("_since"), F.col("_at")
     reach = F.sequence(_slot(since + _micros(lower), slot), _slot(since + _micros(upper), slot))

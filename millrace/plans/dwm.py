@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -81,8 +82,13 @@ def _on_time(df: DataFrame, ts: str, delay: str) -> DataFrame:
     return df.withWatermark(ts, delay) if df.isStreaming else df
 
 
-def order_details(orders: DataFrame, details: DataFrame, delay: str = "10 seconds") -> DataFrame:
-    """Orders with their lines: equal order, line within some seconds of the order (also streaming)."""
+def order_details(
+    orders: DataFrame, details: DataFrame, delay: str = "10 seconds", carried: Sequence[str] = ()
+) -> DataFrame:
+    """Orders with their lines: equal order, line within some seconds of the order (also streaming).
+
+    ``carried`` names more columns of the lines that are kept.
+    """
     left = _on_time(with_create_parts(orders), "create_ts", delay).withColumnRenamed("id", "order_key")
     lines = details.select(
         F.col("id").alias("detail_id"),
@@ -93,19 +99,27 @@ def order_details(orders: DataFrame, details: DataFrame, delay: str = "10 second
         "split_total_amount",
         "split_activity_amount",
         "split_coupon_amount",
+        *carried,
         times.text_to_time(F.col("create_time")).alias("detail_ts"),
     )
     bound = timedelta(seconds=ORDER_DETAIL_SECONDS)
     lines = _on_time(lines, "detail_ts", delay)
-    joined = joins.interval_join(left, lines, {"order_key": "order_id"}, "create_ts", "detail_ts", -bound, bound)
+    joined = joins.interval_join(left, lines, {"order_key": "order_id"}, "create_ts", "detail_ts", -bound, bound, slots=False)
     return joined.drop("order_key", "detail_ts")
 
 
 def enrich_order(wide: DataFrame, users: DataFrame, provinces: DataFrame, products: DataFrame, as_of: Column) -> DataFrame:
     """Age and gender of the buyer, province names, product attributes; rows without a match stay."""
+    return with_product(with_province(with_buyer(wide, users, as_of), provinces), products)
+
+
+def with_buyer(wide: DataFrame, users: DataFrame, as_of: Column) -> DataFrame:
     out = joins.lookup(wide, users, {"user_id": "id"}, {"birthday": "_birthday", "gender": "user_gender"})
-    out = out.withColumn("user_age", times.whole_years(F.to_date("_birthday"), as_of)).drop("_birthday")
-    return joins.lookup(with_province(out, provinces), products, {"sku_id": "id"}, PRODUCT_COLUMNS)
+    return out.withColumn("user_age", times.whole_years(F.to_date("_birthday"), as_of)).drop("_birthday")
+
+
+def with_product(wide: DataFrame, products: DataFrame) -> DataFrame:
+    return joins.lookup(wide, products, {"sku_id": "id"}, PRODUCT_COLUMNS)
 
 
 def with_province(wide: DataFrame, provinces: DataFrame) -> DataFrame:
@@ -115,7 +129,20 @@ def with_province(wide: DataFrame, provinces: DataFrame) -> DataFrame:
 def order_wide(
     orders: DataFrame, details: DataFrame, users: DataFrame, provinces: DataFrame, products: DataFrame, as_of: Column
 ) -> DataFrame:
-    return enrich_order(order_details(orders, details), users, provinces, products, as_of)
+    """Orders with their lines and what ``enrich_order`` adds (also streaming).
+
+    Batch frames are enriched before they meet: buyers and provinces by order, products by line. The wide rows then leave the
+    join dealt by order, as payments need them, and are not shuffled again.
+    """
+    if orders.isStreaming or details.isStreaming:
+        return enrich_order(order_details(orders, details), users, provinces, products, as_of)
+    bought = with_province(with_buyer(orders, users, as_of), provinces)
+    of_line = list(PRODUCT_COLUMNS.values())
+    wide = order_details(bought, with_product(details, products), carried=of_line)
+    added = ["user_gender", "user_age", *PROVINCE_COLUMNS.values(), *of_line]
+    return wide.select(*[c for c in wide.columns if c not in added], *added)
+
+
 
 
 def payment_wide(payments: DataFrame, wide: DataFrame, delay: str = "10 seconds") -> DataFrame:
@@ -138,6 +165,7 @@ def payment_wide(payments: DataFrame, wide: DataFrame, delay: str = "10 seconds"
     lines = lines.withColumnRenamed("create_ts", "order_ts")
     paid, lines = _on_time(paid, "payment_ts", delay), _on_time(lines, "order_ts", delay)
     joined = joins.interval_join(
-        paid, lines, {"paid_order_id": "order_id"}, "payment_ts", "order_ts", -timedelta(minutes=PAYMENT_MINUTES), timedelta(0)
+        paid, lines, {"paid_order_id": "order_id"}, "payment_ts", "order_ts", -timedelta(minutes=PAYMENT_MINUTES), timedelta(0),
+        slots=False,
     )
     return joined.drop("paid_order_id", "payment_ts", "order_ts")

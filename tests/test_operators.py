@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import random
 from datetime import datetime, timedelta
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from frames import ROWS_A, ROWS_B, SENSOR
 from millrace.functions import averages, keywords, times
 from millrace.operators import exchange, joins, late, ordered, patterns, rolling, rows, topk, windows
+from millrace.queries import joined as joined_queries
 
 T0 = datetime(2024, 1, 1)
 
@@ -473,3 +475,27 @@ def test_a_long_run_is_split_in_time_of_its_length(spark):
     dictionary = spark.createDataFrame([("红色",), ("连衣",), ("连衣裙",)], "word string")
     found = keywords.keywords(text, "t", dictionary=dictionary).groupBy("keyword").count().collect()
     assert sorted(tuple(r) for r in found) == sorted([("红色", 4000), ("连衣裙", 4000)])
+
+
+def test_wide_rows_are_not_shuffled_again_for_payments(spark, tables):
+    setting = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "-1")
+    try:
+        plan = joined_queries.payment_wide(spark, tables)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(setting, before)
+    # Orders, lines and payments are dealt by order, each once.
+    assert len(re.findall(r"hashpartitioning\((?:order_key|order_id|paid_order_id)#", plan)) == 3
+
+
+def test_interval_join_by_keys_alone_gives_the_same_pairs(spark):
+    rows = [(key, second) for key in (1, 1, 2, None) for second in (0, 4, 5, 6, None)]
+    at = "timestamp_seconds(s) AS {0}"
+    a = spark.createDataFrame(rows, "lk long, s long").selectExpr("lk", at.format("lt"))
+    b = spark.createDataFrame(rows, "rk long, s long").selectExpr("rk", at.format("rt"))
+    found = [
+        sorted(joins.interval_join(a, b, {"lk": "rk"}, "lt", "rt", timedelta(seconds=-5), timedelta(seconds=1), slots).collect())
+        for slots in (True, False)
+    ]
+    assert found[0] == found[1] and found[0]
