@@ -6,6 +6,8 @@ left out is the time of the run in milliseconds. The functions take batch frames
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -170,7 +172,8 @@ def product_facts(
             _record(carts, created, sku_id=sku, cart_ct=one),
             _record(
                 orders,
-                created,
+                # Wide orders still have the time that their text was made from.
+                created | ({TIME: F.col("create_ts")} if "create_ts" in orders.columns else {}),
                 sku_id=sku,
                 order_sku_num=F.col("sku_num").cast("long"),
                 order_amount=F.col("split_total_amount").cast(MONEY),
@@ -205,8 +208,8 @@ def _product_sums() -> dict[str, Column]:
 def product_measures(facts: DataFrame, window: str = MART_WINDOW) -> DataFrame:
     """Thirteen measures per window and product.
 
-    Batch frames are first grouped by order as well, which spreads a hot product over its orders; the second step
-    counts orders without holding any set. Streaming frames allow one aggregation, so they hold the orders of an
+    Of batch frames, the feeds with orders are first grouped by order as well, each by itself: that spreads a hot product over
+    its orders, feeds without orders skip that step, and the second step counts orders without holding any set. Streaming frames allow one aggregation, so they hold the orders of an
     open window as a set.
     """
     if facts.isStreaming:
@@ -215,12 +218,24 @@ def product_measures(facts: DataFrame, window: str = MART_WINDOW) -> DataFrame:
             for name, kind in PRODUCT_ORDERS.items()
         }
         return windows.time_window(facts, TIME, window, ["sku_id"], _product_sums() | orders)
-    by_order = windows.time_window(facts, TIME, window, ["sku_id", "order_kind", "order_id"], _product_sums())
-    orders = {
-        name: F.count(F.when(F.col("order_kind") == kind, F.col("order_id"))) for name, kind in PRODUCT_ORDERS.items()
-    }
-    grouped = by_order.groupBy("sku_id", "window_start", "window_end")
-    return grouped.agg(*[c.alias(name) for name, c in (_product_sums() | orders).items()])
+    # Amounts are added up as whole cents: a sum of decimals is kept as a number of any length, which costs several times as much.
+    cents = {m: (F.col(m) * 100).cast("long") for m in PRODUCT_AMOUNTS}
+    facts = facts.withColumns(cents)
+    measures = [*PRODUCT_COUNTS, *PRODUCT_AMOUNTS]
+    sums = {m: F.sum(m) for m in measures}
+    known = F.coalesce(F.col("order_kind").isin(*PRODUCT_ORDERS.values()), F.lit(False))
+    none = F.lit(0).cast("long")
+    plain = facts.filter(~known).withColumn("_window", F.window(TIME, window))
+    bounds = [F.col("_window.start").alias("window_start"), F.col("_window.end").alias("window_end")]
+    parts = [plain.select("sku_id", *bounds, *measures, *[none.alias(name) for name in PRODUCT_ORDERS])]
+    for kind in PRODUCT_ORDERS.values():
+        by_order = windows.time_window(facts.filter(F.col("order_kind") == kind), TIME, window, ["sku_id", "order_id"], sums)
+        counted = F.col("order_id").isNotNull().cast("long")
+        numbers = [(counted if kind == other else none).alias(name) for name, other in PRODUCT_ORDERS.items()]
+        parts.append(by_order.select("sku_id", "window_start", "window_end", *measures, *numbers))
+    grouped = union_all(parts).groupBy("sku_id", "window_start", "window_end")
+    grouped = grouped.agg(*[F.sum(m).alias(m) for m in [*measures, *PRODUCT_ORDERS]])
+    return grouped.withColumns({m: (F.col(m).cast("decimal(19,0)") * F.lit(Decimal("0.01"))).cast(MONEY) for m in PRODUCT_AMOUNTS})
 
 
 def named_products(measures: DataFrame, products: DataFrame, version: Column | None = None) -> DataFrame:

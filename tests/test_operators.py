@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import random
 from datetime import datetime, timedelta
+from decimal import Decimal
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -12,8 +13,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from frames import ROWS_A, ROWS_B, SENSOR
+from millrace import schemas
 from millrace.functions import averages, keywords, times
 from millrace.operators import exchange, joins, late, ordered, patterns, rolling, rows, topk, windows
+from millrace.plans import dws
 from millrace.queries import joined as joined_queries
 
 T0 = datetime(2024, 1, 1)
@@ -499,3 +502,31 @@ def test_interval_join_by_keys_alone_gives_the_same_pairs(spark):
         for slots in (True, False)
     ]
     assert found[0] == found[1] and found[0]
+
+
+def test_product_measures_of_all_kinds_of_facts_without_decimal_sums(spark):
+    amounts, counts = schemas.PRODUCT_AMOUNTS, schemas.PRODUCT_COUNTS
+    schema = ", ".join(
+        ["sku_id long", "event_time timestamp", *[f"{c} long" for c in counts], *[f"{a} decimal(18,2)" for a in amounts],
+         "order_kind string", "order_id long"]
+    )
+    at = datetime(2024, 1, 1, 5)
+
+    def fact(kind, order, amount, count):
+        return (7, at, *[count] * len(counts), *[amount and Decimal(amount)] * len(amounts), kind, order)
+
+    facts = spark.createDataFrame(
+        [fact("order", 1, "1.10", 1), fact("order", 1, "-0.05", 0), fact("order", 2, "9999999999999999.00", 2), fact("order", None, "0.01", 0),
+         fact("payment", 1, None, 3), fact("refund", 1, "2.00", 4), fact("gift", 5, "3.00", 5), fact(None, None, "0.00", 6),
+         (None, at, *[None] * (len(counts) + len(amounts)), None, None)],
+        schema,
+    )
+    out = dws.product_measures(facts.filter("order_id IS NULL OR order_id <> 2"), "1 day")
+    found = {r.sku_id: r for r in out.collect()}
+    assert found[7].order_amount == found[7].refund_amount == Decimal("6.06") and found[7].cart_ct == 19
+    assert (found[7].order_ct, found[7].paid_order_ct, found[7].refund_order_ct) == (1, 1, 1)
+    assert found[None].order_amount is None and found[None].cart_ct is None and found[None].order_ct == 0
+    large = dws.product_measures(facts.filter("order_id = 2"), "1 day")
+    assert large.first().order_amount == Decimal("9999999999999999.00") and large.schema["order_amount"].dataType.simpleString() == "decimal(18,2)"
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "sum(order_amount#" in plan and not re.search(r"sum\(order_amount#\d+\)", plan)
