@@ -6,8 +6,9 @@ leave free; only these columns, one block for each n-gram, make pairs, and a pai
 of first columns that it shares bound its overlap below the limit. The overlap of the others is counted over whole rows.
 
 Documents with equal sets are one class. In a block of thousands of near copies all pairs would say little more than a
-few: every class of a block is compared with the first one of the block, then only classes that this left in other
-components are compared with the rest of their block. No link between different components is lost.
+few: every class of a block is compared with its lead, the one that shares most columns with others (what the rest was copied
+from, where it is there), then only classes that this left in other components are compared with the rest of their block. No
+link between different components is lost.
 """
 
 from __future__ import annotations
@@ -263,7 +264,7 @@ def links(pairs: DataFrame, rows: DataFrame, documents: DataFrame, size: int, pe
 
 
 def _labelled(entries: DataFrame, labels: DataFrame) -> DataFrame:
-    """Entries (gram, row, n, place, before, lead) with the component of the row and of the first one of the block."""
+    """Entries (gram, row, n, place, before, lead) with the component of the row and of the lead of the block."""
     own = entries.join(labels.withColumnRenamed("vertex", "row"), "row", "left")
     own = own.join(labels.withColumnsRenamed({"vertex": "lead", "label": "lead_label"}), "lead", "left")
     label, lead_label = F.coalesce("label", "row"), F.coalesce("lead_label", "lead")
@@ -295,21 +296,22 @@ def near_duplicates(
     )
     leads = listed.join(tables.sent(again, MOST_BROADCAST_ROWS), "row", "left_anti")
     entries = leads.select("row", "n", F.posexplode("first").alias("place", "gram"))
-    entries = entries.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("gram"))).filter("members > 1").drop("members")
+    entries = entries.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("gram"))).filter("members > 1")
     # Columns before this one that other rows have among their first ones too.
     entries = entries.withColumn("before", F.row_number().over(Window.partitionBy("row").orderBy("place")) - 1)
-    lead = F.min(F.struct("row", "n", "place", "before")).over(Window.partitionBy("gram"))
-    entries = tables.keep(entries.withColumn("first", lead), "ngram-blocks")
+    entries = entries.withColumn("rank", -F.sum("members").over(Window.partitionBy("row"))).drop("members")
+    lead = F.min(F.struct("rank", "row", "n", "place", "before")).over(Window.partitionBy("gram"))
+    entries = tables.keep(entries.withColumn("lead", lead).drop("rank"), "ngram-blocks")
 
-    # Every class against the first one of its block.
-    tried = entries.filter(F.col("row") != F.col("first.row")).filter(_may_meet("", "first.", percent))
-    tried = tried.select(F.col("first.row").alias("a"), F.col("row").alias("b")).distinct()
+    # Every class against the lead of its block.
+    tried = entries.filter(F.col("row") != F.col("lead.row")).filter(_may_meet("", "lead.", percent))
+    tried = tried.select(F.col("lead.row").alias("a"), F.col("row").alias("b")).distinct()
     found = links(promising(tried, rows, percent), rows, documents, size, percent)
     labels = graph.components(found)
 
-    # What is in another component than the first one of its block, against all of the block. A pair of unlike labels
+    # What is in another component than the lead of its block, against all of the block. A pair of unlike labels
     # comes once from each block that it shares, so the rows of a pair count its common first columns.
-    own = _labelled(entries.withColumn("lead", F.col("first.row")), labels)
+    own = _labelled(entries.withColumn("lead", F.col("lead.row")), labels)
     apart, all_of_block = own.filter("label <> lead_label").alias("l"), own.alias("r")
     # Two classes that are both apart meet once.
     once = (F.col("r.label") == F.col("r.lead_label")) | (F.col("l.row") < F.col("r.row"))

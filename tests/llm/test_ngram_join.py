@@ -126,3 +126,28 @@ def test_copies_that_differ_too_much_are_not_tried(spark, monkeypatch):
     found = ngram_join.near_duplicates(df).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, found), key=str) == brute(rows)
     assert kept["ngram-tried"] < 40
+
+
+def test_copies_meet_at_what_they_were_copied_from(spark, monkeypatch):
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(60):  # any two of them are too unlike
+        words = list(base)
+        words[10 + i % 40] = f"x{i}"
+        words[60 + i % 45] = f"y{i}"
+        rows.append((i, " ".join(words)))
+    rows.append((60, " ".join(base)))
+    pairs = []
+    keep = ngram_join.tables.keep
+
+    def counted(df, name):
+        out = keep(df, name)
+        if name == "ngram-pairs":
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join.tables, "keep", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = ngram_join.near_duplicates(df).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, found), key=str) == brute(rows)
+    assert sum(pairs) < 2 * len(rows)
