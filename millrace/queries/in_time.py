@@ -75,11 +75,13 @@ def lookup_as_of(spark: SparkSession, sf: str) -> DataFrame:
 # -- streams whose last row closes them -----------------------------------------------------------------------
 
 CLOSING = "1000 days"
+# Rows of a micro-batch that wait for the next one, and of which the control rows are copied to every bucket.
+WAITING_ROWS = 1_000_000
 
 
-def closed_events(spark: SparkSession, sf: str, delay: str = "0 seconds") -> DataFrame:
+def closed_events(spark: SparkSession, sf: str, delay: str = "0 seconds", batch_rows: int | None = None) -> DataFrame:
     """Events as a stream with a watermark that in the end passes all of them."""
-    rows = replay.source(spark, f"{sf}/events.parquet", star_views.SCHEMAS["events"], "ts", CLOSING)
+    rows = replay.source(spark, f"{sf}/events.parquet", star_views.SCHEMAS["events"], "ts", CLOSING, batch_rows)
     timed = rows.withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", delay)
     return replay.without_closing(timed, "event_id", "event_time").withColumn("ms", in_time.plain_time("event_time"))
 
@@ -96,17 +98,21 @@ def by_processor(rows: DataFrame, processor, time_mode: str = "EventTime") -> Da
     """
 )
 def stream_switch(spark: SparkSession, sf: str) -> DataFrame:
-    """Two feeds in one query: control rows reach every key of the data rows, which wait for the slower watermark."""
+    """Two feeds in one query: control rows reach every key of the data rows, which wait for the slower watermark.
+
+    In many rows a control row is no millisecond apart from the data, so times are compared by the microsecond.
+    """
     number = int(spark.sparkContext.defaultParallelism)
-    data = closed_events(spark, sf).select(
-        "event_id", "ms", F.col("event_id").alias("seq"), F.lit(True).alias("is_data"), F.col("props").alias("value")
+    at = F.unix_micros(F.col("event_time").cast("timestamp")).alias("ts")
+    data = closed_events(spark, sf, batch_rows=WAITING_ROWS).select(
+        "event_id", at, F.col("event_id").alias("seq"), F.lit(True).alias("is_data"), F.col("props").alias("value")
     )
-    control = closed_events(spark, sf).filter("event_type = 'signup' OR event_time IS NULL")
+    control = closed_events(spark, sf, batch_rows=WAITING_ROWS).filter("event_type = 'signup' OR event_time IS NULL")
     control = control.select(
-        "event_id", "ms", F.col("event_id").alias("seq"), F.lit(False).alias("is_data"), (F.col("event_id") % 3).cast("string").alias("value")
+        "event_id", at, F.col("event_id").alias("seq"), F.lit(False).alias("is_data"), (F.col("event_id") % 3).cast("string").alias("value")
     )
     both = in_time.buckets(data, ["event_id"], number).unionByName(in_time.to_all_buckets(control, number))
-    found = by_processor(both.select("key", F.col("ms").alias("ts"), "seq", "is_data", "value"), in_time.AsOf())
+    found = by_processor(both.select("key", "ts", "seq", "is_data", "value"), in_time.AsOf(per_ms=1000))
     return found.select(F.col("seq").alias("event_id"), joins.switch_label(F.col("value")).alias("config"))
 
 

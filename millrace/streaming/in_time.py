@@ -8,10 +8,9 @@ themselves (Spark drops late rows of such a column before a processor sees them)
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from collections.abc import Iterator
 from datetime import timedelta
-from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -87,9 +86,6 @@ def _columns(rows: list[tuple], number: int) -> list[list]:
     return [list(column) for column in zip(*rows)] if rows else [[] for _ in range(number)]
 
 
-_time, _place = itemgetter(0), itemgetter(0, 1)
-
-
 def _status(last: np.ndarray, watermark: int, lateness: int) -> np.ndarray:
     """A window is open while the watermark has not passed its last millisecond, and kept ``lateness`` longer."""
     kept = np.where(last + lateness >= watermark, REFIRE, TOO_LATE)
@@ -182,48 +178,109 @@ class LateWindows(Columnar):
                 yield part.assign(key=str(key[0]))[["key", "kind", "last", "n", "seq"]].astype({"n": "Int64", "seq": "Int64"})
 
 
+def _whole(column: pd.Series) -> np.ndarray:
+    """Whole numbers; one that is missing is an error."""
+    return column.to_numpy() if column.dtype == np.int64 else column.astype("int64").to_numpy()
+
+
+class Rows:
+    """Rows (ts, seq, value) of a key, a column each: two of numbers and one of texts, which may be missing."""
+
+    STATE = "ts binary, seq binary, length binary, text binary"
+
+    def __init__(self, ts: np.ndarray, seq: np.ndarray, value: np.ndarray):
+        self.ts, self.seq, self.value = ts, seq, value
+
+    def __len__(self) -> int:
+        return len(self.ts)
+
+    def __getitem__(self, places) -> Rows:
+        return Rows(self.ts[places], self.seq[places], self.value[places])
+
+    def sorted(self) -> Rows:
+        return self[np.lexsort((self.seq, self.ts))]
+
+    @staticmethod
+    def joined(parts: list[Rows]) -> Rows:
+        columns = zip(*((part.ts, part.seq, part.value) for part in parts))
+        return Rows(*(np.concatenate(column) for column in columns))
+
+    @staticmethod
+    def read(ts: bytes, seq: bytes, length: bytes, text: bytes) -> Rows:
+        lengths, whole = np.frombuffer(length, np.int32), text.decode()
+        value, ends = np.empty(len(lengths), object), np.cumsum(np.maximum(lengths, 0), dtype=np.int64)
+        value[:] = [None if n < 0 else whole[end - n : end] for n, end in zip(lengths.tolist(), ends.tolist())]
+        return Rows(np.frombuffer(ts, np.int64), np.frombuffer(seq, np.int64), value)
+
+    def written(self) -> tuple[bytes, bytes, bytes, bytes]:
+        """The numbers as they are; the lengths of the texts, -1 for none, and the texts one after the other."""
+        lengths = np.array([-1 if text is None else len(text) for text in self.value], np.int32)
+        text = "".join(text for text in self.value if text is not None)
+        return self.ts.tobytes(), self.seq.tobytes(), lengths.tobytes(), text.encode()
+
+
 class AsOf(Columnar):
     """Data rows with the newest value of their key at or before their time, whatever the batches.
 
     Rows are (key, ts, seq, is_data, value): the value of a control row, or what a data row carries along (``row``). A data row is held until the watermark passes its time, as only then no earlier
     value can come; the watermark is that of the slower of both feeds. Values are kept while a row can still ask for them.
-    At one time values come first, the last by ``seq`` counts. Run with time mode EventTime.
+    At one time values come first, the last by ``seq`` counts. ``per_ms`` is 1000 for times in microseconds. What a key holds
+    is packed into a few binary columns, and a task holds the rows of one micro-batch of a key. Run with time mode EventTime.
     """
 
     SCHEMA = "key string, seq long, value string, row string"
+    # Rows that are handed back at a time.
+    OUT = 50_000
+
+    def __init__(self, per_ms: int = 1):
+        self.per_ms = per_ms
 
     def open(self, handle):
-        columns = "ts array<long>", "seq array<long>", "value array<string>"
-        parts = (f"{part}_{column}" for part in ("marks", "waiting") for column in columns)
-        self.state = Lists(handle, "versions", ", ".join(parts), 6)
+        columns = Rows.STATE.split(", ")
+        self.state = handle.getValueState("versions", ", ".join(f"{part}_{column}" for part in ("marks", "waiting") for column in columns))
+        self.answered: dict[tuple, int] = {}
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         new: tuple[list, list] = ([], [])
         for part in rows:
-            values = (value if isinstance(value, str) else None for value in part["value"].tolist())
-            for ts, seq, is_data, value in zip(*(part[c].tolist() for c in ("ts", "seq", "is_data")), values):
-                new[bool(is_data)].append((int(ts), int(seq), value))
+            is_data = part["is_data"].to_numpy(bool)
+            value = np.array([value if isinstance(value, str) else None for value in part["value"].tolist()], object)
+            found = Rows(_whole(part["ts"]), _whole(part["seq"]), value)
+            new[0].append(found[~is_data])
+            new[1].append(found[is_data])
         yield from self.answer(key, *new, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self.answer(key, [], [], timerValues)
+        # A key with rows in the micro-batch was answered for this watermark already.
+        if self.answered.get(key) != timerValues.getCurrentWatermarkInMs():
+            yield from self.answer(key, [], [], timerValues)
 
-    def answer(self, key, new_marks: list[tuple], new_rows: list[tuple], timer_values) -> Iterator[pd.DataFrame]:
+    def answer(self, key, new_marks: list[Rows], new_rows: list[Rows], timer_values) -> Iterator[pd.DataFrame]:
         watermark = timer_values.getCurrentWatermarkInMs()
-        held = self.state.read()
-        marks, waiting = (sorted([*zip(*part), *new], key=_place) for part, new in ((held[:3], new_marks), (held[3:], new_rows)))
-        ready = bisect_left(waiting, watermark, key=_time)
-        times = [ts for ts, _, _ in marks]
+        self.answered[key] = watermark
+        passed = watermark * self.per_ms
+        held = self.state.get() or (b"",) * 8
+        marks = Rows.joined([Rows.read(*held[:4]), *new_marks]).sorted()
+        # Of the values of one time only the last can be asked for.
+        marks = marks[np.append(marks.ts[1:] != marks.ts[:-1], True)[: len(marks)]]
+        waiting = Rows.joined([Rows.read(*held[4:]), *new_rows])
+        ready = waiting.ts < passed
+        rest, due = waiting[~ready], waiting[ready].sorted()
         # The newest value before the watermark and all after it can still be asked for.
-        kept = marks[max(0, bisect_left(times, watermark) - 1) :]
-        self.state.write([*_columns(kept, 3), *_columns(waiting[ready:], 3)])
-        if waiting[ready:]:
-            self.handle.registerTimer(waiting[ready][0] + 1)
-        if ready:
-            places = (bisect_right(times, ts) - 1 for ts, _, _ in waiting[:ready])
-            values = [None if place < 0 else marks[place][2] for place in places]
-            out = [(str(key[0]), seq, value, row) for (_, seq, row), value in zip(waiting, values)]
-            yield pd.DataFrame(out, columns=["key", "seq", "value", "row"])
+        kept = marks[max(0, int(np.searchsorted(marks.ts, passed)) - 1) :]
+        if len(kept) or len(rest):
+            self.state.update((*kept.written(), *rest.written()))
+        elif any(held):
+            self.state.clear()
+        if len(rest):
+            self.handle.registerTimer(int(rest.ts.min()) // self.per_ms + 1)
+        del held, waiting, kept, rest
+        values = np.append(marks.value, None)  # the last place, -1, is that of no value
+        for start in range(0, len(due), self.OUT):
+            part = due[start : start + self.OUT]
+            value = values[np.searchsorted(marks.ts, part.ts, side="right") - 1]
+            name = np.full(len(part), str(key[0]), object)
+            yield pd.DataFrame({"key": name, "seq": part.seq, "value": value, "row": part.value}, copy=False)
 
 
 class MatchInOrder(Columnar):

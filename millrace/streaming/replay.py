@@ -25,7 +25,9 @@ RANGE_BYTES = 8 << 20
 FIRST_CHANGE, MOST_FILES = 1_000_000_000_000, 600_000
 
 
-def source(spark: SparkSession, path: str, schema: str, time: str, closing: str | None = None) -> DataFrame:
+def source(
+    spark: SparkSession, path: str, schema: str, time: str, closing: str | None = None, batch_rows: int | None = None
+) -> DataFrame:
     """A finished Parquet table, a file or a folder, as a stream in the order of its ``time`` column.
 
     The table is laid out again below the checkpoint folder, a file for each range of times, and a stream takes files by
@@ -34,16 +36,23 @@ def source(spark: SparkSession, path: str, schema: str, time: str, closing: str
 
     ``closing``, an interval, adds a last row so much later than all others, null but for its time: it moves the watermark
     past everything that waits. Take it out again with ``without_closing``.
+
+    ``batch_rows`` bounds a micro-batch by about that many rows, or one range, instead of by bytes: for a query that holds or
+    copies all rows of one.
     """
     table = configure_streaming(spark).read.schema(schema).parquet(path)
     ranges = 1 + estimated_bytes(table) // RANGE_BYTES
+    if batch_rows:
+        rows = table.count()
+        ranges = max(ranges, -(-rows // batch_rows))
     if closing:
         last = table.agg(F.max(time).alias(time)).withColumn(time, F.col(time) + F.expr(f"INTERVAL {closing}"))
         table = table.unionByName(last.filter(F.col(time).isNotNull()), allowMissingColumns=True)
     feed = _new_feed(spark)
     table.repartitionByRange(ranges, time).sortWithinPartitions(time).write.parquet(feed)
-    _date_files(spark, feed)
-    return spark.readStream.schema(schema).option("maxBytesPerTrigger", BATCH_BYTES).parquet(feed)
+    files = _date_files(spark, feed)
+    bound = ("maxFilesPerTrigger", max(1, batch_rows * files // max(1, rows))) if batch_rows else ("maxBytesPerTrigger", BATCH_BYTES)
+    return spark.readStream.schema(schema).option(*bound).parquet(feed)
 
 
 def without_closing(stream: DataFrame, known: str, time: str) -> DataFrame:
@@ -71,9 +80,9 @@ def _new_feed(spark: SparkSession) -> str:
     return f"{checkpoint_root(spark)}/replay/{uuid.uuid4()}/feed"
 
 
-def _date_files(spark: SparkSession, folder: str) -> None:
+def _date_files(spark: SparkSession, folder: str) -> int:
     """Give the files of a folder rising times of change: by the number of their micro-batch, and by their names, which rise
-    with the ranges."""
+    with the ranges. The number of files."""
     where = spark._jvm.org.apache.hadoop.fs.Path(folder)
     store = where.getFileSystem(spark._jsc.hadoopConfiguration())
     found, listed = [], store.listFiles(where, True)
@@ -84,7 +93,7 @@ def _date_files(spark: SparkSession, folder: str) -> None:
             found.append((int(number) if number.lstrip("-").isdigit() else 0, str(file)))
     files = [file for _, file in sorted(found)]
     if len(files) < 2:
-        return
+        return len(files)
     if len(files) > MOST_FILES:
         raise ValueError(f"{len(files)} files are too many for one replay: raise RANGE_BYTES")
     for number, file in enumerate(files):
@@ -92,6 +101,7 @@ def _date_files(spark: SparkSession, folder: str) -> None:
     dated = [store.getFileStatus(spark._jvm.org.apache.hadoop.fs.Path(f)).getModificationTime() for f in files]
     if dated != sorted(set(dated)):
         raise RuntimeError(f"{folder} does not keep the times of files: a replay would not be in order")
+    return len(files)
 
 
 def drain(stream: DataFrame, mode: str = "append", keys: Sequence[str] = (), settle: bool = True) -> DataFrame:
